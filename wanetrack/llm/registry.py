@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wanetrack.llm import bestfit, packing
+from wanetrack.llm import bestfit, minhash, packing, resharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (packing.op10_pack_concatenated, bestfit.op9_pack_best_fit)
+    found = (
+        minhash.op2_minhash, resharding.op4_reshard, bestfit.op9_pack_best_fit, packing.op10_pack_concatenated,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_minhash": minhash.OP2_SQL}
