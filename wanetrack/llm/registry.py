@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wanetrack.llm import bestfit, minhash, packing, resharding
+from wanetrack.llm import bestfit, bytecnn, minhash, packing, resharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        minhash.op2_minhash, resharding.op4_reshard, bestfit.op9_pack_best_fit, packing.op10_pack_concatenated,
+        minhash.op2_minhash, resharding.op4_reshard, toxicity.op5_toxicity, bytecnn.op8_quality,
+        bestfit.op9_pack_best_fit, packing.op10_pack_concatenated,
     )
     return {f.__name__: f for f in found}
 
