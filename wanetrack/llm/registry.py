@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wanetrack.llm import bestfit, bytecnn, kneserney, minhash, packing, resharding, toxicity
+from wanetrack.llm import bestfit, bytecnn, decontaminate, kneserney, minhash, packing, resharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        minhash.op2_minhash, resharding.op4_reshard, toxicity.op5_toxicity, kneserney.op7_kneser_ney,
-        bytecnn.op8_quality, bestfit.op9_pack_best_fit, packing.op10_pack_concatenated,
+        minhash.op2_minhash, resharding.op4_reshard, toxicity.op5_toxicity, decontaminate.op6_decontaminate,
+        kneserney.op7_kneser_ney, bytecnn.op8_quality, bestfit.op9_pack_best_fit, packing.op10_pack_concatenated,
     )
     return {f.__name__: f for f in found}
 
