@@ -29,8 +29,11 @@ class Chunk(NamedTuple):
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cuts a string column (nulls count as empty) into pieces of about `limit` bytes, never inside a row."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """Cuts a string or binary column (nulls count as empty) into pieces of about `limit` bytes, never inside a row."""
+    if pa.types.is_binary(column.type):
+        column = column.cast(pa.large_binary()).fill_null(b"")
+    else:
+        column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
     if not n:
         return
