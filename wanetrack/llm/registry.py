@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wanetrack.llm import bestfit, bytecnn, decontaminate, kneserney, minhash, packing, resharding, suffixmerge, toxicity
+from wanetrack.llm import bestfit, bytecnn, chroma, decontaminate, kneserney, minhash, packing, resharding, suffixmerge, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        minhash.op2_minhash, suffixmerge.op3_suffix_merge, resharding.op4_reshard, toxicity.op5_toxicity,
+        chroma.op1_chroma, minhash.op2_minhash, suffixmerge.op3_suffix_merge, resharding.op4_reshard, toxicity.op5_toxicity,
         decontaminate.op6_decontaminate, kneserney.op7_kneser_ney,
         bytecnn.op8_quality, bestfit.op9_pack_best_fit, packing.op10_pack_concatenated,
     )
