@@ -29,6 +29,7 @@ class NearDup:
     bands: int = 32
     rows: int = 4
     seed: int = 17
+    block: int = 256
 
     @property
     def n_hashes(self) -> int:
@@ -106,6 +107,16 @@ def sketch(docs: DataFrame, p: NearDup) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
+def _sets(column: pa.Array, p: NearDup) -> list[np.ndarray]:
+    """The distinct shingles of every text, sorted."""
+    out = []
+    for c in B.chunks(column):
+        w = B.words(c)
+        x, rows = B.shingles(B.word_hashes(c, w), w.rows, p.shingle_words)
+        out += [np.unique(x[a:b]) for a, b in zip(rows, rows[1:], strict=False)]
+    return out
+
+
 def _screened(pairs: DataFrame, sketches: DataFrame, p: NearDup) -> DataFrame:
     """Pairs (u, v) whose signatures agree often enough to go on."""
     side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("signature").alias(f"s{c}"))
@@ -127,20 +138,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
     """Pairs whose full shingle sets are similar enough. texts: doc_id, text, one row an id."""
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for c in B.chunks(column):
-            w = B.words(c)
-            x, rows = B.shingles(B.word_hashes(c, w), w.rows, p.shingle_words)
-            out += [np.unique(x[a:b]) for a, b in zip(rows, rows[1:], strict=False)]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, len(whole), 256):
                 batch = whole.slice(lo, 256)
                 keep = []
-                for a, b in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+                for a, b in zip(_sets(batch.column(2), p), _sets(batch.column(3), p), strict=True):
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     keep.append(100 * both >= p.percent * (len(a) + len(b) - both))
                 yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -149,15 +152,58 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def _compared(rows: DataFrame, texts: DataFrame, scratch: Scratch, p: NearDup) -> DataFrame:
+    """rows: band, doc_id, part, blocks. Similar pairs (u, v) of equal band and different part.
+
+    The members of a band are dealt into blocks, and every two blocks meet in a task of
+    their own, which counts common shingles as a product of incidence matrices. So a task
+    holds two blocks, whatever the band's size, and only links leave it, not pairs.
+    """
+    wanted = rows.select("doc_id").distinct()
+
+    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([x.tobytes() for x in _sets(batch.column(1), p)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["doc_id", "shingles"])
+
+    sets = scratch.table(
+        texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingle_sets, "doc_id long, shingles binary"),
+        "sets",
+    )
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "part"
+    )
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, part = t.column("doc_id").to_numpy(), t.column("part").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
+        size = np.array([len(x) for x in sets])
+        value, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        slot = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[at]
+        row = np.repeat(np.arange(len(sets)), size)
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int((n > 1).sum()), 16384):
+            inside = (slot >= lo) & (slot < lo + 16384)
+            m = np.zeros((len(sets), 16384), np.float32)
+            m[row[inside], slot[inside] - lo] = 1
+            both += m @ m.T
+        union = size[:, None] + size[None, :] - both
+        a, b = np.nonzero((100 * both >= p.percent * union) & (part[:, None] != part[None, :]) & (ids[:, None] > ids[None, :]))
+        return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["u", "v"])
+
+    return met.join(sets, "doc_id").groupBy("band", "i", "j").applyInArrow(compare, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept.
 
     Documents with equal shingle sets form a class, represented by its least doc_id; only
     representatives are banded. In every band bucket each member is compared with the
     bucket's least member. Components of those links then decide what is left: within a
-    bucket, members of different components are compared with each other, so no link that
-    the bands find is lost, while the pairs inside a component, of which a large group of
-    copies has quadratically many, are never made. Every link is confirmed on full sets.
+    bucket that holds several, members are compared with each other in bounded blocks, so no
+    link that the bands find is lost, and no pair leaves a task unless it is a link. Every link is confirmed on full sets.
 
     A document without words (null, empty or blank text) links with nothing; one with
     fewer words than a shingle has its whole sequence as the only one. Rows that repeat
@@ -194,21 +240,12 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     # What the stars leave open: bucket mates of different components.
     label = parts.select(F.col("u").alias("doc_id"), F.col("v").alias("part"))
     labelled = members.join(label, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-    labelled = scratch.table(labelled, "labelled")
-    mixed = labelled.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("band")
-    open_rows = scratch.table(labelled.join(mixed, "band", "left_semi"), "open")
-    home = open_rows.filter("doc_id = pivot").select("band", F.col("part").alias("home"))
-    away = open_rows.join(home, "band").filter("part != home").select("band", F.col("doc_id").alias("x"), F.col("part").alias("px"))
-    mate = open_rows.select("band", F.col("doc_id").alias("y"), F.col("part").alias("py"), "pivot").join(home, "band") \
-        .filter("y != pivot").drop("pivot")
-    pairs = (
-        away.join(mate, "band")
-        .filter("px != py and (py = home or y < x)")
-        .select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-        .distinct()
+    labelled = scratch.table(labelled.select("band", "doc_id", "part"), "labelled")
+    mixed = labelled.groupBy("band").agg(
+        F.min("part").alias("a"), F.max("part").alias("b"), F.ceil(F.count("*") / p.block).cast("int").alias("blocks")
     )
-    pairs = scratch.table(_screened(pairs, reps, p), "pairs")
-    more = scratch.table(_confirmed(pairs, texts, p).distinct(), "more")
+    mixed = mixed.filter("a < b").select("band", "blocks")
+    more = scratch.table(_compared(labelled.join(mixed, "band"), texts, scratch, p).distinct(), "more")
     if not more.isEmpty():
         parts = connected_components(parts.select("u", "v").union(more), scratch)
 
