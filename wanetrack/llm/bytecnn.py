@@ -188,3 +188,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, net).select(
         "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+def keep_quality(docs: DataFrame, net: ByteCNN, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least `threshold`."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in B.chunks(batch.column(at)):
+                good = net.probabilities(c.data, c.offsets) >= threshold
+                yield batch.slice(c.lo, c.hi - c.lo).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -260,6 +260,21 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
+    """The rows of docs, with all their columns, that represent their group of near copies.
+
+    Rows without a doc_id cannot be named in a group and stay. Of rows that share a
+    doc_id one stays.
+    """
+    scratch = Scratch(docs.sparkSession, "keepone")
+    groups = scratch.table(near_duplicates(docs, p).select("doc_id", "kept"), "groups")
+    copies = groups.filter("not kept").select(F.col("doc_id").alias("copy_id")).distinct()
+    out = docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
+    if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(out.filter("doc_id is null"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), NearDup(shingle_words=4))
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wanetrack.llm import bytesets as B
 from wanetrack.llm.scratch import Scratch
@@ -364,22 +365,26 @@ def _removed(n: int, windows: list[dict[str, int]], length: int) -> list[tuple[i
 def remove_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """Removes every byte covered by a string of p.length bytes that also starts anywhere else.
 
-    Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and
-    spans (removed byte runs). Strings are judged on the input, never cross documents, and
+    Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans
+    (removed byte runs), kept_text (kept without the bytes of split characters) and row (a
+    struct of the other columns). Strings are judged on the input, never cross documents, and
     all their occurrences go, overlapping ones in one document included. Null texts count
     as empty; texts shorter than p.length keep everything; a row that occurs twice is a
     repeat of itself; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), carried
+    )
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
     windows = repeated_windows(rows.select("rid", "text"), scratch, p)
     windows = windows.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], [], [], []]
             for text, found in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 raw = text.as_py()
                 gone = _removed(len(raw), found.as_py() or [], p.length)
@@ -388,16 +393,34 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
                     kept.append(raw[at:a])
                     at = b
                 kept.append(raw[at:])
-                for c, v in zip(cols, (len(raw), sum(b - a for a, b in gone), len(gone), b"".join(kept), [{"a": a, "b": b} for a, b in gone]), strict=True):
+                for c, v in zip(cols, (len(raw), sum(b - a for a, b in gone), len(gone), b"".join(kept), [{"a": a, "b": b} for a, b in gone],
+                                          b"".join(k.decode("utf-8", "ignore").encode() for k in kept).decode()), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), _FOUND_TYPE)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), _FOUND_TYPE, pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), batch.column(3)],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", "kept_text", "row"],
             )
 
-    return rows.join(windows, "rid", "left").select("doc_id", "text", "windows").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<a:int,b:int>>"
+    schema = T.StructType.fromDDL(
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<a:int,b:int>>, kept_text string"
+    ).add("row", rows.schema["row"].dataType)
+    return rows.join(windows, "rid", "left").select("doc_id", "text", "windows", "row").mapInArrow(run, schema)
+
+
+def cut_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
+    """docs with repeated passages cut out of the texts; bytes of a character that a cut splits go with it.
+
+    Every row stays. A column n_chars, where there is one, is counted anew.
+    """
+    text = F.col("kept_text")
+    return remove_repeats(docs, p).select(
+        *[
+            text.alias(c) if c == "text"
+            else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+            else F.col("row").getField(c).alias(c)
+            for c in docs.columns
+        ]
     )
 
 
