@@ -4,8 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wanetrack.llm.bytecnn import keep_quality, train_quality
+from wanetrack.llm.decontaminate import decontaminate
+from wanetrack.llm.minhash import keep_one
 from wanetrack.llm.packing import pack_concatenated
 from wanetrack.llm.scratch import Scratch
+from wanetrack.llm.suffixmerge import cut_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: rows whose text the byte network scores below 0.3 go."""
+    net = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return keep_quality(docs, net)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: one document of each group of near copies stays (five-word shingles, 0.8)."""
+    return keep_one(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: byte strings of 200 that occur twice are cut out of the texts; every row stays."""
+    return cut_repeats(docs)
+
+
+def benchmark_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that hold a benchmark item go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +38,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_concatenated(docs, with_ids=False)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", passage_dedup),
+    ("benchmark decontamination", benchmark_removal),
+    ("packing", pack),
+]
 
+#: No stage but the fourth is within SQL's reach (a trained network, sketches, transforms, token ids).
 ORACLE_SQL = None
 
 
@@ -25,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = scratch.table(docs, name)
+            docs = scratch.table(docs, name.replace(" ", "-"))
     return docs
