@@ -99,6 +99,6 @@ def fit_platt(df: DataFrame, p: str = PROB, y: str = LABEL):
     from pyspark.ml.feature import VectorAssembler
 
     x = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
-    rows = df.withColumn("_x", F.log(x / (1 - x))).withColumn("_y", F.col(y).cast("double"))
+    rows = df.select(F.col(p), F.col(y)).withColumn("_x", F.log(x / (1 - x))).withColumn("_y", F.col(y).cast("double"))
     rows = VectorAssembler(inputCols=["_x"], outputCol="_f").transform(rows)
-    return LogisticRegression(featuresCol="_f", labelCol="_y", regParam=1e-8, maxIter=50).fit(rows)
+    return LogisticRegression(featuresCol="_f", labelCol="_y", probabilityCol="_p", rawPredictionCol="_r", regParam=1e-8, maxIter=50).fit(rows)

@@ -128,8 +128,8 @@ def chi_square(reference: DataFrame, current: DataFrame) -> DataFrame:
     both = both.withColumn("unseen", F.col("a").isNull()).withColumns({k: F.coalesce(k, F.lit(0)) for k in "ab"})
     all_ = Window.partitionBy()
     a, b = F.sum("a").over(all_), F.sum("b").over(all_)
-    rows = both.select("*", a.alias("A"), b.alias("B"), F.count(F.lit(1)).over(all_).alias("k"))
-    share = (F.col("a") + F.col("b")) / (F.col("A") + F.col("B"))
+    rows = both.select("*", a.alias("total_a"), b.alias("total_b"), F.count(F.lit(1)).over(all_).alias("k"))
+    share = (F.col("a") + F.col("b")) / (F.col("total_a") + F.col("total_b"))
 
     def part(n: str, total: str) -> Column:
         e = F.col(total) * share
@@ -138,8 +138,8 @@ def chi_square(reference: DataFrame, current: DataFrame) -> DataFrame:
         return off * off / e
 
     return rows.agg(
-        F.sum(part("a", "A") + part("b", "B")).alias("chi2"), (F.max("k") - 1).alias("dof"),
-        (F.sum(F.when(F.col("unseen"), F.col("b")).otherwise(0)) / F.max("B")).alias("unseen_rate"),
+        F.sum(part("a", "total_a") + part("b", "total_b")).alias("chi2"), (F.max("k") - 1).alias("dof"),
+        (F.sum(F.when(F.col("unseen"), F.col("b")).otherwise(0)) / F.max("total_b")).alias("unseen_rate"),
     )
 
 
