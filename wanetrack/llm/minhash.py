@@ -29,7 +29,7 @@ class NearDup:
     bands: int = 32
     rows: int = 4
     seed: int = 17
-    block: int = 256
+    block: int = 512
 
     @property
     def n_hashes(self) -> int:
