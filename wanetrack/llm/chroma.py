@@ -156,28 +156,25 @@ def fingerprints(recordings: DataFrame, p: Audio = Audio()) -> DataFrame:
     return recordings.select(F.col("rec_id").cast("long"), F.col("pcm").cast("binary")).mapInArrow(run, PRINTS)
 
 
-def _tokens(prints: DataFrame, p: Audio) -> DataFrame:
-    """(token, rec_id): the least-hashed tokens of each recording, enough that aligned ones share one.
-
-    A token is an item with its number among equal items. Recordings of n and m items that
-    agree in r = agree * max(n, m) of them share r tokens, so the first n - r + 1 and
-    m - r + 1 tokens in any common order meet.
-    """
+def _tokens(prints: DataFrame) -> DataFrame:
+    """(token, rec_id, n): a token is an item with its number among equal items of its recording of n items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for rec, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.sort(np.frombuffer(raw, "<u4"))
-                new = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
-                nth = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
-                t = np.sort(B.mix(x.astype(np.uint64) << np.uint64(32) | nth.astype(np.uint64)))
-                out.append(t[: len(t) - int(np.ceil(p.agree * len(t))) + 1].view(np.int64))
-                ids.append(np.full(len(out[-1]), rec))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(ids))], names=["token", "rec_id"])
-
-    return prints.filter("n_items > 0").select("rec_id", "items").mapInArrow(run, "token long, rec_id long")
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                out, size = [], []
+                for raw in part.column(1).to_pylist():
+                    x = np.sort(np.frombuffer(raw, "<u4"))
+                    new = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+                    nth = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
+                    out.append(B.mix(x.astype(np.uint64) << np.uint64(32) | nth.astype(np.uint64)).view(np.int64))
+                    size.append(len(x))
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
+                n = pa.array(np.repeat(size, size).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), ids, n], names=["token", "rec_id", "n"])
+
+    return prints.filter("n_items > 0").select("rec_id", "items").mapInArrow(run, "token long, rec_id long, n int")
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
@@ -202,11 +199,15 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
 PAIRS = "query_id long, rec_id long, offset long, equal_items long, overlap long, bit_errors long"
 
 
-def search(prints: DataFrame, queries: DataFrame, scratch: Scratch, p: Audio = Audio()) -> DataFrame:
-    """Aligned pairs of the query recordings (column rec_id) with all recordings, themselves excluded."""
-    tokens = scratch.table(_tokens(prints, p), "tokens")
-    asked = tokens.join(queries.select("rec_id"), "rec_id", "left_semi").select("token", F.col("rec_id").alias("query_id"))
-    pairs = asked.join(tokens, "token").filter("query_id != rec_id").select("query_id", "rec_id").distinct()
+def search(prints: DataFrame, queries: DataFrame, p: Audio = Audio()) -> DataFrame:
+    """Aligned pairs of the query recordings with all recordings, themselves excluded; both as from fingerprints()."""
+    asked = _tokens(queries).select("token", F.col("rec_id").alias("query_id"), F.col("n").alias("m"))
+    # Items that agree at one offset are common tokens, so pairs with too few of those need no alignment.
+    pairs = (
+        asked.join(_tokens(prints), "token").filter("query_id != rec_id").groupBy("query_id", "rec_id")
+        .agg(F.count(F.lit(1)).alias("common"), F.max(F.greatest("m", "n")).alias("longer"))
+        .filter(F.col("common") >= p.agree * F.col("longer")).select("query_id", "rec_id")
+    )
     side = prints.select("rec_id", "items")
     both = (
         pairs.join(side, "rec_id").withColumnRenamed("items", "b")
@@ -247,11 +248,11 @@ def match_recordings(recordings: DataFrame, is_query: Column, p: Audio = Audio()
         prints.filter("n_items > 0").groupBy(*key).agg(F.min("rec_id").alias("class_id"), F.max("is_query").alias("asked")), "classes"
     )
     reps = scratch.table(
-        prints.join(classes.select(F.col("class_id").alias("rec_id"), *key), ["rec_id", *key], "left_semi")
-        .dropDuplicates(["rec_id"]),
+        prints.join(classes.select(F.col("class_id").alias("rec_id"), *key, "asked"), ["rec_id", *key])
+        .dropDuplicates(["rec_id"]).select("rec_id", "n_items", "items", "asked"),
         "reps",
     )
-    links = scratch.table(search(reps, classes.filter("asked").select(F.col("class_id").alias("rec_id")), scratch, p), "links")
+    links = scratch.table(search(reps, reps.filter("asked"), p), "links")
     both = links.select(F.col("query_id").alias("class_id"), F.col("rec_id").alias("other"), "offset", "equal_items", "overlap", "bit_errors").union(
         links.select("rec_id", "query_id", -F.col("offset"), "equal_items", "overlap", "bit_errors")
     ).distinct()
