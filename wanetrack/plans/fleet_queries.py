@@ -330,7 +330,7 @@ _TS = """select max(dd) as ks, coalesce(sum(dd * step), 0) as wasserstein, sum(x
     select v, sum(x) as x, sum(y) as y from (select value as v, 1 as x, 0 as y from ra union all select value, 0, 1 from cu) where v is not null group by 1) window w as (order by v rows between unbounded preceding and current row))"""
 
 
-@query("drf3_ks", f"select ks, n, m from ({_TS})", "", "ks", **VD)
+@query("drf3_ks", f"select ks, cast(n as bigint) as n, cast(m as bigint) as m from ({_TS})", "", "ks", **VD)
 def _(s, d):
     r, c = halves(s, d)
     return D.two_sample(r, c).select("ks", "n", "m")
@@ -485,7 +485,7 @@ def _(s, d):
     return N.latest_by(snaps(s, d), ["fleet_id"], [F.desc("day")])
 
 
-@query("ref6_adopt_latest", f"select avg(n) as mean_n, sum(last_event) as total from ({_SNAP} qualify row_number() over (partition by event_type order by cast(ts as date) desc) = 1)".replace(" qualify", ") qualify").replace("from (select event_type", "from (select * from (select event_type").replace("partition by event_type order by cast(ts as date) desc", "partition by fleet_id order by day desc"), "", "mean_n")
+@query("ref6_adopt_latest", f"select avg(n) as mean_n, cast(sum(last_event) as bigint) as total from ({_SNAP} qualify row_number() over (partition by event_type order by cast(ts as date) desc) = 1)".replace(" qualify", ") qualify").replace("from (select event_type", "from (select * from (select event_type").replace("partition by event_type order by cast(ts as date) desc", "partition by fleet_id order by day desc"), "", "mean_n")
 def _(s, d):
     return N.latest_by(snaps(s, d), ["fleet_id"], [F.desc("day")]).agg(F.avg("n").alias("mean_n"), F.sum("last_event").alias("total"))
 

@@ -1,0 +1 @@
+"""The survey lists no streaming operator."""
