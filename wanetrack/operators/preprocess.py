@@ -58,6 +58,32 @@ def top_by_f(train: DataFrame, columns: Sequence[str], label: str, k: int) -> Da
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("f"), "feature"))).filter(F.col("rank") <= k)
 
 
+def mutual_information(train: DataFrame, columns: Sequence[str], label: str, bins: int = 10) -> DataFrame:
+    """PRE4: (feature, mi): mutual information with the label over equal-width bins, in nats, from joint counts."""
+    long = unpivot(train, columns, [label]).filter(finite("value").isNotNull() & finite(label).isNotNull())
+    own = Window.partitionBy("feature")
+
+    def bin_(c: str):
+        lo, hi = F.min(c).over(own), F.max(c).over(own)
+        return F.coalesce(F.least(F.floor(F.try_divide((F.col(c) - lo) * bins, hi - lo)), F.lit(bins - 1)), F.lit(0))
+
+    joint = long.select("feature", bin_("value").alias("x"), bin_(label).alias("y")).groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    total = lambda *by: F.sum("n").over(Window.partitionBy("feature", *by))
+    joint = joint.select("feature", "n", total("x").alias("nx"), total("y").alias("ny"), total().alias("nn"))
+    return joint.groupBy("feature").agg(F.sum(F.col("n") / F.col("nn") * F.log(F.col("n") * F.col("nn") / (F.col("nx") * F.col("ny")))).alias("mi"))
+
+
+def tree_importance(train: DataFrame, columns: Sequence[str], label: str, trees: int = 10, seed: int = 42) -> DataFrame:
+    """PRE4: (feature, importance) from a random forest."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = VectorAssembler(inputCols=list(columns), outputCol="_f", handleInvalid="skip").transform(train.filter(F.col(label).isNotNull()))
+    model = RandomForestRegressor(featuresCol="_f", labelCol=label, numTrees=trees, maxDepth=5, seed=seed).fit(rows)
+    found = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)]
+    return train.sparkSession.createDataFrame(found, "feature string, importance double")
+
+
 def scaler(train: DataFrame, columns: Sequence[str], how: str = "robust") -> DataFrame:
     """PRE5: (feature, center, scale); a scale of zero is one."""
     q = lambda p: lambda c: F.percentile(finite(c), F.lit(p))

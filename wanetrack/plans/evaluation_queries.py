@@ -56,6 +56,24 @@ def _(s, d):
     return P.top_by_f(cycles(s, d).withColumn("rul", F.col("n_cycles") - F.col("cycle_index")), COLS, "rul", 2)
 
 
+_MI = each("select '{c}' as feature, {c} as v, n_cycles - cycle_index as l from cycles where {c} is not null")
+
+
+@query("pre4_mutual_information", f"""
+select feature, sum(n / nn * ln(n * nn / (nx * ny))) as mi from (
+  select *, sum(n) over (partition by feature, x) as nx, sum(n) over (partition by feature, y) as ny, sum(n) over (partition by feature) as nn from (
+    select feature, x, y, cast(count(*) as double) as n from (
+      select feature, least(floor((v - min(v) over w) * 10 / (max(v) over w - min(v) over w)), 9) as x, least(floor((l - min(l) over w) * 10 / cast(max(l) over w - min(l) over w as double)), 9) as y
+      from ({_MI}) window w as (partition by feature)) group by 1, 2, 3)) group by 1""", "cycles", "mi")
+def _(s, d):
+    return P.mutual_information(cycles(s, d).withColumn("rul", (F.col("n_cycles") - F.col("cycle_index")).cast("double")), COLS, "rul")
+
+
+@query("pre4_tree_importance")
+def _(s, d):
+    return P.tree_importance(cycles(s, d).withColumn("rul", (F.col("n_cycles") - F.col("cycle_index")).cast("double")), COLS, "rul")
+
+
 _ROBUST = each("select '{c}' as feature, quantile_cont({c}, 0.5) as center, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) as scale from cycles")
 
 
@@ -160,6 +178,16 @@ def _(s, d):
     return X.nearest_analogues(p.filter("cast(battery_id as int) % 2 = 1 and cycle_index % 10 = 0"), ref, keys=["battery_id", "cycle_index"])
 
 
+@query("jon8_asof_last_known", """
+select p.battery_id, p.cycle_index, (select max(o.cycle_index) from outcomes o where o.battery_id = p.battery_id and o.cycle_index <= p.cycle_index) as labelled_at from predictions p""", "predictions outcomes")
+def _(s, d):
+    from wanetrack.functions.exprs import BEFORE, history
+
+    o = fixture(s, d, "outcomes").select("battery_id", "cycle_index", F.col("cycle_index").alias("at"))
+    both = preds(s, d).select("battery_id", "cycle_index").join(o, ["battery_id", "cycle_index"], "left")
+    return both.select("battery_id", "cycle_index", F.last("at", True).over(history("battery_id", "cycle_index").rowsBetween(BEFORE, 0)).alias("labelled_at"))
+
+
 # --- metrics -------------------------------------------------------------------------
 
 _BLOCK = """count(y_true) as n, avg(abs(y_pred - y_true)) as mae, sqrt(avg((y_pred - y_true) ** 2)) as rmse, avg((y_pred - y_true) ** 2) as mse, quantile_cont(abs(y_pred - y_true), 0.5) as median_ae,

@@ -373,6 +373,29 @@ def severity(s, d):
     return D.drift_severity(stats).select("feature", "severity")
 
 
+@query("drf7_fleet_drift", """
+select 1 as n, cast(psi >= 0.1 as bigint) as n_drifted, cast(psi >= 0.1 as double) as fraction, case when psi >= 0.1 then 'critical' else 'ok' end as status from (select sum((c - r) * ln(c / r)) as psi from al)""", "", "fraction", **VD)
+def _(s, d):
+    r, c = halves(s, d)
+    stats = D.population_stability(both(s, d)).join(D.numeric_reference(c, ["value"]).select("feature", "n", "constant"), "feature").withColumn("adjusted", F.lit(None).cast("double"))
+    return D.fleet_drift(D.drift_severity(stats))
+
+
+@query("drf3_ks_p_value")
+def _(s, d):
+    r, c = halves(s, d)
+    row = D.two_sample(r, c).first()  # one row
+    return s.createDataFrame([(row.ks, D.ks_p_value(row.ks, row.n, row.m))], "ks double, p_value double")
+
+
+@query("drf5_p_value")
+def _(s, d):
+    r, c = halves(s, d)
+    n = lambda x: D.categorical_reference(x, "event_type").select("category", "n")
+    row = D.chi_square(n(r), n(c)).first()  # one row
+    return s.createDataFrame([(row.chi2, int(row.dof), D.chi_square_p_value(row.chi2, int(row.dof)))], "chi2 double, dof int, p_value double")
+
+
 @query("pdr1_prediction_summary", " union all ".join(f"select '{c}' as output, count({c}) as n, avg({c}) as mean, stddev_samp({c}) as std, quantile_cont({c}, 0.05) as q5, quantile_cont({c}, 0.5) as q50, quantile_cont({c}, 0.95) as q95 from records" for c in ("predicted_rul", "failure_risk")), "records", "mean std q5 q50 q95")
 def _(s, d):
     return D.prediction_summary(fixture(s, d, "records"), ["predicted_rul", "failure_risk"])

@@ -334,6 +334,11 @@ def _(s, d):
     return df.select("battery_id", "cycle_index", *[F.col(f"{_X}_roll{n}_{k}").alias(f"x{n}_{k}") for n in (3, 10) for k in ("mean", "std", "min", "range", "dev")])
 
 
+@query("win2_deviation", f"select {ID}, case when count(value) over {_frame(5)} >= 3 then value - avg(value) over {_frame(5)} end as dev from cycles", "cycles", "dev")
+def _(s, d):
+    return W.rolling(cycles(s, d), "value", (5,)).select("battery_id", "cycle_index", F.col("value_roll5_dev").alias("dev"))
+
+
 @query("win3_ewm", f"""
 with recursive r as (
   select battery_id, cycle_index, capacity_ah, capacity_ah as e5 from cycles where cycle_index = 1
@@ -396,6 +401,13 @@ def _(s, d):
     return W.finish(cycles(s, d), [_X]).select("battery_id", "cycle_index", F.col(_X).alias("x"))
 
 
+@query("win12_numeric_features", "select unnest(['capacity_ah', 'energy_throughput_wh', 'value']) as feature, count(*) as n from cycles", "cycles")
+def _(s, d):
+    c = cycles(s, d).select("battery_id", "cycle_index", "value", "capacity_ah", "energy_throughput_wh", (F.col("n_cycles") - F.col("cycle_index")).alias("rul_cycles"))
+    names = W.numeric_features(c, ["cycle_index"])
+    return c.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*map(F.lit, names))).alias("feature"), "n")
+
+
 @query("win13_causality", "select * from (values ('value_exp_mean', cast(0 as double)), ('value_lag1', cast(0 as double))) t(feature, gap)", "", "gap")
 def _(s, d):
     build = lambda df: W.lags(W.expanding(df, "value"), "value", (1,))
