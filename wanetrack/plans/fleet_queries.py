@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from wanetrack.operators import drift as D
 from wanetrack.operators import fleet as L
-from wanetrack.operators import health as H
 from wanetrack.operators import monitoring as N
-from wanetrack.operators import preprocess as P
 from wanetrack.operators import quality as Q
 from wanetrack.plans.book import query
 from wanetrack.plans.fixtures import fixture, table

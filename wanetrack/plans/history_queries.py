@@ -10,7 +10,7 @@ from wanetrack.operators import health as H
 from wanetrack.operators import splits as S
 from wanetrack.operators import traces as T
 from wanetrack.plans.book import query
-from wanetrack.plans.fixtures import fixture, table
+from wanetrack.plans.fixtures import fixture
 
 ID = "battery_id, cycle_index"
 
