@@ -49,7 +49,7 @@ class Repeats:
 
 # --- anchors -------------------------------------------------------------------------
 
-RUNS = "rid long, key long, snippet long, lo int, wins int, at int"
+RUNS = "rid long, key long, snippet long, los array<int>, wins int, at int"
 
 
 def _runs(c: B.Chunk, p: Repeats) -> tuple[np.ndarray, ...]:
@@ -83,17 +83,27 @@ def _runs(c: B.Chunk, p: Repeats) -> tuple[np.ndarray, ...]:
 
 
 def window_runs(docs: DataFrame, p: Repeats) -> DataFrame:
-    """docs: rid, text. One row a run of neighbouring windows that share their anchor."""
+    """docs: rid, text. One row a snippet of a text: a run of neighbouring windows that share their anchor.
+
+    A text that holds a snippet several times, as periodic text does, has all places in los.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for c in B.chunks(batch.column(1)):
                 row, key, snip, lo, wins, at = _runs(c, p)
+                order = np.lexsort((lo, snip, key, row))
+                row, key, snip, lo, wins, at = (x[order] for x in (row, key, snip, lo, wins, at))
+                new = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (snip[1:] != snip[:-1])
+                head = np.flatnonzero(np.concatenate([[True], new])) if len(row) else np.zeros(0, np.int64)
+                los = pa.ListArray.from_arrays(
+                    pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(lo.astype(np.int32))
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[c.lo + row]), pa.array(key.view(np.int64)), pa.array(snip.view(np.int64)),
-                     *(pa.array(x.astype(np.int32)) for x in (lo, wins, at))],
-                    names=["rid", "key", "snippet", "lo", "wins", "at"],
+                    [pa.array(ids[c.lo + row[head]]), pa.array(key[head].view(np.int64)), pa.array(snip[head].view(np.int64)),
+                     los, *(pa.array(x[head].astype(np.int32)) for x in (wins, at))],
+                    names=["rid", "key", "snippet", "los", "wins", "at"],
                 )
 
     return docs.mapInArrow(run, RUNS)
@@ -241,15 +251,16 @@ def _snippet_bytes(docs: DataFrame, reps: DataFrame, p: Repeats) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, p: Repeats) -> DataFrame:
-    """docs: rid, text. Rows (rid, a, b): the windows starting at bytes a to b of the text occur more than once."""
+    """docs: rid, text. Rows (rid, windows): of each range, the windows starting at bytes a to b of the text occur more than once."""
     spark = docs.sparkSession
     groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = scratch.table(window_runs(docs, p), "runs")
-    often = runs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    often = runs.groupBy("key").agg(F.sum(F.size("los")).alias("n")).filter("n > 1").select("key")
+    often = scratch.table(often, "often")  # so that the join below is between plain exchanges, which Spark can split
     kept = scratch.table(runs.join(often, "key", "left_semi"), "kept")
-    scratch.drop(runs)
+    scratch.drop(runs, often)
     distinct = kept.groupBy("key", "snippet").agg(
-        F.count("*").alias("n"), F.min(F.struct("rid", "lo", "wins", "at")).alias("rep")
+        F.sum(F.size("los")).alias("n"), F.min(F.struct("rid", F.col("los")[0].alias("lo"), "wins", "at")).alias("rep")
     )
     distinct = scratch.table(distinct, "distinct")
     mixed = distinct.groupBy("key").agg(F.count("*").alias("m"))
@@ -338,10 +349,9 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, p: Repeats) -> DataFrame
     spread = merged.filter("snippet is null").groupBy("key", "part").applyInArrow(meet, _FOUND)
     found = alone.union(merged.filter("snippet is not null").select("key", "snippet", "spans")).union(spread)
     out = (
-        kept.select("rid", "key", "snippet", "lo").distinct()
+        kept.select("rid", "key", "snippet", "los").distinct()
         .join(found, ["key", "snippet"])
-        .select("rid", F.explode(F.transform("spans", lambda s: F.struct((F.col("lo") + s["a"]).alias("a"), (F.col("lo") + s["b"]).alias("b")))).alias("s"))
-        .select("rid", "s.a", "s.b")
+        .select("rid", F.flatten(F.transform("los", lambda lo: F.transform("spans", lambda s: F.struct((lo + s["a"]).alias("a"), (lo + s["b"]).alias("b"))))).alias("windows"))
     )
     out = scratch.table(out, "windows")
     scratch.drop(kept, distinct, merged)
@@ -380,7 +390,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     )
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
     windows = repeated_windows(rows.select("rid", "text"), scratch, p)
-    windows = windows.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("windows"))
+    windows = windows.groupBy("rid").agg(F.flatten(F.collect_list("windows")).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
