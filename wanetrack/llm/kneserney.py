@@ -20,7 +20,7 @@ from wanetrack.llm.scratch import Scratch, local_path
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 #: Tokens that a counting task aggregates before it hands them on.
-POOL_TOKENS = 3_000_000
+POOL_TOKENS = 2_000_000
 #: Contexts that are counted in many shards because they follow each other too often for one.
 HOT_CONTEXTS = 512
 
@@ -122,7 +122,7 @@ def count_model(train: DataFrame, scratch: Scratch) -> Model:
     word hashes.
     """
     spark = train.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = local_path(scratch.path("model"))
     os.makedirs(folder, exist_ok=True)
     hot = _hot_contexts(train, shards)
