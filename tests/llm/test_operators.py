@@ -366,3 +366,16 @@ def test_classifiers_on_awkward_rows(spark, docs, no_docs):
     none = labels.limit(0)
     assert {r.score for r in toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, none)).collect()} == {0.5}
     assert {r.score for r in bytecnn.score_quality(docs, bytecnn.train_quality(docs, none)).collect()} == {0.5}
+
+
+def test_quality_scores_do_not_depend_on_neighbours(texts):
+    rng = np.random.default_rng(8)
+    net = bytecnn.ByteCNN()
+    net.out = rng.normal(0, 1, len(net.out)).astype(np.float32)
+    raw = [(t or "").encode() for t in texts] + [b"", b"a", b"z" * 191, b"z" * 192, b"z" * 193, b"", b"\xff" * 50, b""]
+    alone = [net.probabilities(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in raw]
+    for order in (np.arange(len(raw)), rng.permutation(len(raw))):
+        off = np.concatenate([[0], np.cumsum([len(raw[i]) for i in order])])
+        got = net.probabilities(np.frombuffer(b"".join(raw[i] for i in order), np.uint8), off)
+        assert got == pytest.approx([alone[i] for i in order], abs=1e-6)
+    assert len({round(alone[i], 6) for i, t in enumerate(raw) if not t}) == 1

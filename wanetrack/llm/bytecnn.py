@@ -44,18 +44,25 @@ class ByteCNN:
         t, f = self.table, self.shape.filters
         return [(t[j][:, None, :] + t[j + 1][None, :, :]).reshape(65536, f) for j in range(0, self.shape.width, 2)]
 
-    def _padded(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes with width - 1 zeros after every row; the rows' places; the starts of half blocks."""
-        pad, n = self.shape.width - 1, np.diff(off)
+    def _padded(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes with `width` zeros after every row; places where no filter may start; the starts of half blocks; the rows' ranges.
+
+        Filters start at a row's own bytes, or once in the padding of an empty row, so they never reach the next row.
+        """
+        pad, n = self.shape.width, np.diff(off)
         places = off[:-1] + pad * np.arange(len(n))
         out = np.zeros(len(data) + pad * len(n) + pad, np.uint8)
-        out[np.arange(len(data)) + np.repeat(pad * np.arange(len(n)), n)] = data
+        at = np.arange(len(data)) + np.repeat(pad * np.arange(len(n)), n)
+        out[at] = data
+        shut = np.ones(len(out), bool)
+        shut[at] = False
+        shut[places[n == 0]] = False
         count = np.maximum(1, -(-n // self.shape.half))
         first = np.concatenate([[0], np.cumsum(count)])
         starts = np.repeat(places - self.shape.half * first[:-1], count) + self.shape.half * np.arange(first[-1])
-        return out, starts, first
+        return out, shut, starts, first
 
-    def _halves(self, padded: np.ndarray, starts: np.ndarray, arg: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    def _halves(self, padded: np.ndarray, shut: np.ndarray, starts: np.ndarray, arg: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """The largest response of each filter in each half block, and where it is."""
         s, pairs = self.shape, self._pairs()
         code = padded[:-1].astype(np.int32) << 8 | padded[1:]
@@ -69,6 +76,7 @@ class ByteCNN:
             r = pairs[0][code[a:b]]
             for k in range(1, len(pairs)):
                 r += pairs[k][code[a + 2 * k : b + 2 * k]]
+            r[shut[a:b]] = _LOW
             cut = starts[lo:hi] - a
             if arg:
                 for i, (x, y) in enumerate(zip(cut, [*cut[1:], b - a], strict=True)):
@@ -97,8 +105,8 @@ class ByteCNN:
         return np.tanh(z / 4), (pick[rows], rows, heads, c, count[:, 0])
 
     def probabilities(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        padded, starts, first = self._padded(data, off)
-        top, _ = self._halves(padded, starts, False)
+        padded, shut, starts, first = self._padded(data, off)
+        top, _ = self._halves(padded, shut, starts, False)
         x, _ = self._features(top, first)
         return 1 / (1 + np.exp(-np.clip((x @ self.out + self.bias).astype(np.float64), -60, 60)))
 
@@ -120,8 +128,8 @@ class ByteCNN:
                 ids = order[lo : lo + batch]
                 off = np.concatenate([[0], np.cumsum([len(texts[i]) for i in ids])])
                 data = np.frombuffer(b"".join(texts[i] for i in ids), np.uint8)
-                padded, starts, first = self._padded(data, off)
-                top, at = self._halves(padded, starts, True)
+                padded, shut, starts, first = self._padded(data, off)
+                top, at = self._halves(padded, shut, starts, True)
                 x, (pick, rows, heads, c, count) = self._features(top, first)
                 p = 1 / (1 + np.exp(-np.clip(x @ self.out + self.bias, -30, 30)))
                 g = (p - y[ids]).astype(np.float32) / len(ids)
