@@ -167,6 +167,23 @@ def test_reshard(docs, no_docs):
     assert resharding.reshard(no_docs, F.lit(0)).count() == 0
 
 
+def test_rewritten_shards_hold_every_row_once(spark, docs, tmp_path):
+    """With null ids, repeated rows and columns named as the plan's own."""
+    from pyspark.testing import assertDataFrameEqual
+
+    mine = docs.union(docs.filter("doc_id is null")).withColumn("Shard", F.lit("mine")).withColumn("slot", F.lit(7))
+    plan = resharding.reshard(mine, F.crc32(F.col("source").cast("binary")) % 6, 6, whole=True)
+    shards = {r[0] for r in resharding.rewrite_affected(plan, str(tmp_path / "out")).collect()}
+    assert shards >= set(range(6))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.columns == [*mine.columns, "slot_", "shard_"]
+    assertDataFrameEqual(out.select(*mine.columns), mine)
+    slots = defaultdict(list)
+    for r in out.select("shard_", "slot_").collect():
+        slots[r.shard_].append(r.slot_)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # --- tokens --------------------------------------------------------------------------
 
 

@@ -79,6 +79,7 @@ def reshard(
     n_shards: int = N_SHARDS,
     capacities: dict[int, int] | None = None,
     cost: Callable[[int, int], int] = lambda old, new: int(old != new),
+    whole: bool = False,
 ) -> DataFrame:
     """Plans the transfers from old shards to new ones and places every row.
 
@@ -91,7 +92,8 @@ def reshard(
 
     Null texts have size 8 and checksum 0; a null old shard counts as shard 0's
     neighbour -1, which holds rows only before the move; equal rows get different slots;
-    an empty table gives no rows; other columns are ignored.
+    an empty table gives no rows; other columns are ignored. With `whole`, a last column
+    `doc` holds the row itself, for rewrite_affected().
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "reshard")
@@ -101,6 +103,7 @@ def reshard(
         (F.length(raw).cast("long") + F.lit(ROW_BYTES)).alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"),
+        *([F.struct("*").alias("doc")] if whole else []),
     )
     order = [F.col("size").desc(), F.col("doc_id"), F.col("text_crc32")]
     laid = scratch.table(
@@ -140,22 +143,34 @@ def reshard(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
             (F.col("base") + F.col("nth")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
             "old_shard", (F.col("old_shard") != F.col("shard")).alias("moved"),
+            *(["doc"] if whole else []),
         )
     )
 
 
-def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str) -> DataFrame:
+def _free(name: str, taken: Sequence[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def rewrite_affected(plan: DataFrame, path: str) -> DataFrame:
     """Writes the shards whose rows change, and returns the list of (shard) that were rewritten.
 
-    docs and plan are joined on doc_id, which must be unique here.
+    plan is from reshard() with `whole`, so every placed row is written once, without a
+    join by id. Files hold the row's own columns and its slot, and lie in folders by shard;
+    where a column of the row has one of these names, the new one ends in underscores.
     """
     affected = (
         plan.groupBy("shard").agg(F.max("moved").alias("moved")).filter("moved").select("shard")
         .union(plan.filter("moved").select("old_shard"))
         .distinct()
     )
-    rows = docs.join(plan.select("doc_id", "shard", "slot").join(F.broadcast(affected), "shard", "left_semi"), "doc_id")
-    rows.repartition("shard", (F.col("slot") / 100_000).cast("long")).write.partitionBy("shard").parquet(path)
+    own = plan.schema["doc"].dataType.names
+    shard, slot = _free("shard", own), _free("slot", own)
+    rows = plan.select("shard", "slot", "doc").join(F.broadcast(affected), "shard", "left_semi")
+    spread = rows.repartition("shard", (F.col("slot") / 100_000).cast("long"))
+    spread.select("doc.*", F.col("slot").alias(slot), F.col("shard").alias(shard)).write.partitionBy(shard).parquet(path)
     return affected
 
 
