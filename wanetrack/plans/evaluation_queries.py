@@ -178,6 +178,13 @@ def _(s, d):
     return X.nearest_analogues(p.filter("cast(battery_id as int) % 2 = 1 and cycle_index % 10 = 0"), ref, keys=["battery_id", "cycle_index"])
 
 
+@query("jon7_nearest_analogues_every_row")
+def _(s, d):
+    p = preds(s, d)
+    ref = p.filter("cast(battery_id as int) % 2 = 0").select("soh", F.col("y_true").alias("rul"))
+    return X.nearest_analogues(p.filter("cast(battery_id as int) % 2 = 1"), ref, keys=["battery_id", "cycle_index"])
+
+
 @query("jon8_asof_last_known", """
 select p.battery_id, p.cycle_index, (select max(o.cycle_index) from outcomes o where o.battery_id = p.battery_id and o.cycle_index <= p.cycle_index) as labelled_at from predictions p""", "predictions outcomes")
 def _(s, d):
@@ -464,7 +471,7 @@ def _(s, d):
 @query("xpl1_permutation_importance")
 def _(s, d):
     r = labelled(s, d).select("battery_id", "cycle_index", "rul_cycles", *COLS)
-    return X.permutation_importance(r, X.pipeline("ridge", COLS, "rul_cycles").fit(r), COLS[:2], "rul_cycles")
+    return X.permutation_importance(r, X.pipeline("ridge", COLS, "rul_cycles").fit(r), COLS, "rul_cycles")
 
 
 @query("xpl2_ablation")
