@@ -351,6 +351,20 @@ def test_shifted_sound_aligns():
     assert off == 100 and votes == overlap == len(b) and errors == 0
 
 
+def test_short_excerpts_and_tails_are_found(spark):
+    """A tenth of a long recording, and an end that another begins with, beside recordings that share nothing."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    long, tail = word(4000), word(400)
+    texts = [long, long[800:1200], word(3000) + tail, tail + word(2000), word(400), word(4000)]
+    scores = chroma.text_scores(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    prints = chroma.fingerprints(scores, chroma.SCORES)
+    got = {(r.query_id, r.rec_id): r for r in chroma.search(prints, prints, chroma.SCORES).collect()}
+    assert set(got) == {(0, 1), (1, 0), (2, 3), (3, 2)}
+    assert got[0, 1].offset == 100 and got[0, 1].equal_items == got[0, 1].overlap == 40
+    assert got[2, 3].offset == 375
+
+
 # --- classifiers ---------------------------------------------------------------------
 
 

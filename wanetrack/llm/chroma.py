@@ -20,7 +20,8 @@ class Audio:
 
     A frame spans `frame` samples (beats), the next begins `hop` later, and an item spans
     `width` frames; shorter recordings are followed by silence.
-    agree: the part of the longer recording's items that must be equal at one offset.
+    agree: the part of the items in the overlap that must be equal at one offset.
+    least: equal items that are needed, or that part of the longer recording's items if that is fewer.
     max_error: the largest part of differing bits over the overlap.
     """
 
@@ -33,6 +34,7 @@ class Audio:
     high_hz: float = 3900.0
     width: int = 8
     agree: float = 0.2
+    least: int = 8
     max_error: float = 0.15
 
     @property
@@ -43,6 +45,10 @@ class Audio:
     def reach(self) -> int:
         return self.frame + (self.width - 1) * self.hop
 
+    def linked(self, longer: int, equal: int, overlap: int, errors: int) -> bool:
+        enough = min(self.least, self.agree * longer)
+        return equal >= max(enough, self.agree * overlap) and errors <= self.max_error * 32 * overlap
+
 
 def pitch_classes(p: Audio) -> np.ndarray:
     """Spectrum bins x 12: the class of each bin's nearest semitone, for bins within the band."""
@@ -206,7 +212,7 @@ def search(prints: DataFrame, queries: DataFrame, p: Audio = Audio()) -> DataFra
     pairs = (
         asked.join(_tokens(prints), "token").filter("query_id != rec_id").groupBy("query_id", "rec_id")
         .agg(F.count(F.lit(1)).alias("common"), F.max(F.greatest("m", "n")).alias("longer"))
-        .filter(F.col("common") >= p.agree * F.col("longer")).select("query_id", "rec_id")
+        .filter(F.col("common") >= F.least(F.lit(float(p.least)), p.agree * F.col("longer"))).select("query_id", "rec_id")
     )
     side = prints.select("rec_id", "items")
     both = (
@@ -221,7 +227,7 @@ def search(prints: DataFrame, queries: DataFrame, p: Audio = Audio()) -> DataFra
             for q, r, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
                 off, equal, overlap, errors = align(x, y)
-                if equal >= p.agree * max(len(x), len(y)) and errors <= p.max_error * 32 * overlap:
+                if p.linked(max(len(x), len(y)), equal, overlap, errors):
                     rows.append((q, r, off, equal, overlap, errors))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in PAIRS.split(", ")])
