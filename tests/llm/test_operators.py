@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -410,3 +411,9 @@ def test_quality_scores_do_not_depend_on_neighbours(texts):
         got = net.probabilities(np.frombuffer(b"".join(raw[i] for i in order), np.uint8), off)
         assert got == pytest.approx([alone[i] for i in order], abs=1e-6)
     assert len({round(alone[i], 6) for i, t in enumerate(raw) if not t}) == 1
+
+
+def test_toxicity_reads_characters_of_several_sizes():
+    count = lambda t, g: [len(x) for c in B.chunks(pa.array(t)) for x in toxicity.features(c, g)]
+    assert count(["abcdefgh", "ä" * 8, "ä" * 3, "", None, "abcD"], toxicity.Grams()) == [5 + 3 + 1, 3, 0, 0, 0, 1]
+    assert count(["aé漢🙂b"], toxicity.Grams(sizes=(2,))) == [4]

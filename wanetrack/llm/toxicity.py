@@ -17,10 +17,10 @@ from wanetrack.llm.labelled import held_out, labelled_sample
 
 @dataclass(frozen=True)
 class Grams:
-    """Distinct byte n-grams of lower-cased text, hashed into 2^bits features."""
+    """Distinct n-grams of characters of lower-cased text, of several sizes, hashed into 2^bits features."""
 
-    sizes: tuple[int, ...] = (5,)
-    bits: int = 20
+    sizes: tuple[int, ...] = (4, 6, 8)
+    bits: int = 22
     train_rows: int = 8192
     steps: int = 65536
     rate: float = 0.05
@@ -31,12 +31,14 @@ def features(c: B.Chunk, g: Grams) -> Iterator[np.ndarray]:
     """The distinct features of each row of a chunk."""
     pre = B.prefix(B.lower(c.data))
     slot = np.zeros(1 << g.bits, np.int32)
-    for a, b in zip(c.offsets[:-1], c.offsets[1:], strict=True):
+    border = np.flatnonzero(np.append(c.data & 0xC0 != 0x80, True))  # where characters begin, and the end
+    rows = np.searchsorted(border, c.offsets)
+    for a, b in zip(rows[:-1], rows[1:], strict=True):
         parts = []
         for n in g.sizes:
             if b - a >= n:
-                s = np.arange(a, b - n + 1)
-                parts.append((B.spans(pre, s, s + n) >> np.uint64(64 - g.bits)).astype(np.int32))
+                s = border[a : b + 1]
+                parts.append((B.spans(pre, s[:-n], s[n:]) >> np.uint64(64 - g.bits)).astype(np.int32))
         h = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         at = np.arange(len(h), dtype=np.int32)
         slot[h] = at  # the last place of each feature stays
@@ -45,10 +47,10 @@ def features(c: B.Chunk, g: Grams) -> Iterator[np.ndarray]:
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, g: Grams) -> np.ndarray:
     """Log of how much likelier a feature is among rows of label 1, with one more row of either label."""
-    seen = np.ones((2, 1 << g.bits))
+    seen = np.ones((2, 1 << g.bits), np.float32)
     for x, label in zip(rows, y, strict=True):
         seen[int(label), x] += 1
-    n = np.array([(y == 0).sum(), (y == 1).sum()]) + 2
+    n = (np.array([(y == 0).sum(), (y == 1).sum()]) + 2).astype(np.float32)
     return np.log(seen[1] / n[1]) - np.log(seen[0] / n[0])
 
 
