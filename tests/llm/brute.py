@@ -71,3 +71,83 @@ def repeats(texts, length):
                 flags[i : i + length] = b"\1" * length
         out.append(flags)
     return out
+
+
+def chroma_items(data, p):
+    """[(item, bits that no threshold makes doubtful)] of one recording, from sums over single cells."""
+    data = data + [p.silence] * (p.frame + (p.width - 1) * p.hop - len(data))
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * (k + 1) / (p.frame + 1)) for k in range(p.frame)]
+    rows = []
+    for s in range(0, len(data) - p.frame + 1, p.hop):
+        x, e = data[s : s + p.frame], [0.0] * 12
+        if p.score:
+            for v, w in zip(x, window):
+                if v < 12:
+                    e[v] += w
+        else:
+            mean = sum(x) / len(x)
+            x = [(v - mean) * w for v, w in zip(x, window)]
+            for b in range(p.frame // 2 + 1):
+                hz = b * p.rate / p.frame
+                if p.low_hz <= hz <= p.high_hz:
+                    turn = [2 * math.pi * b * k / p.frame for k in range(p.frame)]
+                    re_, im = sum(v * math.cos(a) for v, a in zip(x, turn)), sum(v * math.sin(a) for v, a in zip(x, turn))
+                    e[round(12 * math.log2(hz / 440)) % 12] += re_ * re_ + im * im
+        norm = math.sqrt(sum(v * v for v in e))
+        rows.append([v / norm if norm > 1e-3 else 0.0 for v in e])
+    out = []
+    for t in range(len(rows) - p.width + 1):
+        item = sure = 0
+        for k in range(4):
+            for shape in range(4):
+                h = (4, 6, 8, 10)[(k + shape) % 4]
+                y, w = (3 * k + 2 * shape) % (12 - h + 1), p.width >> (k % 2)
+                part = rest = 0.0
+                for i in range(w):
+                    for c in range(h):
+                        v = rows[t + i][y + c]
+                        late, high = i >= w // 2, c >= h // 2
+                        if shape == 3:
+                            third = max(h // 3, 1)
+                            inside, v = third <= c < 2 * third, v * (h - third if third <= c < 2 * third else third)
+                        else:
+                            inside = (late, high, late == high)[shape]
+                        part, rest = (part + v, rest) if inside else (part, rest + v)
+                r = math.log1p(part) - math.log1p(rest)
+                level = (r > -0.15) + (r > 0) + (r > 0.15)
+                item = item << 2 | (0, 1, 3, 2)[level]
+                sure = sure << 2 | (0 if min(abs(r - c) for c in (-0.15, 0, 0.15)) < 1e-5 else 3)
+        out.append((item, sure))
+    return out
+
+
+def alignment(a, b, p):
+    """(offset of b in a, equal items, overlap, differing bits) if the rule links them, by trying every offset."""
+    best = (0, 0)
+    for off in range(1 - len(b), len(a)):
+        x, y = a[max(off, 0) :], b[max(-off, 0) :]
+        n = sum(i == j for i, j in zip(x, y))
+        if n > best[1]:
+            best = (off, n)
+    off, n = best
+    pairs = list(zip(a[max(off, 0) :], b[max(-off, 0) :]))
+    errors = sum((i ^ j).bit_count() for i, j in pairs)
+    same = [i == j for i, j in pairs]
+    near = any(i and j for i, j in zip(same, same[1:])) or max(len(a), len(b)) <= 5
+    need = max(min(p.least, p.agree * max(len(a), len(b))), p.agree * len(pairs))
+    return (off, n, len(pairs), errors) if n and n >= need and errors <= p.max_error * 32 * len(pairs) and near else None
+
+
+def components(nodes, edges):
+    """The root of every node."""
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for a, b in edges:
+        up[root(a)] = root(b)
+    return {n: root(n) for n in nodes}

@@ -316,27 +316,66 @@ def test_kneser_ney(docs, no_docs):
 # --- audio ---------------------------------------------------------------------------
 
 
-def test_chroma_against_brute_force(docs, no_docs):
-    p = chroma.SCORES
-    prints = {r.rec_id: np.frombuffer(r.items, "<u4") for r in chroma.fingerprints(chroma.text_scores(docs), p).collect() if r.rec_id is not None}
-    got = {r.doc_id: r for r in chroma.match_recordings(chroma.text_scores(docs), F.col("rec_id") % 20 == 0, p).withColumnRenamed("rec_id", "doc_id").collect()}
-    classes = defaultdict(list)
-    for i, x in prints.items():
-        if len(x):
-            classes[x.tobytes()].append(i)
-    rep = {i: min(m) for m in classes.values() for i in m}
-    links = set()
-    for a in {rep[i] for i in rep if i % 20 == 0}:
-        for b in set(rep.values()) - {a}:
-            off, votes, overlap, errors = chroma.align(prints[a], prints[b])
-            if votes >= p.agree * max(len(prints[a]), len(prints[b])) and errors <= p.max_error * 32 * overlap:
-                links |= {(a, b), (b, a)}
-    assert links
-    for i, x in prints.items():
-        assert got[i].n_items == len(x)
-        assert got[i].class_id == rep.get(i)
-        assert got[i].n_links == len({b for a, b in links if a == rep.get(i)})
-    assert chroma.match_recordings(chroma.text_scores(no_docs), F.col("rec_id") % 20 == 0, p).count() == 0
+def test_items_against_plain_filters():
+    """Bits of responses that lie on a threshold may differ; all others may not."""
+    rng = np.random.default_rng(11)
+    for p, data in ((chroma.SCORES, rng.integers(0, 12, 300)), (chroma.Audio(), rng.integers(0, 256, 2000))):
+        data = data.astype(np.uint8)
+        got, off = chroma.fingerprint_chunk(B.Chunk(0, 1, data, np.array([0, len(data)])), p)
+        want = brute.chroma_items(data.tolist(), p)
+        assert off[-1] == len(got) == len(want)
+        for x, (bits, sure) in zip(got.tolist(), want):
+            assert x & sure == bits & sure
+
+
+@pytest.fixture(scope="module")
+def sounds(spark, docs):
+    """Scores of texts: some with a third of a long passage, with edits, and as heads and tails of others."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    base, rows = word(700), []
+    for i in range(40):
+        w = list(base[8 * (i % 7) :])
+        for k in rng.integers(0, len(w), i // 2):
+            w[k] = f"e{i}{k}"
+        rows.append(w if i % 3 else w[:320] + word(300))
+    rows += [word(n) for n in (1, 5, 90, 95, 100, 110, 125, 130)]
+    rows += [rows[0][:200], rows[1], word(300) + rows[2]]
+    texts = spark.createDataFrame([(1000 + i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    return chroma.text_scores(docs.select("doc_id", "text").union(texts))
+
+
+@pytest.mark.parametrize("p", [chroma.SCORES, chroma.Audio(score=True, frame=32, hop=8, rounds=0, few=3, block=5), chroma.Audio(score=True, frame=32, hop=8, rounds=1, few=0, block=8)])
+def test_chroma_against_brute_force(sounds, no_docs, p):
+    prints = [(r.rec_id, np.frombuffer(r.items, "<u4").tolist()) for r in chroma.fingerprints(sounds, p).collect()]
+    got = chroma.match_recordings(sounds, p).collect()
+    assert len(got) == len(prints)
+    distinct = sorted({tuple(x) for _, x in prints if x})
+    pairs = {(a, b): brute.alignment(a, b, p) for a in distinct for b in distinct if a != b}
+    pairs = {k: v for k, v in pairs.items() if v}
+    assert 40 < len(pairs)
+    nodes = [*distinct, *{i for i, x in prints if i is not None}]
+    edges = [*pairs, *((i, tuple(x)) for i, x in prints if x and i is not None)]
+    root = brute.components(nodes, edges)
+    least = {}
+    for i, _ in prints:
+        if i is not None:
+            least[root[i]] = min(least.get(root[i], i), i)
+    items = {}
+    for i, x in sorted((r for r in prints if r[1] and r[0] is not None), reverse=True):
+        items[tuple(x)] = i
+    by_copy = defaultdict(set)
+    for x, i in items.items():
+        by_copy[i].add(x)
+    for r in got:
+        assert r.class_id == (None if r.rec_id is None else least[root[r.rec_id]])
+        assert r.kept == (None if r.rec_id is None else r.class_id == r.rec_id)
+        if r.match_id is not None:
+            want = {v for a in by_copy[r.copy_of] for b in by_copy[r.match_id] if (v := pairs.get((a, b)))}
+            assert (r.match_offset, r.match_equal_items, r.match_overlap, r.match_bit_errors) in want
+    linked = {x for k in pairs for x in k}
+    assert {r.copy_of for r in got if r.match_id is not None} >= {items[x] for x in linked if x in items}
+    assert chroma.match_recordings(chroma.text_scores(no_docs), p).count() == 0
 
 
 def test_shifted_sound_aligns():
@@ -348,8 +387,8 @@ def test_shifted_sound_aligns():
     cut = sound[64 * 100 :]
     a, _ = chroma.fingerprint_chunk(B.Chunk(0, 1, sound, np.array([0, len(sound)])), p)
     b, _ = chroma.fingerprint_chunk(B.Chunk(0, 1, cut, np.array([0, len(cut)])), p)
-    off, votes, overlap, errors = chroma.align(a, b)
-    assert off == 100 and votes == overlap == len(b) and errors == 0
+    found = chroma.align(a, b)
+    assert found.offset == 100 and found.equal == found.overlap == len(b) and found.errors == 0
 
 
 def test_short_excerpts_and_tails_are_found(spark):
@@ -359,11 +398,10 @@ def test_short_excerpts_and_tails_are_found(spark):
     long, tail = word(4000), word(400)
     texts = [long, long[800:1200], word(3000) + tail, tail + word(2000), word(400), word(4000)]
     scores = chroma.text_scores(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
-    prints = chroma.fingerprints(scores, chroma.SCORES)
-    got = {(r.query_id, r.rec_id): r for r in chroma.search(prints, prints, chroma.SCORES).collect()}
-    assert set(got) == {(0, 1), (1, 0), (2, 3), (3, 2)}
-    assert got[0, 1].offset == 100 and got[0, 1].equal_items == got[0, 1].overlap == 40
-    assert got[2, 3].offset == 375
+    got = {r.rec_id: r for r in chroma.match_recordings(scores, chroma.SCORES).collect()}
+    assert [got[i].class_id for i in range(6)] == [0, 0, 2, 2, 4, 5]
+    assert (got[0].match_id, got[0].match_offset) == (1, 100) and got[0].match_equal_items == got[0].match_overlap == 40
+    assert (got[2].match_id, got[2].match_offset) == (3, 375)
 
 
 # --- classifiers ---------------------------------------------------------------------

@@ -136,3 +136,23 @@ def shingles(h: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
                 acc[ok] += h[at[ok] + j] * _STEP[j]
     acc += (length.astype(np.uint64) * _STEP[7])
     return mix(acc), out_rows
+
+
+def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Numbers of common elements of every two sets, as products of incidence matrices of at most `width` columns."""
+    size = np.array([len(x) for x in sets])
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    if not size.sum():
+        return both
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    slot = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[at]
+    row = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(slot, kind="stable")
+    slot, row = slot[order], row[order]
+    for lo in range(0, int((n > 1).sum()), width):
+        a, b = np.searchsorted(slot, [lo, lo + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[a:b], slot[a:b] - lo] = 1
+        both += m @ m.T
+    both[np.arange(len(sets)), np.arange(len(sets))] = size
+    return both

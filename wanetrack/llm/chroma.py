@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wanetrack.llm import bytesets as B
+from wanetrack.llm.components import connected_components
 from wanetrack.llm.scratch import Scratch
 
 
@@ -23,6 +25,10 @@ class Audio:
     agree: the part of the items in the overlap that must be equal at one offset.
     least: equal items that are needed, or that part of the longer recording's items if that is fewer.
     max_error: the largest part of differing bits over the overlap.
+    Two of the equal items must be neighbours, unless both recordings have five items or
+    fewer: pairs of items are keys of 64 bits, which few unrelated recordings share, however
+    many there are; single items of 32 bits are shared by all at some size of the corpus.
+    rounds, few, block: see link_recordings(); they change the work, never the result.
     """
 
     score: bool = False
@@ -36,6 +42,9 @@ class Audio:
     agree: float = 0.2
     least: int = 8
     max_error: float = 0.15
+    rounds: int = 3
+    few: int = 16
+    block: int = 256
 
     @property
     def silence(self) -> int:
@@ -45,9 +54,16 @@ class Audio:
     def reach(self) -> int:
         return self.frame + (self.width - 1) * self.hop
 
-    def linked(self, longer: int, equal: int, overlap: int, errors: int) -> bool:
-        enough = min(self.least, self.agree * longer)
-        return equal >= max(enough, self.agree * overlap) and errors <= self.max_error * 32 * overlap
+    def enough(self, longer: np.ndarray | int) -> np.ndarray:
+        """Equal items that a pair needs at least."""
+        return np.minimum(self.least, self.agree * longer)
+
+    def linked(self, longer: int, found: Alignment) -> bool:
+        return bool(
+            found.equal >= max(self.enough(longer), self.agree * found.overlap)
+            and found.errors <= self.max_error * 32 * found.overlap
+            and (found.neighbours or longer <= 5)
+        )
 
 
 def pitch_classes(p: Audio) -> np.ndarray:
@@ -162,113 +178,221 @@ def fingerprints(recordings: DataFrame, p: Audio = Audio()) -> DataFrame:
     return recordings.select(F.col("rec_id").cast("long"), F.col("pcm").cast("binary")).mapInArrow(run, PRINTS)
 
 
-def _tokens(prints: DataFrame) -> DataFrame:
-    """(token, rec_id, n): a token is an item with its number among equal items of its recording of n items."""
+def landmarks(x: np.ndarray, least: int = 6) -> np.ndarray:
+    """64-bit keys of a recording's neighbouring item pairs; those of fewer than `least` items give their single items too."""
+    y = x.astype(np.uint64)
+    out = [B.mix((y[:-1] << np.uint64(32) | y[1:]) ^ B._STEP[5])]
+    if len(x) < least:
+        out.append(B.mix(y ^ B._STEP[6]))
+    return np.unique(np.concatenate(out))
+
+
+def item_set(x: np.ndarray) -> np.ndarray:
+    """An item with its number among equal items of its recording, as one sorted key each."""
+    s = np.sort(x.astype(np.uint64))
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    nth = np.arange(len(s)) - np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    return s << np.uint64(32) | nth.astype(np.uint64)
+
+
+def _holders(prints: DataFrame) -> DataFrame:
+    """(mark, rec_id): the landmarks of every recording."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.slice(lo, 1024)
-                out, size = [], []
-                for raw in part.column(1).to_pylist():
-                    x = np.sort(np.frombuffer(raw, "<u4"))
-                    new = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
-                    nth = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
-                    out.append(B.mix(x.astype(np.uint64) << np.uint64(32) | nth.astype(np.uint64)).view(np.int64))
-                    size.append(len(x))
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
-                n = pa.array(np.repeat(size, size).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), ids, n], names=["token", "rec_id", "n"])
+                found = [landmarks(np.frombuffer(raw, "<u4")).view(np.int64) for raw in part.column(1).to_pylist()]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), ids], names=["mark", "rec_id"])
 
-    return prints.filter("n_items > 0").select("rec_id", "items").mapInArrow(run, "token long, rec_id long, n int")
+    return prints.select("rec_id", "items").mapInArrow(run, "mark long, rec_id long")
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
-    """(offset of b in a, equal items, overlap, differing bits) at the peak of the offset histogram.
+class Alignment(NamedTuple):
+    """Place of b in a, equal items, overlap, differing bits there, and whether two equal items are neighbours."""
 
-    Ties go to the least offset; (0, 0, 0, 0) where no item is equal.
-    """
+    offset: int
+    equal: int
+    overlap: int
+    errors: int
+    neighbours: bool
+
+
+def align(a: np.ndarray, b: np.ndarray) -> Alignment:
+    """The alignment at the peak of the offset histogram; ties go to the least offset, no equal item gives zeros."""
     order = np.argsort(b, kind="stable")
     lo, hi = np.searchsorted(b, a, "left", sorter=order), np.searchsorted(b, a, "right", sorter=order)
     n = hi - lo
     if not n.any():
-        return 0, 0, 0, 0
+        return Alignment(0, 0, 0, 0, False)
     i = np.repeat(np.arange(len(a)), n)
     j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
     votes = np.bincount(i - j + len(b) - 1)
     off = int(votes.argmax()) - len(b) + 1
     x, y = a[max(off, 0) :], b[max(-off, 0) :]
     m = min(len(x), len(y))
-    return off, int(votes.max()), m, int(np.bitwise_count(x[:m] ^ y[:m]).sum())
+    differ = x[:m] ^ y[:m]
+    same = differ == 0
+    return Alignment(off, int(votes.max()), m, int(np.bitwise_count(differ).sum()), bool((same[1:] & same[:-1]).any()))
 
 
-PAIRS = "query_id long, rec_id long, offset long, equal_items long, overlap long, bit_errors long"
+LINKS = "u long, v long, offset long, equal_items long, overlap long, bit_errors long"
 
 
-def search(prints: DataFrame, queries: DataFrame, p: Audio = Audio()) -> DataFrame:
-    """Aligned pairs of the query recordings with all recordings, themselves excluded; both as from fingerprints()."""
-    asked = _tokens(queries).select("token", F.col("rec_id").alias("query_id"), F.col("n").alias("m"))
-    # Items that agree at one offset are common tokens, so pairs with too few of those need no alignment.
-    pairs = (
-        asked.join(_tokens(prints), "token").filter("query_id != rec_id").groupBy("query_id", "rec_id")
-        .agg(F.count(F.lit(1)).alias("common"), F.max(F.greatest("m", "n")).alias("longer"))
-        .filter(F.col("common") >= F.least(F.lit(float(p.least)), p.agree * F.col("longer"))).select("query_id", "rec_id")
-    )
-    side = prints.select("rec_id", "items")
-    both = (
-        pairs.join(side, "rec_id").withColumnRenamed("items", "b")
-        .join(side.select(F.col("rec_id").alias("query_id"), F.col("items").alias("a")), "query_id")
-        .select("query_id", "rec_id", "a", "b")
-    )
+def _link_table(rows: list[tuple[int, ...]]) -> list[pa.Array]:
+    return [pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [[]] * 6)]
+
+
+_NAMES = [c.split()[0] for c in LINKS.split(", ")]
+
+
+def _aligned(pairs: DataFrame, prints: DataFrame, p: Audio) -> DataFrame:
+    """The pairs (u, v) that the rule links, with v's place in u."""
+    side = lambda c: prints.select(F.col("rec_id").alias(c), F.col("items").alias(f"i{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for q, r, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for u, v, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-                off, equal, overlap, errors = align(x, y)
-                if p.linked(max(len(x), len(y)), equal, overlap, errors):
-                    rows.append((q, r, off, equal, overlap, errors))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in PAIRS.split(", ")])
+                found = align(x, y)
+                if p.linked(max(len(x), len(y)), found):
+                    rows.append((u, v, *found[:4]))
+            yield pa.RecordBatch.from_arrays(_link_table(rows), names=_NAMES)
 
-    return both.mapInArrow(run, PAIRS)
+    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "iu", "iv")
+    return both.mapInArrow(run, LINKS)
 
 
-def match_recordings(recordings: DataFrame, is_query: Column, p: Audio = Audio()) -> DataFrame:
-    """Per recording: rec_id, n_items, items_crc32, class_id, is_query, n_links and its class's best link.
+def _aligned_in_blocks(open_marks: DataFrame, prints: DataFrame, p: Audio) -> DataFrame:
+    """open_marks: mark, blocks, rec_id, part. Linked pairs of one mark and different parts.
 
-    Recordings with equal items form a class (class_id: its least rec_id). Classes with a
-    query are searched against all classes; n_links counts the other classes that a
-    recording's class is aligned with, as query or as match. The best link has the most
-    equal items, ties by least class. Null and empty recordings have no items, no class
-    and no links; silence has items and matches silence; repeated rows are put out as
-    often as they occur; other columns are ignored; an empty table gives no rows.
+    Holders of a mark are dealt into blocks, and every two blocks meet in a task of their
+    own, which counts common items as a product of incidence matrices and aligns only
+    pairs with enough. A pair is taken up at its least common open mark alone.
+    """
+    marks = open_marks.groupBy("rec_id").agg(F.collect_list("mark").alias("marks"))  # no more than the recording's landmarks
+    own = F.pmod(F.xxhash64("rec_id"), F.col("blocks")).cast("int")
+    dealt = open_marks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("mark", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rec_id", "part")
+    met = dealt.join(prints.join(marks, "rec_id").select("rec_id", "items", "marks"), "rec_id")
+
+    def compare(t: pa.Table) -> pa.Table:
+        mark = t.column("mark")[0].as_py()
+        ids, part, own = (t.column(c).to_numpy() for c in ("rec_id", "part", "own"))
+        items = [np.frombuffer(x.as_py(), "<u4") for x in t.column("items")]
+        earlier = [x[x < mark] for x in (np.array(m.as_py(), np.int64) for m in t.column("marks"))]
+        size = np.array([len(x) for x in items])
+        wanted = (ids[:, None] > ids[None, :]) & (part[:, None] != part[None, :])
+        if (own != own[0]).any():
+            wanted &= own[:, None] != own[None, :]
+        elif t.column("i")[0] != t.column("j")[0]:
+            wanted[:] = False
+        wanted &= B.common_counts(earlier) == 0
+        wanted &= B.common_counts([item_set(x) for x in items]) >= p.enough(np.maximum(size[:, None], size[None, :]))
+        rows = []
+        for a, b in zip(*np.nonzero(wanted), strict=True):
+            found = align(items[a], items[b])
+            if p.linked(max(size[a], size[b]), found):
+                rows.append((ids[a], ids[b], *found[:4]))
+        return pa.table(_link_table(rows), names=_NAMES)
+
+    return met.groupBy("mark", "i", "j").applyInArrow(compare, LINKS)
+
+
+def link_recordings(prints: DataFrame, scratch: Scratch, p: Audio = Audio()) -> tuple[DataFrame, DataFrame]:
+    """(links, parts) of different recordings: alignments enough to know all classes, and the classes themselves.
+
+    prints: rec_id, items (not empty), one row an id. parts has rows (u, v), v the least
+    recording that u is linked with, over any number of links; only other recordings than
+    v itself are in it. No pair is lost: recordings of a link share a landmark. In
+    `rounds`, holders of a landmark are aligned with one of them, a pivot that changes by
+    round, unless both are of one class already. Landmarks whose holders still are of
+    several classes end the search: up to `few` holders meet in pairs, more in blocks.
+    """
+    holders = _holders(prints)
+    shared = scratch.table(holders.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "shared")
+    members = scratch.table(holders.join(shared, "mark"), "members")
+    links, parts = None, None
+    for k in range(p.rounds + 1):
+        if parts is None:
+            now = members.withColumn("part", F.col("rec_id"))
+        else:
+            label = parts.select(F.col("u").alias("rec_id"), F.col("v").alias("part"))
+            now = members.join(label, "rec_id", "left").withColumn("part", F.coalesce("part", "rec_id"))
+        now = scratch.table(now.select("mark", "rec_id", "part"), "now")
+        turn = F.struct(F.xxhash64("rec_id", F.lit(k)).alias("h"), "rec_id", "part")
+        mixed = now.groupBy("mark").agg(
+            F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n"), F.min(turn).alias("pivot")
+        )
+        mixed = mixed.filter("a < b").select("mark", "n", F.col("pivot.rec_id").alias("pivot"), F.col("pivot.part").alias("at"))
+        members = scratch.table(now.join(mixed, "mark"), "open")
+        if members.isEmpty():
+            break
+        if k < p.rounds:
+            pairs = members.filter("part <> at").select(F.col("rec_id").alias("u"), F.col("pivot").alias("v"))
+            found = _aligned(scratch.table(pairs.distinct(), "pairs"), prints, p)
+        else:
+            small = members.filter(F.col("n") <= p.few)
+            other = small.select("mark", F.col("rec_id").alias("v"), F.col("part").alias("with"))
+            pairs = small.join(other, "mark").filter("rec_id > v AND part <> with").select(F.col("rec_id").alias("u"), "v")
+            found = _aligned(scratch.table(pairs.distinct(), "pairs"), prints, p)
+            large = members.filter(F.col("n") > p.few).withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
+            found = found.union(_aligned_in_blocks(large.select("mark", "blocks", "rec_id", "part"), prints, p))
+        found = scratch.table(found.distinct(), "found")
+        links = found if links is None else links.union(found)
+        parts = connected_components(links.select("u", "v"), scratch)
+        members = members.select("mark", "rec_id")
+    if links is None:
+        spark = prints.sparkSession
+        return spark.createDataFrame([], LINKS), spark.createDataFrame([], "u long, v long")
+    return links, parts
+
+
+def match_recordings(recordings: DataFrame, p: Audio = Audio()) -> DataFrame:
+    """Per recording: rec_id, n_items, items_crc32, copy_of, class_id, kept and an alignment with another of its class.
+
+    copy_of: the least rec_id with equal items. class_id: the least rec_id reachable over
+    links, whose rule is that of Audio; kept: whether that is the recording itself. The
+    alignment (match_id, match_offset, match_equal_items, match_overlap, match_bit_errors)
+    is that of copy_of with a recording that it was found to be linked with: the most
+    equal items, ties by least id. Null and empty recordings have no items and are alone;
+    silence has items and matches silence; a null rec_id has no class, but its items
+    count; repeated rows are put out as often as they occur, and rows that share a rec_id
+    are of one class; other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(recordings.sparkSession, "chroma")
-    prints = scratch.table(
-        fingerprints(recordings.select("rec_id", "pcm"), p).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "prints"
-    )
+    prints = scratch.table(fingerprints(recordings.select("rec_id", "pcm"), p), "prints")
     key = ["n_items", "k1", "k2"]
-    classes = scratch.table(
-        prints.filter("n_items > 0").groupBy(*key).agg(F.min("rec_id").alias("class_id"), F.max("is_query").alias("asked")), "classes"
-    )
-    reps = scratch.table(
-        prints.join(classes.select(F.col("class_id").alias("rec_id"), *key, "asked"), ["rec_id", *key])
-        .dropDuplicates(["rec_id"]).select("rec_id", "n_items", "items", "asked"),
-        "reps",
+    named = prints.filter("n_items > 0 AND rec_id IS NOT NULL")
+    classes = scratch.table(named.groupBy(*key).agg(F.min("rec_id").alias("copy_of"), F.first("items").alias("items")), "classes")
+    # A recording stands for its items; ids under which several recordings run are tied together afterwards.
+    reps = classes.select(F.xxhash64(*key).alias("rec_id"), "items")
+    links, parts = link_recordings(reps, scratch, p)
+    known = classes.select(*key, "copy_of", F.xxhash64(*key).alias("node"))
+    several = named.groupBy("rec_id").agg(F.min(F.xxhash64(*key)).alias("v"), F.max(F.xxhash64(*key)).alias("w")).filter("v < w")
+    ties = scratch.table(named.join(several, "rec_id").select(F.xxhash64(*key).alias("u"), "v").filter("u <> v").distinct(), "ties")
+    if not ties.isEmpty():
+        parts = connected_components(parts.union(ties), scratch)
+    known = known.join(parts.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left")
+    known = scratch.table(known.withColumn("part", F.coalesce("part", "node")), "known")
+    least = known.groupBy("part").agg(F.min("copy_of").alias("class_id"))
+    there = links.select(F.col("u").alias("node"), F.col("v").alias("other"), "offset", "equal_items", "overlap", "bit_errors")
+    back = links.select("v", "u", -F.col("offset"), "equal_items", "overlap", "bit_errors")
+    named_other = there.union(back).join(known.select(F.col("node").alias("other"), F.col("copy_of").alias("match_id")), "other")
+    best = named_other.groupBy("node").agg(
+        F.max(F.struct("equal_items", (-F.col("match_id")).alias("o"), "offset", "overlap", "bit_errors")).alias("best")
     )
-    links = scratch.table(search(reps, reps.filter("asked"), p), "links")
-    both = links.select(F.col("query_id").alias("class_id"), F.col("rec_id").alias("other"), "offset", "equal_items", "overlap", "bit_errors").union(
-        links.select("rec_id", "query_id", -F.col("offset"), "equal_items", "overlap", "bit_errors")
-    ).distinct()
-    best = F.max(F.struct("equal_items", (-F.col("other")).alias("o"), "offset", "overlap", "bit_errors")).alias("best")
-    known = classes.join(both.groupBy("class_id").agg(F.countDistinct("other").alias("n_links"), best), "class_id", "left")
-    return prints.join(known.select(*key, "class_id", "n_links", "best"), key, "left").select(
-        "rec_id", "n_items", F.crc32("items").alias("items_crc32"), "class_id", "is_query",
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), (-F.col("best.o")).alias("best_class"),
-        F.col("best.offset").alias("best_offset"), F.col("best.equal_items").alias("best_equal_items"),
-        F.col("best.overlap").alias("best_overlap"), F.col("best.bit_errors").alias("best_bit_errors"),
+    told = known.join(least, "part").join(best, "node", "left").select(*key, "copy_of", "class_id", "best")
+    return prints.join(told, key, "left").select(
+        "rec_id", "n_items", F.crc32("items").alias("items_crc32"),
+        F.when(F.col("rec_id").isNotNull(), F.coalesce("copy_of", "rec_id")).alias("copy_of"),
+        F.when(F.col("rec_id").isNotNull(), F.coalesce("class_id", "rec_id")).alias("class_id"),
+        (F.col("rec_id") == F.coalesce("class_id", "rec_id")).alias("kept"),
+        (-F.col("best.o")).alias("match_id"), F.col("best.offset").alias("match_offset"),
+        F.col("best.equal_items").alias("match_equal_items"), F.col("best.overlap").alias("match_overlap"),
+        F.col("best.bit_errors").alias("match_bit_errors"),
     )
 
 
@@ -291,6 +415,6 @@ def text_scores(docs: DataFrame) -> DataFrame:
 
 
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table holds sound, so documents are rendered as scores. Queries: doc_id divisible by 20."""
+    """No table holds sound, so documents are rendered as scores; all of them are aligned with all others."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return match_recordings(text_scores(docs), F.col("rec_id") % 20 == 0, SCORES).withColumnRenamed("rec_id", "doc_id")
+    return match_recordings(text_scores(docs), SCORES).withColumnRenamed("rec_id", "doc_id")

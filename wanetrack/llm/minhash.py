@@ -180,15 +180,7 @@ def _compared(rows: DataFrame, texts: DataFrame, scratch: Scratch, p: NearDup) -
         ids, part = t.column("doc_id").to_numpy(), t.column("part").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
         size = np.array([len(x) for x in sets])
-        value, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        slot = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[at]
-        row = np.repeat(np.arange(len(sets)), size)
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for lo in range(0, int((n > 1).sum()), 16384):
-            inside = (slot >= lo) & (slot < lo + 16384)
-            m = np.zeros((len(sets), 16384), np.float32)
-            m[row[inside], slot[inside] - lo] = 1
-            both += m @ m.T
+        both = B.common_counts(sets)
         union = size[:, None] + size[None, :] - both
         a, b = np.nonzero((100 * both >= p.percent * union) & (part[:, None] != part[None, :]) & (ids[:, None] > ids[None, :]))
         return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["u", "v"])
