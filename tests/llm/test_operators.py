@@ -42,10 +42,10 @@ def brute_near(rows, k, percent=80):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_near_duplicates(docs, block):
+@pytest.mark.parametrize(("block", "rounds"), [(256, 2), (4, 0), (4, 1)])
+def test_near_duplicates(docs, block, rounds):
     want = brute_near([r for r in rows_of(docs) if r[0] is not None], 4)
-    got = minhash.near_duplicates(docs, minhash.NearDup(shingle_words=4, block=block)).filter("doc_id is not null").collect()
+    got = minhash.near_duplicates(docs, minhash.NearDup(shingle_words=4, block=block, rounds=rounds)).filter("doc_id is not null").collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -56,11 +56,40 @@ def test_open_band_mates_are_compared(spark):
     texts = [" ".join(w[:90] + [f"x{i}{j}" for j in range(10)]) for i in range(12)] + [" ".join(w)] + [" ".join(w[6:] + ["y"])]
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for p in (minhash.NearDup(shingle_words=1), minhash.NearDup(shingle_words=1, block=3)):
+    for p in (minhash.NearDup(shingle_words=1), minhash.NearDup(shingle_words=1, block=3, rounds=0)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, p).collect()}
         assert got == brute_near(rows, 1)
 
 
+@pytest.fixture(scope="module")
+def shared_ids(spark):
+    """Ids that run with several texts, also without words, that no link but the id connects, beside copies of them."""
+    say = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(3, "a"), (5, "a"), (5, "b"), (7, "b"), (7, "c"), (9, "c"), (9, "c"), (11, "d"), (12, ""), (12, "e"), (13, "e"), (12, "e"), (14, None), (14, "")]
+    df = [(i, say(c) if c else c, k) for k, (i, c) in enumerate(rows)]
+    return spark.createDataFrame([*df, (None, say("a"), 90), (None, say("z"), 91)], "doc_id long, text string, n int")
+
+
+def test_one_answer_for_an_id(shared_ids):
+    got = minhash.near_duplicates(shared_ids).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == Counter(
+        [(3, 3, True), *[(5, 3, False)] * 2, *[(7, 3, False)] * 2, *[(9, 3, False)] * 2, (11, 11, True), *[(12, 12, True)] * 3, (13, 12, False), *[(14, 14, True)] * 2]
+    )
+    assert sorted((r.component_id, r.kept) for r in got if r.doc_id is None and r.component_id) == [(3, None)]
+
+
+def test_keep_one_goes_by_text(shared_ids):
+    say = {" ".join(f"{c}{i}" for i in range(30)): c for c in "abcdez"}
+    out = minhash.keep_one(shared_ids)
+    assert out.columns == shared_ids.columns
+    got = [(r.doc_id, say.get(r.text, r.text), r.n) for r in out.collect()]
+    assert Counter(c for i, c, _ in got if i is not None and c) == Counter("abcde")
+    assert {(i, c) for i, c, _ in got if c == "a"} == {(3, "a"), (None, "a")}
+    assert sorted((i, c or "") for i, c, _ in got if not c) == [(12, ""), (14, ""), (14, "")]
+    assert {c for i, c, _ in got if i is None} == {"a", "z"}
+    assert sorted(got, key=str) == sorted(((r.doc_id, say.get(r.text, r.text), r.n) for r in minhash.keep_one(shared_ids.repartition(5)).collect()), key=str)
+
+
 def test_keep_one(docs, no_docs):
     out = minhash.keep_one(docs)
     assert out.columns == docs.columns

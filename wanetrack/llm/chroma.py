@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wanetrack.llm import bytesets as B
-from wanetrack.llm.components import connected_components
+from wanetrack.llm.components import connected_components, settle_buckets
 from wanetrack.llm.scratch import Scratch
 
 
@@ -196,7 +196,7 @@ def item_set(x: np.ndarray) -> np.ndarray:
 
 
 def _holders(prints: DataFrame) -> DataFrame:
-    """(mark, rec_id): the landmarks of every recording."""
+    """(bucket, node): the landmarks of every recording."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,9 +204,9 @@ def _holders(prints: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 1024)
                 found = [landmarks(np.frombuffer(raw, "<u4")).view(np.int64) for raw in part.column(1).to_pylist()]
                 ids = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), ids], names=["mark", "rec_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), ids], names=["bucket", "node"])
 
-    return prints.select("rec_id", "items").mapInArrow(run, "mark long, rec_id long")
+    return prints.select("rec_id", "items").mapInArrow(run, "bucket long, node long")
 
 
 class Alignment(NamedTuple):
@@ -265,22 +265,22 @@ def _aligned(pairs: DataFrame, prints: DataFrame, p: Audio) -> DataFrame:
     return both.mapInArrow(run, LINKS)
 
 
-def _aligned_in_blocks(open_marks: DataFrame, prints: DataFrame, p: Audio) -> DataFrame:
-    """open_marks: mark, blocks, rec_id, part. Linked pairs of one mark and different parts.
+def _aligned_in_blocks(opened: DataFrame, prints: DataFrame, p: Audio) -> DataFrame:
+    """opened: bucket (a landmark), blocks, node, part. Linked pairs of one bucket and different parts.
 
     Holders of a mark are dealt into blocks, and every two blocks meet in a task of their
     own, which counts common items as a product of incidence matrices and aligns only
-    pairs with enough. A pair is taken up at its least common open mark alone.
+    pairs with enough. A pair is taken up at its least common open landmark alone.
     """
-    marks = open_marks.groupBy("rec_id").agg(F.collect_list("mark").alias("marks"))  # no more than the recording's landmarks
-    own = F.pmod(F.xxhash64("rec_id"), F.col("blocks")).cast("int")
-    dealt = open_marks.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("mark", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rec_id", "part")
-    met = dealt.join(prints.join(marks, "rec_id").select("rec_id", "items", "marks"), "rec_id")
+    marks = opened.groupBy("node").agg(F.collect_list("bucket").alias("marks"))  # no more than the recording's landmarks
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = opened.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part")
+    met = dealt.join(prints.select(F.col("rec_id").alias("node"), "items").join(marks, "node"), "node")
 
     def compare(t: pa.Table) -> pa.Table:
-        mark = t.column("mark")[0].as_py()
-        ids, part, own = (t.column(c).to_numpy() for c in ("rec_id", "part", "own"))
+        mark = t.column("bucket")[0].as_py()
+        ids, part, own = (t.column(c).to_numpy() for c in ("node", "part", "own"))
         items = [np.frombuffer(x.as_py(), "<u4") for x in t.column("items")]
         earlier = [x[x < mark] for x in (np.array(m.as_py(), np.int64) for m in t.column("marks"))]
         size = np.array([len(x) for x in items])
@@ -298,7 +298,7 @@ def _aligned_in_blocks(open_marks: DataFrame, prints: DataFrame, p: Audio) -> Da
                 rows.append((ids[a], ids[b], *found[:4]))
         return pa.table(_link_table(rows), names=_NAMES)
 
-    return met.groupBy("mark", "i", "j").applyInArrow(compare, LINKS)
+    return met.groupBy("bucket", "i", "j").applyInArrow(compare, LINKS)
 
 
 def link_recordings(prints: DataFrame, scratch: Scratch, p: Audio = Audio()) -> tuple[DataFrame, DataFrame]:
@@ -312,38 +312,18 @@ def link_recordings(prints: DataFrame, scratch: Scratch, p: Audio = Audio()) ->
     several classes end the search: up to `few` holders meet in pairs, more in blocks.
     """
     holders = _holders(prints)
-    shared = scratch.table(holders.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "shared")
-    members = scratch.table(holders.join(shared, "mark"), "members")
-    links, parts = None, None
-    for k in range(p.rounds + 1):
-        if parts is None:
-            now = members.withColumn("part", F.col("rec_id"))
-        else:
-            label = parts.select(F.col("u").alias("rec_id"), F.col("v").alias("part"))
-            now = members.join(label, "rec_id", "left").withColumn("part", F.coalesce("part", "rec_id"))
-        now = scratch.table(now.select("mark", "rec_id", "part"), "now")
-        turn = F.struct(F.xxhash64("rec_id", F.lit(k)).alias("h"), "rec_id", "part")
-        mixed = now.groupBy("mark").agg(
-            F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n"), F.min(turn).alias("pivot")
-        )
-        mixed = mixed.filter("a < b").select("mark", "n", F.col("pivot.rec_id").alias("pivot"), F.col("pivot.part").alias("at"))
-        members = scratch.table(now.join(mixed, "mark"), "open")
-        if members.isEmpty():
-            break
-        if k < p.rounds:
-            pairs = members.filter("part <> at").select(F.col("rec_id").alias("u"), F.col("pivot").alias("v"))
-            found = _aligned(scratch.table(pairs.distinct(), "pairs"), prints, p)
-        else:
-            small = members.filter(F.col("n") <= p.few)
-            other = small.select("mark", F.col("rec_id").alias("v"), F.col("part").alias("with"))
-            pairs = small.join(other, "mark").filter("rec_id > v AND part <> with").select(F.col("rec_id").alias("u"), "v")
-            found = _aligned(scratch.table(pairs.distinct(), "pairs"), prints, p)
-            large = members.filter(F.col("n") > p.few).withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
-            found = found.union(_aligned_in_blocks(large.select("mark", "blocks", "rec_id", "part"), prints, p))
-        found = scratch.table(found.distinct(), "found")
-        links = found if links is None else links.union(found)
-        parts = connected_components(links.select("u", "v"), scratch)
-        members = members.select("mark", "rec_id")
+    shared = scratch.table(holders.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
+    members = scratch.table(holders.join(shared, "bucket"), "members")
+
+    def in_open_buckets(opened: DataFrame) -> DataFrame:
+        small = opened.filter(F.col("n") <= p.few)
+        other = small.select("bucket", F.col("node").alias("v"), F.col("part").alias("with"))
+        pairs = small.join(other, "bucket").filter("node > v AND part <> with").select(F.col("node").alias("u"), "v")
+        found = _aligned(scratch.table(pairs.distinct(), "pairs"), prints, p)
+        large = opened.filter(F.col("n") > p.few).withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
+        return found.union(_aligned_in_blocks(large.drop("n"), prints, p)).distinct()
+
+    links, parts = settle_buckets(members, scratch, p.rounds, lambda pairs: _aligned(pairs, prints, p), in_open_buckets)
     if links is None:
         spark = prints.sparkSession
         return spark.createDataFrame([], LINKS), spark.createDataFrame([], "u long, v long")

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wanetrack.llm import bytesets as B
-from wanetrack.llm.components import connected_components
+from wanetrack.llm.components import connected_components, settle_buckets
 from wanetrack.llm.scratch import Scratch
 
 
@@ -29,6 +29,7 @@ class NearDup:
     bands: int = 32
     rows: int = 4
     seed: int = 17
+    rounds: int = 2
     block: int = 512
 
     @property
@@ -152,14 +153,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _compared(rows: DataFrame, texts: DataFrame, scratch: Scratch, p: NearDup) -> DataFrame:
-    """rows: band, doc_id, part, blocks. Similar pairs (u, v) of equal band and different part.
+def _compared(opened: DataFrame, texts: DataFrame, scratch: Scratch, p: NearDup) -> DataFrame:
+    """opened: bucket (a band), n, node, part. Similar pairs (u, v) of equal band and different part.
 
     The members of a band are dealt into blocks, and every two blocks meet in a task of
     their own, which counts common shingles as a product of incidence matrices. So a task
-    holds two blocks, whatever the band's size, and only links leave it, not pairs.
+    holds two blocks, whatever the band's size, and only links leave it, not pairs. A pair
+    is taken up at its least common open band alone.
     """
-    wanted = rows.select("doc_id").distinct()
+    bands = opened.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list("bucket").alias("bands"))  # p.bands at most
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,43 +169,48 @@ def _compared(rows: DataFrame, texts: DataFrame, scratch: Scratch, p: NearDup) -
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["doc_id", "shingles"])
 
     sets = scratch.table(
-        texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingle_sets, "doc_id long, shingles binary"),
+        texts.join(bands.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingle_sets, "doc_id long, shingles binary"),
         "sets",
     )
+    rows = opened.select("bucket", F.col("node").alias("doc_id"), "part", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "part"
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "part"
     )
 
     def compare(t: pa.Table) -> pa.Table:
         ids, part = t.column("doc_id").to_numpy(), t.column("part").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
         size = np.array([len(x) for x in sets])
+        band = t.column("bucket")[0].as_py()
+        earlier = B.common_counts([x[x < band] for x in (np.unique(np.array(m.as_py(), np.int64)) for m in t.column("bands"))])
         both = B.common_counts(sets)
         union = size[:, None] + size[None, :] - both
-        a, b = np.nonzero((100 * both >= p.percent * union) & (part[:, None] != part[None, :]) & (ids[:, None] > ids[None, :]))
+        a, b = np.nonzero((100 * both >= p.percent * union) & (earlier == 0) & (part[:, None] != part[None, :]) & (ids[:, None] > ids[None, :]))
         return pa.table([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["u", "v"])
 
-    return met.join(sets, "doc_id").groupBy("band", "i", "j").applyInArrow(compare, "u long, v long")
+    return met.join(sets, "doc_id").join(bands, "doc_id").groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept.
 
     Documents with equal shingle sets form a class, represented by its least doc_id; only
-    representatives are banded. In every band bucket each member is compared with the
-    bucket's least member. Components of those links then decide what is left: within a
-    bucket that holds several, members are compared with each other in bounded blocks, so no
-    link that the bands find is lost, and no pair leaves a task unless it is a link. Every link is confirmed on full sets.
+    representatives are banded. In every band bucket members are compared with a pivot,
+    in p.rounds rounds with another one each, unless both are of one component already.
+    Buckets that then still hold several components are compared in bounded blocks, so no
+    link that the bands find is lost, and no pair leaves a task unless it is a link. Every
+    link is confirmed on full sets.
 
     A document without words (null, empty or blank text) links with nothing; one with
     fewer words than a shingle has its whole sequence as the only one. Rows that repeat
-    a doc_id are put out as often as they occur and count as copies of one id. An empty
-    table gives no rows. Other columns of docs are ignored.
+    a doc_id are put out as often as they occur and count as one document: it is linked
+    with all that any of its texts with words is linked with. A row without a doc_id has
+    its group's component_id, if the group has an id at all, and no kept. An empty table
+    gives no rows. Other columns of docs are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(docs.sparkSession, "neardup")
     rows = scratch.table(sketch(docs, p), "sketches")
     set_key = ["n_shingles", "k1", "k2"]
     classes = scratch.table(
@@ -215,56 +222,65 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         .dropDuplicates(["doc_id", *set_key]),
         "reps",
     )
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    buckets = scratch.table(
-        banded.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-        .select("band", "pivot"),
-        "buckets",
-    )
-    members = scratch.table(banded.join(buckets, "band"), "members")
+    banded = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct()
+    shared = scratch.table(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "buckets")
+    members = scratch.table(banded.join(shared, "bucket"), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    star = members.filter("doc_id != pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
-    star = scratch.table(_screened(star, reps, p), "star")
-    links = scratch.table(_confirmed(star, texts, p).distinct(), "links")
-    parts = connected_components(links, scratch)
-
-    # What the stars leave open: bucket mates of different components.
-    label = parts.select(F.col("u").alias("doc_id"), F.col("v").alias("part"))
-    labelled = members.join(label, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-    labelled = scratch.table(labelled.select("band", "doc_id", "part"), "labelled")
-    mixed = labelled.groupBy("band").agg(
-        F.min("part").alias("a"), F.max("part").alias("b"), F.ceil(F.count("*") / p.block).cast("int").alias("blocks")
+    _, parts = settle_buckets(
+        members, scratch, p.rounds,
+        lambda pairs: _confirmed(scratch.table(_screened(pairs, reps, p).distinct(), "screened"), texts, p).distinct(),
+        lambda opened: _compared(opened, texts, scratch, p).distinct(),
+    )
+    if parts is None:
+        parts = docs.sparkSession.createDataFrame([], "u long, v long")
+    # Ids that run with several texts tie their classes together.
+    several = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.struct(*set_key)).alias("a"), F.max(F.struct(*set_key)).alias("b")
     )
-    mixed = mixed.filter("a < b").select("band", "blocks")
-    more = scratch.table(_compared(labelled.join(mixed, "band"), texts, scratch, p).distinct(), "more")
-    if not more.isEmpty():
-        parts = connected_components(parts.select("u", "v").union(more), scratch)
+    several = scratch.table(several.filter("a < b").select("doc_id"), "several")
+    if not several.isEmpty():
+        ties = rows.join(several, "doc_id").join(classes, set_key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        parts = connected_components(parts.union(ties), scratch)
 
     by_rep = classes.join(parts.select(F.col("u").alias("rep"), F.col("v").alias("part")), "rep", "left").select(
         *set_key, F.coalesce("part", "rep").alias("part")
     )
-    return (
-        rows.select("doc_id", *set_key)
-        .join(by_rep, set_key, "left")
-        .select("doc_id", "n_shingles", F.coalesce("part", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = rows.select("doc_id", *set_key).join(by_rep, set_key, "left")
+    if not several.isEmpty():  # also the rows of such an id that have no words
+        whole = parts.join(several.select(F.col("doc_id").alias("u")), "u").select(F.col("u").alias("doc_id"), F.col("v").alias("whole"))
+        out = out.join(whole, "doc_id", "left").withColumn("part", F.coalesce("part", "whole"))
+    return out.select("doc_id", "n_shingles", F.coalesce("part", "doc_id").alias("component_id")).withColumn(
+        "kept", F.col("doc_id") == F.col("component_id")
     )
 
 
 def keep_one(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
-    """The rows of docs, with all their columns, that represent their group of near copies.
+    """The rows of docs, with all their columns, that represent their group of near copies: one row a group.
 
-    Rows without a doc_id cannot be named in a group and stay. Of rows that share a
-    doc_id one stays.
+    Groups are of texts: rows that share a doc_id but not the text are different
+    documents here. The least doc_id stays; among rows that repeat an id, the one with
+    the least checksum of its text, and among rows equal in both, the one with the least
+    checksum of all columns. Rows without words stay (once, where id and text are equal).
+    Rows without a doc_id cannot be named in a group and stay. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "keepone")
-    groups = scratch.table(near_duplicates(docs, p).select("doc_id", "kept"), "groups")
-    copies = groups.filter("not kept").select(F.col("doc_id").alias("copy_id")).distinct()
-    out = docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
-    if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(out.filter("doc_id is null"))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("rid", F.col("row.doc_id").cast("long"))
+    ids = rows.filter("rid IS NOT NULL").groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = scratch.table(ids.select("rid", F.lit(True).alias("repeated")), "repeated")
+    again = not repeated.isEmpty()
+    if again:
+        # Ids from 2^62 on stand for (id, text); no real id should lie there.
+        own = F.xxhash64("rid", "row.text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        rows = rows.join(repeated, "rid", "left").withColumn("rid", F.when(F.col("repeated"), own).otherwise(F.col("rid")))
+    groups = near_duplicates(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), p)
+    copies = scratch.table(groups.filter("not kept").select(F.col("doc_id").alias("rid")).distinct(), "copies")
+    out = rows.join(copies, "rid", "left_anti")
+    if again:
+        nth = F.row_number().over(Window.partitionBy("rid").orderBy(F.xxhash64("row")))
+        out = out.filter("repeated IS NULL").select("row").union(
+            out.filter("repeated").withColumn("nth", nth).filter("nth = 1").select("row")
+        )
+    return out.select("row.*")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
