@@ -1,4 +1,7 @@
+import dataclasses
+import glob
 import itertools
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -342,6 +345,30 @@ def test_kneser_ney(docs, no_docs):
     assert len(alone) == len(rows) and {r.train_tokens for r in alone} == {0}
 
 
+def test_counts_beyond_32_bits_and_missing_files(spark, monkeypatch, tmp_path):
+    """Every count is made five thousand million times larger between the two rounds of adding up."""
+    docs = spark.createDataFrame([(i, "a b a b c") for i in range(8)], "doc_id long, text string")
+    model = kneserney.count_model(docs, Scratch(spark, "t"))
+    big = 5_000_000_000
+    for name in ("word_n", "context_n", "more_n"):
+        for f in glob.glob(f"{model.folder}/{name}-*.npy"):
+            x = np.load(f)
+            assert x.dtype == np.uint64
+            np.save(f, x * np.uint64(big))
+    model = dataclasses.replace(model, tokens=model.tokens * big, hot={k: tuple(big * x for x in v) for k, v in model.hot.items()})
+    reader = kneserney.Reader(model)
+    (c,) = B.chunks(pa.array(["a b zz"]))
+    n, known, base, score = (x[0] for x in reader.score(c))
+    counts = [16 * big, 16 * big, 0, 8 * big]
+    assert (n, known) == (4, 3)
+    assert base == pytest.approx(sum(np.log10(float(k + 1)) for k in counts) - 4 * np.log10(float(48 * big + 5)))
+    assert np.isfinite(score)
+    os.remove(glob.glob(f"{model.folder}/word-*.npy")[0])
+    with pytest.raises(FileNotFoundError):
+        for i in range(model.shards):
+            kneserney.Reader(model)._array("word", i)
+
+
 # --- audio ---------------------------------------------------------------------------
 
 

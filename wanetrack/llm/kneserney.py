@@ -21,16 +21,22 @@ END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 #: Tokens that a counting task aggregates before it hands them on.
 POOL_TOKENS = 2_000_000
+#: Bytes of packed bigrams that a shard takes. Texts give about as many packed bytes as they have.
+SHARD_BYTES = 16 << 20
 #: Contexts that are counted in many shards because they follow each other too often for one.
 HOT_CONTEXTS = 512
 
 
 @dataclass(frozen=True)
 class Model:
-    """Where the sorted arrays lie, and the corpus totals. Its size here depends on the shard count alone."""
+    """Where the sorted arrays lie, and the corpus totals. Its size here depends on the shard count alone.
+
+    written: the shards of bigrams and contexts, and the slots of words, that have arrays.
+    """
 
     folder: str
     shards: int
+    written: frozenset[str] = frozenset()
     tokens: int = 0
     vocabulary: int = 0
     bigram_types: int = 0
@@ -119,10 +125,13 @@ def count_model(train: DataFrame, scratch: Scratch) -> Model:
     totals, a fixed number, are added up at the end. A shard's task writes its bigrams as
     hash-sorted arrays (those seen once apart, without counts) and its contexts' totals,
     and hands on partial counts of its words, which a second round adds up by ranges of
-    word hashes.
+    word hashes. The number of shards grows with the text, so a task's part of the
+    corpus does not; counts are 64-bit throughout. Null texts count as empty, repeated
+    rows count as often as they occur, and an empty table gives a model without words.
     """
     spark = train.sparkSession
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = train.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
     folder = local_path(scratch.path("model"))
     os.makedirs(folder, exist_ok=True)
     hot = _hot_contexts(train, shards)
@@ -134,7 +143,7 @@ def count_model(train: DataFrame, scratch: Scratch) -> Model:
             u, w = np.concatenate(us), np.concatenate(ws)
             us.clear()
             ws.clear()
-            _, at, (n,) = _summed(_pair(u, w), np.ones(len(u), np.uint32))
+            _, at, (n,) = _summed(_pair(u, w), np.ones(len(u), np.int64))
             u, w = u[at], w[at]
             order = np.argsort(u)
             u, w, n = u[order], w[order], n[order]
@@ -165,25 +174,24 @@ def count_model(train: DataFrame, scratch: Scratch) -> Model:
 
     def reduce_pairs(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
-        u, w, n = unpack(t, "u", np.uint64), unpack(t, "w", np.uint64), unpack(t, "n", np.uint32)
+        u, w, n = unpack(t, "u", np.uint64), unpack(t, "w", np.uint64), unpack(t, "n", np.uint32).astype(np.int64)
         h, at, (n,) = _summed(_pair(u, w), n)
         u, w = u[at], w[at]
         once = n == 1
         _save(f"{folder}/once-{shard}.npy", h[once])
         _save(f"{folder}/more-{shard}.npy", h[~once])
-        _save(f"{folder}/more_n-{shard}.npy", n[~once])
+        _save(f"{folder}/more_n-{shard}.npy", n[~once].astype(np.uint64))
         ones = [(n == 1), (n == 2), (n >= 3)]
-        h, _, totals = _summed(u, n.astype(np.int64), *(x.astype(np.int64) for x in ones))
+        h, _, totals = _summed(u, n, *(x.astype(np.int64) for x in ones))
         is_hot = np.isin(h, hot)
         _save(f"{folder}/context-{shard}.npy", h[~is_hot])
-        _save(f"{folder}/context_n-{shard}.npy", np.stack([x[~is_hot] for x in totals], 1).astype(np.uint32))
-        words, _, (raw, kinds) = _summed(w, n.astype(np.int64), np.ones(len(w), np.int64))
+        _save(f"{folder}/context_n-{shard}.npy", np.stack([x[~is_hot] for x in totals], 1).astype(np.uint64))
+        words, _, (raw, kinds) = _summed(w, n, np.ones(len(w), np.int64))
         s = _slot(words, shards)
         ids = np.unique(s)
         cuts = [*np.searchsorted(s, ids), len(s)]
         out = [
-            {"kind": "w", "slot": int(i), "a": words[x:y].tobytes(), "b": raw[x:y].astype(np.uint32).tobytes(),
-             "c": kinds[x:y].astype(np.uint32).tobytes()}
+            {"kind": "w", "slot": int(i), "a": words[x:y].tobytes(), "b": raw[x:y].tobytes(), "c": kinds[x:y].tobytes()}
             for i, x, y in zip(ids, cuts, cuts[1:], strict=False)
         ]
         spread = np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n), n.sum(dtype=np.int64)], np.int64)
@@ -193,36 +201,35 @@ def count_model(train: DataFrame, scratch: Scratch) -> Model:
 
     def reduce_words(t: pa.Table) -> pa.Table:
         slot = t.column("slot")[0].as_py()
-        h, _, (raw, kinds) = _summed(
-            unpack(t, "a", np.uint64), unpack(t, "b", np.uint32).astype(np.int64), unpack(t, "c", np.uint32).astype(np.int64)
-        )
+        h, _, (raw, kinds) = _summed(unpack(t, "a", np.uint64), unpack(t, "b", np.int64), unpack(t, "c", np.int64))
         _save(f"{folder}/word-{slot}.npy", h)
-        _save(f"{folder}/word_n-{slot}.npy", np.stack([raw, kinds], 1).astype(np.uint32))
+        _save(f"{folder}/word_n-{slot}.npy", np.stack([raw, kinds], 1).astype(np.uint64))
         spread = [int((kinds == k).sum()) for k in (1, 2, 3, 4)] + [len(h), int((kinds >= 3).sum())]
-        return pa.Table.from_pylist([{"spread": spread}], pa.schema([("spread", pa.list_(pa.int64()))]))
+        return pa.Table.from_pylist([{"slot": slot, "spread": spread}], pa.schema([("slot", pa.int32()), ("spread", pa.list_(pa.int64()))]))
 
     schema = pa.schema([("kind", pa.string()), ("slot", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
     packed = train.select(F.col("text").cast("string")).mapInArrow(pairs, "shard int, u binary, w binary, n binary")
     parts = scratch.table(
-        packed.groupBy("shard").applyInArrow(reduce_pairs, "kind string, slot int, a binary, b binary, c binary"), "parts"
+        packed.repartition(shards, "shard").groupBy("shard").applyInArrow(reduce_pairs, "kind string, slot int, a binary, b binary, c binary"), "parts"
     )
-    spark._jvm.System.gc()  # so that Spark's cleaner lets go of the bigrams' shuffle files
     words = scratch.table(
-        parts.filter("kind = 'w'").select("slot", "a", "b", "c").groupBy("slot").applyInArrow(reduce_words, "spread array<long>"),
+        parts.filter("kind = 'w'").select("slot", "a", "b", "c").groupBy("slot").applyInArrow(reduce_words, "slot int, spread array<long>"),
         "words",
     )
-    totals = parts.filter("kind = 't'").select("a", "b").collect()  # one small row a shard
+    totals = parts.filter("kind = 't'").select("a", "b", "slot").collect()  # one small row a shard
     pair_spread = sum((np.frombuffer(r[0], np.int64) for r in totals), np.zeros(6, np.int64)).tolist()
     merged: dict[int, np.ndarray] = {}
     for r in totals:
         for row in np.frombuffer(r[1], np.int64).reshape(-1, 5):
             merged[int(row[0])] = merged.get(int(row[0]), 0) + row[1:]
-    word_spread = sum((np.array(r[0]) for r in words.collect()), np.zeros(6, np.int64)).tolist()
+    slots = words.collect()  # one small row a slot
+    word_spread = sum((np.array(r["spread"]) for r in slots), np.zeros(6, np.int64)).tolist()
+    written = frozenset([f"pairs-{r['slot']}" for r in totals] + [f"words-{r['slot']}" for r in slots])
     scratch.drop(parts, words)
     d, types = _discounts(word_spread[:4]), pair_spread[4]
     given = d[0] * word_spread[0] + d[1] * word_spread[1] + d[2] * word_spread[5]
     return Model(
-        folder, shards, pair_spread[5], word_spread[4], types, _discounts(pair_spread[:4]), d,
+        folder, shards, written, pair_spread[5], word_spread[4], types, _discounts(pair_spread[:4]), d,
         given / types if types else 1.0, {k: tuple(v.tolist()) for k, v in merged.items()},
     )
 
@@ -236,11 +243,17 @@ class Reader:
         self.hot_n = np.array([m.hot[int(h.view(np.int64))] for h in self.hot], np.int64).reshape(-1, 4)
         self._open: dict[str, np.ndarray | None] = {}
 
-    def _array(self, name: str) -> np.ndarray | None:
+    def _array(self, kind: str, i: int) -> np.ndarray | None:
+        """One array, None where the shard has none; one that was written but can't be seen here is an error."""
+        name = f"{kind}-{i}"
         if name not in self._open:
-            path = f"{self.m.folder}/{name}.npy"
-            x = np.load(path, mmap_mode="r") if os.path.exists(path) and os.path.getsize(path) > 128 else None
-            self._open[name] = x if x is not None and len(x) else None
+            x = None
+            if f"{'words' if kind.startswith('word') else 'pairs'}-{i}" in self.m.written:
+                path = f"{self.m.folder}/{name}.npy"
+                if not os.path.exists(path):
+                    raise FileNotFoundError(f"{path} is missing: spark.checkpoint.dir must be mounted on every executor")
+                x = np.load(path, mmap_mode="r") if os.path.getsize(path) > 128 else None  # an empty array cannot be mapped
+            self._open[name] = x
         return self._open[name]
 
     def _find(self, keys: str, values: str | None, shard: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
@@ -249,7 +262,7 @@ class Reader:
         ids = np.unique(shard)
         cuts = [*np.searchsorted(shard, ids), len(shard)]
         for i, a, b in zip(ids, cuts, cuts[1:], strict=False):
-            if (k := self._array(f"{keys}-{i}")) is None:
+            if (k := self._array(keys, int(i))) is None:
                 continue
             at = np.searchsorted(k, h[a:b])
             np.minimum(at, len(k) - 1, out=at)
@@ -257,7 +270,7 @@ class Reader:
             if values is None:
                 out[a + hit] = 1
             else:
-                out[a + hit] = np.asarray(self._array(f"{values}-{i}")[at[hit]]).reshape(len(hit), width)
+                out[a + hit] = np.asarray(self._array(values, int(i))[at[hit]]).reshape(len(hit), width)
         return out
 
     def words(self, h: np.ndarray) -> np.ndarray:
@@ -337,7 +350,11 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fit_and_score(docs: DataFrame, apart: Column) -> DataFrame:
-    """Learns from the rows that `apart` does not hold out and scores all."""
+    """Learns from the rows that `apart` does not hold out and scores all.
+
+    Handling of nulls, empty texts, repeated rows and empty tables is that of
+    count_model() and score_texts(); of columns of docs, doc_id, text and those of `apart` are read.
+    """
     scratch = Scratch(docs.sparkSession, "ngram")
     model = count_model(docs.filter(~apart), scratch)
     return score_texts(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long")).withColumn(

@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Spark's own setting: the shuffle files of a finished execution are removed at once.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one of our own only where none is set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a new one in local mode, an error on a cluster."""
     where = spark.sparkContext.getConf().get(_KEY) or spark.conf.get(_KEY, None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="wanetrack-")
         spark.conf.set(_KEY, where)
     return where.rstrip("/")
@@ -37,7 +41,12 @@ class Scratch:
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

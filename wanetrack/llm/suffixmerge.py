@@ -265,7 +265,6 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, p: Repeats) -> DataFrame
     distinct = scratch.table(distinct, "distinct")
     mixed = distinct.groupBy("key").agg(F.count("*").alias("m"))
     distinct = scratch.table(distinct.join(mixed, "key"), "weighed")
-    spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of finished jobs
 
     # An anchor with one snippet occurs only in copies of it: each of its windows repeats.
     alone = distinct.filter("m = 1").select(
@@ -355,7 +354,6 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, p: Repeats) -> DataFrame
     )
     out = scratch.table(out, "windows")
     scratch.drop(kept, distinct, merged)
-    spark._jvm.System.gc()
     return out
 
 
