@@ -112,7 +112,7 @@ def test_components(spark):
 # --- repeats -------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("p", [suffixmerge.Repeats(), suffixmerge.Repeats(length=40, anchor=16, depth=4, shard_bytes=700, hot=2), suffixmerge.Repeats(length=60, anchor=20, depth=2, hot=3)])
+@pytest.mark.parametrize("p", [suffixmerge.Repeats(), suffixmerge.Repeats(length=40, anchor=16, depth=4, shard_bytes=700, group_bytes=3000, pool_bytes=5000, hot=2), suffixmerge.Repeats(length=60, anchor=20, depth=2, hot=3)])
 def test_repeats(docs, p):
     rows = rows_of(docs)
     flags = brute.repeats([t for _, t in rows], p.length)
@@ -138,10 +138,10 @@ def test_merge_equals_sorting():
         texts = [rng.integers(1, 4, rng.integers(1, 30)) for _ in range(rng.integers(1, 6))]
         shards, base, suffixes = [], 0, {}
         for t in texts:
-            place = np.arange(base, base + len(t))
-            shards.append(suffixmerge.build_shard(place, t, 1, np.arange(len(t)) < len(t) - 1, 4))
+            nxt = np.append(np.arange(1, len(t)), -1)
+            shards.append(suffixmerge.transform(suffixmerge.suffix_order(t, nxt, 4), t, nxt))
             suffixes |= {base + i: tuple(t[i : i + 4]) for i in range(len(t))}
-            base += len(t) + 1
+            base += len(t)
         place, shared = suffixmerge.merge_shards(shards, 4)
         order = [suffixes[p] for p in place]
         assert order == sorted(suffixes.values())
@@ -151,6 +151,29 @@ def test_merge_equals_sorting():
                 assert n == k or (k > len(b) - 1 and n >= k)
 
 
+def test_transforms_of_different_partitions_are_merged(spark, monkeypatch):
+    """Texts that share an anchor but differ around it lie in four partitions; their group gets a transform of each."""
+    rng = np.random.default_rng(13)
+    core = bytes(rng.integers(97, 123, 150).astype(np.uint8)).decode()
+    side = lambda: bytes(rng.integers(97, 123, 300).astype(np.uint8)).decode()
+    left = side()
+    texts = [side() + core + side() for _ in range(8)] + [left + core + side() for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen, cut = {}, suffixmerge._transforms
+
+    def kept_transforms(*a):
+        seen["shards"] = Scratch(spark, "t").table(cut(*a).withColumn("pid", F.spark_partition_id()), "shards")
+        return seen["shards"].drop("pid")
+
+    monkeypatch.setattr(suffixmerge, "_transforms", kept_transforms)
+    p = suffixmerge.Repeats(length=80, anchor=20)
+    got = {r.doc_id: r.n_removed for r in suffixmerge.remove_repeats(docs, p).collect()}
+    flags = brute.repeats(texts, 80)
+    assert got == {i: sum(f) for i, f in enumerate(flags)}
+    shards = seen["shards"].groupBy("grp").agg(F.countDistinct("pid").alias("tasks")).collect()
+    assert max(r.tasks for r in shards) > 1
+
+
 # --- sharding ------------------------------------------------------------------------
 
 
@@ -345,7 +368,7 @@ def test_kneser_ney(docs, no_docs):
     assert len(alone) == len(rows) and {r.train_tokens for r in alone} == {0}
 
 
-def test_counts_beyond_32_bits_and_missing_files(spark, monkeypatch, tmp_path):
+def test_counts_beyond_32_bits_and_missing_files(spark):
     """Every count is made five thousand million times larger between the two rounds of adding up."""
     docs = spark.createDataFrame([(i, "a b a b c") for i in range(8)], "doc_id long, text string")
     model = kneserney.count_model(docs, Scratch(spark, "t"))

@@ -2,18 +2,23 @@
 
 A string of `length` bytes is read as `depth` wide symbols of `length / depth` bytes each,
 so that a position's suffix is the chain of the symbols at its place, one symbol further,
-and so on. A shard sorts its own suffixes by their first `depth` symbols and keeps its
-transform: the symbol before every suffix. Shards are merged without comparing suffixes:
-starting from "all first shard's rows, then the second's, ...", every round deals the rows
-of the current interleave, in order, into buckets by their preceding symbol. After k
-rounds the interleave is sorted by the first k symbols; a boundary between neighbours that
-first shows in round k means that they share k - 1 symbols. Neighbours without a boundary
-after `depth` rounds share `length` bytes: these runs are the repeated intervals.
+and so on. A Spark task is a shard: it sorts the suffixes of the texts it holds by their
+first `depth` symbols, once, and hands on its transform, the order of its suffixes, from
+which the symbol before every suffix follows. Transforms of different tasks are merged
+without comparing suffixes: starting from "all first shard's rows, then the second's, ...",
+every round deals the rows of the current interleave, in order, into counted buckets by
+their preceding symbol. After k rounds the interleave is sorted by the first k symbols; a
+boundary between neighbours that first shows in round k means that they share k - 1
+symbols. Neighbours without a boundary after `depth` rounds share `length` bytes: these
+runs are the repeated intervals.
 
 What has to meet is found first, without loss: every window of `length` bytes has an
 anchor, its leftmost least hash of 64 bytes, so equal windows have equal anchors. Windows
 whose anchor occurs once cannot repeat. Runs of windows with one anchor are cut out as
-snippets, equal snippets are counted as one, and snippets of equal anchors share a group.
+snippets; a snippet is known by 128 bits (its anchor's hash and its own), and copies of one
+count as one, with weights. Snippets of equal anchors share a group, and a group's
+transforms meet in one task. Anchors with too many snippets for that are spread over
+groups; what each group found is then merged once more, by parts of the anchor's windows.
 """
 
 from __future__ import annotations
@@ -34,12 +39,16 @@ from wanetrack.llm.scratch import Scratch
 @dataclass(frozen=True)
 class Repeats:
     """length: bytes of a repeat. hot: distinct snippets of one anchor that a group takes;
-    anchors with more are spread over groups, and their windows meet by offset and hash."""
+    anchors with more are spread over groups. group_bytes: snippet bytes of a group, about.
+    shard_bytes: bytes of a transform, so its places are 16-bit. pool_bytes: snippets that a
+    task holds before it hands on their transforms."""
 
     length: int = 200
     anchor: int = 64
     depth: int = 4
-    shard_bytes: int = 1 << 18
+    shard_bytes: int = 1 << 15
+    group_bytes: int = 1 << 20
+    pool_bytes: int = 1 << 22
     hot: int = 256
 
     @property
@@ -120,45 +129,45 @@ class Shard:
     before: np.ndarray
 
 
-def _dense(x: np.ndarray) -> np.ndarray:
-    order = np.argsort(x)
-    new = np.concatenate([[False], x[order[1:]] != x[order[:-1]]]) if len(x) else np.zeros(0, bool)
-    out = np.empty(len(x), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+def deal(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers below 2^32, dealt into counted buckets by their low 16 bits, then by the high ones."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")  # a counting sort at this width
+    if len(x) and int(x.max()) >> 16:
+        order = order[np.argsort((x[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
 
 
-def build_shard(place: np.ndarray, symbol: np.ndarray, step: int, follows: np.ndarray, depth: int) -> Shard:
-    """Sorts the suffixes at `place` (ascending) by their first `depth` symbols, by doubling, and takes the transform.
+def _dense(x: np.ndarray) -> np.ndarray:
+    return np.unique(x, return_inverse=True)[1]
 
-    symbol: number of the symbol at each place, from 1. follows: whether place + step is in the same text.
-    """
-    index = np.full(int(place[-1] - place[0]) + step + 1, -1, np.int64) if len(place) else np.zeros(0, np.int64)
-    index[place - place[0]] = np.arange(len(place))
-    nxt = np.where(follows, index[place - place[0] + step], -1)
-    rank, jump, known = symbol.astype(np.int64), nxt, 1
+
+def suffix_order(symbol: np.ndarray, nxt: np.ndarray, depth: int) -> np.ndarray:
+    """Places by the first `depth` symbols of their suffixes, by doubling. nxt: the place one symbol further (-1: none)."""
+    rank, jump, known = _dense(symbol) + 1, nxt, 1
     while known < depth:
         rank = _dense(rank << 32 | np.where(jump >= 0, rank[jump] + 1, 0)) + 1
         jump = np.where(jump >= 0, jump[jump], -1)
         known *= 2
-    order = np.argsort(rank, kind="stable")
-    prev = np.full(len(place), -1, np.int64)
+    return deal(rank)
+
+
+def transform(order: np.ndarray, symbol: np.ndarray, nxt: np.ndarray) -> Shard:
+    """The shard of places in suffix order; symbol: small numbers in the order of the symbols."""
+    prev = np.full(len(order), -1, np.int64)
     prev[nxt[nxt >= 0]] = np.flatnonzero(nxt >= 0)
     ends = np.flatnonzero(nxt < 0)
     before = np.where(prev >= 0, symbol[prev], -1)
-    return Shard(
-        np.concatenate([np.full(len(ends), -1), place[order]]), np.concatenate([symbol[ends], before[order]])
-    )
+    return Shard(np.concatenate([np.full(len(ends), -1), order]), np.concatenate([symbol[ends], before[order]]))
 
 
 def merge_shards(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave refinement: (places in merged suffix order, symbols shared with the row above).
 
-    Shared symbols count up to `depth`; the empty suffixes come first and are left out.
+    Places of later shards follow those of earlier ones. Shared symbols count up to
+    `depth`; the empty suffixes come first and are left out.
     """
     n = [len(s.place) for s in shards]
     empty = [int((s.place < 0).sum()) for s in shards]
-    starts = np.concatenate([[0], np.cumsum(n)])
     head = np.repeat(np.arange(len(shards)), empty)
     inter = np.repeat(np.arange(len(shards)), n)
     lead = len(head)
@@ -170,49 +179,46 @@ def merge_shards(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarra
     def rows_of(z: np.ndarray) -> np.ndarray:
         """The shard rows that an interleave stands for: each shard's rows in their own order."""
         out = np.empty(len(z), np.int64)
-        by = np.argsort(z, kind="stable")
-        out[by] = np.arange(len(z))
+        out[deal(z)] = np.arange(len(z))
         return out
 
     for k in range(1, depth + 1):
         symbol = before[rows_of(inter)]
         src = np.flatnonzero(symbol >= 0)
-        key = np.sort(symbol[src].astype(np.int64) << 32 | src)
-        src = key & 0xFFFFFFFF
-        symbol = key >> 32
+        src = src[deal(symbol[src])]
+        symbol = symbol[src]
         new = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (group[src[1:]] != group[src[:-1]])])
         inter = np.concatenate([head, inter[src]])
         flags = np.concatenate([np.arange(lead) == 0, new])
         shared[flags & (shared == depth)] = k - 1
         group = np.cumsum(flags)
-    assert len(inter) == starts[-1]
-    place = np.concatenate([s.place for s in shards])[rows_of(inter)]
-    return place[lead:], shared[lead:]
+    assert len(inter) == sum(n)
+    base = np.cumsum([0, *(a - b for a, b in zip(n, empty, strict=True))])
+    place = np.concatenate([np.where(s.place < 0, -1, s.place + base[i]) for i, s in enumerate(shards)])
+    return place[rows_of(inter)][lead:], shared[lead:]
 
 
-def window_classes(c: B.Chunk, wins: np.ndarray, p: Repeats) -> np.ndarray:
-    """For each window of each snippet, in order: the number of its class of equal windows.
-
-    Snippets are dealt into shards of about p.shard_bytes, each with its own transform.
-    """
-    step, size = p.symbol, np.diff(c.offsets)
+def _places(data: np.ndarray, size: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts one after the other: the wide symbol at each place that has one, and the place one symbol further."""
+    step = p.symbol
     count = size - step + 1
-    pre = B.prefix(c.data)
-    owner = np.repeat(np.arange(len(size)), count)
-    place = np.arange(count.sum()) + np.repeat(c.offsets[:-1] - (np.cumsum(count) - count), count)
-    symbol = _dense(B.spans(pre, place, place + step).view(np.int64)) + 1
-    follows = place + 2 * step <= c.offsets[owner + 1]
-    shards, lo = [], 0
-    while lo < len(place):
-        text = np.searchsorted(c.offsets, c.offsets[owner[lo]] + p.shard_bytes)
-        hi = max(int(np.searchsorted(owner, max(text, owner[lo] + 1))), lo + 1)
-        shards.append(build_shard(place[lo:hi], symbol[lo:hi], step, follows[lo:hi], p.depth))
-        lo = hi
-    at, shared = merge_shards(shards, p.depth)
-    cls = np.empty(len(c.data), np.int64)
-    cls[at] = np.cumsum(shared < p.depth)
-    first = np.cumsum(wins) - wins
-    return cls[np.arange(wins.sum()) + np.repeat(c.offsets[:-1] - first, wins)]
+    first = np.cumsum(count) - count
+    place = np.arange(count.sum()) + np.repeat(np.cumsum(size) - size - first, count)
+    symbol = B.spans(B.prefix(data), place, place + step)
+    nxt = np.arange(len(place)) + step
+    return symbol, np.where(nxt < np.repeat(first + count, count), nxt, -1)
+
+
+def merge_classes(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> np.ndarray:
+    """(symbols, next places, suffix order) of every shard: the class of every place, equal where `depth` symbols are."""
+    known = [s[o] for s, _, o in parts]  # a shard's first symbols, in order
+    heads = [x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x for x in known]
+    alphabet = np.unique(np.concatenate(heads))
+    shards = [transform(o, np.searchsorted(alphabet, s), nxt) for s, nxt, o in parts]
+    at, shared = merge_shards(shards, depth)
+    cls = np.empty(len(at), np.int64)
+    cls[at] = np.cumsum(shared < depth)
+    return cls
 
 
 # --- Spark ---------------------------------------------------------------------------
@@ -228,32 +234,60 @@ def _spans(flags: np.ndarray) -> list[dict[str, int]]:
     return [{"a": int(a), "b": int(b) - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _snippet_bytes(docs: DataFrame, reps: DataFrame, p: Repeats) -> DataFrame:
-    """Cuts the representatives' bytes out of their texts. reps: rid and a list of what to cut."""
+_META = ("key", "snippet", "n", "m", "wins", "at")
+_SHARDS = "grp long, meta binary, data binary, suffixes binary"
+
+
+def _transforms(docs: DataFrame, reps: DataFrame, p: Repeats) -> DataFrame:
+    """Cuts the representatives' bytes out of their texts and hands on each task's transforms, one row a shard.
+
+    reps: rid and a list of what to cut. meta: six 64-bit numbers a snippet; data: their
+    bytes; suffixes: the order of their places, 16 bits each.
+    """
+
+    def flush(rows: list[dict], raw: list[bytes]) -> pa.RecordBatch:
+        grp = np.array([r["grp"] for r in rows], np.int64)
+        order = np.argsort(grp, kind="stable")
+        rows, raw, grp = [rows[i] for i in order], [raw[i] for i in order], grp[order]
+        meta = np.array([[r[k] for k in _META] for r in rows], np.int64)
+        size = np.array([len(x) for x in raw])
+        end = np.cumsum(size)
+        # A shard ends with its group, or before its bytes would be too many.
+        new_group = np.concatenate([[True], grp[1:] != grp[:-1]])
+        start = (end - size)[np.maximum.accumulate(np.where(new_group, np.arange(len(grp)), 0))]
+        part = (end - 1 - start) // p.shard_bytes
+        cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | new_group[1:]]))
+        out = {k: [] for k in ("grp", "meta", "data", "suffixes")}
+        for a, b in zip(cut, [*cut[1:], len(rows)], strict=True):
+            data = b"".join(raw[a:b])
+            symbol, nxt = _places(np.frombuffer(data, np.uint8), size[a:b], p)
+            row = (int(grp[a]), meta[a:b].tobytes(), data, suffix_order(symbol, nxt, p.depth).astype(np.uint16).tobytes())
+            for k, v in zip(out, row, strict=True):
+                out[k].append(v)
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, raw, held = [], [], 0
         for batch in batches:
-            raw = batch.column(0).cast(pa.binary())
-            cuts = batch.column(1)
+            texts, cuts = batch.column(0).cast(pa.binary()), batch.column(1)
             for i in range(len(batch)):
-                text = memoryview(raw[i].as_buffer())
-                rows = cuts[i].as_py()
-                out = [bytes(text[r["lo"] : r["lo"] + r["wins"] - 1 + p.length]) for r in rows]
-                kinds = {"key": pa.int64(), "snippet": pa.int64(), "n": pa.int64(), "m": pa.int64(), "wins": pa.int32(), "at": pa.int32()}
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([r[k] for r in rows], t) for k, t in kinds.items()), pa.array(out, pa.binary())],
-                    names=[*kinds, "bytes"],
-                )
+                text = memoryview(texts[i].as_buffer())
+                for r in cuts[i].as_py():
+                    rows.append(r)
+                    raw.append(bytes(text[r["lo"] : r["lo"] + r["wins"] - 1 + p.length]))
+                    held += len(raw[-1])
+                    if held >= p.pool_bytes:
+                        yield flush(rows, raw)
+                        rows, raw, held = [], [], 0
+        if rows:
+            yield flush(rows, raw)
 
-    return docs.join(reps, "rid").select("text", "cuts").mapInArrow(
-        run, "key long, snippet long, n long, m long, wins int, at int, bytes binary"
-    )
+    return docs.join(reps, "rid").select("text", "cuts").mapInArrow(run, _SHARDS)
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, p: Repeats) -> DataFrame:
     """docs: rid, text. Rows (rid, windows): of each range, the windows starting at bytes a to b of the text occur more than once."""
-    spark = docs.sparkSession
-    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = scratch.table(window_runs(docs, p), "runs")
     often = runs.groupBy("key").agg(F.sum(F.size("los")).alias("n")).filter("n > 1").select("key")
     often = scratch.table(often, "often")  # so that the join below is between plain exchanges, which Spark can split
@@ -266,75 +300,97 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, p: Repeats) -> DataFrame
     mixed = distinct.groupBy("key").agg(F.count("*").alias("m"))
     distinct = scratch.table(distinct.join(mixed, "key"), "weighed")
 
-    # An anchor with one snippet occurs only in copies of it: each of its windows repeats.
+    # An anchor with one snippet has nothing to merge with: each of its windows occurs as often as the snippet.
     alone = distinct.filter("m = 1").select(
         "key", "snippet", F.array(F.struct(F.lit(0).alias("a"), (F.col("rep.wins") - 1).alias("b"))).alias("spans")
     )
-    reps = (
-        distinct.filter("m > 1")
-        .groupBy(F.col("rep.rid").alias("rid"))
-        .agg(F.collect_list(F.struct("key", "snippet", "n", "m", "rep.lo", "rep.wins", "rep.at")).alias("cuts"))
-    )
+    several = distinct.filter("m > 1")
+    n_bytes = several.agg(F.coalesce(F.sum(F.col("rep.wins") - 1 + p.length), F.lit(0))).first()[0]
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // p.group_bytes))
     salt = F.when(F.col("m") > p.hot, F.pmod(F.col("snippet"), F.ceil(F.col("m") / p.hot))).otherwise(F.lit(0))
-    cut = _snippet_bytes(docs, reps, p).withColumn("grp", F.pmod(F.xxhash64("key", salt), F.lit(groups)))
+    grp = F.pmod(F.xxhash64("key", salt), F.lit(groups)).alias("grp")
+    reps = several.groupBy(F.col("rep.rid").alias("rid")).agg(
+        F.collect_list(F.struct(grp, "key", "snippet", "n", "m", "rep.lo", "rep.wins", "rep.at")).alias("cuts")
+    )
+    symbols = p.depth
 
     def merge(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        key, snip, n, m, wins, at = (t.column(c).to_numpy() for c in ("key", "snippet", "n", "m", "wins", "at"))
-        (c,) = B.chunks(t.column("bytes").combine_chunks() if isinstance(t.column("bytes"), pa.ChunkedArray) else t.column("bytes"), 1 << 40)
-        wins = wins.astype(np.int64)
-        cls = window_classes(c, wins, p)
+        metas = [np.frombuffer(x.as_py(), np.int64).reshape(-1, len(_META)) for x in t.column("meta")]
+        parts = []
+        for meta, data, suffixes in zip(metas, t.column("data"), t.column("suffixes"), strict=True):
+            size = meta[:, 4] - 1 + p.length
+            symbol, nxt = _places(np.frombuffer(data.as_py(), np.uint8), size, p)
+            parts.append((symbol, nxt, np.frombuffer(suffixes.as_py(), np.uint16).astype(np.int64)))
+        every = merge_classes(parts, p.depth)
+        key, snip, n, m, wins, at = np.concatenate(metas).T
+        count = wins - 1 + p.length - p.symbol + 1
+        first = np.cumsum(wins) - wins
+        place = np.arange(wins.sum()) + np.repeat(np.cumsum(count) - count - first, wins)
+        cls = every[place]
         weight = np.bincount(cls, np.repeat(np.minimum(n, 2), wins))
         flags = weight[cls] > 1
-        first = np.cumsum(wins) - wins
-        out = {k: [] for k in ("key", "snippet", "spans", "part", "hashes", "owners", "offsets", "weights")}
+        out = {k: [] for k in ("key", "snippet", "spans", "part", "symbols", "suffixes", "owners", "offsets", "kinds", "weights")}
+
+        def put(**row: object) -> None:
+            for k, v in out.items():
+                v.append(row.get(k))
+
         hot = m > p.hot
         for i in np.flatnonzero(~hot):
             if found := _spans(flags[first[i] : first[i] + wins[i]]):
-                for k, v in zip(out, (int(key[i]), int(snip[i]), found, None, b"", b"", b"", b""), strict=True):
-                    out[k].append(v)
+                put(key=int(key[i]), snippet=int(snip[i]), spans=found)
         if hot.any():
-            # Classes of spread anchors meet their equals of other groups by offset to the anchor and by hash.
+            # Windows of spread anchors: texts of `depth` symbols, in parts by their offset from the anchor and first symbol.
+            whole = np.concatenate([x[0] for x in parts])
             keep = np.repeat(hot, wins)
             own = np.repeat(np.arange(len(wins)), wins)[keep]
             off = (np.arange(len(cls)) - np.repeat(first, wins))[keep]
-            pre = B.prefix(c.data)
-            place = c.offsets[:-1][own] + off
-            h = B.spans(pre, place, place + p.length)
-            block = (at[own] - off) // _OFFSETS
-            parts = -(-m[own] // (16 * p.hot))
-            sub = (h % parts.astype(np.uint64)).astype(np.int64)
-            part = block * (1 << 32) + sub
-            w = np.minimum(weight[cls[keep]], 2).astype(np.uint8)
-            order = np.lexsort((part, key[own]))
-            k, q = key[own][order], part[order]
-            edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (q[1:] != q[:-1])]))
-            for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
-                o = order[a:b]
-                row = (int(k[a]), None, None, int(q[a]), h[o].tobytes(), snip[own[o]].tobytes(), off[o].astype(np.int32).tobytes(), w[o].tobytes())
-                for name, v in zip(out, row, strict=True):
-                    out[name].append(v)
+            where, kind = place[keep], cls[keep]
+            chain = whole[where[:, None] + p.symbol * np.arange(symbols)]
+            sub = (chain[:, 0] % (-(-m[own] // (16 * p.hot))).astype(np.uint64)).astype(np.int64)
+            part = (at[own] - off) // _OFFSETS * (1 << 32) + sub
+            order = np.lexsort((kind, part, key[own]))
+            own, off, kind, part, chain = own[order], off[order], kind[order], part[order], chain[order]
+            edge = np.flatnonzero(np.concatenate([[True], (key[own][1:] != key[own][:-1]) | (part[1:] != part[:-1])]))
+            for a, b in zip(edge, [*edge[1:], len(own)], strict=True):
+                one, at_class, size = np.unique(kind[a:b], return_index=True, return_counts=True)
+                texts = chain[a:b][at_class]
+                nxt = np.arange(texts.size) + 1
+                nxt[symbols - 1 :: symbols] = -1
+                put(
+                    key=int(key[own[a]]), part=int(part[a]), symbols=texts.tobytes(),
+                    suffixes=suffix_order(texts.ravel(), nxt, symbols).astype(np.int32).tobytes(),
+                    owners=snip[own[a:b]].tobytes(), offsets=off[a:b].astype(np.int32).tobytes(),
+                    kinds=np.repeat(np.arange(len(one)), size).astype(np.int32).tobytes(),
+                    weights=np.minimum(weight[one], 2).astype(np.uint8).tobytes(),
+                )
         return pa.table(
             [pa.array(out["key"], pa.int64()), pa.array(out["snippet"], pa.int64()), pa.array(out["spans"], _FOUND_TYPE),
-             pa.array(out["part"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in ("hashes", "owners", "offsets", "weights"))],
+             pa.array(out["part"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in list(out)[4:])],
             names=list(out),
         )
 
     merged = scratch.table(
-        cut.groupBy("grp").applyInArrow(
-            merge, _FOUND + ", part long, hashes binary, owners binary, offsets binary, weights binary"
+        _transforms(docs, reps, p).repartition(groups, "grp").groupBy("grp").applyInArrow(
+            merge, _FOUND + ", part long, symbols binary, suffixes binary, owners binary, offsets binary, kinds binary, weights binary"
         ),
         "merged",
     )
 
     def meet(t: pa.Table) -> pa.Table:
-        h, own, off, w = (
-            np.frombuffer(b"".join(x.as_py() for x in t.column(c)), k)
-            for c, k in (("hashes", np.uint64), ("owners", np.int64), ("offsets", np.int32), ("weights", np.uint8))
-        )
-        cls = np.unique(h, return_inverse=True)[1]
-        hit = np.flatnonzero(np.bincount(cls, w)[cls] > 1)
-        order = hit[np.lexsort((off[hit], own[hit]))]
+        column = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in t.column(c)]
+        parts, texts = [], []
+        for symbol, suffixes in zip(column("symbols", np.uint64), column("suffixes", np.int32), strict=True):
+            nxt = np.arange(len(symbol)) + 1
+            nxt[symbols - 1 :: symbols] = -1
+            parts.append((symbol, nxt, suffixes.astype(np.int64)))
+            texts.append(len(symbol) // symbols)
+        cls = merge_classes(parts, symbols)[::symbols]
+        weight = np.bincount(cls, np.concatenate(column("weights", np.uint8)))
+        base = np.repeat(np.cumsum(texts) - texts, [len(x) for x in column("kinds", np.int32)])
+        hit = np.flatnonzero(weight[cls[np.concatenate(column("kinds", np.int32)) + base]] > 1)
+        own, off = np.concatenate(column("owners", np.int64))[hit], np.concatenate(column("offsets", np.int32))[hit]
+        order = np.lexsort((off, own))
         o, x = own[order], off[order]
         edge = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (x[1:] != x[:-1] + 1)])) if len(o) else []
         ends = [*edge[1:], len(o)] if len(o) else []
