@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wanetrack.functions.exprs import BEFORE
+from wanetrack.functions.ranges import running
 
 PROB, LABEL = "probability", "label"
 
@@ -35,12 +35,8 @@ def expected_calibration_error(curve: DataFrame) -> DataFrame:
 def _steps(df: DataFrame, p: str, y: str) -> DataFrame:
     """One row a distinct score, from high to low, with counts so far."""
     g = df.groupBy(F.col(p).alias("threshold")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(BEFORE, 0)
-    total = Window.partitionBy()
-    return g.select(
-        "threshold", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
-        F.sum("pos").over(total).alias("P"), F.sum("neg").over(total).alias("N"),
-    )
+    g = running(g, "threshold", {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True, totals=True)
+    return g.withColumnsRenamed({"total_tp": "P", "total_fp": "N"})
 
 
 def ranking_quality(df: DataFrame, cut: float = 0.5, p: str = PROB, y: str = LABEL) -> DataFrame:
@@ -68,8 +64,8 @@ def threshold_search(df: DataFrame, how: str = "f1", min_recall: float = 0.8, p:
     g = rows.groupBy(F.col(p).alias("threshold")).agg(
         F.sum(F.col("_w") * F.col(y)).alias("pos"), F.sum(F.col("_w") * (1 - F.col(y))).alias("neg")
     )
-    w, total = Window.orderBy(F.desc("threshold")).rowsBetween(BEFORE, 0), Window.partitionBy()
-    g = g.select("threshold", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(total).alias("P"), F.sum("neg").over(total).alias("N"))
+    g = running(g, "threshold", {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True, totals=True)
+    g = g.select("threshold", "tp", "fp", F.col("total_tp").alias("P"), F.col("total_fp").alias("N"))
     recall, precision = F.try_divide("tp", "P"), F.try_divide("tp", F.col("tp") + F.col("fp"))
     value = {
         "f1": F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P")),

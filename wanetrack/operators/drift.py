@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wanetrack.functions.exprs import finite, ladder
+from wanetrack.functions.ranges import running
 from wanetrack.operators.preprocess import unpivot
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -37,6 +38,17 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: value > e))
 
 
+def with_frequencies(reference: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The reference with the frequency of each of its bins, so that drift needs no reference rows later."""
+    f = bin_frequencies(df, reference, columns).groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "frequency"))).alias("frequencies"))
+    return reference.join(f, "feature", "left")
+
+
+def bin_frequencies_of(reference: DataFrame) -> DataFrame:
+    """(feature, bin, frequency) as stored by with_frequencies()."""
+    return reference.select("feature", F.inline("frequencies"))
+
+
 def bin_frequencies(df: DataFrame, reference: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, bin, frequency): values dealt into the reference's bins; bins without any are left out."""
     long = unpivot(df, columns).withColumn("value", finite("value")).filter("value is not null")
@@ -54,11 +66,13 @@ def categorical_reference(df: DataFrame, column: str, most: int = 12) -> DataFra
 
 
 def every_kth(df: DataFrame, order: Sequence[str], cap: int) -> DataFrame:
-    """REF3: evenly spaced rows of a declared order, at most `cap` (the sampling operator's own limit)."""
-    w = Window.orderBy(*order)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    rows = df.withColumn("_rn", F.row_number().over(w) - 1).withColumn("_k", F.greatest(F.ceil(n / cap), F.lit(1)))
-    return rows.filter(F.col("_rn") % F.col("_k") == 0).drop("_rn", "_k")
+    """REF3: evenly spaced rows of a declared order, at most `cap` (the sampling operator's own limit).
+
+    The first column of the order is a number; rows without it are left out.
+    """
+    rows = running(df, order[0], {"_rn": F.lit(1)}, ties=order[1:], totals=True)
+    step = F.greatest(F.ceil(F.col("total__rn") / cap), F.lit(1))
+    return rows.filter((F.col("_rn") - 1) % step == 0).drop("_rn", "total__rn")
 
 
 def reference_rows(df: DataFrame, splits: Sequence[str] = ("train",)) -> DataFrame:
@@ -90,27 +104,38 @@ def population_stability(both: DataFrame) -> DataFrame:
     return both.groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"), F.sum(js).alias("js"))
 
 
-def quantile_sample(quantiles: Sequence[tuple[float, float]], n: int = 200) -> list[float]:
-    """n evenly spaced points interpolated from stored (probability, value) pairs."""
-    out, j = [], 0
-    for i in range(n):
-        p = (i + 0.5) / n
-        while j + 1 < len(quantiles) - 1 and quantiles[j + 1][0] < p:
-            j += 1
-        (p0, v0), (p1, v1) = quantiles[j], quantiles[j + 1]
-        out.append(v0 + (v1 - v0) * min(max((p - p0) / (p1 - p0), 0.0), 1.0))
-    return out
-
-
-def two_sample(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
-    """DRF3, DRF4: Kolmogorov-Smirnov statistic and Wasserstein-1 distance, by one ordered pass over distinct values."""
-    rows = a.select(F.col(value).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(value, F.lit(0), F.lit(1)))
-    g = rows.filter("v is not null").groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    w, all_ = Window.orderBy("v"), Window.partitionBy()
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    diff = F.abs(F.sum("x").over(upto) / F.sum("x").over(all_) - F.sum("y").over(upto) / F.sum("y").over(all_))
-    g = g.select("x", "y", diff.alias("d"), (F.lead("v").over(w) - F.col("v")).alias("step"))
-    return g.agg(F.max("d").alias("ks"), F.coalesce(F.sum(F.col("d") * F.col("step")), F.lit(0.0)).alias("wasserstein"), F.sum("x").alias("n"), F.sum("y").alias("m"))
+def quantile_sample(reference: DataFrame, n: int = 200) -> DataFrame:
+    """DRF3: (feature, value): n points on the line through each feature's stored quantiles, from the first level to the last."""
+    low, high = QUANTILES[0], QUANTILES[-1]
+    level = F.lit(low) + F.col("i") * ((high - low) / (n - 1))
+    points = reference.filter(F.size("quantiles") > 0).select("feature", "quantiles", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("p", level)
+    value = F.element_at("quantiles", len(QUANTILES))
+    for k in range(len(QUANTILES) - 2, -1, -1):
+        (p0, p1), v0, v1 = QUANTILES[k : k + 2], F.col("quantiles")[k], F.col("quantiles")[k + 1]
+        value = F.when(F.col("p") <= p1, v0 + (v1 - v0) * ((F.col("p") - p0) / (p1 - p0))).otherwise(value)
+    return points.select("feature", value.alias("value"))
+
+
+def two_sample(a: DataFrame, b: DataFrame, value: str = "value", by: Sequence[str] = ()) -> DataFrame:
+    """DRF3, DRF4: Kolmogorov-Smirnov statistic and Wasserstein-1 distance, from running counts over ranges of distinct values."""
+    keys = list(by)
+    rows = a.select(*keys, F.col(value).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(*keys, value, F.lit(0), F.lit(1)))
+    g = rows.filter("v is not null").groupBy(*keys, "v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    g = running(g, "v", {"_x": F.col("x"), "_y": F.col("y"), "_one": F.lit(1)}, keys, totals=True)
+    d = F.abs(F.col("_x") / F.col("total__x") - F.col("_y") / F.col("total__y"))
+    g = g.select(*keys, "v", "x", "y", "_one", d.alias("d"))
+    # The step to the next distinct value: its neighbour by number, since ranges end between them.
+    after = g.select(*keys, F.col("v").alias("_after"), (F.col("_one") - 1).alias("_one"))
+    g = g.join(after, [*keys, "_one"], "left").withColumn("step", F.col("_after") - F.col("v"))
+    return g.groupBy(*keys).agg(F.max("d").alias("ks"), F.coalesce(F.sum(F.col("d") * F.col("step")), F.lit(0.0)).alias("wasserstein"), F.sum("x").alias("n"), F.sum("y").alias("m"))
+
+
+def ks_p(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
+    """DRF3: the asymptotic two-sided p-value of a two-sample statistic."""
+    en = F.sqrt(n * m / (n + m))
+    t = (en + 0.12 + 0.11 / en) * d
+    tail = sum((F.exp(-2.0 * k * k * t * t) * (2.0 if k % 2 else -2.0) for k in range(1, terms)), F.lit(0.0))
+    return F.when(t < 0.2, 1.0).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
 
 
 def ks_p_value(d: float, n: int, m: int, terms: int = 100) -> float:
@@ -170,21 +195,70 @@ def adjust_p(tests: DataFrame, how: str = "bh", p: str = "p_value") -> DataFrame
     return tests.withColumn("adjusted", F.when(has, F.least(least, F.lit(1.0)))).drop("_q")
 
 
-def drift_severity(stats: DataFrame, warning: float = 0.1, critical: float = 0.25, alpha: float = 0.05, min_rows: int = 30) -> DataFrame:
-    """DRF7: severity of each feature; small samples and constant features are rows of their own kind."""
-    sig = F.coalesce(F.col("adjusted") <= alpha, F.lit(True))
+#: Fixed values of the surveyed drift policy: (warning, critical) of each metric and of the part of drifted features.
+DRIFT_LEVELS = {"psi": (0.10, 0.25), "js": (0.10, 0.25), "ks": (0.10, 0.20), "wasserstein": (0.10, 0.25), "unseen_rate": (0.01, 0.05)}
+DRIFTED_PARTS, ALPHA, LEAST_ROWS = (0.10, 0.25), 0.05, 30
+
+
+def feature_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str], min_rows: int = LEAST_ROWS, how: str = "bh", alpha: float = ALPHA) -> DataFrame:
+    """DRF7: a row a feature and metric: (feature, metric, value, p_value, adjusted, severity, reliable, drifted).
+
+    reference: from numeric_reference(); columns: the batch's numeric columns. A feature
+    that the batch lacks, one that the reference lacks, a constant reference and a small
+    sample are rows of their own (metric missing, new, constant, small_sample), unscored.
+    A metric with a p-value counts only if that is significant after adjustment.
+    """
+    have = [c for c in columns if c in current.columns]
+    now = numeric_reference(current, have) if have else reference.limit(0)
+    state = reference.select("feature", "constant", "std", "low", "high", F.lit(True).alias("_r")).join(
+        now.select("feature", F.col("n").alias("sample")), "feature", "full_outer"
+    )
     kind = ladder(
-        (F.col("n") < min_rows, "small_sample"), (F.col("constant"), "constant"), ((F.col("psi") >= critical) & sig, "critical"),
-        ((F.col("psi") >= warning) & sig, "warning"), otherwise="ok",
+        (F.col("_r").isNull(), "new"), (F.col("sample").isNull(), "missing"), (F.col("constant"), "constant"), (F.col("sample") < min_rows, "small_sample"),
+    )
+    state = state.withColumn("kind", kind)
+    odd = state.filter("kind IS NOT NULL").select("feature", F.col("kind").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("p_value"))
+    sound = state.filter("kind IS NULL").select("feature", "std", "low", "high")
+    known = reference.join(sound.select("feature"), "feature", "left_semi")
+    both = aligned(bin_frequencies_of(reference), bin_frequencies(current, reference, have)).join(sound.select("feature"), "feature", "left_semi")
+    bins = population_stability(both)
+    long = unpivot(current, have).select("feature", finite("value").alias("value"))
+    ts = two_sample(quantile_sample(known), long.join(sound.select("feature"), "feature", "left_semi"), by=["feature"]).join(sound, "feature")
+    span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
+    scale = F.when(F.col("std") > 0, F.col("std")).otherwise(span)
+    none = F.lit(None).cast("double")
+    rows = lambda *xs: F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value"), p.alias("p_value")) for k, v, p in xs]))
+    scored = bins.select("feature", rows(("psi", F.col("psi"), none), ("js", F.col("js"), none))).union(
+        ts.select("feature", rows(("ks", F.col("ks"), ks_p(F.col("ks"), F.col("n"), F.col("m"))), ("wasserstein", F.col("wasserstein") / scale, none)))
+    )
+    return drift_severity(adjust_p(scored.union(odd), how), alpha)
+
+
+def drift_severity(tests: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """DRF7: tests (feature, metric, value, p_value, adjusted) with severity, reliability and whether they show drift."""
+    level = lambda i: F.create_map(*[F.lit(x) for k, v in DRIFT_LEVELS.items() for x in (k, v[i])])[F.col("metric")]
+    sig = F.coalesce(F.col("adjusted") <= alpha, F.lit(True))
+    value = F.col("value")
+    severity = ladder(
+        (value.isNull(), "unknown"), ((value >= level(1)) & sig, "critical"), ((value >= level(0)) & sig, "warning"), otherwise="ok",
     )
-    return stats.withColumn("severity", kind).withColumn("drifted", F.col("severity").isin("warning", "critical"))
+    return tests.withColumn("severity", severity).withColumn("reliable", value.isNotNull()).withColumn("drifted", F.col("severity").isin("warning", "critical"))
+
 
+def fleet_drift(tests: DataFrame) -> DataFrame:
+    """DRF7: features that could be tested, those that drifted by any metric, and the fleet's status.
 
-def fleet_drift(severity: DataFrame, warning: float = 0.10, critical: float = 0.25) -> DataFrame:
-    """DRF7: the fleet's status by the part of drifted features."""
-    out = severity.agg(F.count(F.lit(1)).alias("n"), F.count_if("drifted").alias("n_drifted"))
-    part = F.try_divide("n_drifted", "n")
-    return out.withColumn("fraction", part).withColumn("status", ladder((F.col("n") == 0, "unknown"), (part >= critical, "critical"), (part >= warning, "warning"), otherwise="ok"))
+    Critical: enough of them drifted, or one critically; warning: any drifted.
+    """
+    own = tests.groupBy("feature").agg(
+        F.max(F.col("reliable").cast("int")).alias("t"), F.max(F.col("drifted").cast("int")).alias("d"), F.max((F.col("severity") == "critical").cast("int")).alias("c")
+    )
+    out = own.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("n_drifted"), F.coalesce(F.max("c"), F.lit(0)).alias("_c"), F.count_if(F.col("t") == 0).alias("n_skipped"))
+    part = F.coalesce(F.try_divide("n_drifted", "n"), F.lit(0.0))
+    status = ladder(
+        (F.col("n") == 0, "unknown"), ((part >= DRIFTED_PARTS[1]) | (F.col("_c") == 1), "critical"), ((part >= DRIFTED_PARTS[0]) | (F.col("n_drifted") > 0), "warning"), otherwise="ok",
+    )
+    return out.select("n", "n_drifted", "n_skipped", part.alias("fraction"), status.alias("status"))
 
 
 def prediction_summary(df: DataFrame, outputs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

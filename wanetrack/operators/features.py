@@ -26,31 +26,50 @@ def rolling(df: DataFrame, c: str, windows: Sequence[int], fraction: float = 0.5
     return df.withColumns(out)
 
 
-def ewm(df: DataFrame, c: str, half_lives: Sequence[int], entity: str = ID, order: str = ORDER) -> DataFrame:
+def ewm(df: DataFrame, c: str, half_lives: Sequence[int], entity: str = ID, order: str = ORDER, block: int = 256) -> DataFrame:
     """WIN3: exponentially weighted means by half-life, unadjusted; a null repeats the mean and its weight decays on.
 
-    One fold over each entity's ordered values, so the work is linear in its rows.
+    A value moves the mean by m <- w m + (1 - w) x, where w falls with the rows since the
+    last value. Within a block of rows these maps are composed by running sums (the
+    product of a block's w stays far from underflow); the blocks' maps are composed once
+    an entity, over a list with one element a block, and handed back to the rows.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(c).cast("double").alias("x"))
-    lists = df.groupBy(entity).agg(F.array_sort(F.collect_list(item)).alias("_h"))
-    none = F.lit(None).cast("double")
-
-    def fold(alpha: float) -> Column:
-        start = F.struct(none.alias("m"), F.lit(1.0).alias("old"), F.array().cast("array<double>").alias("out"))
-
-        def step(acc: Column, e: Column) -> Column:
-            x, old = e["x"], acc["old"] * (1 - alpha)
-            m = F.when(x.isNull(), acc["m"]).when(acc["m"].isNull(), x).otherwise((acc["m"] * old + x * alpha) / (old + alpha))
-            weight = F.when(x.isNull() & acc["m"].isNotNull(), old).otherwise(F.lit(1.0))
-            return F.struct(m.alias("m"), weight.alias("old"), F.concat(acc["out"], F.array(m)).alias("out"))
-
-        return F.aggregate("_h", start, step)["out"]
-
-    cols = [fold(1 - 0.5 ** (1 / h)).alias(f"_e{h}") for h in half_lives]
-    rows = lists.select(entity, F.transform("_h", lambda e: e["o"]).alias("_o"), *cols)
-    rows = rows.select(entity, F.inline(F.arrays_zip("_o", *[f"_e{h}" for h in half_lives])))
-    rows = rows.select(entity, F.col("_o").alias(order), *[F.col(f"_e{h}").alias(f"{c}_ewm{h}") for h in half_lives])
-    return df.join(rows, [entity, order])
+    for a in half_lives:
+        if block / a > 900:
+            raise ValueError(f"blocks of {block} rows underflow at half-life {a}")
+    x = F.col(c).cast("double")
+    past = history(entity, order)
+    df = df.withColumn("_i", F.row_number().over(past)).withColumn("_x", x)
+    last = F.max(F.when(F.col("_x").isNotNull(), F.col("_i"))).over(past.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_gap", F.col("_i") - last).withColumn("_block", F.floor((F.col("_i") - 1) / block))
+    here = Window.partitionBy(entity, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    names, sums = {}, {}
+    for h in half_lives:
+        keep = 0.5 ** (1 / h)
+        old = F.pow(F.lit(keep), F.col("_gap"))
+        w = F.when(F.col("_x").isNull(), 1.0).when(F.col("_gap").isNull(), 0.5).otherwise(F.greatest(old / (old + (1 - keep)), F.lit(1e-100)))
+        first = F.col("_x").isNotNull() & F.col("_gap").isNull()  # the first value of all is the mean itself
+        names |= {f"_l{h}": F.log(w), f"_v{h}": F.when(first, F.col("_x")).when(F.col("_x").isNotNull(), (1 - w) * F.col("_x")).otherwise(0.0)}
+        sums |= {f"_l{h}": F.sum(f"_l{h}").over(here)}
+    df = df.withColumns(names).withColumns(sums)
+    df = df.withColumns({f"_v{h}": F.exp(f"_l{h}") * F.sum(F.col(f"_v{h}") * F.exp(-F.col(f"_l{h}"))).over(here) for h in half_lives})
+    df = df.withColumn("_any", F.coalesce(F.max(F.col("_x").isNotNull().cast("int")).over(past.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    ends = df.groupBy(entity, "_block").agg(*[F.max_by(F.struct(F.exp(f"_l{h}").alias("w"), F.col(f"_v{h}").alias("v")), "_i").alias(f"_m{h}") for h in half_lives])
+    lists = ends.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("_block", *[f"_m{h}" for h in half_lives]))).alias("_all"))
+    def before_blocks(h: int) -> Column:
+        start = F.struct(F.lit(0.0).alias("m"), F.array().cast("array<double>").alias("out"))
+
+        def go(s: Column, e: Column) -> Column:
+            return F.struct((e[f"_m{h}"]["w"] * s["m"] + e[f"_m{h}"]["v"]).alias("m"), F.concat(s["out"], F.array(s["m"])).alias("out"))
+
+        return F.aggregate("_all", start, go)["out"].alias(f"_c{h}")
+
+    maps = [before_blocks(h) for h in half_lives]
+    carried = lists.select(entity, F.inline(F.arrays_zip(F.transform("_all", lambda e: e["_block"]).alias("_block"), *maps)))
+    carried = carried.toDF(entity, "_block", *[f"_c{h}" for h in half_lives])
+    out = df.join(carried, [entity, "_block"])
+    mean = {f"{c}_ewm{h}": F.when(F.col("_any") == 1, F.exp(f"_l{h}") * F.col(f"_c{h}") + F.col(f"_v{h}")) for h in half_lives}
+    return out.withColumns(mean).drop("_i", "_x", "_gap", "_block", "_any", *[f"{k}{h}" for h in half_lives for k in ("_l", "_v", "_c")])
 
 
 def lags(df: DataFrame, c: str, steps: Sequence[int], entity: str = ID, order: str = ORDER) -> DataFrame:

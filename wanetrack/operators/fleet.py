@@ -26,43 +26,79 @@ def with_derived(records: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed values of the surveyed policies: planning life and risk of each rung, and trends that call for advice.
+REC_LIFE, REC_RISK = {"urgent": 5, "replace": 15, "inspect": 40}, {"urgent": 0.85, "replace": 0.60, "inspect": 0.30}
+ADVICE_TRENDS = {"temperature": 0.5, "resistance": 2.0, "fade": 1.0}
+CRITICAL_SOH, PRIORITY_RISK, PRIORITY_LIFE = 0.70, {"P0": 0.85, "P1": 0.60}, {"P0": 5, "P1": 15, "P2": 40}
+FADE_HIGH, FADE_MEDIUM, WIDE_INTERVAL = 1.0, 0.5, 60
+
+
+def _advice() -> list[Column]:
+    hot = F.col("temperature_trend_c_per_10") >= ADVICE_TRENDS["temperature"]
+    hard = (F.col("resistance_trend_pct_per_10") >= ADVICE_TRENDS["resistance"]) | (F.col("fade_trend_pct_per_10") >= ADVICE_TRENDS["fade"])
+    return [F.when(hot, "reduce_heat"), F.when(hard, "reduce_charging")]
+
+
 def recommendation(df: DataFrame) -> DataFrame:
-    """REC1: the first rung that holds; df from with_derived."""
-    low, r, h, f = F.col("L"), F.col("r"), F.col("health_class"), F.col("fade_trend_pct_per_10")
+    """REC1: the first rung that holds, and the advisories beside it (joined by commas); df from with_derived.
+
+    Heat and charging advisories stand beside the three severe rungs. Without a severe
+    rung the first of them is the recommendation itself.
+    """
+    low, r, h = F.col("L"), F.col("r"), F.col("health_class")
+    advice = F.array_compact(F.array(*_advice()))
     rung = ladder(
         ((F.col("status") != "success") | (F.col("data_quality_class") == "insufficient"), "insufficient_data"),
-        ((low <= 5) | (r >= 0.85), "urgent"), ((low <= 15) | (r >= 0.6) | (h == "critical"), "replace"),
-        ((low <= 40) | (r >= 0.3) | (h == "warning"), "inspect"), (f >= 0.5, "monitor_trend"), (h == "slightly_degraded", "monitor"),
-        otherwise="normal",
+        ((low <= REC_LIFE["urgent"]) | (r >= REC_RISK["urgent"]), "urgent"),
+        ((low <= REC_LIFE["replace"]) | (r >= REC_RISK["replace"]) | (h == "critical"), "replace"),
+        ((low <= REC_LIFE["inspect"]) | (r >= REC_RISK["inspect"]) | (h == "warning"), "inspect"),
+        (F.size(advice) > 0, "advice"), (h == "slightly_degraded", "monitor"), otherwise="normal",
     )
-    return df.withColumn("recommendation", rung)
+    severe = rung.isin("urgent", "replace", "inspect")
+    beside = F.when(severe, advice).when(rung == "advice", F.slice(advice, 2, 2)).otherwise(F.array().cast("array<string>"))
+    return df.withColumn("recommendation", F.when(rung == "advice", F.get(advice, F.lit(0))).otherwise(rung)).withColumn("advisories", F.concat_ws(",", beside))
 
 
 def evidence(df: DataFrame) -> DataFrame:
-    """REC2: the sentences behind a recommendation, joined."""
+    """REC2: the sentences behind a recommendation, joined; facts that are unknown are left out, whole cycles are rounded down."""
+    low, point = F.floor("rul_lower_bound").cast("int"), F.floor("predicted_rul").cast("int")
+    trend = lambda name, c, unit: F.when(F.col(c).isNotNull(), F.format_string(f"{name} trend %+.2f {unit} in 10 cycles.", c))
     say = [
-        F.when(F.col("L").isNotNull(), F.format_string("Planning life is %.0f cycles.", "L")),
-        F.when(F.col("r").isNotNull(), F.format_string("Failure risk is %.2f.", "r")),
-        F.when(F.col("measured_soh").isNotNull(), F.format_string("State of health is %.2f.", "measured_soh")),
-        F.when(F.col("fade_trend_pct_per_10") >= 0.5, F.lit("Capacity fades quickly.")),
+        F.when(F.col("measured_soh").isNotNull(), F.format_string("Health %.2f (%s).", "measured_soh", "health_class")),
+        F.when(point.isNotNull() & low.isNotNull(), F.format_string("Life %d cycles, at least %d.", point, low)).when(point.isNotNull(), F.format_string("Life %d cycles.", point)),
+        F.when(F.col("r").isNotNull(), F.format_string("Failure risk %.2f (%s).", "r", risk_band("r"))).when(
+            F.col("failure_risk").isNotNull(), F.lit("Failure risk is experimental and not used.")
+        ),
+        trend("Temperature", "temperature_trend_c_per_10", "C"), trend("Resistance", "resistance_trend_pct_per_10", "%%"), trend("Fade", "fade_trend_pct_per_10", "%%"),
+        F.format_string("Data quality %s.", "data_quality_class"),
     ]
     return df.withColumn("evidence", F.concat_ws(" ", *say))
 
 
 def priority(df: DataFrame) -> DataFrame:
-    """FLT1: priority P0 to P5 or INSUFFICIENT_DATA, and the rule that fired first; df from with_derived."""
+    """FLT1: priority P0 to P5 or INSUFFICIENT_DATA, the rule that fired first, and all that was triggered; df from with_derived.
+
+    A critical data warning makes any scored entity P0. A risk that is withheld as
+    experimental is told among the triggered.
+    """
     low, r, soh, fade = F.col("L"), F.col("r"), F.col("measured_soh"), F.col("fade_trend_pct_per_10")
     rules = [
         ("INSUFFICIENT_DATA", "not_scored", (F.col("status") != "success") | (F.col("data_quality_class") == "insufficient")),
-        ("P0", "soh_floor", soh <= 0.70), ("P0", "risk_and_life", (r >= 0.85) & (low <= 5)), ("P0", "life_alone", r.isNull() & (low <= 5)),
-        ("P1", "risk_and_life", (r >= 0.60) & (low <= 15)), ("P1", "life_alone", r.isNull() & (low <= 15)),
-        ("P2", "health", F.col("health_class") == "warning"), ("P2", "life", low <= 40), ("P2", "fade", fade >= 1.0),
-        ("P3", "degrading", (F.col("health_class") == "slightly_degraded") & (fade >= 0.5)),
-        ("P5", "uncertain", (F.col(WIDTH) >= 60) | F.col("data_quality_class").isin("poor", "acceptable") | (F.col("out_of_distribution_feature_count") > 0)),
+        ("P0", "soh_floor", soh <= CRITICAL_SOH),
+        *[(p, n, c & (low <= PRIORITY_LIFE[p])) for p in ("P0", "P1") for n, c in (("risk_and_life", r >= PRIORITY_RISK[p]), ("life_alone", r.isNull()))],
+        ("P2", "health", F.col("health_class") == "warning"), ("P2", "life", low <= PRIORITY_LIFE["P2"]), ("P2", "fade", fade >= FADE_HIGH),
+        ("P3", "degrading", (F.col("health_class") == "slightly_degraded") & (fade >= FADE_MEDIUM)),
+        ("P5", "uncertain", (F.col(WIDTH) >= WIDE_INTERVAL) | F.col("data_quality_class").isin("poor", "acceptable") | (F.col("out_of_distribution_feature_count") > 0)),
     ]
-    return df.withColumn("priority", ladder(*[(c, p) for p, _, c in rules], otherwise="P4")).withColumn(
+    df = df.withColumn("priority", ladder(*[(c, p) for p, _, c in rules], otherwise="P4")).withColumn(
         "rule", ladder(*[(c, n) for _, n, c in rules], otherwise="routine")
     )
+    warned = F.coalesce(F.col("critical_data_warning"), F.lit(False)) if "critical_data_warning" in df.columns else F.lit(False)
+    scored = F.col("priority") != "INSUFFICIENT_DATA"
+    told = F.concat_ws(
+        ",", F.when(scored & r.isNull() & F.col("failure_risk").isNotNull(), "risk_withheld"), "rule", F.when(scored & warned, "critical_data_warning")
+    )
+    return df.withColumn("triggered", told).withColumn("priority", F.when(scored & warned, "P0").otherwise(F.col("priority")))
 
 
 ACTIONS = {
@@ -158,16 +194,26 @@ BUCKETS = ("immediate", "next_10", "next_30", "next_50", "beyond_50", "monitor_o
 
 
 def workload(df: DataFrame) -> DataFrame:
-    """FLT8: entities a workload bucket, empty ones kept, with their part of those evaluated."""
+    """FLT8: entities a workload bucket, empty ones kept, with their part of those evaluated.
+
+    n_if_lower and n_if_upper count the bucket as it would be by the lower and the upper
+    end of the life interval, entities without one by their planning life.
+    """
+
+    def bucket(life: Column) -> Column:
+        return ladder(
+            (F.col("priority") == "INSUFFICIENT_DATA", "insufficient"), (life.isNull(), "monitor_only"), (F.col("priority") == "P0", "immediate"),
+            (life <= 10, "next_10"), (life <= 30, "next_30"), (life <= 50, "next_50"), otherwise="beyond_50",
+        )
+
     low = F.col("L")
-    b = ladder(
-        (F.col("priority") == "INSUFFICIENT_DATA", "insufficient"), (low.isNull(), "monitor_only"), (F.col("priority") == "P0", "immediate"),
-        (low <= 10, "next_10"), (low <= 30, "next_30"), (low <= 50, "next_50"), otherwise="beyond_50",
+    marked = df.select(bucket(low).alias("bucket"), bucket(F.coalesce("rul_lower_bound", low)).alias("if_lower"), bucket(F.coalesce("rul_upper_bound", low)).alias("if_upper"))
+    wide = marked.agg(
+        *[F.count_if(F.col(c) == x).alias(f"{p}{x}") for x in BUCKETS for c, p in (("bucket", ""), ("if_lower", "l_"), ("if_upper", "u_"))],
+        F.count_if(F.col("bucket") != "insufficient").alias("evaluated"),
     )
-    marked = df.withColumn("bucket", b)
-    wide = marked.agg(*[F.count_if(F.col("bucket") == x).alias(x) for x in BUCKETS], F.count_if(F.col("bucket") != "insufficient").alias("evaluated"))
     rows = [
-        F.struct(F.lit(x).alias("bucket"), F.col(x).alias("n"), (F.lit(None).cast("double") if x == "insufficient" else F.try_divide(100.0 * F.col(x), F.col("evaluated"))).alias("pct"))
+        F.struct(F.lit(x).alias("bucket"), F.col(x).alias("n"), F.col(f"l_{x}").alias("n_if_lower"), F.col(f"u_{x}").alias("n_if_upper"), (F.lit(None).cast("double") if x == "insufficient" else F.try_divide(100.0 * F.col(x), F.col("evaluated"))).alias("pct"))
         for x in BUCKETS
     ]
     return wide.select(F.inline(F.array(*rows)))
@@ -224,34 +270,55 @@ def snapshot_trend(df: DataFrame, snapshot: Sequence[str], value: str) -> DataFr
 
 
 def passport(df: DataFrame, metadata: DataFrame, entity: str = ID) -> DataFrame:
-    """FLT15: lifecycle status, readiness for recycling, and where each field comes from."""
+    """FLT15: lifecycle status, readiness for recycling, and where each field comes from.
+
+    metadata: one row an entity, any columns. An entity is ready for recycling when its
+    first life has ended and every supplied field is there; else `awaits` names what is
+    lacking, or says that it is still in use.
+    """
     soh = F.col("measured_soh")
+    given = [c for c in metadata.columns if c != entity]
     out = df.join(metadata, entity, "left")
-    life = ladder((soh.isNull(), "unknown"), (soh <= 0.7, "end_of_first_life"), (soh <= 0.8, "second_life_candidate"), otherwise="in_service")
+    life = ladder((soh.isNull(), "unknown"), (soh <= CRITICAL_SOH, "end_of_first_life"), (soh <= 0.8, "second_life_candidate"), otherwise="in_service")
+    lacking = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in given])
+    ended = F.coalesce(soh <= CRITICAL_SOH, F.lit(False))
+    source = lambda c, there, absent: F.when(F.col(c).isNull(), absent).otherwise(there).alias(f"{c}_source")
     return out.select(
-        entity, "measured_soh", life.alias("lifecycle_status"), F.coalesce((soh <= 0.7), F.lit(False)).alias("recycling_ready"), "chemistry",
-        F.when(F.col("chemistry").isNull(), "not_supplied").otherwise("supplied").alias("chemistry_source"),
+        entity, "measured_soh", "predicted_rul", life.alias("lifecycle_status"), (ended & (lacking == "")).alias("recycling_ready"),
+        F.when(~ended, "in_use").otherwise(lacking).alias("awaits"), *given, source("measured_soh", "measured", "not_available"),
+        source("predicted_rul", "predicted", "not_available"), *[source(c, "supplied", "not_supplied") for c in given],
     )
 
 
 #: Ranking key: whether its largest value comes first.
 RANK_KEYS = {
     "priority": False, "priority_score": True, "r": True, "predicted_rul": False, "rul_lower_bound": False, "measured_soh": False,
-    "fade_trend_pct_per_10": True, "data_quality_score": False, WIDTH: True,
+    "soh_trend_pct_per_10": False, "fade_trend_pct_per_10": True, "temperature_trend_c_per_10": True, "resistance_trend_pct_per_10": True,
+    "data_quality_score": False, WIDTH: True,
 }
 
 
 def rank_order(key: str, entity: str = ID) -> list[Column]:
+    """By priority, the higher score comes first within one; other keys tie by id alone."""
+    if key not in RANK_KEYS:
+        raise ValueError(f"unknown ranking key {key!r}; known are {', '.join(RANK_KEYS)}")
     by = F.desc_nulls_last(key) if RANK_KEYS[key] else F.asc_nulls_last(key)
-    return [by, F.asc(entity)]
+    return [by, *([F.desc_nulls_last("priority_score")] if key == "priority" else []), F.asc(entity)]
 
 
 def rank_fleet(df: DataFrame, key: str = "priority_score", limit: int | None = None, tail: bool = True) -> DataFrame:
-    """RNK1: ordered by one key, nulls last, ties by id; `limit` is the report's own top-k."""
-    if not tail:
-        df = df.filter("priority != 'INSUFFICIENT_DATA'")
-    df = df.orderBy(*rank_order(key))
-    return df.limit(limit) if limit else df
+    """RNK1: ordered by one key, nulls last, ties by id; `limit` is the report's own top-k.
+
+    Entities that were not scored come last, by id, or not at all without `tail`.
+    """
+    order = rank_order(key)
+    scored = F.col("status") == "success"
+    if tail:
+        key_of = F.when(scored, F.col(key))
+        df = df.withColumn("_key", key_of).orderBy(F.desc(scored), F.desc_nulls_last("_key") if RANK_KEYS[key] else F.asc_nulls_last("_key"), *order[1:]).drop("_key")
+    else:
+        df = df.filter(scored).orderBy(*order)
+    return df.limit(limit) if limit is not None else df
 
 
 def ranking_table(df: DataFrame, key: str = "priority_score", entity: str = ID) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wanetrack.functions.exprs import finite, history, ladder, median, trailing
+from wanetrack.functions.ranges import running
 from wanetrack.operators.metrics import regression_metrics
 
 
@@ -33,17 +34,16 @@ def fade_extrapolation(
 def nearest_analogues(df: DataFrame, reference: DataFrame, k: int = 25, soh: str = "soh", rul: str = "rul", keys: Sequence[str] = ()) -> DataFrame:
     """JON7: the median remaining life of the k reference rows around the place of a row's health.
 
-    One ordered pass gives each row its place among the reference rows; the k places
-    around it, clipped at the ends, are looked up by equality.
+    One pass over ranges of health gives each row its place among the reference rows; the
+    k places around it, clipped at the ends, are looked up by equality.
     """
-    order = Window.orderBy(soh, "_kind").rowsBetween(Window.unboundedPreceding, -1)
     ref = reference.filter(finite(soh).isNotNull()).select(F.col(soh).alias("soh"), F.col(rul).alias("rul"))
-    ranked = ref.withColumn("pos", F.row_number().over(Window.orderBy("soh", "rul")) - 1)
+    ranked = running(ref, "soh", {"pos": F.lit(1)}, ties=["rul"]).withColumn("pos", F.col("pos") - 1)
     n = ranked.agg(F.count(F.lit(1)).alias("n"))
     both = df.select(*keys, F.col(soh).alias(soh), F.lit(0).alias("_kind")).unionByName(
         ref.select(F.col("soh").alias(soh), F.lit(1).alias("_kind")), allowMissingColumns=True
     )
-    placed = both.withColumn("at", F.coalesce(F.sum("_kind").over(order), F.lit(0))).filter("_kind = 0").join(F.broadcast(n), F.lit(True), "cross")
+    placed = running(both, soh, {"at": F.col("_kind")}, ties=["_kind"]).filter("_kind = 0").join(F.broadcast(n), F.lit(True), "cross")  # n: one row
     low = F.greatest(F.least(F.col("at") - k // 2, F.col("n") - k), F.lit(0))
     wanted = placed.select(*keys, F.explode(F.sequence(low, F.least(low + k, F.col("n")) - 1)).alias("pos"))
     return wanted.join(ranked, "pos").groupBy(*keys).agg(median("rul").alias("y_pred"), F.count(F.lit(1)).alias("n_analogues"))

@@ -3,36 +3,97 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wanetrack.functions.exprs import ladder
-from wanetrack.operators.metrics import regression_metrics
+from wanetrack.operators.calibrate import ranking_quality
+from wanetrack.operators.drift import DRIFTED_PARTS
+from wanetrack.operators.quality import FLEET_PARTS
 
 KEYS = ["battery_id", "cycle_index"]
 
 
+def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
+    """Raises if two rows share a key."""
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{what}: {', '.join(f'{k} = {twice[0][k]}' for k in keys)} occurs {twice[0]['n']} times")
+
+
+def attach_labels(features: DataFrame, labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """JON1: features with the label of their key, or nulls; a key that occurs twice on either side is an error."""
+    assert_unique(features, keys, "features")
+    assert_unique(labels, keys, "labels")
+    return features.join(labels, list(keys), "left")
+
+
 def match_outcomes(predictions: DataFrame, outcomes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """JON2: predictions with the label that has arrived for them."""
+    """JON2: predictions with the label that has arrived for them; a key with two labels is an error."""
+    assert_unique(outcomes, keys, "outcomes")
     return predictions.join(outcomes, list(keys), "inner")
 
 
 def label_coverage(predictions: DataFrame, outcomes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """JON2: how much of either side finds its match."""
+    """JON2: how much of either side finds its match; a key with two labels is an error."""
+    assert_unique(outcomes, keys, "outcomes")
     marked = predictions.select(*keys).withColumn("p", F.lit(1)).join(outcomes.select(*keys).withColumn("o", F.lit(1)), list(keys), "full_outer")
-    return marked.agg(F.count("p").alias("predictions"), F.count("o").alias("labels"), F.count_if(F.col("p").isNotNull() & F.col("o").isNotNull()).alias("matched")).withColumn(
-        "coverage", F.try_divide("matched", "predictions")
+    return marked.agg(F.count("p").alias("predictions"), F.count_if(F.col("o").isNotNull() & F.col("p").isNull()).alias("_alone"), F.count_if(F.col("p").isNotNull() & F.col("o").isNotNull()).alias("matched"),
+                      F.count_distinct(F.when(F.col("p").isNotNull() & F.col("o").isNotNull(), F.struct(*keys))).alias("_met")).select(
+        "predictions", (F.col("_alone") + F.col("_met")).alias("labels"), "matched", F.try_divide("matched", "predictions").alias("coverage")
     )
 
 
-def performance_report(matched: DataFrame, min_labels: int = 20, warn_mae: float = 5.0, bad_mae: float = 15.0) -> DataFrame:
-    """PRF1: metrics and status a model version."""
-    rows = matched.withColumn("y_true", F.col("observed_rul"))
-    m = regression_metrics(rows, ["model_version"]).select("model_version", "n", "mae", "rmse", "bias")
-    return m.withColumn("status", ladder(
-        (F.col("n") == 0, "no_labels"), (F.col("n") < min_labels, "insufficient_labels"), (F.col("mae") >= bad_mae, "degraded"), (F.col("mae") >= warn_mae, "warning"), otherwise="healthy",
-    ))
+#: Fixed values of the surveyed performance policy: (warning, degraded), floors and tolerances.
+LEAST_LABELS, MAE_LEVELS, SOH_LEVELS, BRIER_LEVELS = 20, (5.0, 15.0), (0.03, 0.06), (0.15, 0.25)
+PR_FLOOR, COVERAGE_SLACK = 0.50, 0.05
+
+
+def performance_report(
+    predictions: DataFrame, outcomes: DataFrame, version: str | None = None, nominal: float = 0.9, min_labels: int = LEAST_LABELS,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """PRF1: one row: what has been joined, metrics, the thresholds that are crossed, and status.
+
+    Rows of `version` alone are scored if it has enough labels, else all (`scope`). Each
+    metric needs enough rows of its own; without enough labels at all none is published.
+    Columns: y_pred, soh, probability, bounds; observed_rul, observed_soh, eol_within_horizon.
+    """
+    every = match_outcomes(predictions, outcomes, keys)
+    total = predictions.agg(F.count(F.lit(1)).alias("n_predictions"))
+    joined = every.agg(F.count(F.lit(1)).alias("n_joined"), F.count_if(F.col("model_version") == version).alias("n_version"))
+    counts = total.join(joined, F.lit(True), "cross")  # one row each
+    counts = counts.withColumn("scope", F.when(F.col("n_version") >= min_labels, F.lit(version)).otherwise("all"))
+    scope = F.broadcast(counts.select("scope", (F.col("n_joined") >= min_labels).alias("enough")))
+    rows = every.join(scope, F.lit(True), "cross").filter("enough AND (scope = 'all' OR model_version = scope)")  # one row
+    err, soh = F.col("y_pred") - F.col("observed_rul"), F.col("soh") - F.col("observed_soh")
+    ends = F.col("rul_lower_bound").isNotNull() & F.col("rul_upper_bound").isNotNull() & err.isNotNull()
+    inside = F.col("observed_rul").between(F.col("rul_lower_bound"), F.col("rul_upper_bound")).cast("int")
+    y, p = F.col("eol_within_horizon").cast("double"), F.col("probability")
+    both = y.isNotNull() & p.isNotNull()
+    m = rows.agg(
+        F.count(err).alias("n_rul"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(err).alias("bias"),
+        F.avg(F.when(ends, inside)).alias("interval_coverage"), F.count(soh).alias("n_soh"), F.avg(F.abs(soh)).alias("soh_mae"),
+        F.count_if(both).alias("n_risk"), F.avg(F.when(both, (p - y) * (p - y))).alias("brier"), F.min(F.when(both, y)).alias("_y0"), F.max(F.when(both, y)).alias("_y1"),
+    )
+    risk = ranking_quality(rows.filter(both).select(p.alias("probability"), F.col("eol_within_horizon").cast("int").alias("label"))).select(F.col("average_precision").alias("pr_auc"))
+    out = counts.join(m, F.lit(True), "cross").join(risk, F.lit(True), "cross")  # one row each
+    two = (F.col("n_risk") >= min_labels) & (F.col("_y0") < F.col("_y1"))
+    shown = {k: F.col("n_rul") >= min_labels for k in ("mae", "rmse", "bias", "interval_coverage")} | {"soh_mae": F.col("n_soh") >= min_labels, "brier": two, "pr_auc": two}
+    out = out.withColumns({k: F.when(c, F.col(k)) for k, c in shown.items()})
+    level = lambda k, c, at: F.when(F.col(c) >= at[1], f"{k}_degraded").when(F.col(c) >= at[0], f"{k}_warning")
+    breaches = F.concat_ws(
+        ",", level("life", "mae", MAE_LEVELS), F.when(F.col("interval_coverage") < nominal - COVERAGE_SLACK, "coverage_warning"),
+        level("health", "soh_mae", SOH_LEVELS), level("risk", "brier", BRIER_LEVELS), F.when(F.col("pr_auc") < PR_FLOOR, "ranking_degraded"),
+    )
+    out = out.withColumn("breaches", breaches).withColumn("label_coverage", F.coalesce(F.try_divide("n_joined", "n_predictions"), F.lit(0.0)))
+    status = ladder(
+        (F.col("n_joined") == 0, "no_labels"), (F.col("n_joined") < min_labels, "insufficient_labels"), (F.col("breaches").contains("degraded"), "degraded"),
+        (F.col("breaches") != "", "warning"), otherwise="healthy",
+    )
+    return out.withColumn("status", status).select("status", "scope", "n_predictions", "n_joined", "label_coverage", "n_rul", *shown, "breaches")
 
 
 def error_by_life(matched: DataFrame, edges: Sequence[float] = (0, 20, 50, 100)) -> DataFrame:
@@ -66,23 +127,67 @@ def alert_id(*parts: Column) -> Column:
     return F.concat(F.lit("alert-"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))
 
 
-def fleet_alerts(records: DataFrame, fleet: str, batch: str, muted: Sequence[str] = (), cap: int = 200) -> DataFrame:
-    """ALR1: rules over quality, failures and critical entities; the cap is the report's own limit."""
-    wide = records.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "failed").alias("failed"),
-        F.count_if(F.col("data_quality_score") < 0.6).alias("poor"), F.count_if(F.col("measured_soh") <= 0.7).alias("critical"),
-    )
-    rules = [
-        ("scoring_failures", "warning", F.col("failed") > 0, F.format_string("%d of %d entities failed", "failed", "n")),
-        ("poor_quality", "warning", F.col("poor") > 0.2 * F.col("n"), F.format_string("%d of %d entities are of poor quality", "poor", "n")),
-        ("critical_entities", "critical", F.col("critical") > 0, F.format_string("%d entities are critical", "critical")),
-    ]
-    rows = F.array_compact(F.array(*[
-        F.when(c, F.struct(F.lit(t).alias("alert_type"), F.lit(s).alias("severity"), e.alias("evidence"))) for t, s, c, e in rules if t not in muted
-    ]))
-    out = wide.select(F.inline(rows))
-    ident = alert_id(F.col("alert_type"), F.lit(fleet), F.lit(batch), F.lit(""))
-    return out.withColumn("alert_id", ident).orderBy("alert_id").limit(cap)
+#: Fixed value of the surveyed alert policy: critical entities that raise an alert.
+CRITICAL_ENTITIES = 5
+_ACTS = {
+    "data_quality": "check the telemetry", "scoring_failures": "read the errors of each entity", "critical_entities": "review each critical entity",
+    "feature_drift": "compare inputs and population with the reference", "prediction_drift": "compare with feature drift and age",
+    "performance": "review the crossed thresholds", "model_unavailable": "restore the model before routing to it",
+}
+
+
+def fleet_alerts(
+    fleet: str, batch: str, quality: DataFrame | None = None, priorities: DataFrame | None = None, feature_drift: DataFrame | None = None,
+    prediction_drift: DataFrame | None = None, performance: DataFrame | None = None, readiness: DataFrame | None = None,
+    muted: Sequence[str] = (), cap: int = 200,
+) -> DataFrame:
+    """ALR1: alerts of ten types: (alert_type, severity, evidence, observed, threshold, action, alert_id).
+
+    Each input is optional and has one row but `priorities` (status and priority an
+    entity): quality of fleet_quality(), feature_drift of fleet_drift(), prediction_drift
+    (status, n_drifted), performance of performance_report(), readiness (ready, errors).
+    Critical alerts come first; the cap is the report's own limit.
+    """
+    status, none = F.col("status"), F.lit(None).cast("double")
+    found = []
+
+    def add(df: DataFrame, kind: str, name: Column, severity: Column, evidence: Column, observed: Column, threshold: Column, key: str) -> None:
+        row = df.select(
+            name.alias("alert_type"), severity.alias("severity"), evidence.cast("string").alias("evidence"), observed.cast("double").alias("observed"),
+            threshold.cast("double").alias("threshold"), F.lit(_ACTS[kind]).alias("action"), F.lit(key).alias("_key"),
+        )
+        found.append(row.filter("alert_type IS NOT NULL AND severity IS NOT NULL"))
+
+    graded = F.when(status.isin("warning", "critical"), status)
+    named = lambda kind: F.concat(F.lit(f"{kind}_"), graded)
+    limit = lambda pair: F.when(status == "critical", pair[1]).when(status == "warning", pair[0])
+    if quality is not None:
+        told = F.format_string("%d good, %d acceptable, %d poor, %d insufficient", "n_good", "n_acceptable", "n_poor", "n_insufficient")
+        add(quality, "data_quality", named("data_quality"), graded, told, F.col("poor_fraction"), limit(FLEET_PARTS["poor"]), "quality")
+    if priorities is not None:
+        n = priorities.agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(status == "failed").alias("failed"), F.count_if(F.col("priority") == "P0").alias("critical")
+        )
+        severity = F.when(F.col("failed") > F.col("n") / 2, "critical").when(F.col("failed") > 0, "warning")
+        add(n, "scoring_failures", F.lit("scoring_failures"), severity, F.format_string("%d of %d entities failed", "failed", "n"), F.col("failed"), none, "failures")
+        severity = F.when(F.col("critical") >= CRITICAL_ENTITIES, "warning")
+        add(n, "critical_entities", F.lit("critical_entities"), severity, F.format_string("%d entities are P0", "critical"), F.col("critical"), F.lit(CRITICAL_ENTITIES), "critical_count")
+    if feature_drift is not None:
+        told = F.format_string("%d of %d features drifted", "n_drifted", "n")
+        add(feature_drift, "feature_drift", named("feature_drift"), graded, told, F.col("fraction"), limit(DRIFTED_PARTS), "feature_drift")
+    if prediction_drift is not None:
+        told = F.format_string("%d outputs drifted", "n_drifted")
+        add(prediction_drift, "prediction_drift", F.lit("prediction_drift"), graded, told, F.col("n_drifted"), none, "prediction_drift")
+    if performance is not None:
+        severity = F.when(status == "degraded", "critical").when(status == "warning", "warning")
+        add(performance, "performance", F.concat(F.lit("performance_"), F.when(severity.isNotNull(), status)), severity, F.col("breaches"), none, none, "performance")
+    if readiness is not None:
+        add(readiness, "model_unavailable", F.lit("model_unavailable"), F.when(~F.col("ready"), "critical"), F.col("errors"), none, none, "readiness")
+    if not found:
+        raise ValueError("no input to watch")
+    out = reduce(DataFrame.unionByName, found).filter(~F.col("alert_type").isin(*muted) if muted else F.lit(True))
+    ident = alert_id(F.col("alert_type"), F.lit(fleet), F.lit(batch), F.col("_key"))
+    return out.withColumn("alert_id", ident).drop("_key").orderBy("severity", "alert_id").limit(cap)
 
 
 RANKS = {"ok": 0, "unknown": 1, "warning": 2, "critical": 3}

@@ -65,10 +65,16 @@ def grouped_folds(df: DataFrame, k: int = 5, seed: int = 42, entity: str = ID) -
     return df.select(entity).distinct().select(entity, (F.ntile(k).over(w) - 1).alias("fold"))
 
 
-def leave_one_out(df: DataFrame, entity: str = ID) -> DataFrame:
-    """SPL6: rows x entities with the role that a row has when the entity `held` is out. The entity list is small."""
+def leave_one_out(df: DataFrame, entity: str = ID, most: int = 100_000) -> DataFrame:
+    """SPL6: rows x entities with the role that a row has when the entity `held` is out.
+
+    The result itself has rows times entities, so there may be no more than `most` entities.
+    """
     held = df.select(F.col(entity).alias("held")).distinct()
-    return df.join(held, F.lit(True), "cross").withColumn("role", F.when(F.col(entity) == F.col("held"), "test").otherwise("train"))
+    n = held.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"leave_one_out() would put out every row once for each of more than {most} entities")
+    return df.join(F.broadcast(held), F.lit(True), "cross").withColumn("role", F.when(F.col(entity) == F.col("held"), "test").otherwise("train"))
 
 
 def split_sizes(df: DataFrame, entity: str = ID) -> DataFrame:
@@ -78,7 +84,9 @@ def split_sizes(df: DataFrame, entity: str = ID) -> DataFrame:
 
 def learning_subsets(df: DataFrame, counts: Sequence[int] = (5, 10), part: float = 0.5, entity: str = ID, order: str = ORDER) -> DataFrame:
     """SPL8: (n, rows): the first n entities and the earliest part of each."""
-    df = df.withColumn("_e", F.dense_rank().over(Window.orderBy(entity)))
+    first = df.select(entity).distinct().orderBy(entity).limit(max(counts))  # the subsets' own limit
+    first = first.withColumn("_e", F.row_number().over(Window.orderBy(entity)))
+    df = df.join(F.broadcast(first), entity)
     df = df.withColumn("_rn", F.row_number().over(history(entity, order))).withColumn("_n", F.count(F.lit(1)).over(whole(entity)))
     df = df.filter(F.col("_rn") <= F.ceil(F.col("_n") * part)).withColumn("subset", F.explode(F.array(*map(F.lit, counts))))
     return df.filter(F.col("_e") <= F.col("subset")).drop("_e", "_rn", "_n")

@@ -110,10 +110,8 @@ def _(s, d):
 
 @query("jon1_attach_labels", "select c.battery_id, c.cycle_index, c.capacity_ah, o.observed_rul from cycles c left join outcomes o using (battery_id, cycle_index)", "cycles outcomes", "capacity_ah observed_rul")
 def _(s, d):
-    c, o = cycles(s, d), fixture(s, d, "outcomes")
-    one = F.count(F.lit(1))  # the label side is checked to be one row a key
-    o = o.groupBy("battery_id", "cycle_index").agg(F.max("observed_rul").alias("observed_rul"), one.alias("k")).filter("k = 1")
-    return c.join(o, ["battery_id", "cycle_index"], "left").select("battery_id", "cycle_index", "capacity_ah", "observed_rul")
+    o = fixture(s, d, "outcomes").select("battery_id", "cycle_index", "observed_rul")
+    return N.attach_labels(cycles(s, d), o).select("battery_id", "cycle_index", "capacity_ah", "observed_rul")
 
 
 @query("jon2_match_outcomes", "select prediction_id, y_pred, observed_rul from predictions join outcomes using (battery_id, cycle_index)", "predictions outcomes", "y_pred observed_rul")

@@ -111,11 +111,46 @@ select cast(user_id as string) as battery_id,
   end as fade_trend_pct_per_10,
   cast(1.0 as double) - cast(user_id % 12 as double) / cast(15.0 as double)
     as data_quality_score,
-  cast(user_id % 4 as int) as out_of_distribution_feature_count
+  cast(user_id % 4 as int) as out_of_distribution_feature_count,
+  case when user_id % 6 = 0 then null
+       else cast(0.4 as double) - cast(user_id % 25 as double) / cast(10.0 as double)
+  end as soh_trend_pct_per_10,
+  case when user_id % 7 = 0 then null
+       else cast(user_id % 16 as double) / cast(10.0 as double) - cast(0.8 as double)
+  end as temperature_trend_c_per_10,
+  case when user_id % 10 = 3 then null
+       else cast(user_id % 36 as double) / cast(10.0 as double) - cast(0.5 as double)
+  end as resistance_trend_pct_per_10,
+  user_id % 47 = 0 as critical_data_warning
 from base
 """
 
-ALL = {"cycles": CYCLES, "samples": SAMPLES, "predictions": PREDICTIONS, "outcomes": OUTCOMES, "records": RECORDS}
+#: Cycle rows as they arrive, with the faults that a quality check looks for.
+ARRIVALS = """
+with base as (
+  select user_id, event_id, value,
+         row_number() over (partition by user_id order by ts, event_id) as k
+  from events)
+select cast(user_id as string) as battery_id, event_id as arrival,
+  cast(case when user_id % 29 = 0 and k = 3 then 2
+            when user_id % 3 = 0 then k
+            else row_number() over (partition by user_id order by event_id) end as int) as cycle_index,
+  case when user_id % 43 = 0 and k = 5 then cast(4.5 as double)
+       when user_id % 53 = 0 and k = 6 then cast(0.0 as double)
+       else cast(2.0 as double) - cast(k as double) / cast(200.0 as double) end as capacity_ah,
+  case when user_id % 31 = 0 and k = 7 then cast(6.0 as double)
+       else cast(3.0 as double) + value / cast(1000.0 as double) end as voltage_mean_v,
+  case when user_id % 41 = 0 then null
+       when user_id % 37 = 0 and k = 9 then cast(120.0 as double)
+       else cast(24.0 as double) + cast(0.3 as double) * value end as temperature_max_c,
+  case when user_id % 6 = 0 or user_id % 41 = 0 then null
+       else cast(0.05 as double) + cast(0.0005 as double) * cast(k as double) end as internal_resistance_ohm
+from base
+where not (user_id % 5 = 0 and k between 20 and 48)
+  and not (user_id % 23 = 1 and k > 9) and not (user_id % 19 = 2 and k > 30)
+"""
+
+ALL = {"cycles": CYCLES, "samples": SAMPLES, "predictions": PREDICTIONS, "outcomes": OUTCOMES, "records": RECORDS, "arrivals": ARRIVALS}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

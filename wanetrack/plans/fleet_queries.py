@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from wanetrack.operators import drift as D
@@ -35,6 +37,9 @@ _RULES = [
     ("P5", "uncertain", "interval_width >= 60 or data_quality_class in ('poor', 'acceptable') or out_of_distribution_feature_count > 0"),
 ]
 _PRIO = "select *, case " + " ".join(f"when {c} then '{p}'" for p, _, c in _RULES) + " else 'P4' end as priority, case " + " ".join(f"when {c} then '{n}'" for _, n, c in _RULES) + " else 'routine' end as rule from b"
+_PRIO = f"""select * replace (case when priority <> 'INSUFFICIENT_DATA' and critical_data_warning then 'P0' else priority end as priority),
+  concat_ws(',', case when priority <> 'INSUFFICIENT_DATA' and r is null and failure_risk is not null then 'risk_withheld' end, rule,
+    case when priority <> 'INSUFFICIENT_DATA' and critical_data_warning then 'critical_data_warning' end) as triggered from ({_PRIO})"""
 _PARTS = {"risk": "r", "rul": "1 - predicted_rul / 100", "rul_lower": "1 - rul_lower_bound / 100", "soh": "(1 - measured_soh) / 0.3", "fade": "fade_trend_pct_per_10 / 3", "width": "interval_width / 100", "quality": "1 - data_quality_score"}
 _UNIT = "case when ({0}) is not null then least(greatest({0}, 0.0), 1.0) end"
 _TOP = " + ".join(f"coalesce({L.WEIGHTS[k]}::double * {_UNIT.format(e)}, 0)" for k, e in _PARTS.items())
@@ -44,46 +49,64 @@ V = {"b": _BASE, "p": _PRIO, "f": _SCORED}
 
 # --- quality -------------------------------------------------------------------------
 
-_OOD = "select battery_id, cast(max(internal_resistance_ohm) > 0.08 as int) + cast(max(temperature_max_c) > 90 as int) as n_ood from cycles group by 1"
-_DQ = f"""select battery_id, n, n_ood, missing, greatest(1 - (case when n < 10 then 1.0 when n < 60 then 0.15 else 0.0 end + case when missing > 0.3 then 1.0 when missing > 0.05 then 0.15 else 0.0 end
-    + least(0.05 * n_ood, 0.25)), 0.0)::double as score, concat_ws(',', case when n < 60 then 'history' end, case when missing > 0.05 then 'missing' end, case when n_ood > 0 then 'ood' end) as failed_checks
-  from (select battery_id, count(*) as n, avg(cast(internal_resistance_ohm is null as int) / 3.0::double) as missing from cycles group by 1) join ({_OOD}) using (battery_id)"""
-_DQC = f"select *, {_CLASS.format('score')} as quality_class from ({_DQ})"
+_DQ_COLS = {"capacity_ah": (1.0, 9.0), "voltage_mean_v": (0.0, 3.2), "temperature_max_c": (-40.0, 90.0), "internal_resistance_ohm": (0.0, 0.08)}
+_SUMS = " + ".join(f"cast(coalesce(min({c}) < {lo} or max({c}) > {hi}, false) as int)" for c, (lo, hi) in _DQ_COLS.items())
+_DQ = f"""select battery_id, n, n_ood, missing, absent, greatest(1 - (case when n < 10 then 1.0 when n < 40 then 0.15 else 0.0 end + case when orders < n then 0.25 else 0.0 end + case when turned > 0 then 0.2 else 0.0 end
+    + case when gap > 25 then 0.15 else 0.0 end + case when missing > 0.3 then 1.0 when missing > 0.05 then 0.25 else 0.0 end + case when implausible > 0 then 0.2 else 0.0 end + least(0.05 * n_ood, 0.25)), 0.0)::double as score,
+  concat_ws(',', case when n < 10 then 'history' end, case when orders < n then 'duplicates' end, case when turned > 0 then 'ordering' end, case when gap > 25 then 'gaps' end, case when missing > 0.05 then 'missing' end,
+    case when implausible > 0 then 'implausible' end, case when n_ood > 0 then 'ood' end) as failed_checks
+  from (select battery_id, count(*) as n, count(distinct cycle_index) as orders, max(gap) as gap, count(*) filter (where turn <= 0) as turned, {_SUMS} as n_ood,
+      count(*) filter (where capacity_ah <= 0 or capacity_ah > 4 or voltage_mean_v < 0 or voltage_mean_v > 5 or temperature_max_c < -40 or temperature_max_c > 100) as implausible,
+      ({' + '.join(f"cast(count({c}) = 0 as int)" for c in _DQ_COLS)}) / 4.0::double as missing, concat_ws(',', {', '.join(f"case when count({c}) = 0 then '{c}' end" for c in _DQ_COLS)}) as absent
+    from (select *, cycle_index - lag(cycle_index) over (partition by battery_id order by cycle_index) as gap, cycle_index - lag(cycle_index) over (partition by battery_id order by arrival) as turn from arrivals) group by 1)"""
+_DQC = f"select *, case when n < 10 or missing > 0.3 then 'insufficient' else {_CLASS.format('score')} end as quality_class from ({_DQ})"
 
 
-def ranges(s):
-    return s.createDataFrame([("capacity_ah", 0.0, 9.0), ("internal_resistance_ohm", 0.0, 0.08), ("temperature_max_c", -40.0, 90.0)], "feature string, low double, high double")
+def ranges(s, columns=("capacity_ah", "internal_resistance_ohm", "temperature_max_c")):
+    """(feature, low, high): fixed reference ranges."""
+    known = {"capacity_ah": (0.0, 9.0), "internal_resistance_ohm": (0.0, 0.08), "temperature_max_c": (-40.0, 90.0)} if columns is not _DQ_COLS else _DQ_COLS
+    return s.createDataFrame([(c, *known[c]) for c in columns], "feature string, low double, high double")
 
 
 def scores(s, d):
-    return Q.quality_scores(cycles(s, d), SIG, ranges(s), short=60)
+    return Q.quality_scores(fixture(s, d, "arrivals"), list(_DQ_COLS), ranges(s, _DQ_COLS), arrival="arrival")
 
 
-@query("dq1_quality_scores", f"select battery_id, n, n_ood, missing, score, quality_class, failed_checks from ({_DQC})", "cycles", "missing score")
+@query("dq1_quality_scores", f"select battery_id, n, n_ood, missing, absent, score, quality_class, failed_checks from ({_DQC})", "arrivals", "missing score")
 def _(s, d):
     return scores(s, d)
 
 
-@query("dq2_ood_features", f"select battery_id, n_ood, concat_ws(',', case when max_r > 0.08 then 'internal_resistance_ohm' end, case when max_t > 90 then 'temperature_max_c' end) as ood from ({_OOD}) join (select battery_id, max(internal_resistance_ohm) as max_r, max(temperature_max_c) as max_t from cycles group by 1) using (battery_id)", "cycles")
+@query("dq2_ood_features", f"select battery_id, n_ood, concat_ws(',', case when max_r > 0.08 then 'internal_resistance_ohm' end, case when max_t > 90 then 'temperature_max_c' end) as ood from (select battery_id, cast(max(internal_resistance_ohm) > 0.08 as int) + cast(max(temperature_max_c) > 90 as int) as n_ood from cycles group by 1) join (select battery_id, max(internal_resistance_ohm) as max_r, max(temperature_max_c) as max_t from cycles group by 1) using (battery_id)", "cycles")
 def _(s, d):
     return Q.ood_features(cycles(s, d), ranges(s), SIG)
 
 
-@query("dq3_fleet_quality", f"""
-select *, case when n = 0 then 'unknown' when poor_fraction > 0.5 then 'critical' when poor_fraction > 0.2 then 'warning' else 'ok' end as status from (
-  select count(*) as n, avg(score) as mean_score, avg(cast(quality_class in ('poor', 'insufficient') as int)) as poor_fraction, avg(cast(quality_class = 'insufficient' as int)) as insufficient_fraction,
+_FQ = f"""
+select *, case when n = 0 then 'unknown' when poor_fraction >= 0.25 or insufficient_fraction >= 0.25 or mean_missing >= 0.3 then 'critical'
+    when poor_fraction >= 0.1 or insufficient_fraction >= 0.1 or mean_missing >= 0.1 then 'warning' else 'ok' end as status from (
+  select count(*) + 2 as n, avg(score) as mean_score, avg(missing) as mean_missing, (count(*) filter (where quality_class in ('poor', 'insufficient')) + 2) / (count(*) + 2) as poor_fraction,
+    count(*) filter (where quality_class = 'insufficient') / (count(*) + 2) as insufficient_fraction,
     count(*) filter (where quality_class = 'good') as n_good, count(*) filter (where quality_class = 'acceptable') as n_acceptable, count(*) filter (where quality_class = 'poor') as n_poor,
-    count(*) filter (where quality_class = 'insufficient') as n_insufficient from ({_DQC}))""", "cycles", "mean_score poor_fraction insufficient_fraction")
-def _(s, d):
-    return Q.fleet_quality(scores(s, d))
+    count(*) filter (where quality_class = 'insufficient') as n_insufficient from ({_DQC}))"""
+
 
+@query("dq3_fleet_quality", _FQ, "arrivals", "mean_score mean_missing poor_fraction insufficient_fraction")
+def fleet_quality(s, d):
+    return Q.fleet_quality(scores(s, d), failed=2)
 
-@query("dq3_failure_rates", " union all ".join(f"select '{c}' as check_name, avg(cast(list_contains(string_split(failed_checks, ','), '{c}') as int)) as rate from ({_DQC})" for c in ("history", "duplicates", "gaps", "missing", "implausible", "ood")), "cycles", "rate")
+
+@query("dq3_failure_rates", " union all ".join(f"select '{c}' as check_name, avg(cast(list_contains(string_split(failed_checks, ','), '{c}') as int)) as rate from ({_DQC})" for c in Q.CHECKS), "arrivals", "rate")
 def _(s, d):
     return Q.failure_rates(scores(s, d))
 
 
-@query("dq4_quality_detail", f"select r.battery_id, r.status, quality_class, score, n, n_ood, missing, failed_checks as warnings from records r left join ({_DQC}) using (battery_id)", "records cycles", "score missing")
+@query("dq3_absence_rates", " union all ".join(f"select '{c}' as feature, avg(cast(n = 0 as int)) as rate from (select count({c}) as n from arrivals group by battery_id)" for c in _DQ_COLS), "arrivals", "rate")
+def _(s, d):
+    return Q.absence_rates(scores(s, d), list(_DQ_COLS))
+
+
+@query("dq4_quality_detail", f"select r.battery_id, r.status, quality_class, score, n, n_ood, missing, failed_checks as warnings from records r left join ({_DQC}) using (battery_id)", "records arrivals", "score missing")
 def _(s, d):
     return Q.quality_detail(fixture(s, d, "records"), scores(s, d))
 
@@ -103,7 +126,7 @@ def _(s, d):
 
 @query("twn2_gate", f"""
 select battery_id, latest_cycle, quality_class, reason, case when reason = 'no_features' then 'failed' when reason is not null then 'insufficient_data' else 'success' end as status from (
-  select *, case when quality_class is null then 'no_features' when latest_cycle < 60 then 'warm_up' when quality_class = 'insufficient' then 'quality' end as reason from ({_STATE}) left join (select battery_id, quality_class from ({_DQC})) using (battery_id))""", "cycles")
+  select *, case when quality_class is null then 'no_features' when latest_cycle < 60 then 'warm_up' when quality_class = 'insufficient' then 'quality' end as reason from ({_STATE}) left join (select battery_id, quality_class from ({_DQC})) using (battery_id))""", "cycles arrivals")
 def _(s, d):
     return Q.gate(Q.latest_state(cycles(s, d), SIG), scores(s, d), 60)
 
@@ -121,23 +144,33 @@ def _(s, d):
 # --- fleet ---------------------------------------------------------------------------
 
 
-@query("rec1_recommendation", """
-select battery_id, case when status <> 'success' or data_quality_class = 'insufficient' then 'insufficient_data' when l <= 5 or r >= 0.85 then 'urgent' when l <= 15 or r >= 0.6 or health_class = 'critical' then 'replace'
-  when l <= 40 or r >= 0.3 or health_class = 'warning' then 'inspect' when fade_trend_pct_per_10 >= 0.5 then 'monitor_trend' when health_class = 'slightly_degraded' then 'monitor' else 'normal' end as recommendation from b""", "records", **V)
+_HOT, _HARD = "temperature_trend_c_per_10 >= 0.5", "(resistance_trend_pct_per_10 >= 2.0 or fade_trend_pct_per_10 >= 1.0)"
+
+
+@query("rec1_recommendation", f"""
+select battery_id, case when rung <> 'advice' then rung when {_HOT} then 'reduce_heat' else 'reduce_charging' end as recommendation,
+  case when rung in ('urgent', 'replace', 'inspect') then concat_ws(',', case when {_HOT} then 'reduce_heat' end, case when {_HARD} then 'reduce_charging' end)
+    when rung = 'advice' and {_HOT} and {_HARD} then 'reduce_charging' else '' end as advisories from (
+  select *, case when status <> 'success' or data_quality_class = 'insufficient' then 'insufficient_data' when l <= 5 or r >= 0.85 then 'urgent' when l <= 15 or r >= 0.6 or health_class = 'critical' then 'replace'
+    when l <= 40 or r >= 0.3 or health_class = 'warning' then 'inspect' when {_HOT} or {_HARD} then 'advice' when health_class = 'slightly_degraded' then 'monitor' else 'normal' end as rung from b)""", "records", **V)
 def _(s, d):
-    return L.recommendation(fleet(s, d)).select("battery_id", "recommendation")
+    return L.recommendation(fleet(s, d)).select("battery_id", "recommendation", "advisories")
 
 
 @query("rec2_evidence", """
-select battery_id, concat_ws(' ', case when r is not null then printf('Failure risk is %.2f.', r) end, case when measured_soh is not null then printf('State of health is %.2f.', measured_soh) end,
-  case when fade_trend_pct_per_10 >= 0.5 then 'Capacity fades quickly.' end) as evidence from b where l is null""", "records", **V)
+select battery_id, concat_ws(' ', case when measured_soh is not null then printf('Health %.2f (%s).', measured_soh, health_class) end,
+  case when predicted_rul is not null and rul_lower_bound is not null then printf('Life %d cycles, at least %d.', cast(floor(predicted_rul) as int), cast(floor(rul_lower_bound) as int)) when predicted_rul is not null then printf('Life %d cycles.', cast(floor(predicted_rul) as int)) end,
+  case when r is not null then printf('Failure risk %.2f (%s).', r, case when r < 0.2 then 'low' when r < 0.5 then 'moderate' when r < 0.8 then 'high' else 'critical' end) when failure_risk is not null then 'Failure risk is experimental and not used.' end,
+  case when temperature_trend_c_per_10 is not null then printf('Temperature trend %+.2f C in 10 cycles.', temperature_trend_c_per_10) end,
+  case when resistance_trend_pct_per_10 is not null then printf('Resistance trend %+.2f %% in 10 cycles.', resistance_trend_pct_per_10) end,
+  case when fade_trend_pct_per_10 is not null then printf('Fade trend %+.2f %% in 10 cycles.', fade_trend_pct_per_10) end, printf('Data quality %s.', data_quality_class)) as evidence from b""", "records", **V)
 def _(s, d):
-    return L.evidence(fleet(s, d)).filter("L is null").select("battery_id", "evidence")
+    return L.evidence(fleet(s, d)).select("battery_id", "evidence")
 
 
-@query("flt1_priority", "select battery_id, priority, rule from p", "records", **V)
+@query("flt1_priority", "select battery_id, priority, rule, triggered from p", "records", **V)
 def _(s, d):
-    return fleet(s, d).select("battery_id", "priority", "rule")
+    return fleet(s, d).select("battery_id", "priority", "rule", "triggered")
 
 
 _ACT = "case priority " + " ".join(f"when '{k}' then '{v}'" for k, v in L.ACTIONS.items()) + " end"
@@ -182,12 +215,14 @@ def _(s, d):
     return L.replacement_summary(L.replacement_horizon(fleet(s, d)))
 
 
-_BUCKET = "case when priority = 'INSUFFICIENT_DATA' then 'insufficient' when l is null then 'monitor_only' when priority = 'P0' then 'immediate' when l <= 10 then 'next_10' when l <= 30 then 'next_30' when l <= 50 then 'next_50' else 'beyond_50' end"
+def _bucket(life):
+    return f"case when priority = 'INSUFFICIENT_DATA' then 'insufficient' when {life} is null then 'monitor_only' when priority = 'P0' then 'immediate' when {life} <= 10 then 'next_10' when {life} <= 30 then 'next_30' when {life} <= 50 then 'next_50' else 'beyond_50' end"
 
 
 @query("flt8_workload", f"""
-select t.bucket, count(q.battery_id) as n, case when t.bucket <> 'insufficient' then 100.0::double * count(q.battery_id) / (select count(*) from p where {_BUCKET} <> 'insufficient') end as pct
-from (values {', '.join(f"('{b}')" for b in L.BUCKETS)}) t(bucket) left join (select *, {_BUCKET} as bucket from p) q on q.bucket = t.bucket group by 1""", "records", "pct", **V)
+select t.bucket, (select count(*) from q where q.bucket = t.bucket) as n, (select count(*) from q where if_lower = t.bucket) as n_if_lower, (select count(*) from q where if_upper = t.bucket) as n_if_upper,
+  case when t.bucket <> 'insufficient' then 100.0::double * (select count(*) from q where q.bucket = t.bucket) / (select count(*) from q where q.bucket <> 'insufficient') end as pct
+from (values {', '.join(f"('{b}')" for b in L.BUCKETS)}) t(bucket)""", "records", "pct", **V, q=f"select {_bucket('l')} as bucket, {_bucket('coalesce(rul_lower_bound, l)')} as if_lower, {_bucket('coalesce(rul_upper_bound, l)')} as if_upper from p")
 def _(s, d):
     return L.workload(fleet(s, d))
 
@@ -227,21 +262,44 @@ def _(s, d):
     return L.snapshot_trend(e, ["fleet_id", "day"], "value")
 
 
-_META = "select battery_id, case when cast(battery_id as int) % 2 = 0 then 'nmc' else 'lfp' end as chemistry from records where cast(battery_id as int) % 3 <> 0"
+_META = """select battery_id, case when cast(battery_id as int) % 2 = 0 then 'nmc' else 'lfp' end as chemistry, case when cast(battery_id as int) % 5 <> 0 then 'maker ' || cast(cast(battery_id as int) % 4 as varchar) end as manufacturer
+  from records where cast(battery_id as int) % 3 <> 0"""
 
 
 @query("flt15_passport", f"""
-select battery_id, measured_soh, case when measured_soh is null then 'unknown' when measured_soh <= 0.7 then 'end_of_first_life' when measured_soh <= 0.8 then 'second_life_candidate' else 'in_service' end as lifecycle_status,
-  coalesce(measured_soh <= 0.7, false) as recycling_ready, chemistry, case when chemistry is null then 'not_supplied' else 'supplied' end as chemistry_source from records left join ({_META}) using (battery_id)""", "records", "measured_soh")
+select battery_id, measured_soh, predicted_rul, case when measured_soh is null then 'unknown' when measured_soh <= 0.7 then 'end_of_first_life' when measured_soh <= 0.8 then 'second_life_candidate' else 'in_service' end as lifecycle_status,
+  coalesce(measured_soh <= 0.7, false) and chemistry is not null and manufacturer is not null as recycling_ready,
+  case when coalesce(measured_soh <= 0.7, false) then concat_ws(',', case when chemistry is null then 'chemistry' end, case when manufacturer is null then 'manufacturer' end) else 'in_use' end as awaits, chemistry, manufacturer,
+  case when measured_soh is null then 'not_available' else 'measured' end as measured_soh_source, case when predicted_rul is null then 'not_available' else 'predicted' end as predicted_rul_source,
+  case when chemistry is null then 'not_supplied' else 'supplied' end as chemistry_source, case when manufacturer is null then 'not_supplied' else 'supplied' end as manufacturer_source from records left join ({_META}) using (battery_id)""", "records", "measured_soh predicted_rul")
 def _(s, d):
     r = fixture(s, d, "records")
     i = F.col("battery_id").cast("int")
-    return L.passport(r, r.filter(i % 3 != 0).select("battery_id", F.when(i % 2 == 0, "nmc").otherwise("lfp").alias("chemistry")))
+    maker = F.when(i % 5 != 0, F.concat(F.lit("maker "), (i % 4).cast("string")))
+    return L.passport(r, r.filter(i % 3 != 0).select("battery_id", F.when(i % 2 == 0, "nmc").otherwise("lfp").alias("chemistry"), maker.alias("manufacturer")))
+
+
+_SUCCESS = "status = 'success'"
 
 
-@query("rnk1_rank_fleet", "select battery_id, measured_soh from f where priority <> 'INSUFFICIENT_DATA' order by measured_soh nulls last, battery_id limit 20", "records", "measured_soh", **V)
+def _ranked(k, where):
+    more = "priority_score desc nulls last, " if k == "priority" else ""
+    return f"select '{k}' as key, battery_id, row_number() over (order by {k} {'desc' if L.RANK_KEYS[k] else 'asc'} nulls last, {more}battery_id) as rank from f where {where}"
+
+
+@query("rnk1_rank_fleet", " union all ".join(f"(select * from ({_ranked(k, _SUCCESS)}) where rank <= 20)" for k in L.RANK_KEYS), "records", **V)
+def _(s, d):
+    f, out = fleet(s, d), None
+    for k in L.RANK_KEYS:
+        top = L.rank_fleet(f, k, 20, tail=False)
+        part = L.ranking_table(top, k).select(F.lit(k).alias("key"), "battery_id", "rank")  # 20 rows
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("rnk1_with_tail", "select battery_id from (select battery_id from f order by status = 'success' desc, case when status = 'success' then measured_soh end nulls last, battery_id) limit 1000000", "records", **V)
 def _(s, d):
-    return L.rank_fleet(fleet(s, d), "measured_soh", 20, tail=False).select("battery_id", "measured_soh")
+    return L.rank_fleet(fleet(s, d), "measured_soh").select("battery_id")
 
 
 @query("rnk2_ranking_table", "select battery_id, row_number() over (order by fade_trend_pct_per_10 desc nulls last, battery_id) as rank from f", "records", **V)
@@ -323,22 +381,38 @@ def _(s, d):
     return D.population_stability(both(s, d)).select("feature", "js")
 
 
-_TS = """select max(dd) as ks, coalesce(sum(dd * step), 0) as wasserstein, sum(x) as n, sum(y) as m from (
+_RAW, _NOW = "ra", "cu"
+
+
+def _quantiles(c):
+    """The sample that stored quantiles stand for, as SQL over the reference rows."""
+    lo, hi = D.QUANTILES[0], D.QUANTILES[-1]
+    q = [f"quantile_cont({c}, {x})" for x in D.QUANTILES]
+    steps = " ".join(f"when p <= {p1}::double then q[{k + 1}] + (q[{k + 2}] - q[{k + 1}]) * ((p - {p0}::double) / {p1 - p0!r}::double)" for k, (p0, p1) in enumerate(zip(D.QUANTILES, D.QUANTILES[1:], strict=False)))
+    return f"select case {steps} else q[{len(q)}] end as v from (select {lo}::double + i * {(hi - lo) / 199!r}::double as p from range(200) t(i)), (select [{', '.join(q)}] as q from ra)"
+
+
+def _two(c):
+    return f"""select max(dd) as ks, coalesce(sum(dd * step), 0) as wasserstein, cast(sum(x) as bigint) as n, cast(sum(y) as bigint) as m from (
   select x, y, abs(sum(x) over w / sum(x) over () - sum(y) over w / sum(y) over ()) as dd, lead(v) over (order by v) - v as step from (
-    select v, sum(x) as x, sum(y) as y from (select value as v, 1 as x, 0 as y from ra union all select value, 0, 1 from cu) where v is not null group by 1) window w as (order by v rows between unbounded preceding and current row))"""
+    select v, sum(x) as x, sum(y) as y from (select v, 1 as x, 0 as y from ({_quantiles(c)}) union all select {c}, 0, 1 from cu) where v is not null group by 1) window w as (order by v rows between unbounded preceding and current row))"""
 
 
-@query("drf3_ks", f"select ks, cast(n as bigint) as n, cast(m as bigint) as m from ({_TS})", "", "ks", **VD)
-def _(s, d):
+def sampled(s, d):
     r, c = halves(s, d)
-    return D.two_sample(r, c).select("ks", "n", "m")
+    return D.two_sample(D.quantile_sample(D.numeric_reference(r, ["value"])), c)
 
 
-@query("drf4_wasserstein", f"select wasserstein, wasserstein / (select stddev_samp(value) from ra) as scaled from ({_TS})", "", "wasserstein scaled", **VD)
+@query("drf3_ks", f"select ks, n, m from ({_two('value')})", "", "ks", **VD)
 def _(s, d):
-    r, c = halves(s, d)
+    return sampled(s, d).select("ks", "n", "m")
+
+
+@query("drf4_wasserstein", f"select wasserstein, wasserstein / (select stddev_samp(value) from ra) as scaled from ({_two('value')})", "", "wasserstein scaled", **VD)
+def _(s, d):
+    r, _ = halves(s, d)
     std = r.agg(F.stddev_samp("value").alias("std"))
-    return D.two_sample(r, c).join(std, F.lit(True), "cross").select("wasserstein", (F.col("wasserstein") / F.col("std")).alias("scaled"))  # one row each
+    return sampled(s, d).join(std, F.lit(True), "cross").select("wasserstein", (F.col("wasserstein") / F.col("std")).alias("scaled"))  # one row each
 
 
 @query("drf5_chi_square", """
@@ -363,27 +437,55 @@ def _(s, d):
     return D.adjust_p(t).select("feature", "adjusted")
 
 
-@query("drf7_severity", """
-select 'value' as feature, case when n < 30 then 'small_sample' when psi >= 0.25 then 'critical' when psi >= 0.1 then 'warning' else 'ok' end as severity from (select sum((c - r) * ln(c / r)) as psi from al), (select count(value) as n from cu)""", "", **VD)
-def severity(s, d):
+def drifting(s, d):
+    """A reference and a batch with a shifted, an unchanged, a constant, a lost, a new and a rare feature."""
     r, c = halves(s, d)
-    stats = D.population_stability(both(s, d)).join(D.numeric_reference(c, ["value"]).select("feature", "n", "constant"), "feature").withColumn("adjusted", F.lit(None).cast("double"))
-    return D.drift_severity(stats).select("feature", "severity")
+    r = r.withColumns({"flat": F.lit(1.0), "gone": F.col("value"), "rare": F.col("value")})
+    c = c.withColumns({"flat": F.lit(1.0), "fresh": F.col("value"), "rare": F.when(F.col("event_id") % 500 == 0, F.col("value"))})
+    ref = ["value", "value2", "flat", "gone", "rare"]
+    known = D.with_frequencies(D.numeric_reference(r, ref), r, ref)
+    return D.feature_drift(known, c, ["value", "value2", "flat", "fresh", "rare"])
+
+
+def _bins(c):
+    edges = "(select list_sort(list_distinct([" + ", ".join(f"quantile_cont({c}, {i / 10})" for i in range(1, 10)) + "])) from ra)"
+    part = lambda v: f"select len(list_filter({edges}, lambda x: {c} > x)) as bin, count(*) / sum(count(*)) over () as f from {v} where {c} is not null group by 1"
+    return f"""select sum((c - r) * ln(c / r)) as psi, sum(r * ln(2 * r / (r + c)) + c * ln(2 * c / (r + c))) / 2 as js from (select r / sum(r) over () as r, c / sum(c) over () as c from (
+  select greatest(coalesce(x.f, 0), 1e-6) as r, greatest(coalesce(y.f, 0), 1e-6) as c from ({part('ra')}) x full join ({part('cu')}) y using (bin)))"""
+
+
+_P = """case when t < 0.2 then 1.0 else least(greatest(list_sum(list_transform(range(1, 100), lambda k: exp(-2.0 * k * k * t * t) * (case when k % 2 = 1 then 2.0 else -2.0 end))), 0.0), 1.0) end"""
+_EN = "sqrt(n::double * m / (n + m))"
+_SCORED = " union all ".join(f"""
+  select '{c}' as feature, 'psi' as metric, psi as value, null::double as p_value from ({_bins(c)}) union all select '{c}', 'js', js, null from ({_bins(c)}) union all
+  select '{c}', 'ks', ks, {_P} from (select *, ({_EN} + 0.12 + 0.11 / {_EN}) * ks as t from ({_two(c)})) union all select '{c}', 'wasserstein', wasserstein / (select stddev_samp({c}) from ra), null from ({_two(c)})""" for c in ("value", "value2"))
+_ODD = " union all ".join(f"select '{c}', '{k}', null::double, null::double" for c, k in (("flat", "constant"), ("gone", "missing"), ("fresh", "new"), ("rare", "small_sample")))
+_LEVEL = lambda i: "case metric " + " ".join(f"when '{k}' then {v[i]}" for k, v in D.DRIFT_LEVELS.items()) + " end"
+VF = {
+    **VD, "t0": f"{_SCORED} union all {_ODD}",
+    "t1": """select *, case when p_value is not null then least(min(q) over (partition by p_value is null order by p_value, feature rows between current row and unbounded following), 1.0) end as adjusted from (
+      select *, p_value * count(p_value) over (partition by p_value is null) / row_number() over (partition by p_value is null order by p_value, feature) as q from t0)""",
+    "fd": f"""select feature, metric, value, p_value, adjusted, value is not null as reliable, case when value is null then 'unknown' when value >= {_LEVEL(1)} and coalesce(adjusted <= 0.05, true) then 'critical'
+      when value >= {_LEVEL(0)} and coalesce(adjusted <= 0.05, true) then 'warning' else 'ok' end as severity from t1""",
+    "fl": """select *, case when n = 0 then 'unknown' when fraction >= 0.25 or c > 0 then 'critical' when fraction >= 0.1 or n_drifted > 0 then 'warning' else 'ok' end as status from (
+      select count(distinct feature) filter (where reliable) as n, count(distinct feature) filter (where severity in ('warning', 'critical')) as n_drifted, count(*) filter (where severity = 'critical') as c,
+        count(distinct feature) filter (where not reliable) as n_skipped, coalesce(count(distinct feature) filter (where severity in ('warning', 'critical')) / nullif(count(distinct feature) filter (where reliable), 0), 0.0) as fraction from fd)""",
+}
 
 
-@query("drf7_fleet_drift", """
-select 1 as n, cast(psi >= 0.1 as bigint) as n_drifted, cast(psi >= 0.1 as double) as fraction, case when psi >= 0.1 then 'critical' else 'ok' end as status from (select sum((c - r) * ln(c / r)) as psi from al)""", "", "fraction", **VD)
+@query("drf7_severity", "select *, severity in ('warning', 'critical') as drifted from fd", "", "value p_value adjusted", **VF)
 def _(s, d):
-    r, c = halves(s, d)
-    stats = D.population_stability(both(s, d)).join(D.numeric_reference(c, ["value"]).select("feature", "n", "constant"), "feature").withColumn("adjusted", F.lit(None).cast("double"))
-    return D.fleet_drift(D.drift_severity(stats))
+    return drifting(s, d)
+
 
+@query("drf7_fleet_drift", "select n, n_drifted, n_skipped, fraction, status from fl", "", "fraction", **VF)
+def fleet_drift(s, d):
+    return D.fleet_drift(drifting(s, d))
 
-@query("drf3_ks_p_value")
+
+@query("drf3_ks_p_value", f"select ks, {_P} as p_value from (select *, ({_EN} + 0.12 + 0.11 / {_EN}) * ks as t from ({_two('value')}))", "", "ks p_value", **VD)
 def _(s, d):
-    r, c = halves(s, d)
-    row = D.two_sample(r, c).first()  # one row
-    return s.createDataFrame([(row.ks, D.ks_p_value(row.ks, row.n, row.m))], "ks double, p_value double")
+    return sampled(s, d).select("ks", D.ks_p(F.col("ks"), F.col("n"), F.col("m")).alias("p_value"))
 
 
 @query("drf5_p_value")
@@ -438,11 +540,44 @@ def matched(s, d):
     return N.match_outcomes(fixture(s, d, "predictions"), fixture(s, d, "outcomes"))
 
 
-@query("prf1_performance_report", """
-select *, case when n < 20 then 'insufficient_labels' when mae >= 15 then 'degraded' when mae >= 5 then 'warning' else 'healthy' end as status from (
-  select model_version, count(*) as n, avg(abs(y_pred - observed_rul)) as mae, sqrt(avg((y_pred - observed_rul) ** 2)) as rmse, avg(y_pred - observed_rul) as bias from m where y_pred is not null group by 1)""", "predictions outcomes", "mae rmse bias", **VM)
+def _report(name, version, outcomes):
+    shown = {"mae": "n_rul >= 20", "rmse": "n_rul >= 20", "bias": "n_rul >= 20", "interval_coverage": "n_rul >= 20", "soh_mae": "n_soh >= 20", "brier": "two", "pr_auc": "two"}
+    return f"""select '{name}' as name, case when n_joined = 0 then 'no_labels' when n_joined < 20 then 'insufficient_labels' when contains(breaches, 'degraded') then 'degraded' when breaches <> '' then 'warning' else 'healthy' end as status,
+  scope, n_predictions, n_joined, label_coverage, n_rul, {', '.join(shown)}, breaches from (select *, concat_ws(',', case when mae >= 15 then 'life_degraded' when mae >= 5 then 'life_warning' end, case when interval_coverage < 0.85 then 'coverage_warning' end,
+    case when soh_mae >= 0.06 then 'health_degraded' when soh_mae >= 0.03 then 'health_warning' end, case when brier >= 0.25 then 'risk_degraded' when brier >= 0.15 then 'risk_warning' end, case when pr_auc < 0.5 then 'ranking_degraded' end) as breaches
+  from (with e as (select * from predictions join ({outcomes}) using (battery_id, cycle_index)),
+    c as (select (select count(*) from predictions) as n_predictions, count(*) as n_joined, case when count(*) filter (where model_version = '{version}') >= 20 then '{version}' else 'all' end as scope from e),
+    r as (select e.*, y_pred - observed_rul as err, soh - observed_soh as serr from e, c where n_joined >= 20 and (scope = 'all' or model_version = scope)),
+    m as (select count(err) as n_rul, avg(abs(err)) as mae0, sqrt(avg(err * err)) as rmse0, avg(err) as bias0, avg(case when err is not null then cast(observed_rul between rul_lower_bound and rul_upper_bound as int) end) as interval_coverage0,
+      count(serr) as n_soh, avg(abs(serr)) as soh_mae0, avg((probability - eol_within_horizon) ** 2) as brier0, count(probability) >= 20 and min(eol_within_horizon) < max(eol_within_horizon) as two from r),
+    s as (select probability, sum(eol_within_horizon) as pos, count(*) as k from r group by 1),
+    a as (select sum(pos * tp / tk) / nullif(sum(pos), 0) as pr_auc0 from (select pos, sum(pos) over (order by probability desc) as tp, sum(k) over (order by probability desc) as tk from s))
+    select scope, n_predictions, n_joined, coalesce(n_joined / nullif(n_predictions, 0), 0.0) as label_coverage, n_rul, {', '.join(f"case when {c} then {k}0 end as {k}" for k, c in shown.items())} from c, m, a))"""
+
+
+_REPORTS = {
+    "one_version": ("1.1.0", "select * from outcomes"), "unknown_version": ("9.9.9", "select * from outcomes"), "few": ("1.1.0", "select * from outcomes where cast(battery_id as int) = 1 and cycle_index <= 30"),
+    "none": ("1.1.0", "select * from outcomes where false"),
+    "off": ("1.1.0", "select * replace (observed_rul + 30 as observed_rul, observed_soh - 0.05 as observed_soh, 1 - eol_within_horizon as eol_within_horizon) from outcomes"),
+}
+_PRF_DOUBLES = "label_coverage mae rmse bias interval_coverage soh_mae brier pr_auc"
+
+
+def report(s, d, name, version):
+    o, p = fixture(s, d, "outcomes"), fixture(s, d, "predictions")
+    if name == "few":
+        o = o.filter("battery_id = '1' AND cycle_index <= 30")
+    elif name == "none":
+        o = o.filter("false")
+    elif name == "off":
+        o = o.withColumns({"observed_rul": F.col("observed_rul") + 30, "observed_soh": F.col("observed_soh") - 0.05, "eol_within_horizon": 1 - F.col("eol_within_horizon")})
+    return N.performance_report(p, o, version)
+
+
+@query("prf1_performance_report", " union all ".join(_report(k, *v) for k, v in _REPORTS.items()), "predictions outcomes", _PRF_DOUBLES)
 def _(s, d):
-    return N.performance_report(matched(s, d))
+    out = [report(s, d, k, v).select(F.lit(k).alias("name"), "*") for k, (v, _) in _REPORTS.items()]
+    return reduce(lambda a, b: a.union(b), out)
 
 
 @query("prf2_error_by_life", """
@@ -462,16 +597,40 @@ def _(s, d):
     return N.label_delay(matched(s, d))
 
 
-_ALERT = "'alert-' || substr(sha256(concat_ws('|', alert_type, 'fleet', 'batch', '')), 1, 16)"
-VA = {"a": f"""select alert_type, severity, evidence, {_ALERT} as alert_id from (
-  select 'scoring_failures' as alert_type, 'warning' as severity, printf('%d of %d entities failed', count(*) filter (where status = 'failed'), count(*)) as evidence, count(*) filter (where status = 'failed') > 0 as fires from records union all
-  select 'poor_quality', 'warning', printf('%d of %d entities are of poor quality', count(*) filter (where data_quality_score < 0.6), count(*)), count(*) filter (where data_quality_score < 0.6) > 0.2 * count(*) from records union all
-  select 'critical_entities', 'critical', printf('%d entities are critical', count(*) filter (where measured_soh <= 0.7)), count(*) filter (where measured_soh <= 0.7) > 0 from records) where fires"""}
+_ALERT = "'alert-' || substr(sha256(concat_ws('|', alert_type, 'fleet', 'batch', k)), 1, 16)"
+_TOLD = """printf('%d good, %d acceptable, %d poor, %d insufficient', n_good, n_acceptable, n_poor, n_insufficient)"""
+VA = {
+    **V, **VF, "fq": _FQ, "pr": _report("off", *_REPORTS["off"]),
+    "pd": "select *, case when distance >= 0.3 then 'critical' when distance >= 0.0 then 'warning' else 'ok' end as status from (select 0.5 * sum(abs(coalesce(x.f, 0) - coalesce(y.f, 0))) as distance from (select event_type, count(*) / sum(count(*)) over () as f from ra group by 1) x full join (select event_type, count(*) / sum(count(*)) over () as f from cu group by 1) y using (event_type))",
+    "ct": "select count(*) as n, count(*) filter (where status = 'failed') as failed, count(*) filter (where priority = 'P0') as critical from p",
+    "a": f"""select alert_type, severity, evidence, observed, threshold, action, {_ALERT} as alert_id from (
+  select 'data_quality_' || status as alert_type, status as severity, {_TOLD} as evidence, poor_fraction as observed, case status when 'critical' then 0.25 else 0.1 end::double as threshold, '{N._ACTS['data_quality']}' as action, 'quality' as k from fq where status in ('warning', 'critical') union all
+  select 'scoring_failures', case when failed > n / 2 then 'critical' else 'warning' end, printf('%d of %d entities failed', failed, n), failed, null, '{N._ACTS['scoring_failures']}', 'failures' from ct where failed > 0 union all
+  select 'critical_entities', 'warning', printf('%d entities are P0', critical), critical, 5.0, '{N._ACTS['critical_entities']}', 'critical_count' from ct where critical >= 5 union all
+  select 'feature_drift_' || status, status, printf('%d of %d features drifted', n_drifted, n), fraction, case status when 'critical' then 0.25 else 0.1 end, '{N._ACTS['feature_drift']}', 'feature_drift' from fl where status in ('warning', 'critical') union all
+  select 'prediction_drift', status, '1 outputs drifted', 1, null, '{N._ACTS['prediction_drift']}', 'prediction_drift' from pd where status in ('warning', 'critical') union all
+  select 'performance_' || status, case status when 'degraded' then 'critical' else 'warning' end, breaches, null, null, '{N._ACTS['performance']}', 'performance' from pr where status in ('degraded', 'warning') union all
+  select 'model_unavailable', 'critical', 'no model', null, null, '{N._ACTS['model_unavailable']}', 'readiness' from ct where failed > 0)""",
+}
+
+
+def alerts(s, d, muted=()):
+    r, c = halves(s, d)
+    f = fleet(s, d)
+    x = F.col("distance")
+    shift = D.class_distance(r, c, "event_type").select(F.when(x >= 0.3, "critical").when(x >= 0.0, "warning").otherwise("ok").alias("status"), F.lit(1).alias("n_drifted"))
+    ready = f.agg((F.count_if(F.col("status") == "failed") == 0).alias("ready")).withColumn("errors", F.lit("no model"))
+    return N.fleet_alerts("fleet", "batch", fleet_quality(s, d), f, fleet_drift(s, d), shift, report(s, d, "off", "1.1.0"), ready, muted=muted)
+
+
+@query("alr1_fleet_alerts", "select * from a", "records arrivals predictions outcomes", "observed threshold", **VA)
+def _(s, d):
+    return alerts(s, d)
 
 
-@query("alr1_fleet_alerts", "select * from a", "records", **VA)
+@query("alr1_muted", "select alert_type from a where alert_type not in ('critical_entities', 'prediction_drift')", "records arrivals predictions outcomes", **VA)
 def _(s, d):
-    return N.fleet_alerts(fixture(s, d, "records"), "fleet", "batch")
+    return alerts(s, d, ("critical_entities", "prediction_drift")).select("alert_type")
 
 
 @query("alr2_alert_id", "select battery_id, 'alert-' || substr(sha256(concat_ws('|', 'low_soh', 'fleet', 'batch', battery_id)), 1, 16) as alert_id from records", "records")
@@ -489,9 +648,9 @@ def _(s, d):
     return N.fingerprint(cycles(s, d), ["battery_id", "cycle_index", "capacity_ah"])
 
 
-@query("mon3_alert_summary", "select severity, count(*) as n, string_agg(distinct alert_type, ',' order by alert_type) as types, (select count(*) from a) as total from a group by 1", "records", **VA)
+@query("mon3_alert_summary", "select severity, count(*) as n, string_agg(distinct alert_type, ',' order by alert_type) as types, (select count(*) from a) as total from a group by 1", "records arrivals predictions outcomes", **VA)
 def _(s, d):
-    return N.alert_summary(N.fleet_alerts(fixture(s, d, "records"), "fleet", "batch"))
+    return N.alert_summary(alerts(s, d))
 
 
 _SNAP = "select event_type as fleet_id, cast(cast(ts as date) as string) as day, count(*) as n, max(event_id) as last_event from events group by 1, 2"
