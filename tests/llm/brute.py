@@ -151,3 +151,29 @@ def components(nodes, edges):
     for a, b in edges:
         up[root(a)] = root(b)
     return {n: root(n) for n in nodes}
+
+
+def poly_hash(raw):
+    """The 64-bit hash of a byte string as its definition says."""
+    mask, base, h, p = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1, 0, 1
+    for b in raw:
+        h = (h + (b + 1) * p) & mask
+        p = p * base & mask
+    h ^= h >> 31
+    h = h * 0xBF58476D1CE4E5B9 & mask
+    h ^= h >> 29
+    h = h * 0x94D049BB133111EB & mask
+    return h ^ h >> 32
+
+
+def byte_network(text, table, out, bias, shape):
+    """One text's probability: filters at every byte (zeros follow the text), the largest response of each chunk, then its max, min and mean."""
+    filters, width, half = shape.filters, shape.width, shape.half
+    padded = text + bytes(width)
+    places = range(len(text)) if text else range(1)
+    response = [[sum(table[j][padded[i + j]][f] for j in range(width)) for f in range(filters)] for i in places]
+    blocks = [response[i : i + half] for i in range(0, len(response), half)]
+    chunks = [blocks[i] + blocks[i + 1] for i in range(len(blocks) - 1)] or blocks
+    top = [[max(r[f] for r in c) for f in range(filters)] for c in chunks]
+    z = [g([t[f] for t in top]) for g in (max, min, lambda x: sum(x) / len(x)) for f in range(filters)]
+    return 1 / (1 + math.exp(-(bias + sum(w * math.tanh(v / 4) for w, v in zip(out, z)))))

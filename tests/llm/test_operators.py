@@ -7,13 +7,14 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wanetrack.llm import bestfit, bytecnn, chroma, components, decontaminate, kneserney, minhash, packing, resharding, suffixmerge, toxicity
 from wanetrack.llm import bytesets as B
-from wanetrack.llm.labelled import held_out
+from wanetrack.llm.labelled import checksum, held_out, labelled_sample
 from wanetrack.llm.scratch import Scratch
 from wanetrack.llm.tokens import default_tokenizer, encoder
 
@@ -517,6 +518,66 @@ def test_classifiers_on_awkward_rows(spark, docs, no_docs):
     assert {r.score for r in bytecnn.score_quality(docs, bytecnn.train_quality(docs, none)).collect()} == {0.5}
 
 
+def test_labelled_sample_is_bounded_and_repeatable(spark):
+    docs = spark.createDataFrame([(i, c * 10) for i in range(40) for c in ("b", "a", "c")] + [(50, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1), (3, 0), (50, 1), (51, 1), (7, None), (None, 1)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", F.lit(True), 30)
+    assert len(got) == 30 - (51 in {r.doc_id for r in labels.filter("toxic is not null").select("doc_id").distinct().orderBy(checksum(), "doc_id").limit(30).collect()})
+    assert set(got["text"]) <= {"a" * 10, ""}
+    assert got.equals(labelled_sample(docs.repartition(7), labels.repartition(3), "toxic", F.lit(True), 30))
+    assert 10 <= len(labelled_sample(docs, labels, "toxic", F.lit(True), 30, max_bytes=110)) <= 12
+    assert labelled_sample(docs.limit(0), labels, "toxic", F.lit(True), 30).empty
+
+
+def test_toxicity_against_plain_python(spark):
+    """Features, log-count ratios and scores from strings and dictionaries; the 22-bit slot is the hash's."""
+    g = toxicity.Grams(sizes=(2, 4), bits=16, steps=400)
+    rng = np.random.default_rng(14)
+    texts = ["".join(rng.choice(list("abcdeéX "), rng.integers(0, 60))) + (" böse" if i % 3 == 0 else "") for i in range(90)] + ["", "a"]
+    y = np.array([int(i % 3 == 0) for i in range(90)] + [0, 1])
+    slot = lambda gram: brute.poly_hash("".join(c.lower() if c in "X" else c for c in gram).encode()) >> (64 - g.bits)
+    sets = [{slot(t[i : i + n]) for n in g.sizes for i in range(len(t) - n + 1)} for t in texts]
+    got = [set(x.tolist()) for c in B.chunks(pa.array(texts)) for x in toxicity.features(c, g)]
+    assert got == sets
+    ratio = toxicity.log_count_ratios([np.array(sorted(s), np.int32) for s in sets], y, g)
+    pos, neg = y.sum() + 2, len(y) - y.sum() + 2
+    for s in set().union(*sets):
+        a, b = (1 + sum(s in x for x, k in zip(sets, y) if k == v) for v in (1, 0))
+        assert ratio[s] == pytest.approx(np.log(a / pos) - np.log(b / neg), abs=1e-5)
+    weights, bias = toxicity.fit(pd.DataFrame({"text": texts, "label": y}), g)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, (weights, bias), g).collect()}
+    for i, s in enumerate(sets):
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-(bias + sum(float(weights[k]) for k in s)))), abs=1e-6)
+    loss = lambda p: -np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))
+    assert loss(np.array([scores[i] for i in range(len(texts))])) < 0.7 * loss(np.full(len(texts), y.mean()))
+
+
+def test_byte_network_against_plain_convolution_and_differences():
+    rng = np.random.default_rng(15)
+    shape = bytecnn.Shape(filters=3, width=4, half=10)
+    net = bytecnn.ByteCNN(shape)
+    net.table, net.out, net.bias = net.table.astype(np.float64), rng.normal(0, 1, 9), 0.3
+    raw = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 3, 4, 9, 10, 11, 20, 21, 35, 100)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    got = net.probabilities(np.frombuffer(b"".join(raw), np.uint8), off)
+    assert got == pytest.approx([brute.byte_network(t, net.table, net.out, net.bias, shape) for t in raw], abs=1e-6)
+    y = rng.integers(0, 2, len(raw))
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    loss = lambda: float(-np.mean(np.where(y == 1, np.log(net.probabilities(data, off)), np.log(1 - net.probabilities(data, off)))))
+    table, out, bias = net.gradient(data, off, y)
+    for p, d in ((net.table, table), (net.out, out)):
+        for i in rng.permutation(np.flatnonzero(np.abs(d) > 1e-4))[:25]:
+            at, h = np.unravel_index(i, p.shape), 1e-5
+            keep = p[at]
+            p[at] = keep + h
+            up = loss()
+            p[at] = keep - h
+            down = loss()
+            p[at] = keep
+            assert (up - down) / (2 * h) == pytest.approx(d[at], rel=0.02, abs=1e-5)
+
+
 def test_quality_scores_do_not_depend_on_neighbours(texts):
     rng = np.random.default_rng(8)
     net = bytecnn.ByteCNN()

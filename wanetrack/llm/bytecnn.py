@@ -66,7 +66,7 @@ class ByteCNN:
         """The largest response of each filter in each half block, and where it is."""
         s, pairs = self.shape, self._pairs()
         code = padded[:-1].astype(np.int32) << 8 | padded[1:]
-        top = np.empty((len(starts), s.filters), np.float32)
+        top = np.empty((len(starts), s.filters), self.table.dtype)
         at = np.empty((len(starts), s.filters), np.int64) if arg else None
         total = len(padded) - s.width + 1
         lo = 0
@@ -110,8 +110,28 @@ class ByteCNN:
         x, _ = self._features(top, first)
         return 1 / (1 + np.exp(-np.clip((x @ self.out + self.bias).astype(np.float64), -60, 60)))
 
+    def gradient(self, data: np.ndarray, off: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of the mean log loss, by the filters, the output weights and the bias; that of a maximum goes to the bytes it was read from."""
+        f = self.shape.filters
+        padded, shut, starts, first = self._padded(data, off)
+        top, at = self._halves(padded, shut, starts, True)
+        x, (pick, rows, heads, c, count) = self._features(top, first)
+        p = 1 / (1 + np.exp(-np.clip(x @ self.out + self.bias, -30, 30)))
+        g = (p - y).astype(self.table.dtype) / len(y)
+        gz = (g[:, None] * self.out) * (1 - x * x) / 4
+        doc = np.repeat(np.arange(len(y)), count)
+        gc = gz[doc, 2 * f :] / count[doc][:, None]
+        for k, ends in ((0, np.maximum.reduceat(c, heads)), (1, np.minimum.reduceat(c, heads))):
+            hit = (ends[doc] == c).astype(c.dtype)  # overlapping chunks may share the half block that is the largest
+            gc = gc + hit / np.add.reduceat(hit, heads)[doc] * gz[doc, k * f : (k + 1) * f]
+        src = at[rows[:, None] + pick, np.arange(f)]
+        table = np.zeros_like(self.table)
+        for j in range(self.shape.width):
+            np.add.at(table[j], (padded[src + j], np.broadcast_to(np.arange(f), src.shape)), gc)
+        return table, x.T @ g, float(g.sum())
+
     def fit(self, texts: list[bytes], y: np.ndarray, steps: int = 1024, batch: int = 32, rate: float = 0.02) -> ByteCNN:
-        """Adam on the log loss; the gradient of a maximum goes to the bytes it was read from.
+        """Adam on the log loss.
 
         A small sample is passed over more often, so that training takes about as many steps.
         """
@@ -119,7 +139,7 @@ class ByteCNN:
         params = [self.table, self.out]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         bm = bv = 0.0
-        step, f = 0, self.shape.filters
+        step = 0
         epochs = max(1, steps * batch // len(texts))
         for epoch in range(epochs):
             now = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
@@ -128,28 +148,12 @@ class ByteCNN:
                 ids = order[lo : lo + batch]
                 off = np.concatenate([[0], np.cumsum([len(texts[i]) for i in ids])])
                 data = np.frombuffer(b"".join(texts[i] for i in ids), np.uint8)
-                padded, shut, starts, first = self._padded(data, off)
-                top, at = self._halves(padded, shut, starts, True)
-                x, (pick, rows, heads, c, count) = self._features(top, first)
-                p = 1 / (1 + np.exp(-np.clip(x @ self.out + self.bias, -30, 30)))
-                g = (p - y[ids]).astype(np.float32) / len(ids)
-                g_out = x.T @ g
-                gz = (g[:, None] * self.out) * (1 - x * x) / 4
-                doc = np.repeat(np.arange(len(ids)), count)
-                gc = gz[doc, 2 * f :] / count[doc][:, None]
-                hi = np.maximum.reduceat(c, heads)[doc] == c
-                low = np.minimum.reduceat(c, heads)[doc] == c
-                gc = gc + hi * gz[doc, :f] + low * gz[doc, f : 2 * f]
-                src = at[rows[:, None] + pick, np.arange(f)]
-                g_table = np.zeros_like(self.table)
-                for j in range(self.shape.width):
-                    np.add.at(g_table[j], (padded[src + j], np.broadcast_to(np.arange(f), src.shape)), gc)
+                g_table, g_out, gb = self.gradient(data, off, y[ids])
                 step += 1
                 for q, gq, (m, v) in zip(params, (g_table, g_out), moments, strict=True):
                     m += 0.1 * (gq - m)
                     v += 0.001 * (gq * gq - v)
                     q -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
-                gb = float(g.sum())
                 bm += 0.1 * (gb - bm)
                 bv += 0.001 * (gb * gb - bv)
                 self.bias -= np.float32(now * (bm / (1 - 0.9**step)) / (np.sqrt(bv / (1 - 0.999**step)) + 1e-7))
@@ -163,7 +167,10 @@ TRAIN_ROWS = 4096
 def train_quality(
     docs: DataFrame, labels: DataFrame, folds: int = 5, remainder: int = 0, limit: int = TRAIN_ROWS
 ) -> ByteCNN:
-    """Fits on at most `limit` labelled rows outside the held-out fold. Without any, every score is 0.5."""
+    """Fits on at most `limit` labelled rows outside the held-out fold. Without any, every score is 0.5.
+
+    The sample and its handling of nulls, repeats and empty tables are those of labelled_sample().
+    """
     rows = labelled_sample(docs, labels, "quality", ~held_out(folds, remainder), limit)
     net = ByteCNN()
     if rows.empty:
@@ -199,7 +206,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, net: ByteCNN, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores at least `threshold`."""
+    """The rows of docs, with all their columns, whose text scores at least `threshold`.
+
+    Null and empty texts are scored as by score_quality(); repeated rows fare alike; a
+    score equal to the threshold stays; an empty table gives no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

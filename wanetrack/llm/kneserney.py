@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wanetrack.llm import bytesets as B
 from wanetrack.llm.labelled import held_out
-from wanetrack.llm.scratch import Scratch, local_path
+from wanetrack.llm.scratch import Scratch, local_path, one_partition_each
 
 #: Hashes of the end token and of the context before a text's first word; no word is likely to share them.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -210,10 +210,10 @@ def count_model(train: DataFrame, scratch: Scratch) -> Model:
     schema = pa.schema([("kind", pa.string()), ("slot", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
     packed = train.select(F.col("text").cast("string")).mapInArrow(pairs, "shard int, u binary, w binary, n binary")
     parts = scratch.table(
-        packed.repartition(shards, "shard").groupBy("shard").applyInArrow(reduce_pairs, "kind string, slot int, a binary, b binary, c binary"), "parts"
+        one_partition_each(packed, "shard", shards, reduce_pairs, "kind string, slot int, a binary, b binary, c binary"), "parts"
     )
     words = scratch.table(
-        parts.filter("kind = 'w'").select("slot", "a", "b", "c").groupBy("slot").applyInArrow(reduce_words, "slot int, spread array<long>"),
+        one_partition_each(parts.filter("kind = 'w'").select("slot", "a", "b", "c"), "slot", shards, reduce_words, "slot int, spread array<long>"),
         "words",
     )
     totals = parts.filter("kind = 't'").select("a", "b", "slot").collect()  # one small row a shard

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 #: Spark's own setting: the shuffle files of a finished execution are removed at once.
@@ -56,6 +59,17 @@ class Scratch:
             _delete(self.spark, t.scratch_path)
 
 
+def one_partition_each(df: DataFrame, key: str, n: int, reduce: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Applies reduce to the rows of every key, numbers from 0 to n - 1, each in a partition and task of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield from reduce(pa.Table.from_batches(held)).combine_chunks().to_batches()
+
+    return df.repartitionById(n, F.col(key).cast("int")).mapInArrow(run, schema)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wanetrack.llm import bytesets as B
-from wanetrack.llm.scratch import Scratch
+from wanetrack.llm.scratch import Scratch, one_partition_each
 
 
 @dataclass(frozen=True)
@@ -371,8 +371,9 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, p: Repeats) -> DataFrame
         )
 
     merged = scratch.table(
-        _transforms(docs, reps, p).repartition(groups, "grp").groupBy("grp").applyInArrow(
-            merge, _FOUND + ", part long, symbols binary, suffixes binary, owners binary, offsets binary, kinds binary, weights binary"
+        one_partition_each(
+            _transforms(docs, reps, p), "grp", groups, merge,
+            _FOUND + ", part long, symbols binary, suffixes binary, owners binary, offsets binary, kinds binary, weights binary",
         ),
         "merged",
     )

@@ -81,7 +81,10 @@ def fit(sample: pd.DataFrame, g: Grams) -> tuple[np.ndarray, float]:
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, folds: int = 3, remainder: int = 1, g: Grams = Grams()
 ) -> tuple[np.ndarray, float]:
-    """Fits on at most g.train_rows labelled rows outside the held-out fold. Without any, every score is 0.5."""
+    """Fits on at most g.train_rows labelled rows outside the held-out fold. Without any, every score is 0.5.
+
+    The sample and its handling of nulls, repeats and empty tables are those of labelled_sample().
+    """
     return fit(labelled_sample(docs, labels, "toxic", ~held_out(folds, remainder), g.train_rows), g)
 
 
