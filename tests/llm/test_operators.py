@@ -9,6 +9,7 @@ import brute
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,22 @@ def test_best_fit(docs, no_docs):
     assert bestfit.pack_best_fit(no_docs).count() == 0
 
 
+def test_written_sequences_give_the_texts_back(spark, docs, no_docs, tmp_path):
+    """From the files alone: ids, segment lengths and position resets."""
+    bestfit.write_packed(bestfit.pack_best_fit(docs, length=64, pool_tokens=5000), str(tmp_path / "packed"))
+    table = pq.read_table(str(tmp_path / "packed")).to_pylist()
+    pieces = Counter()
+    for r in table:
+        ids, pos = np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["position_ids"], "<u4")
+        assert np.flatnonzero(pos[: r["n_tokens"]] == 0).tolist() == r["cu_seqlens"][:-1]
+        for d, s, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            pieces[d, s, tuple(ids[a:b].tolist())] += 1
+    want = Counter((i, s, tuple(x[s : s + 64])) for i, t in rows_of(docs) for x in [ids_of(t)] for s in range(0, len(x), 64))
+    assert pieces == want
+    bestfit.write_packed(bestfit.pack_best_fit(no_docs), str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
 def test_capacity_tree_is_best_fit():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 65, 400)
@@ -330,7 +347,7 @@ def test_leaks(spark, docs, no_docs, texts):
                 want[i, item] = best
     got = decontaminate.leaks(docs, bench).collect()
     assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in got} == want
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, decontaminate.Leak(item_block=2)).collect()} == set(want)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, decontaminate.Leak(item_block=2, run_windows=3)).collect()} == set(want)
     out = decontaminate.decontaminate(docs, bench)
     assert out.columns == docs.columns
     assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, _ in rows_of(docs) if i not in {d for d, _ in want})

@@ -152,7 +152,11 @@ def pack_best_fit(
 
 
 def write_packed(sequences: DataFrame, path: str) -> None:
-    """Writes the id matrix rows, cumulative lengths and position resets as Parquet."""
+    """Writes the id matrix rows, cumulative lengths and position resets as Parquet; the path must be new.
+
+    Nulls, empty and repeated texts and empty tables have been settled by pack_best_fit();
+    an empty table writes a folder without rows.
+    """
     sequences.write.parquet(path)
 
 

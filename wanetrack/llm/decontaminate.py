@@ -21,13 +21,16 @@ class Leak:
     Weights are occurrence counts: sum of minima over sum of maxima. At 0.8 a window's
     64-bit fingerprint lies 9.7 +- 2.9 bits from the item's, so a radius of 20 misses it
     with probability 1.6e-4, and a passage is met by several windows. Radius + 1 blocks
-    guarantee that fingerprints within the radius agree in some block.
+    guarantee that fingerprints within the radius agree in some block. item_block: items
+    that one pass over the documents looks for. run_windows: windows whose fingerprints
+    are held at once (256 bytes each).
     """
 
     shingle_words: int = 5
     similarity: float = 0.8
     radius: int = 20
-    item_block: int = 4096
+    item_block: int = 32768
+    run_windows: int = 16384
 
 
 class Items:
@@ -137,12 +140,13 @@ def _matches(c: B.Chunk, items: Items) -> Iterator[tuple[int, int, float, int, i
                 j += 1
             a = int(first[i])
             m = max(int(length[i]) - k + 1, 1)
-            run = x[a : end + m]
-            prints = fingerprints(run, np.arange(end - a + 1), m)
-            for win, item in items.near(n, prints):
-                s = similarity(run[win : win + m], items.sets[item])
-                if s >= p.similarity and s > best.get((r, item), (0.0,))[0]:
-                    best[r, item] = (s, a + win - int(rows[r]), int(length[i]))
+            for lo in range(a, end + 1, p.run_windows):
+                hi = min(lo + p.run_windows, end + 1)
+                run = x[lo : hi - 1 + m]
+                for win, item in items.near(n, fingerprints(run, np.arange(hi - lo), m)):
+                    s = similarity(run[win : win + m], items.sets[item])
+                    if s >= p.similarity and s > best.get((r, item), (0.0,))[0]:
+                        best[r, item] = (s, lo + win - int(rows[r]), int(length[i]))
             i = j
     for (r, item), (s, start, n) in sorted(best.items()):
         yield r, items.ids[item], s, start, n
@@ -158,8 +162,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Leak = Leak()) -> DataFrame:
     The benchmark is the stated query set: it is taken in blocks of about p.item_block
     items, each a bounded broadcast and one pass over all documents. Null and empty texts
     and items match nothing; an item shorter than a shingle matches by its whole
-    sequence; equal items and repeated rows are each reported; either table may be empty;
-    other columns are ignored.
+    sequence; equal items and repeated rows are each reported; of windows that are equally
+    similar the first is told; either table may be empty; other columns are ignored.
     """
     spark = docs.sparkSession
     wanted = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
@@ -187,8 +191,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Leak = Leak()) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Leak = Leak()) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    bad = leaks(docs, benchmark, p).select(F.col("doc_id").alias("leaked_id")).distinct()
+    """The documents that hold no benchmark item, with all their columns.
+
+    Rows that share a doc_id go together, if any of them holds an item. Rows without a
+    doc_id cannot be named and stay. Null and empty texts hold nothing; without benchmark
+    items every row stays; an empty table gives no rows.
+    """
+    bad = leaks(docs, benchmark, p).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("leaked_id")).distinct()
     return docs.join(bad, docs["doc_id"] == bad["leaked_id"], "left_anti")
 
 

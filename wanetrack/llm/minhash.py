@@ -258,9 +258,9 @@ def keep_one(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """The rows of docs, with all their columns, that represent their group of near copies: one row a group.
 
     Groups are of texts: rows that share a doc_id but not the text are different
-    documents here. The least doc_id stays; among rows that repeat an id, the one with
-    the least checksum of its text, and among rows equal in both, the one with the least
-    checksum of all columns. Rows without words stay (once, where id and text are equal).
+    documents here. Of a group the least doc_id stays that only one row of docs has; where
+    all its ids are repeated ones, the row with the least checksum of id and text; and
+    among rows equal in both, the one with the least checksum of all columns. Rows without words stay (once, where id and text are equal).
     Rows without a doc_id cannot be named in a group and stay. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "keepone")
