@@ -1,66 +1,134 @@
-"""Hand-made series with known answers."""
+"""Rules over histories against plain scans of random series, and series whose answer follows from the rule's words."""
 
+import math
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wanetrack.operators import clean, features, health, metrics
+from wanetrack.functions.exprs import history
+from wanetrack.functions.ranges import running
+from wanetrack.operators import clean, drift, features, health, metrics, monitoring
+
+SERIES = "battery_id string, cycle_index int, capacity_ah double"
+
 
-T = 1.40
+def frame(spark, series):
+    """series: {name: values}; the row number is the cycle."""
+    return spark.createDataFrame([(k, i + 1, v) for k, x in series.items() for i, v in enumerate(x)], SERIES)
 
 
-def cell(spark, values, name="a"):
-    return spark.createDataFrame([(name, i + 1, float(v)) for i, v in enumerate(values)], "battery_id string, cycle_index int, capacity_ah double")
+def first_run_below(values, threshold, length):
+    """The first position (from 1) where `length` values in a row are present and at or below the threshold."""
+    held = 0
+    for i, v in enumerate(values):
+        held = held + 1 if v is not None and v <= threshold else 0
+        if held == length:
+            return i + 2 - length
+    return None
 
 
-@pytest.mark.parametrize(
-    ("values", "persistence", "want"),
-    [
-        ([1.9] * 10 + [T - 0.01] + [1.8] * 10, 3, None), ([1.9] * 10 + [T - 0.01] * 3 + [1.9] * 5, 3, 11), ([1.9] * 10 + [T - 0.01] * 2, 3, None),
-        ([1.9] * 5 + [T - 0.01] * 2 + [1.9] + [T - 0.02] * 4, 3, 9), ([1.9] * 5 + [T - 0.01] * 2 + [1.9] * 5, 2, 6), ([1.9] * 5 + [T - 0.01] * 2 + [1.9] * 5, 3, None),
-    ],
-)
-def test_end_of_life(spark, values, persistence, want):
-    assert health.end_of_life(cell(spark, values), T, persistence).first().eol_cycle == want
+@pytest.mark.parametrize("length", [1, 2, 4])
+def test_end_of_life_is_the_first_lasting_run(spark, length):
+    rng = np.random.default_rng(length)
+    series = {f"r{k}": [None if rng.random() < 0.05 else float(round(v, 2)) for v in 1.7 - 0.02 * np.arange(n) + rng.normal(0, 0.15, n)] for k, n in enumerate(rng.integers(1, 45, 30))}
+    series |= {
+        "at the threshold": [1.5, 1.25, 1.25, 1.25, 1.25], "ends with the record": [2.0, 2.0, 1.0, 1.0, 1.0, 1.0], "one row": [1.0], "never": [2.0, 1.3, 1.9],
+        "a null breaks it": [1.0, 1.0, 1.0, None, 1.0, 1.0, 1.0, 1.0], "two runs": [1.0, 1.0, 2.0, 1.1, 1.1, 1.1, 1.1, 2.0, 1.0, 1.0, 1.0, 1.0],
+    }
+    got = {r.battery_id: r.eol_cycle for r in health.end_of_life(frame(spark, series), 1.25, length).collect()}
+    for k, values in series.items():
+        assert got.get(k) == first_run_below(values, 1.25, length), k
 
 
-def test_collapse_keeps_rows_before_it(spark):
-    assert clean.truncate_collapse(cell(spark, [1.9] * 59 + [0.07] * 81)).agg(F.max("cycle_index")).first()[0] == 59
+def test_collapse_cuts_a_final_run_of_dead_rows_only(spark):
+    rng = np.random.default_rng(3)
+    series = {"dead end": [2.0 - 0.01 * i for i in range(30)] + [0.05] * 40, "dips and recovers": [2.0, 0.05, 0.05, 1.9, 1.8] * 4, "sound": [float(v) for v in 2 - rng.random(20) / 10]}
+    kept = {r.battery_id: r.n for r in clean.truncate_collapse(frame(spark, series)).groupBy("battery_id").agg(F.max("cycle_index").alias("n")).collect()}
+    assert kept["dead end"] == 30 and kept["sound"] == 20
 
 
-def test_leading_artifacts_are_trimmed_and_renumbered(spark):
-    rows = clean.trim_leading(cell(spark, [0.2] * 3 + [1.9] * 40)).orderBy("cycle_index").collect()
-    assert [r.cycle_index for r in rows] == list(range(1, 41))
-    assert min(r.capacity_ah for r in rows) == 1.9
+def test_leading_artifacts_go_and_cycles_start_at_one(spark):
+    rows = clean.trim_leading(frame(spark, {"x": [0.1, 0.15] + [1.8 - 0.01 * i for i in range(25)]})).orderBy("cycle_index").collect()
+    assert [r.cycle_index for r in rows] == list(range(1, len(rows) + 1))
+    assert rows[0].capacity_ah == 1.8
 
 
 def test_metric_block(spark):
-    m = metrics.regression_metrics(spark.createDataFrame([(10.0, 12.0), (20.0, 18.0), (30.0, 33.0), (1.0, None)], "y_true double, y_pred double")).first()
-    assert (m.n, m.max_error, m.bias) == (3, 3.0, 1.0)
-    assert m.mae == pytest.approx(7 / 3)
-    assert m.rmse == pytest.approx((17 / 3) ** 0.5)
+    rng = np.random.default_rng(4)
+    y, p = rng.normal(50, 20, 40), rng.normal(52, 20, 40)
+    rows = [(float(a), float(b)) for a, b in zip(y, p)] + [(1.0, None), (None, 2.0)]
+    m = metrics.regression_metrics(spark.createDataFrame(rows, "y_true double, y_pred double")).first()
+    e = p - y
+    assert (m.n, m.max_error) == (40, pytest.approx(abs(e).max()))
+    assert (m.mae, m.rmse, m.bias) == (pytest.approx(abs(e).mean()), pytest.approx(math.sqrt((e**2).mean())), pytest.approx(e.mean()))
 
 
-def test_features_are_causal(spark):
-    df = cell(spark, [2 - 0.01 * k for k in range(60)])
+def test_features_are_causal_and_leaks_are_found(spark):
+    df = frame(spark, {"a": [2 - 0.01 * k for k in range(60)]})
     gap = features.causality_gap(df, lambda d: features.ewm(features.rolling(d, "capacity_ah", (5,)), "capacity_ah", (5,)), ["capacity_ah_roll5_mean", "capacity_ah_ewm5"])
     assert gap.agg(F.max("gap")).first()[0] < 1e-9
-
-
-def test_future_leaks_are_found(spark):
-    from wanetrack.functions.exprs import history
-
-    df = cell(spark, [2 - 0.01 * k for k in range(60)])
     leaky = lambda d: d.withColumn("next", F.lead("capacity_ah").over(history("battery_id", "cycle_index")))
     assert features.causality_gap(df, leaky, ["next"]).first().gap > 0
 
 
-def test_ewm_over_nulls(spark):
-    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, None), ("a", 3, 2.0)], "battery_id string, cycle_index int, capacity_ah double")
-    got = [r.capacity_ah_ewm1 for r in features.ewm(df, "capacity_ah", (1,)).orderBy("cycle_index").collect()]
-    assert got == [1.0, 1.0, pytest.approx((0.25 * 1.0 + 0.5 * 2.0) / 0.75)]
+@pytest.mark.parametrize("block", [4, 256])
+def test_exponential_means(spark, block):
+    """Against pandas, with gaps at the start, within and longer than a block."""
+    rng = np.random.default_rng(5)
+    series = {f"s{k}": [None if rng.random() < 0.3 else float(v) for v in rng.normal(2, 1, n)] for k, n in enumerate((1, 2, 9, 40, 200))}
+    series |= {"all null": [None] * 7, "late": [None] * 11 + [1.0, None, 3.0], "long gap": [1.0, 2.0] + [None] * 900 + [5.0, 6.0]}
+    got = features.ewm(frame(spark, series), "capacity_ah", (1, 7), block=block).toPandas().sort_values(["battery_id", "cycle_index"])
+    for k, values in series.items():
+        rows = got[got.battery_id == k]
+        for h in (1, 7):
+            want = pd.Series(values, dtype=float).ewm(halflife=h, adjust=False).mean()
+            assert rows[f"capacity_ah_ewm{h}"].to_numpy(float) == pytest.approx(want.to_numpy(float), nan_ok=True, rel=1e-9)
+
+
+def test_running_sums_by_ranges(spark):
+    """One value that a third of the rows have, nulls, groups, both directions."""
+    rng = np.random.default_rng(6)
+    rows = [(int(g), None if rng.random() < 0.05 else 7.0 if rng.random() < 0.33 else float(v), int(w)) for g, v, w in zip(rng.integers(0, 3, 500), rng.normal(0, 9, 500), rng.integers(0, 5, 500))]
+    pdf = pd.DataFrame(rows, columns=["g", "v", "w"]).dropna()
+    df = spark.createDataFrame(rows, "g int, v double, w int")
+    for down in (False, True):
+        for by in ([], ["g"]):
+            got = running(df, "v", {"s": F.col("w"), "n": F.lit(1)}, by, down, ["w"], totals=True, ranges=8).toPandas()
+            got = got.sort_values([*by, "v", "w"], ascending=[True] * len(by) + [not down, True]).reset_index(drop=True)
+            want = pdf.sort_values([*by, "v", "w"], ascending=[True] * len(by) + [not down, True]).reset_index(drop=True)
+            cum = (want.groupby(by) if by else want)["w"].cumsum()
+            assert len(got) == len(want) and got["total_n"].sum() == (want.groupby(by).size() ** 2).sum() if by else len(want) ** 2
+            last = got.groupby([*by, "v", "w"])["s"].max()
+            assert last.to_dict() == cum.groupby([want[c] for c in [*by, "v", "w"]]).max().to_dict()
+    assert running(df.limit(0), "v", {"s": F.col("w")}).count() == 0
 
 
 def test_empty_history(spark):
-    empty = cell(spark, [1.0]).limit(0)
+    empty = frame(spark, {"a": [1.0]}).limit(0)
     assert health.end_of_life(empty).count() == 0
     assert clean.trim_leading(clean.truncate_collapse(empty)).count() == 0
+    assert features.ewm(empty, "capacity_ah", (1,)).count() == 0
+
+
+def test_repeated_keys_are_refused(spark):
+    one = spark.createDataFrame([("a", 1, 5.0), ("b", 1, 6.0)], "battery_id string, cycle_index int, x double")
+    two = one.union(one.filter("battery_id = 'a'")).withColumnRenamed("x", "y")
+    with pytest.raises(ValueError, match="battery_id = a, cycle_index = 1 occurs 2 times"):
+        monitoring.attach_labels(one, two)
+    with pytest.raises(ValueError, match="features"):
+        monitoring.attach_labels(two, one)
+    with pytest.raises(ValueError, match="outcomes"):
+        monitoring.match_outcomes(one, two)
+    assert monitoring.match_outcomes(two, one).count() == 3
+
+
+def test_two_samples_against_plain_counts(spark):
+    rng = np.random.default_rng(8)
+    a, b = np.round(rng.normal(0, 1, 80), 1), np.round(rng.normal(0.5, 2, 50), 1)
+    row = drift.two_sample(*[spark.createDataFrame([(float(v),) for v in x] + [(None,)], "value double") for x in (a, b)]).first()
+    at = np.sort(np.concatenate([a, b]))
+    d = abs(np.searchsorted(np.sort(a), at, "right") / 80 - np.searchsorted(np.sort(b), at, "right") / 50)
+    assert (row.ks, row.n, row.m) == (pytest.approx(d.max()), 80, 50)
+    assert row.wasserstein == pytest.approx((d[:-1] * np.diff(at)).sum())

@@ -132,6 +132,7 @@ def two_sample(a: DataFrame, b: DataFrame, value: str = "value", by: Sequence[st
 
 def ks_p(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """DRF3: the asymptotic two-sided p-value of a two-sample statistic."""
+    n, m = n.cast("double"), m.cast("double")
     en = F.sqrt(n * m / (n + m))
     t = (en + 0.12 + 0.11 / en) * d
     tail = sum((F.exp(-2.0 * k * k * t * t) * (2.0 if k % 2 else -2.0) for k in range(1, terms)), F.lit(0.0))

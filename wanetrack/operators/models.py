@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,6 +114,35 @@ def select_family(predictions: DataFrame, metric: str = "mae") -> DataFrame:
     return m.select("model", "n", metric, F.row_number().over(Window.orderBy(metric, "model")).alias("rank"))
 
 
+def nested_selection(
+    df: DataFrame, folds: DataFrame, k: int, families: Sequence[str], columns: Sequence[str], label: str, metric: str = "mae", entity: str = "battery_id"
+) -> DataFrame:
+    """MDL5: by outer fold the family that the other folds choose by their own out-of-fold error, and its error on the fold.
+
+    The inner choice never sees the outer fold. k and the number of families are small;
+    each fit is a Spark job over all rows.
+    """
+    chosen = []
+    for f in range(k):
+        inner = folds.filter(F.col("fold") != f).withColumn("fold", F.when(F.col("fold") > f, F.col("fold") - 1).otherwise(F.col("fold")))
+        tried = [out_of_fold(df, inner, k - 1, x, columns, label, entity) for x in families]
+        best = select_family(reduce(DataFrame.unionByName, tried), metric).filter("rank = 1").first()  # one row
+        rows = df.join(folds, entity).filter(F.col(label).isNotNull())
+        model = pipeline(best["model"], columns, label).fit(rows.filter(F.col("fold") != f))
+        out = model.transform(rows.filter(F.col("fold") == f)).select(F.col(label).cast("double").alias("y_true"), "y_pred")
+        m = regression_metrics(out).select(
+            F.lit(f).alias("fold"), F.lit(best["model"]).alias("model"), F.lit(best[metric]).alias(f"inner_{metric}"), F.col(metric).alias(f"outer_{metric}"), "n"
+        )
+        chosen.append(m)
+    return reduce(DataFrame.unionByName, chosen)
+
+
+def selection_frequency(picks: DataFrame) -> DataFrame:
+    """MDL5: (model, n, frequency) over outer folds."""
+    g = picks.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), "model")
+
+
 def search(df: DataFrame, columns: Sequence[str], label: str, reg: Sequence[float] = (0.01, 1.0), k: int = 3):
     """MDL6: the best ridge strength by entity-grouped folds (integer column `fold`)."""
     from pyspark.ml.evaluation import RegressionEvaluator
