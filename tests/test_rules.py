@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wanetrack.functions.exprs import history
 from wanetrack.functions.ranges import running
-from wanetrack.operators import clean, drift, features, health, metrics, monitoring
+from wanetrack.operators import clean, drift, features, fleet, health, metrics, monitoring, splits
+from wanetrack.sources import tables
 
 SERIES = "battery_id string, cycle_index int, capacity_ah double"
 
@@ -132,3 +133,32 @@ def test_two_samples_against_plain_counts(spark):
     d = abs(np.searchsorted(np.sort(a), at, "right") / 80 - np.searchsorted(np.sort(b), at, "right") / 50)
     assert (row.ks, row.n, row.m) == (pytest.approx(d.max()), 80, 50)
     assert row.wasserstein == pytest.approx((d[:-1] * np.diff(at)).sum())
+
+
+def test_entity_files(spark, tmp_path):
+    """The file's name is the id where rows have none; a file with two ids is told, not read."""
+    for name, rows in {"e1": "e1,1\ne1,2", "e2": ",5\n,6", "bad": "x,1\ny,2", "e 3": "e 3,9"}.items():
+        (tmp_path / f"{name}.csv").write_text("battery_id,value\n" + rows + "\n")
+    good, bad = tables.read_entity_files(spark, str(tmp_path / "*.csv"), "battery_id string, value double")
+    assert sorted((r.battery_id, r.value) for r in good.collect()) == [("e 3", 9), ("e1", 1), ("e1", 2), ("e2", 5), ("e2", 6)]
+    assert [r.file.endswith("bad.csv") for r in bad.collect()] == [True]
+
+
+def test_holdout_rules(spark):
+    df = frame(spark, {k: [1.0] * n for k, n in (("a", 3), ("b", 2), ("c", 2))})
+    got = {r.battery_id: r.split for r in splits.entity_holdout(df, test_ids=["b"], val_ids=["c"]).collect()}
+    assert got == {"a": "train", "b": "test", "c": "val"}
+    with pytest.raises(ValueError, match="'zz'"):
+        splits.entity_holdout(df, test_ids=["zz"])
+    with pytest.raises(ValueError, match="2 entities"):
+        splits.entity_holdout(df.filter("battery_id <> 'a'"))
+
+
+def test_unknown_ranking_keys_are_named(spark):
+    with pytest.raises(ValueError, match="'colour'.*measured_soh"):
+        fleet.rank_order("colour")
+
+
+def test_validation_of_an_empty_table(spark):
+    got = {r.check_name: r.n_rows for r in clean.validation_report(frame(spark, {"a": [1.0]}).limit(0)).collect()}
+    assert got["empty_table"] == 1 and sum(got.values()) == 1

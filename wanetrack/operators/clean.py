@@ -118,24 +118,41 @@ def accepted(df: DataFrame, gates: DataFrame, entity: str = ID) -> DataFrame:
     return df.join(gates.filter("reason is null").select(entity), entity, "left_semi")
 
 
-def validation_report(df: DataFrame, entity: str = ID, order: str = ORDER, value: str = VALUE) -> DataFrame:
-    """CLN11: one row a check with severity, rows, and the entities it concerns."""
+#: Fixed values of the surveyed validation policy.
+VOLTS, DEGREES, MISSING_BUDGET, MAX_JUMP, LEAST_CYCLES = (0.0, 5.0), (-40.0, 100.0), 0.05, 0.35, 30
+
+
+def validation_report(
+    df: DataFrame, arrival: str | None = None, nominal: float = 2.0, min_rows: int = LEAST_CYCLES, entity: str = ID, order: str = ORDER, value: str = VALUE
+) -> DataFrame:
+    """CLN11: one row a check with severity, rows (columns for missing_budget), and the number of entities it concerns.
+
+    Bounds are checked of all columns that end in _v and _c; arrival is the order in which
+    rows came. An empty table gives the rows with zeros and the finding empty_table.
+    """
+    kinds = dict(df.dtypes)
+    numbers = [c for c, k in kinds.items() if k in ("double", "float", "int", "bigint", "smallint") and c not in (order, arrival)]
+    out = F.lit(False)
+    for suffix, (low, high) in (("_v", VOLTS), ("_c", DEGREES)):
+        for c in (c for c in numbers if c.endswith(suffix)):
+            out = out | F.coalesce(~F.col(c).between(low, high), F.lit(False))
+    w, no = history(entity, order), F.lit(False)
+    nth = F.row_number().over(Window.partitionBy(entity, order).orderBy(arrival or order))
+    back = F.col(order) < F.lag(order).over(Window.partitionBy(entity).orderBy(arrival)) if arrival else no
     checks = [
-        ("duplicate_key", "error", F.count(F.lit(1)).over(Window.partitionBy(entity, order)) > 1),
-        ("missing_value", "warning", F.col(value).isNull()),
-        ("non_positive_value", "error", F.col(value) <= 0),
-        ("low_value", "warning", F.col(value) < 0.5),
+        ("duplicate_key", "warning", nth > 1), ("ordering", "error", back), ("out_of_bounds", "warning", out), ("missing_value", "warning", finite(value).isNull()),
+        ("non_positive_value", "warning", F.col(value) <= 0), ("jump", "warning", F.abs(F.col(value) - F.lag(value).over(w)) > MAX_JUMP * nominal),
+        ("short_history", "warning", F.count(F.lit(1)).over(Window.partitionBy(entity)) < min_rows),
     ]
-    marked = df.select(entity, *[F.coalesce(c, F.lit(False)).alias(n) for n, _, c in checks])
+    marked = df.select(entity, *numbers, *[F.coalesce(c, no).alias(f"_{n}") for n, _, c in checks])
+    over = sum(((F.avg(F.col(c).isNull().cast("int")) > MISSING_BUDGET).cast("int") for c in numbers), F.lit(0))
     agg = marked.agg(
-        *[F.count_if(F.col(n)).alias(n) for n, _, _ in checks],
-        *[F.count_distinct(F.when(F.col(n), F.col(entity))).alias(f"{n}_e") for n, _, _ in checks],
+        F.count(F.lit(1)).alias("n"), F.coalesce(over, F.lit(0)).cast("bigint").alias("missing_budget"), *[F.count_if(F.col(f"_{n}")).alias(n) for n, _, _ in checks],
+        *[F.count_distinct(F.when(F.col(f"_{n}"), F.col(entity))).alias(f"{n}_e") for n, _, _ in checks],
     )
-    rows = [
-        F.struct(F.lit(n).alias("check_name"), F.lit(s).alias("severity"), F.col(n).alias("n_rows"), F.col(f"{n}_e").alias("n_entities"))
-        for n, s, _ in checks
-    ]
-    return agg.select(F.inline(F.array(*rows)))
+    row = lambda n, s, rows, e: F.struct(F.lit(n).alias("check_name"), F.lit(s).alias("severity"), rows.cast("bigint").alias("n_rows"), e.cast("bigint").alias("n_entities"))
+    rows = [row("empty_table", "error", (F.col("n") == 0).cast("int"), F.lit(0)), row("missing_budget", "warning", F.col("missing_budget"), F.lit(0))]
+    return agg.select(F.inline(F.array(*rows, *[row(n, s, F.col(n), F.col(f"{n}_e")) for n, s, _ in checks])))
 
 
 def ingest(

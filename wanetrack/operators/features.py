@@ -170,6 +170,11 @@ def sequences(df: DataFrame, columns: Sequence[str], label: str, window: int = 8
     )
 
 
+def too_short(df: DataFrame, window: int = 8, entity: str = ID) -> DataFrame:
+    """WIN15: (entity, n) of the entities that have fewer rows than a window, so that no sequence comes of them."""
+    return df.groupBy(entity).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < window)
+
+
 def recent_trend(
     df: DataFrame, c: str, rows: int = 20, min_points: int = 5, per: int = 10, relative: bool = False, entity: str = ID, order: str = ORDER
 ) -> DataFrame:

@@ -117,3 +117,12 @@ def entity_summary(df: DataFrame, eol: DataFrame, nominal: float = 2.0, value: s
         .withColumn("reached_eol", F.col("eol_cycle").isNotNull())
         .withColumn("fade_pct", 100 * (F.col("start_value") - F.col("end_value")) / F.col("start_value"))
     )
+
+
+def comparison_summary(df: DataFrame, value: str = VALUE, temperature: str = "temperature_max_c", ambient: str = "ambient_temperature_c", entity: str = ID, order: str = ORDER) -> DataFrame:
+    """AGG1: per entity cycles, first and last value, percent lost, hottest reading and mean ambient temperature."""
+    g = df.groupBy(entity).agg(
+        F.count(F.lit(1)).alias("n_cycles"), F.min_by(value, order).alias("value_start"), F.max_by(value, order).alias("value_end"),
+        F.max(temperature).alias("temperature_max"), F.avg(ambient).alias("ambient"),
+    )
+    return g.withColumn("fade_pct", F.try_divide(100 * (F.col("value_start") - F.col("value_end")), F.col("value_start")))

@@ -209,6 +209,12 @@ def signal_family(c: str = "feature") -> Column:
     )
 
 
+def family_importance(importance: DataFrame, weight: str = "importance") -> DataFrame:
+    """XPL3: (family, total, n, names): a feature table summed by signal family, with readable names, sorted."""
+    rows = importance.withColumns({"family": signal_family(), "name": display_name()})
+    return rows.groupBy("family").agg(F.sum(weight).alias("total"), F.count(F.lit(1)).alias("n"), F.concat_ws("; ", F.array_sort(F.collect_list("name"))).alias("names"))
+
+
 def display_name(c: str = "feature") -> Column:
     x = F.regexp_replace(c, r"_roll(\d+)_(\w+)$", " rolling $2 ($1)")
     x = F.regexp_replace(x, r"_lag(\d+)$", " lag $1")

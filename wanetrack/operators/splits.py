@@ -17,8 +17,24 @@ def _sizes(df: DataFrame, entity: str) -> DataFrame:
     return n.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("n"), entity)))
 
 
-def entity_holdout(df: DataFrame, test: int = 4, val: int = 5, entity: str = ID) -> DataFrame:
-    """SPL1: (entity, split): by falling length every test-th entity, then of the rest every val-th. Ties by id."""
+def entity_holdout(
+    df: DataFrame, test: int = 4, val: int = 5, entity: str = ID, test_ids: Sequence[str] = (), val_ids: Sequence[str] = (), least: int = 3
+) -> DataFrame:
+    """SPL1: (entity, split): by falling length every test-th entity, then of the rest every val-th. Ties by id.
+
+    Lists of ids override the rule for both. Fewer than `least` entities are an error, as
+    are listed ids that are not there or are listed twice.
+    """
+    n = df.select(entity).distinct().limit(least).count()
+    if n < least:
+        raise ValueError(f"{n} entities cannot be split into train, val and test")
+    if test_ids or val_ids:
+        wanted = [*test_ids, *val_ids]
+        found = {r[0] for r in df.filter(F.col(entity).isin(wanted)).select(entity).distinct().collect()}
+        if len(set(wanted)) < len(wanted) or found != set(wanted):
+            raise ValueError(f"listed twice or not there: {sorted(set(w for w in wanted if wanted.count(w) > 1 or w not in found))}")
+        split = F.when(F.col(entity).isin(list(test_ids)), "test").when(F.col(entity).isin(list(val_ids)), "val").otherwise("train")
+        return df.select(entity).distinct().select(entity, split.alias("split"))
     s = _sizes(df, entity).withColumn("is_test", (F.col("rn") - 1) % test == 0)
     rest = F.sum((~F.col("is_test")).cast("int")).over(Window.orderBy("rn"))
     split = F.when(F.col("is_test"), "test").when((rest - 1) % val == 0, "val").otherwise("train")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from wanetrack.operators import calibrate as K
@@ -451,6 +452,21 @@ def _(s, d):
     return X.select_family(both)
 
 
+@query("mdl5_nested_selection")
+def _(s, d):
+    r = labelled(s, d).select("battery_id", "cycle_index", "rul_cycles", *COLS)
+    return X.nested_selection(r, S.grouped_folds(r, 3), 3, ("ridge", "linear"), COLS, "rul_cycles")
+
+
+@query("mdl3_risk_classifier")
+def _(s, d):
+    """Ranking quality, on entities that it has not seen, of a balanced classifier of the end of life within 30 cycles."""
+    r = labelled(s, d).filter("rul_cycles is not null").select("battery_id", "cycle_index", (F.col("rul_cycles") <= 30).cast("int").alias("label"), *COLS).dropna()
+    train, test = r.filter("cast(battery_id as int) % 4 <> 0"), r.filter("cast(battery_id as int) % 4 = 0")
+    scored = X.risk_classifier(COLS, "label").fit(X.balanced(train, "label")).transform(test)
+    return K.ranking_quality(scored.select(vector_to_array("probability")[1].alias("probability"), "label"))
+
+
 @query("mdl6_search")
 def _(s, d):
     r = labelled(s, d)
@@ -478,11 +494,29 @@ def _(s, d):
     return X.ablation(r, X.pipeline("ridge", COLS, "rul_cycles").fit(r), COLS, ["battery_id", "cycle_index"])
 
 
-@query("xpl3_signal_families", """
-select case when regexp_matches(event_type, '^(capacity|soh)') then 'capacity' when regexp_matches(event_type, '^(internal_resistance|r_times|c_over_r)') then 'resistance' else 'other' end as family,
-  count(*) as n from events group by 1""")
+_FEATURES = {
+    "capacity_ah_lag3": "capacity_ah", "soh_slope10": "value", "voltage_min_v_roll5_mean": "voltage_min_v", "temperature_max_c_roll20_std": "temperature_max_c", "ambient_temperature_c": "ambient_temperature_c",
+    "internal_resistance_ohm_slope20": "internal_resistance_ohm", "discharge_duration_s": "discharge_duration_s", "cum_energy_wh": "energy_throughput_wh", "pos_in_life": "cycle_index", "other_signal": "value",
+}
+_NAME = "replace(regexp_replace(regexp_replace(regexp_replace(feature, '_roll(\\d+)_(\\w+)$', ' rolling \\2 (\\1)'), '_lag(\\d+)$', ' lag \\1'), '_slope(\\d+)$', ' slope (\\1)'), '_', ' ')"
+
+
+@query("xpl3_signal_families", f"""
+select family, sum(importance) as total, count(*) as n, string_agg(name, '; ' order by name) as names from (select *, {_NAME} as name, case when regexp_matches(feature, '^(capacity|soh)') then 'capacity' when regexp_matches(feature, '^voltage') then 'voltage'
+  when regexp_matches(feature, '^(temperature|t_excess|ambient)') then 'temperature' when regexp_matches(feature, '^(internal_resistance|r_times|c_over_r)') then 'resistance'
+  when regexp_matches(feature, '^(discharge|charge|cum_|energy)') then 'duty' when regexp_matches(feature, '^pos') then 'age' else 'other' end as family from (
+    {" union all ".join(f"select '{k}' as feature, avg({v})::double as importance from cycles" for k, v in _FEATURES.items())})) group by 1""", "cycles", "total")
+def _(s, d):
+    wide = cycles(s, d).agg(*[F.avg(v).cast("double").alias(k) for k, v in _FEATURES.items()])
+    long = wide.select(F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).alias("importance")) for k in _FEATURES])))
+    return X.family_importance(long)
+
+
+@query("agg1_comparison", """
+select battery_id, count(*) as n_cycles, arg_min(capacity_ah, cycle_index) as value_start, arg_max(capacity_ah, cycle_index) as value_end, max(temperature_max_c) as temperature_max, avg(ambient_temperature_c) as ambient,
+  100 * (arg_min(capacity_ah, cycle_index) - arg_max(capacity_ah, cycle_index)) / nullif(arg_min(capacity_ah, cycle_index), 0) as fade_pct from cycles group by 1""", "cycles", "value_start value_end temperature_max ambient fade_pct")
 def _(s, d):
-    return table(s, d, "events").groupBy(X.signal_family("event_type").alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    return H.comparison_summary(cycles(s, d))
 
 
 @query("agg1_histogram", "select cast(least(floor(value * 10 / 250.0), 9) as int) as bin, count(*) as n from events where value is not null group by 1")

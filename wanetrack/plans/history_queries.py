@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wanetrack.operators import clean as C
@@ -195,14 +196,28 @@ def _(s, d):
     return C.accepted(c, C.cohort_gates(c)).select("battery_id", "cycle_index")
 
 
+_CHECKS = {
+    "duplicate_key": ("warning", "row_number() over (partition by battery_id, cycle_index order by arrival) > 1"), "ordering": ("error", "cycle_index < lag(cycle_index) over (partition by battery_id order by arrival)"),
+    "out_of_bounds": ("warning", "voltage_mean_v not between 0 and 5 or temperature_max_c not between -40 and 100"), "missing_value": ("warning", "capacity_ah is null"),
+    "non_positive_value": ("warning", "capacity_ah <= 0"), "jump": ("warning", "abs(capacity_ah - lag(capacity_ah) over (partition by battery_id order by cycle_index, arrival)) > 0.7"),
+    "short_history": ("warning", "count(*) over (partition by battery_id) < 30"),
+}
+
+
 @query("cln11_validation_report", """
-select 'duplicate_key' as check_name, 'error' as severity, count(*) filter (where dup) as n_rows, count(distinct case when dup then battery_id end) as n_entities from m union all
-select 'missing_value', 'warning', count(*) filter (where capacity_ah is null), count(distinct case when capacity_ah is null then battery_id end) from m union all
-select 'non_positive_value', 'error', count(*) filter (where capacity_ah <= 0), count(distinct case when capacity_ah <= 0 then battery_id end) from m union all
-select 'low_value', 'warning', count(*) filter (where capacity_ah < 0.5), count(distinct case when capacity_ah < 0.5 then battery_id end) from m""", "cycles",
-       m="select *, count(*) over (partition by battery_id, cycle_index) > 1 as dup from cycles")
+select 'empty_table' as check_name, 'error' as severity, cast(count(*) = 0 as bigint) as n_rows, cast(0 as bigint) as n_entities from m union all
+select 'missing_budget', 'warning', (""" + " + ".join(f"cast(avg(cast({c} is null as int)) > 0.05 as bigint)" for c in ("capacity_ah", "voltage_mean_v", "temperature_max_c", "internal_resistance_ohm")) + ") , 0 from m union all " + " union all ".join(
+    f"select '{k}', '{s}', count(*) filter (where {k}), count(distinct case when {k} then battery_id end) from m" for k, (s, _) in _CHECKS.items()), "arrivals",
+       m="select *, " + ", ".join(f"coalesce({c}, false) as {k}" for k, (_, c) in _CHECKS.items()) + " from arrivals where not (cast(battery_id as int) % 29 = 0)")
+def _(s, d):
+    return C.validation_report(fixture(s, d, "arrivals").filter("cast(battery_id as int) % 29 <> 0"), "arrival")
+
+
+@query("cln11_duplicates", "select battery_id, count(*) - count(distinct cycle_index) as n from arrivals group by 1", "arrivals")
 def _(s, d):
-    return C.validation_report(cycles(s, d))
+    a = fixture(s, d, "arrivals")
+    nth = F.row_number().over(Window.partitionBy("battery_id", "cycle_index").orderBy("arrival"))
+    return a.withColumn("again", nth > 1).groupBy("battery_id").agg(F.count_if("again").alias("n"))
 
 
 @query("cln12_ingest", """
@@ -428,6 +443,11 @@ def _(s, d):
     return q.select("battery_id", "cycle_index", total.alias("total"), F.size("sequence").alias("n"), "label")
 
 
+@query("win15_too_short", "select battery_id, count(*) as n from arrivals group by 1 having count(*) < 35", "arrivals")
+def _(s, d):
+    return W.too_short(fixture(s, d, "arrivals"), 35)
+
+
 _LAST20 = "select *, row_number() over (partition by battery_id order by cycle_index desc) as rn from cycles"
 
 
@@ -469,6 +489,11 @@ def _(s, d):
     return S.entity_holdout(cycles(s, d))
 
 
+@query("spl1_listed", "select distinct battery_id, case when cast(battery_id as int) in (1, 4) then 'test' when battery_id = '2' then 'val' else 'train' end as split from cycles", "cycles")
+def _(s, d):
+    return S.entity_holdout(cycles(s, d), test_ids=["1", "4"], val_ids=["2"])
+
+
 @query("spl2_chronological", f"""
 select {ID}, case when rn > tf then 'test' when rn > tf - 2 then 'unused' when rn > vf then 'val' when rn > vf - 2 then 'unused' else 'train' end as split
 from (select *, n - round_even(n * 0.25, 0) as tf, n - round_even(n * 0.25, 0) - round_even(n * 0.2, 0) as vf from (

@@ -36,6 +36,16 @@ def _(s, d):
     return R.read_table(s, path, _SCHEMA)
 
 
+@query("src2_read_json_array", _EV, "", "value")
+def _(s, d):
+    """Files that each hold one array of records."""
+    path = R.shared_folder(s, "events") + ".json"
+    e = events(s, d)
+    arrays = e.groupBy(F.floor(F.col("event_id") / 5000).alias("part")).agg(F.to_json(F.collect_list(F.struct(*e.columns))).alias("value"))  # 5000 records each
+    arrays.write.partitionBy("part").text(path)
+    return R.read_table(s, path, _SCHEMA).drop("part")
+
+
 @query("src3_entity_files", "select cast(user_id as string) as battery_id, count(*) as n, sum(value) as total from events group by 1", "", "total")
 def _(s, d):
     path = R.shared_folder(s, "entities")
@@ -51,9 +61,10 @@ def _(s, d):
     return R.coerce_schema(fixture(s, d, "cycles")).select("battery_id", "cycle_index", "capacity_ah", "temperature_max_c", "rectified_impedance_ohm", "event_type")
 
 
-@query("src6_drop_labels", "select battery_id, predicted_rul from records", "records", "predicted_rul")
+@query("src6_drop_labels", "select battery_id, predicted_rul, status from records", "records", "predicted_rul")
 def _(s, d):
-    return R.drop_labels(fixture(s, d, "records")).select("battery_id", "predicted_rul")
+    labels = {"eol_cycle": F.lit(1), "is_censored": F.lit(True), "life_fraction": F.lit(0.5), "rul_cycles": F.lit(3), "fails_in_30": F.lit(0)}
+    return R.drop_labels(fixture(s, d, "records").select("battery_id", "predicted_rul", "status").withColumns(labels))
 
 
 @query("snk1_write_table", "select battery_id, cycle_index, case when cast(battery_id as int) % 3 = 0 then 'test' else 'train' end as split from cycles", "cycles")

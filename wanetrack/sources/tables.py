@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path under the folder that all executors share (spark.checkpoint.dir; our own where it is unset)."""
+    """A new path under the folder that all executors share, spark.checkpoint.dir. Where it is unset, a new one in local mode, an error on a cluster."""
     key = "spark.checkpoint.dir"
     where = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{key} must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="wanetrack-")
         spark.conf.set(key, where)
     return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
