@@ -16,19 +16,37 @@ QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 DECILES = tuple(i / 10 for i in range(1, 10))
 
 
+def exact_quantiles(long: DataFrame, levels: dict[str, Sequence[float]]) -> DataFrame:
+    """(feature, <name> ...): interpolated quantiles of (feature, value), picked by rank from running counts of distinct values."""
+    counts = long.filter("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("k"))
+    r = running(counts, "value", {"upto": F.col("k")}, ["feature"], totals=True)
+    at = {q: F.lit(float(q)) * (F.col("total_upto") - 1) for qs in levels.values() for q in qs}
+    held = lambda rank: F.max(F.when((rank >= F.col("upto") - F.col("k")) & (rank < F.col("upto")), F.col("value")))
+    picks = r.groupBy("feature").agg(
+        F.max("total_upto").alias("_n"), *[f(x).alias(f"{e}{i}") for i, x in enumerate(at.values()) for e, f in (("lo", lambda x: held(F.floor(x))), ("hi", lambda x: held(F.ceil(x))))]
+    )
+    value = {}
+    for i, q in enumerate(at):
+        x = F.lit(float(q)) * (F.col("_n") - 1)
+        value[q] = F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (x - F.floor(x))
+    return picks.select("feature", *[F.array(*[value[q] for q in qs]).alias(name) for name, qs in levels.items()])
+
+
 def numeric_reference(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """REF1: a row a feature: count, missing rate, moments, quantiles, inner bin edges (distinct deciles), constancy."""
+    """REF1: a row a feature: count, missing rate, moments, quantiles, inner bin edges (distinct deciles), constancy.
+
+    A feature without any finite value has null quantiles and counts as constant.
+    """
     long = unpivot(df, columns).withColumn("value", finite("value"))
     g = long.groupBy("feature").agg(
         F.count("value").alias("n"), F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"),
-        F.percentile("value", F.array(*map(F.lit, QUANTILES))).alias("quantiles"),
-        F.percentile("value", F.array(*map(F.lit, DECILES))).alias("deciles"),
     )
+    g = g.join(exact_quantiles(long, {"quantiles": QUANTILES, "deciles": DECILES}), "feature", "left")
     width = (F.col("high") - F.col("low")) / 10
     equal = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.col("low") + i * width)
     inner = F.array_sort(F.array_distinct("deciles"))
-    edges = F.when(F.size(inner) >= 2, inner).otherwise(equal)
+    edges = F.when(F.coalesce(F.size(inner), F.lit(0)) >= 2, inner).otherwise(equal)
     constant = F.coalesce(F.col("high") - F.col("low") <= 1e-12, F.lit(True))
     return g.withColumn("edges", F.when(constant, F.array().cast("array<double>")).otherwise(edges)).withColumn("constant", constant).drop("deciles")
 

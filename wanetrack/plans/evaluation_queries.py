@@ -165,19 +165,17 @@ def _(s, d):
     return ok.unionByName(r.join(ok.select("battery_id"), "battery_id", "left_anti").withColumn("status", F.lit("failed")))
 
 
-@query("jon7_nearest_analogues", """
+_ANALOGUES = """
 with ref as (select soh, y_true as rul from predictions where cast(battery_id as int) % 2 = 0),
 ranked as (select *, row_number() over (order by soh, rul) - 1 as pos from ref),
-q as (select battery_id, cycle_index, soh, (select count(*) from ref where ref.soh < p.soh) as pl, (select count(*) from ref) as n from predictions p where cast(battery_id as int) % 2 = 1 and cycle_index % 10 = 0)
-select battery_id, cycle_index, quantile_cont(rul, 0.5) as y_pred, count(*) as n_analogues from q join ranked
-on pos >= greatest(least(pl - 12, n - 25), 0) and pos < greatest(least(pl - 12, n - 25), 0) + 25 group by 1, 2""", "predictions", "y_pred")
-def _(s, d):
-    p = preds(s, d)
-    ref = p.filter("cast(battery_id as int) % 2 = 0").select("soh", F.col("y_true").alias("rul"))
-    return X.nearest_analogues(p.filter("cast(battery_id as int) % 2 = 1 and cycle_index % 10 = 0"), ref, keys=["battery_id", "cycle_index"])
+q as (select battery_id, cycle_index, coalesce(pl, 0) as pl, (select count(*) from ref) as n from (
+  select *, sum(k) over (order by soh, k rows between unbounded preceding and 1 preceding) as pl from (
+    select battery_id, cycle_index, soh, 0 as k from predictions where cast(battery_id as int) % 2 = 1 union all select null, null, soh, 1 from ref)) where k = 0)
+select battery_id, cycle_index, quantile_cont(rul, 0.5) as y_pred, count(*) as n_analogues from (select *, greatest(least(pl - 12, n - 25), 0) + i as pos from q, range(25) t(i)) join ranked using (pos) group by 1, 2"""
 
 
-@query("jon7_nearest_analogues_every_row")
+@query("jon7_nearest_analogues", _ANALOGUES, "predictions", "y_pred")
+@query("jon7_nearest_analogues_every_row", _ANALOGUES, "predictions", "y_pred")
 def _(s, d):
     p = preds(s, d)
     ref = p.filter("cast(battery_id as int) % 2 = 0").select("soh", F.col("y_true").alias("rul"))
