@@ -101,6 +101,7 @@ def priority(df: DataFrame) -> DataFrame:
     return df.withColumn("triggered", told).withColumn("priority", F.when(scored & warned, "P0").otherwise(F.col("priority")))
 
 
+#: Fixed values of the surveyed policies, down to BUCKET_ENDS: actions, inspection windows, score weights, horizons, workload.
 ACTIONS = {
     "P0": "replace_now", "P1": "schedule_replacement", "P2": "inspect", "P3": "monitor_closely", "P4": "routine", "P5": "collect_data",
     "INSUFFICIENT_DATA": "collect_data",
@@ -157,25 +158,28 @@ def score_breakdown(df: DataFrame, entity: str = ID) -> DataFrame:
 
 
 HORIZONS = ("near", "medium", "long", "beyond", "insufficient")
+HORIZON_ENDS = {"near": 20, "medium": 50, "long": 100}
+NEAR_RISK, NEAR_SOH, SURE_RATIO, FAIR_RATIO = 0.6, 0.72, 0.5, 1.0
+BUCKET_ENDS = {"next_10": 10, "next_30": 30, "next_50": 50}
 
 
 def replacement_horizon(df: DataFrame) -> DataFrame:
     """FLT6: near, medium, long or beyond by the planning life, raised by risk, health and priority; with confidence."""
     low = F.col("L")
-    base = ladder((F.col("priority") == "INSUFFICIENT_DATA", "insufficient"), (low.isNull(), "insufficient"), (low <= 20, "near"), (low <= 50, "medium"), (low <= 100, "long"), otherwise="beyond")
+    base = ladder((F.col("priority") == "INSUFFICIENT_DATA", "insufficient"), (low.isNull(), "insufficient"), *[(low <= n, h) for h, n in HORIZON_ENDS.items()], otherwise="beyond")
     raised = F.when(base == "insufficient", base).when(
-        (F.col("r") >= 0.6) | (F.col("measured_soh") <= 0.72) | F.col("priority").isin("P0", "P1"), "near"
+        (F.col("r") >= NEAR_RISK) | (F.col("measured_soh") <= NEAR_SOH) | F.col("priority").isin("P0", "P1"), "near"
     ).otherwise(base)
     ratio = F.try_divide(F.col(WIDTH), F.greatest("predicted_rul", F.lit(1.0)))
     conf = ladder(
-        (raised == "insufficient", "none"), ((ratio <= 0.5) & (F.col("data_quality_class") == "good"), "high"), (ratio <= 1.0, "medium"), otherwise="low"
+        (raised == "insufficient", "none"), ((ratio <= SURE_RATIO) & (F.col("data_quality_class") == "good"), "high"), (ratio <= FAIR_RATIO, "medium"), otherwise="low"
     )
     return df.withColumn("horizon", raised).withColumn("confidence", conf)
 
 
 def replacement_summary(df: DataFrame, horizons: Sequence[str] = HORIZONS) -> DataFrame:
     """FLT7: entities a horizon, empty horizons kept; by upper bound (optimistic) and lower bound (conservative)."""
-    within = {"near": 20, "medium": 50, "long": 100}
+    within = HORIZON_ENDS
     wide = df.agg(
         *[F.count_if(F.col("horizon") == h).alias(f"n_{h}") for h in horizons],
         *[F.count_if(F.col("rul_upper_bound") <= n).alias(f"o_{h}") for h, n in within.items()],
@@ -203,7 +207,7 @@ def workload(df: DataFrame) -> DataFrame:
     def bucket(life: Column) -> Column:
         return ladder(
             (F.col("priority") == "INSUFFICIENT_DATA", "insufficient"), (life.isNull(), "monitor_only"), (F.col("priority") == "P0", "immediate"),
-            (life <= 10, "next_10"), (life <= 30, "next_30"), (life <= 50, "next_50"), otherwise="beyond_50",
+            *[(life <= n, b) for b, n in BUCKET_ENDS.items()], otherwise="beyond_50",
         )
 
     low = F.col("L")

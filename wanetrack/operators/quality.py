@@ -12,9 +12,13 @@ from wanetrack.functions.exprs import finite, history, ladder
 ID, ORDER = "battery_id", "cycle_index"
 
 
+#: Fixed values of the surveyed quality policy: the least score of each class.
+CLASSES = {"good": 0.80, "acceptable": 0.60, "poor": 0.35}
+
+
 def quality_class(score: str = "score") -> Column:
     x = F.col(score)
-    return ladder((x.isNull(), "unknown"), (x >= 0.8, "good"), (x >= 0.6, "acceptable"), (x >= 0.35, "poor"), otherwise="insufficient")
+    return ladder((x.isNull(), "unknown"), *[(x >= v, k) for k, v in CLASSES.items()], otherwise="insufficient")
 
 
 def ood_features(df: DataFrame, ranges: DataFrame, columns: Sequence[str], entity: str = ID) -> DataFrame:
