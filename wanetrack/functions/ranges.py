@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def in_ranges(df: DataFrame, order: str, ranges: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+def in_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
     """df with `_range`: rows of equal `order` (a number, not null) share one, and larger values have later ones.
 
     Cuts are approximate quantiles of the column, over all groups alike; they steer where
@@ -36,7 +36,7 @@ def running(
     taken one by one in no fixed order, so what counts them should sum equal numbers.
     With `totals`, columns `total_<name>` hold the sums over all rows of the group.
     """
-    rows = in_ranges(df.filter(F.col(order).isNotNull()), order, ranges, by).withColumns({f"_s_{k}": c for k, c in sums.items()})
+    rows = in_ranges(df.filter(F.col(order).isNotNull()), order, ranges).withColumns({f"_s_{k}": c for k, c in sums.items()})
     turn = lambda c: F.desc(c) if descending else F.asc(c)
     parts = rows.groupBy(*by, "_range").agg(*[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
     before = Window.partitionBy(*by).orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)
