@@ -106,7 +106,10 @@ def test_query(spark, docs, tmp_path):
 
 
 def test_spans_cut_the_text(docs):
-    for r in P.encode_documents(docs.filter("doc_id < 50")).collect():
+    some = docs.filter("doc_id < 50")
+    alone = {tuple(r) for r in P.decode_documents(P.encode_documents(some)).select("doc_id", "decoded").collect()}
+    assert alone == {(r.doc_id, r.decoded) for r in P.encode_documents(some, decoded=True).collect()}
+    for r in P.encode_documents(some).collect():
         assert len(r.ids) == len(r.begins) == len(r.ends) == r.n_tokens
 
 

@@ -22,9 +22,9 @@ SPACE = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 BPE = 2
 #: Bytes of text that are encoded at once; a longer text is taken alone.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 #: Distinct units, and pieces of them, that a worker remembers.
-MEMORY, MEMORY_PIECES = 1 << 20, 1 << 24
+MEMORY, MEMORY_PIECES = 1 << 18, 1 << 22
 #: Characters up to which units of one length are merged together, as rows of a matrix.
 TOGETHER = 32
 _NEVER = np.int32(2**31 - 1)
@@ -560,9 +560,11 @@ def piece_model(path: str) -> PieceModel:
 ENCODED = "doc_id long, n_tokens long, ids array<int>, begins array<int>, ends array<int>"
 
 
-def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str | None = None, decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids, and for each piece the bytes [begin, end) of the text that it stands for.
 
+    With `decoded`, also the text that the ids stand for, as decode_documents() gives it.
+
     Ids are those of the sentencepiece library for the model file. Pieces of a character
     without a piece are its bytes, the last of which covers it. Null and empty texts have no
     pieces; rows that repeat are encoded as often as they occur; a null doc_id stays null;
@@ -570,7 +572,8 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     are encoded some megabytes at a time, a long one alone, which takes about a hundred
     times its size in memory.
     """
-    path = model or default_model()
+    path, schema = model or default_model(), ENCODED + (", decoded string" if decoded else "")
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = piece_model(path)
@@ -579,7 +582,8 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
             p = coder.encode(texts)
             bounds = pa.array(p.starts, pa.int32())
             listed = [pa.ListArray.from_arrays(bounds, pa.array(v, pa.int32())) for v in (p.ids, p.begins, p.ends)]
-            return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(p.starts), pa.int64()), *listed], names=["doc_id", "n_tokens", "ids", "begins", "ends"])
+            back = [pa.array(coder.decode(p.ids, p.starts), pa.string())] if decoded else []
+            return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(p.starts), pa.int64()), *listed, *back], names=names)
 
         for b in batches:
             at, held, texts = 0, 0, []
@@ -593,7 +597,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
             if texts:
                 yield flush(b.column(0).slice(at, len(texts)), texts)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -614,7 +618,7 @@ def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also: n_bytes, where the last piece ends in the source, and tiled, whether each span starts where its neighbour ends."""
-    done = decode_documents(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    done = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), decoded=True)
     rest = F.greatest(F.size("ids") - 1, F.lit(0))
     return done.select(
         "doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
