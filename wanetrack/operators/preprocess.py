@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wanetrack.functions.arrays import cross_products
 from wanetrack.functions.exprs import finite, median
 
 
@@ -35,12 +36,18 @@ def variance_filter(train: DataFrame, columns: Sequence[str], threshold: float =
     return out.withColumn("kept", F.coalesce(F.col("variance") > threshold, F.lit(False)))
 
 
+#: A sum of squares that centring brings below this share of itself is rounding: the column is constant there.
+_FLAT = 1e-12
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, rho) of every ordered pair of columns, in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("rho")) for i, (a, b) in enumerate(pairs)]
-    return wide.select(F.inline(F.array(*rows)))
+    """(a, b, rho) of every ordered pair of columns over the rows where both are finite; null where one is constant."""
+    c = cross_products(df, columns)
+    spread = lambda ss, s: F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+    va, vb = spread("saa", "sa"), spread("sbb", "sb")
+    varies = (va > _FLAT * F.col("saa")) & (vb > _FLAT * F.col("sbb"))
+    rho = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(va) / F.sqrt(vb)
+    return c.select("a", "b", F.when((F.col("n") > 1) & varies, rho).alias("rho"))
 
 
 def correlation_prune(train: DataFrame, columns: Sequence[str], limit: float = 0.98) -> DataFrame:
