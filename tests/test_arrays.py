@@ -2,6 +2,8 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,10 +48,12 @@ def test_no_rows(spark):
     assert preprocess.correlations(df, ["a", "b"]).collect() == []
 
 
-def test_seven_hundred_columns(spark):
+def test_seven_hundred_columns(spark, tmp_path):
     """One pass, and the earlier of two columns that go together is dropped."""
-    df = spark.range(300).select(*[(F.rand(i) + F.lit(float(i))).alias(f"f{i}") for i in range(699)])
-    df = df.withColumn("twin", F.col("f3") * 2 + 1)
+    x = np.random.default_rng(7).normal(0, 1, (300, 700))
+    x[:, 699] = 2 * x[:, 3] + 1
+    pq.write_table(pa.table({f"f{i}": x[:, i] for i in range(700)}), tmp_path / "wide.parquet")
+    df = spark.read.parquet(str(tmp_path / "wide.parquet"))
     got = preprocess.correlations(df, df.columns)
     assert got.count() == 700 * 699 // 2
     dropped = preprocess.correlation_prune(df, df.columns).filter("dropped").collect()

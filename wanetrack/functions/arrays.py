@@ -6,11 +6,9 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wanetrack.functions.exprs import finite
-
 #: Columns of one block of a cross-product matrix; a task holds a few matrices of twice this many columns.
 BLOCK = 1024
 #: Partial sums of one key that a task of the first round adds up.
@@ -22,9 +20,13 @@ def matrix(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
     return np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]) if columns else np.zeros((batch.num_rows, 0))
 
 
-def doubles(df: DataFrame, columns: Sequence[str], keys: Sequence[str | Column] = ()) -> DataFrame:
-    """keys, then the columns as finite doubles or null, named by number so that no name clashes."""
-    return df.select(*keys, *[finite(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(columns)])
+def doubles(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, then the columns as doubles, named by number so that no name clashes. NaN and infinities stay.
+
+    As texts: building hundreds of column objects costs more than reading their rows.
+    """
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    return df.selectExpr(*map(quoted, keys), *[f"cast({quoted(c)} as double) as _{i}" for i, c in enumerate(columns)])
 
 
 def partials(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -67,8 +69,7 @@ def cross_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     each pair of blocks, so a task's memory is bounded whatever the number of columns.
     """
     blocks = [range(i, min(i + BLOCK, len(columns))) for i in range(0, len(columns), BLOCK)]
-    means = df.agg(*[F.avg(finite(F.col(f"`{c}`"))) for c in columns]).first()  # one row, a number a column
-    shift = np.array([m or 0.0 for m in means])
+    shift = column_means(df, columns)
     out = None
     for i, left in enumerate(blocks):
         for right in blocks[i:]:
@@ -77,6 +78,24 @@ def cross_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
+def column_means(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Each column's mean, 0 where it has no finite value."""
+    names = [f"_{i}" for i in range(len(columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(names)))
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch, names)
+                m = np.isfinite(x)
+                total += [m.sum(axis=0), np.where(m, x, 0).sum(axis=0)]
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64()))], names=["k", "sums"])
+
+    row = added_up(partials(doubles(df, columns), run, "k int, sums array<double>"), "k").first()  # one row, two numbers a column
+    n, s = np.array(row["sums"]).reshape(2, -1) if row else np.zeros((2, len(names)))
+    return s / np.maximum(n, 1)
+
+
 def _cross_block(df: DataFrame, columns: Sequence[str], left: range, right: range, shift: np.ndarray) -> DataFrame:
     same = left == right
     used = list(left) if same else [*left, *right]
@@ -109,7 +128,7 @@ def _cross_block(df: DataFrame, columns: Sequence[str], left: range, right: rang
 
     width = len(right)
     summed = added_up(partials(doubles(df, [columns[i] for i in used]), run, "a int, sums array<double>"), "a")
-    listed = F.array(*map(F.lit, columns))
+    listed = F.lit(list(columns))
     cell = lambda k: F.col("sums")[F.col("j") + k * width]
     rows = summed.select("a", "sums", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j")).filter(F.col("j") + right[0] > F.col("a"))
     return rows.select(

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wanetrack.functions.arrays import added_up, column_means, doubles, matrix, partials
 from wanetrack.functions.exprs import finite, history, ladder, median, trailing
 from wanetrack.functions.ranges import running
 from wanetrack.operators.metrics import regression_metrics
@@ -108,6 +111,89 @@ def out_of_fold(df: DataFrame, folds: DataFrame, k: int, family: str, columns: S
     return out
 
 
+def _moments(df: DataFrame, columns: Sequence[str], label: str, entity: str) -> tuple[DataFrame, np.ndarray]:
+    """(entity, sums) and a shift: count, sums and cross products of (columns, label), less the shift, over each entity's complete rows.
+
+    Tasks add up what they read entity by entity, so a large entity costs a task no more
+    than its own rows, and only one short array an entity and batch leaves it.
+    """
+    used = [*columns, label]
+    names = [f"_{i}" for i in range(len(used))]
+    shift = column_means(df, used)
+
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch, names) - shift
+            ok = np.isfinite(x).all(axis=1)
+            if not ok.any():
+                continue
+            x = np.column_stack([np.ones(ok.sum()), x[ok]])
+            coded = batch.column(0).filter(pa.array(ok)).dictionary_encode()
+            which = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(which, kind="stable")
+            x, which = x[order], which[order]
+            cuts = np.flatnonzero(np.diff(which, prepend=-1))
+            found = [coded.dictionary[int(which[c])].as_py() if which[c] < len(coded.dictionary) else None for c in cuts]
+            sums = [(r.T @ r).ravel() for r in np.split(x, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(found, coded.dictionary.type), pa.array(sums, pa.list_(pa.float64()))], names=["entity", "sums"])
+
+    kind = dict(df.dtypes)[entity]
+    return added_up(partials(doubles(df, used, [entity]), run, f"entity {kind}, sums array<double>"), "entity"), shift
+
+
+def leave_one_out_ridge(df: DataFrame, columns: Sequence[str], label: str, reg: float = 1.0, entity: str = "battery_id") -> DataFrame:
+    """MDL4: (entity, n_train, intercept, coefficients) of the ridge fit to all other entities' complete rows, for every entity.
+
+    One aggregation serves all fits: an entity's cross products are taken off the total,
+    and a small system is solved a row. The penalty is that of the library's linear
+    regression: reg / 2 times the squares of the coefficients of standardised columns. A
+    column that is constant among the others has coefficient 0; an entity without others
+    has null coefficients.
+    """
+    d = len(columns)
+    sums, shift = _moments(df, columns, label, entity)
+    kind = dict(df.dtypes)[entity]
+    total = added_up(sums.select(F.lit(0).alias("k"), "sums", (F.abs(F.xxhash64("entity")) % 4096).cast("int").alias("part")), "k").select(F.col("sums").alias("total"))
+
+    def run(batches):
+        for batch in batches:
+            n_train, cut, weights = [], [], []
+            for mine, whole in zip(batch.column(1), batch.column(2), strict=True):
+                g = np.array(whole.as_py()).reshape(d + 2, -1) - np.array(mine.as_py()).reshape(d + 2, -1)
+                n = int(round(g[0, 0]))
+                n_train.append(n)
+                if n < 1:
+                    cut.append(None)
+                    weights.append(None)
+                    continue
+                mean = g[0, 1:] / n
+                cov = g[1:, 1:] / n - np.outer(mean, mean)
+                var = np.maximum(np.diag(cov), 0)
+                live = np.flatnonzero(var[:d] > 1e-12 * np.diag(g)[1:-1] / n)
+                w = np.zeros(d)
+                if len(live) and var[d] > 0:
+                    a = cov[np.ix_(live, live)] + np.diag(reg * var[live] / np.sqrt(var[d]))
+                    size = np.sqrt(var[live])
+                    w[live] = np.linalg.lstsq(a / np.outer(size, size), cov[live, d] / size, rcond=None)[0] / size
+                weights.append(w.tolist())
+                cut.append(float(mean[d] + shift[d] - w @ (mean[:d] + shift[:d])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n_train, pa.int64()), pa.array(cut, pa.float64()), pa.array(weights, pa.list_(pa.float64()))],
+                names=["entity", "n_train", "intercept", "coefficients"],
+            )
+
+    fits = sums.join(F.broadcast(total), F.lit(True)).mapInArrow(run, f"entity {kind}, n_train long, intercept double, coefficients array<double>")  # total: one row
+    return fits.withColumnRenamed("entity", entity)
+
+
+def leave_one_out(df: DataFrame, columns: Sequence[str], label: str, reg: float = 1.0, entity: str = "battery_id", order: str = "cycle_index") -> DataFrame:
+    """MDL4: every labelled row predicted by the ridge fit without its entity; null where a column is missing or nothing else was complete."""
+    rows = df.filter(F.col(label).isNotNull())
+    fits = leave_one_out_ridge(rows, columns, label, reg, entity)
+    p = reduce(lambda acc, i: acc + F.col("coefficients")[i] * finite(columns[i]), range(len(columns)), F.col("intercept"))
+    return rows.join(fits, entity, "left").select(entity, order, F.col(label).cast("double").alias("y_true"), p.alias("y_pred"), F.lit("ridge").alias("model"))
+
+
 def select_family(predictions: DataFrame, metric: str = "mae") -> DataFrame:
     """MDL5: the families ranked by their pooled out-of-fold error."""
     m = regression_metrics(predictions, ["model"])

@@ -393,6 +393,42 @@ def _(s, d):
     return U.cross_conformal(preds(s, d))
 
 
+#: All entities but the held one, stage by stage and altogether; the oracle forms the pairs that the operator avoids.
+_OTHERS = f"""with blocks as ({_BLOCKS} union all select '*', battery_id, max(abs(y_pred - y_true)), count(*) from predictions where y_pred is not null group by 2),
+  held as (select distinct battery_id from predictions),
+  pairs as (select h.battery_id, b.stage, b.score, sum(b.k) over w as rows, count(*) over w as n, row_number() over (partition by h.battery_id, b.stage order by b.score, b.battery_id) - 1 as rn
+    from held h join blocks b on h.battery_id <> b.battery_id window w as (partition by h.battery_id, b.stage)),
+  q as (select battery_id, stage, score as quantile from pairs where n >= 3 and rows >= 20 and rn = ceil(round(least(ceil(round((n + 1) * 0.9, 9)) / n, 1.0) * (n - 1), 9))),
+  bounded as (select p.*, coalesce(s.quantile, a.quantile) as width, case when s.quantile is not null then 'stage' when a.quantile is not null then 'all' else 'none' end as source
+    from (select *, {_STAGE} as stage from predictions) p left join q s using (battery_id, stage) left join q a on p.battery_id = a.battery_id and a.stage = '*')"""
+
+
+def _thinned(s, d):
+    """Predictions as they are, but the first life stage has been reached by two entities only, so that every fallback occurs."""
+    p = preds(s, d)
+    return p.withColumn("soh", F.when((F.col("soh") >= 0.9) & ~F.col("battery_id").isin("1", "2"), F.lit(0.85)).otherwise(F.col("soh")))
+
+
+_THIN = "(select * replace (case when soh >= 0.9 and battery_id not in ('1', '2') then 0.85 else soh end as soh) from predictions)"
+_UNC5 = _OTHERS + " select prediction_id, stage, case when y_pred - width is not null then greatest(y_pred - width, 0.0) end as lower, y_pred + width as upper, source from bounded"
+
+
+@query("unc5_intervals", _UNC5, "predictions", "lower upper")
+def _(s, d):
+    return U.cross_conformal_intervals(preds(s, d)).select("prediction_id", "stage", "lower", "upper", "source")
+
+
+@query("unc5_intervals_with_fallback", _UNC5.replace("from predictions", f"from {_THIN}"), "predictions", "lower upper")
+def _(s, d):
+    return U.cross_conformal_intervals(_thinned(s, d)).select("prediction_id", "stage", "lower", "upper", "source")
+
+
+@query("unc6_worst_entity", _OTHERS + """ select 'entity' as level, battery_id as name, count(*) as n, avg(cast(y_true between greatest(y_pred - width, 0.0) and y_pred + width as int)) as coverage,
+  avg(y_pred + width - greatest(y_pred - width, 0.0)) as width from bounded where y_pred is not null and width is not null group by 2 order by coverage, name limit 1""", "predictions", "coverage width")
+def _(s, d):
+    return U.worst_entity(U.coverage(U.cross_conformal_intervals(preds(s, d))))
+
+
 @query("unc6_coverage", """
 select case grouping_id(battery_id, stage) when 3 then 'all' when 1 then 'entity' else 'stage' end as level, coalesce(battery_id, stage, '') as name, count(*) as n,
   avg(cast(y_true between rul_lower_bound and rul_upper_bound as int)) as coverage, avg(rul_upper_bound - rul_lower_bound) as width
@@ -430,6 +466,23 @@ def _(s, d):
     return X.out_of_fold(r, S.grouped_folds(r, 3), 3, "ridge", COLS, "rul_cycles")
 
 
+_TWO = ["capacity_ah", "temperature_max_c"]
+_LOO = """with rows as (select battery_id, cycle_index, capacity_ah as a, temperature_max_c as b, cast(n_cycles - cycle_index as double) as y from cycles),
+  own as (select battery_id, count(*) as n, sum(a) as sa, sum(b) as sb, sum(y) as sy, sum(a * a) as saa, sum(b * b) as sbb, sum(y * y) as syy, sum(a * b) as sab, sum(a * y) as say, sum(b * y) as sby
+    from rows where a is not null and b is not null group by 1),
+  rest as (select o.battery_id, sum(x.n) as n, sum(x.sa) / sum(x.n) as ma, sum(x.sb) / sum(x.n) as mb, sum(x.sy) / sum(x.n) as my, sum(x.saa) / sum(x.n) as aa, sum(x.sbb) / sum(x.n) as bb,
+    sum(x.syy) / sum(x.n) as yy, sum(x.sab) / sum(x.n) as ab, sum(x.say) / sum(x.n) as ay, sum(x.sby) / sum(x.n) as by_ from own o join own x on o.battery_id <> x.battery_id group by 1),
+  cov as (select battery_id, n, ma, mb, my, (aa - ma * ma) * (1 + 1.0 / sqrt(yy - my * my)) as p, (bb - mb * mb) * (1 + 1.0 / sqrt(yy - my * my)) as q, ab - ma * mb as r, ay - ma * my as u, by_ - mb * my as v from rest),
+  fit as (select *, (u * q - v * r) / (p * q - r * r) as wa, (v * p - u * r) / (p * q - r * r) as wb from cov)
+select c.battery_id, c.cycle_index, y as y_true, my + wa * (a - ma) + wb * (b - mb) as y_pred, 'ridge' as model from rows c left join fit using (battery_id)"""
+
+
+@query("mdl4_leave_one_out", _LOO, "cycles", "y_true y_pred", digits=4)
+def _(s, d):
+    rows = cycles(s, d).withColumn("rul", (F.col("n_cycles") - F.col("cycle_index")).cast("double"))
+    return X.leave_one_out(rows, _TWO, "rul")
+
+
 @query("mdl3_families")
 def _(s, d):
     r = labelled(s, d).select("battery_id", "cycle_index", "rul_cycles", *COLS)
