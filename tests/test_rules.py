@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wanetrack.functions.exprs import history
-from wanetrack.functions.ranges import running
+from wanetrack.functions.ranges import in_ranges, running
 from wanetrack.operators import clean, drift, features, fleet, health, metrics, monitoring, splits
 from wanetrack.sources import tables
 
@@ -113,18 +113,40 @@ def test_empty_history(spark):
     assert features.ewm(empty, "capacity_ah", (1,)).count() == 0
 
 
+def test_one_value_spreads_over_ranges(spark):
+    """Nine rows in ten are equal in every column; sums and the next value are right, and no range holds more than its share."""
+    rng = np.random.default_rng(8)
+    v = np.where(rng.random(4000) < 0.9, 5.0, rng.integers(0, 9, 4000).astype(float))
+    df = spark.createDataFrame([(float(x), 1) for x in v], "v double, w int").repartition(6)
+    laid = in_ranges(df, F.col("v"), ranges=8)
+    sizes = [r["count"] for r in laid.groupBy("_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 4000 / 8
+    for down in (False, True):
+        got = running(df, "v", {"n": F.lit(1)}, descending=down, following="after", ranges=8).toPandas().sort_values("n")
+        want = sorted(v, reverse=down)
+        assert got.v.tolist() == want and got.n.tolist() == list(range(1, 4001))
+        assert got.after.tolist()[:-1] == want[1:] and np.isnan(got.after.iloc[-1])
+
+
 def test_repeated_keys_are_refused(spark):
     one = spark.createDataFrame([("a", 1, 5.0), ("b", 1, 6.0)], "battery_id string, cycle_index int, x double")
     two = one.union(one.filter("battery_id = 'a'")).withColumnRenamed("x", "y")
-    with pytest.raises(ValueError, match="battery_id = a, cycle_index = 1 occurs 2 times"):
-        monitoring.attach_labels(one, two)
-    with pytest.raises(ValueError, match="features"):
-        monitoring.attach_labels(two, one)
-    with pytest.raises(ValueError, match="outcomes"):
-        monitoring.match_outcomes(one, two)
+    with pytest.raises(Exception, match="labels: battery_id = a, cycle_index = 1 occurs 2 times"):
+        monitoring.attach_labels(one, two).collect()
+    with pytest.raises(Exception, match="features"):
+        monitoring.attach_labels(two, one).collect()
+    with pytest.raises(Exception, match="outcomes"):
+        monitoring.match_outcomes(one, two).collect()
     assert monitoring.match_outcomes(two, one).count() == 3
 
 
+def test_null_keys_match_nothing(spark):
+    rows = spark.createDataFrame([(None, 1, 5.0), (None, 1, 6.0), ("b", 1, 6.0)], "battery_id string, cycle_index int, x double")
+    other = rows.withColumnRenamed("x", "y")
+    assert sorted((r.x, r.y) for r in monitoring.attach_labels(rows, other).collect() if r.y) == [(6.0, 6.0)]
+    assert monitoring.attach_labels(rows, other).count() == 3 and monitoring.match_outcomes(rows, other).count() == 1
+
+
 def test_two_samples_against_plain_counts(spark):
     rng = np.random.default_rng(8)
     a, b = np.round(rng.normal(0, 1, 80), 1), np.round(rng.normal(0.5, 2, 50), 1)

@@ -4,50 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wanetrack.sources.tables import written
 
-def in_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
-    """df with `_range`: rows of equal `order` (a number, not null) share one, and larger values have later ones.
 
-    Cuts are approximate quantiles of the column, over all groups alike; they steer where
-    rows go, never what comes out. One value that a third of the rows have fills one range.
+def in_ranges(df: DataFrame, *order: Column, ranges: int | None = None) -> DataFrame:
+    """df, written once, with `_range`: later rows of that order have the same number or larger ones, and `_tie`, a number of its own a row.
+
+    Rows that are equal in `order` are ordered by `_tie`, so one value that most rows have
+    spreads over as many ranges as others do.
     """
-    n = ranges or max(2, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probe = df.select(F.col(order).cast("double").alias("v"))
-    cuts = probe.agg(F.percentile_approx("v", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(20 * n))).first()[0] or []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        return df.withColumn("_range", F.lit(0.0))
-    out = df.withColumn("_v", F.col(order).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_v", outputCol="_range", handleInvalid="keep").transform(out).drop("_v")
+    rows = df.withColumn("_tie", F.monotonically_increasing_id())
+    cut = (*order, F.col("_tie"))
+    laid = rows.repartitionByRange(ranges, *cut) if ranges else rows.repartitionByRange(*cut)
+    return written(laid.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def running(
     df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), descending: bool = False, ties: Sequence[str] = (),
-    totals: bool = False, ranges: int | None = None,
+    totals: bool = False, following: str | None = None, ranges: int | None = None,
 ) -> DataFrame:
     """df with a column for each of `sums`: its sum over all rows before, in the order of `order` and `ties`, and this one.
 
-    Rows are sorted within ranges; the ranges' totals, a few numbers each, are added up
-    and handed back. Null values of `order` are left out. Rows that tie in all columns are
-    taken one by one in no fixed order, so what counts them should sum equal numbers.
-    With `totals`, columns `total_<name>` hold the sums over all rows of the group.
+    The rows are written once, in ranges of that order, and sorted within them; the ranges'
+    totals, a few numbers each, are added up and handed back. Null values of `order` are
+    left out. Rows that tie in all columns are taken one by one in no fixed order, so what
+    counts them should sum equal numbers. With `totals`, columns `total_<name>` hold the
+    sums over all rows of the group; with `following`, that column holds the next row's
+    value of `order`, null at a group's last.
     """
-    rows = in_ranges(df.filter(F.col(order).isNotNull()), order, ranges).withColumns({f"_s_{k}": c for k, c in sums.items()})
     turn = lambda c: F.desc(c) if descending else F.asc(c)
-    parts = rows.groupBy(*by, "_range").agg(*[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
-    before = Window.partitionBy(*by).orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.filter(F.col(order).isNotNull()).withColumns({f"_s_{k}": c for k, c in sums.items()})
+    rows = in_ranges(summed, *map(F.col, by), turn(order), *map(F.col, ties), ranges=ranges)
+    first = (F.max if descending else F.min)(order)
+    parts = rows.groupBy(*by, "_range").agg(first.alias("_first"), *[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
+    inner = Window.partitionBy(*by).orderBy("_range")
+    before = inner.rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums],
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), F.lead("_first").over(inner).alias("_next"),
+        *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums],
         *[F.sum(f"_t_{k}").over(Window.partitionBy(*by)).alias(f"total_{k}") for k in sums],
     )
     same = F.col("_range") == F.col("_r")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    inside = Window.partitionBy(*by, "_range").orderBy(turn(order), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_range").orderBy(turn(order), *ties, "_tie")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(F.broadcast(bases) if not by else bases, same)  # without groups: one row a range
-    out = out.withColumns({k: F.col(f"_b_{k}") + F.sum(f"_s_{k}").over(inside) for k in sums})
-    return out.select(*df.columns, *sums, *([f"total_{k}" for k in sums] if totals else []))
+    added = {k: F.col(f"_b_{k}") + F.sum(f"_s_{k}").over(upto) for k in sums}
+    if following:
+        added[following] = F.coalesce(F.lead(order).over(inside), F.col("_next"))
+    out = out.withColumns(added)
+    return out.select(*df.columns, *added, *([f"total_{k}" for k in sums] if totals else []))

@@ -139,12 +139,9 @@ def two_sample(a: DataFrame, b: DataFrame, value: str = "value", by: Sequence[st
     keys = list(by)
     rows = a.select(*keys, F.col(value).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(*keys, value, F.lit(0), F.lit(1)))
     g = rows.filter("v is not null").groupBy(*keys, "v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    g = running(g, "v", {"_x": F.col("x"), "_y": F.col("y"), "_one": F.lit(1)}, keys, totals=True)
+    g = running(g, "v", {"_x": F.col("x"), "_y": F.col("y")}, keys, totals=True, following="_after")
     d = F.abs(F.col("_x") / F.col("total__x") - F.col("_y") / F.col("total__y"))
-    g = g.select(*keys, "v", "x", "y", "_one", d.alias("d"))
-    # The step to the next distinct value: its neighbour by number, since ranges end between them.
-    after = g.select(*keys, F.col("v").alias("_after"), (F.col("_one") - 1).alias("_one"))
-    g = g.join(after, [*keys, "_one"], "left").withColumn("step", F.col("_after") - F.col("v"))
+    g = g.select(*keys, "x", "y", d.alias("d"), (F.col("_after") - F.col("v")).alias("step"))
     return g.groupBy(*keys).agg(F.max("d").alias("ks"), F.coalesce(F.sum(F.col("d") * F.col("step")), F.lit(0.0)).alias("wasserstein"), F.sum("x").alias("n"), F.sum("y").alias("m"))
 
 

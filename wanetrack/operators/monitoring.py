@@ -12,34 +12,37 @@ from wanetrack.functions.exprs import ladder
 from wanetrack.operators.calibrate import ranking_quality
 from wanetrack.operators.drift import DRIFTED_PARTS
 from wanetrack.operators.quality import FLEET_PARTS
+from wanetrack.sources.tables import written
 
 KEYS = ["battery_id", "cycle_index"]
 
 
-def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
-    """Raises if two rows share a key."""
-    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"{what}: {', '.join(f'{k} = {twice[0][k]}' for k in keys)} occurs {twice[0]['n']} times")
+def unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """df, which fails while it runs if two rows share a key. Keys with a null match nothing and may repeat.
+
+    Rows are counted within their key, in the exchange that a join by the keys needs
+    anyway, so the check reads and shuffles nothing twice.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    told = F.concat(F.lit(f"{what}: "), F.concat_ws(", ", *[F.concat(F.lit(f"{k} = "), F.col(k).cast("string")) for k in keys]), F.lit(" occurs "), F.col("_n").cast("string"), F.lit(" times"))
+    checked = df.withColumn("_n", n).withColumn("_n", F.when((F.col("_n") > 1) & whole, F.raise_error(told).cast("long")).otherwise(F.col("_n")))
+    return checked.filter(F.col("_n") > 0).drop("_n")
 
 
 def attach_labels(features: DataFrame, labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """JON1: features with the label of their key, or nulls; a key that occurs twice on either side is an error."""
-    assert_unique(features, keys, "features")
-    assert_unique(labels, keys, "labels")
-    return features.join(labels, list(keys), "left")
+    return unique(features, keys, "features").join(unique(labels, keys, "labels"), list(keys), "left")
 
 
 def match_outcomes(predictions: DataFrame, outcomes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """JON2: predictions with the label that has arrived for them; a key with two labels is an error."""
-    assert_unique(outcomes, keys, "outcomes")
-    return predictions.join(outcomes, list(keys), "inner")
+    return predictions.join(unique(outcomes, keys, "outcomes"), list(keys), "inner")
 
 
 def label_coverage(predictions: DataFrame, outcomes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """JON2: how much of either side finds its match; a key with two labels is an error."""
-    assert_unique(outcomes, keys, "outcomes")
-    marked = predictions.select(*keys).withColumn("p", F.lit(1)).join(outcomes.select(*keys).withColumn("o", F.lit(1)), list(keys), "full_outer")
+    marked = predictions.select(*keys).withColumn("p", F.lit(1)).join(unique(outcomes.select(*keys), keys, "outcomes").withColumn("o", F.lit(1)), list(keys), "full_outer")
     return marked.agg(F.count("p").alias("predictions"), F.count_if(F.col("o").isNotNull() & F.col("p").isNull()).alias("_alone"), F.count_if(F.col("p").isNotNull() & F.col("o").isNotNull()).alias("matched"),
                       F.count_distinct(F.when(F.col("p").isNotNull() & F.col("o").isNotNull(), F.struct(*keys))).alias("_met")).select(
         "predictions", (F.col("_alone") + F.col("_met")).alias("labels"), "matched", F.try_divide("matched", "predictions").alias("coverage")
@@ -61,7 +64,8 @@ def performance_report(
     metric needs enough rows of its own; without enough labels at all none is published.
     Columns: y_pred, soh, probability, bounds; observed_rul, observed_soh, eol_within_horizon.
     """
-    every = match_outcomes(predictions, outcomes, keys)
+    used = ["model_version", "y_pred", "soh", "probability", "rul_lower_bound", "rul_upper_bound", "observed_rul", "observed_soh", "eol_within_horizon"]
+    every = written(match_outcomes(predictions, outcomes, keys).select(*used), "matched")  # read three times below
     total = predictions.agg(F.count(F.lit(1)).alias("n_predictions"))
     joined = every.agg(F.count(F.lit(1)).alias("n_joined"), F.count_if(F.col("model_version") == version).alias("n_version"))
     counts = total.join(joined, F.lit(True), "cross")  # one row each

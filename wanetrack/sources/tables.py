@@ -23,6 +23,16 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder and read back: what reads it later runs nothing before it again, and outlives lost executors.
+
+    The table stays until that folder is cleared, since results are read from it lazily.
+    """
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """SRC1, SRC2: by extension: .csv (a header; give a schema), .json (an array of records), Parquet otherwise."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
