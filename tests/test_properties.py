@@ -125,8 +125,18 @@ def test_fingerprint_sees_content_alone(rows):
 
 
 @pytest.mark.parametrize(("x", "dof", "p"), [(3.841458820694124, 1, 0.05), (11.070497693516351, 5, 0.05), (2 * math.log(10), 2, 0.1), (0.0, 3, 1.0), (60.0, 2, math.exp(-30))])
-def test_chi_square_tail(x, dof, p):
-    assert drift.chi_square_p_value(x, dof) == pytest.approx(p, rel=1e-6, abs=1e-13)
+def test_chi_square_tail(spark, x, dof, p):
+    got = spark.createDataFrame([(x, dof)], "x double, dof int").select(drift.chi_square_p(F.col("x"), F.col("dof"))).first()[0]
+    assert got == pytest.approx(p, rel=1e-6, abs=1e-13)
+
+
+def test_chi_square_tail_of_many_degrees(spark):
+    """Against the sum of Poisson terms, which is the tail for an even number of degrees."""
+    rows = [(float(x), dof) for dof in (2, 4, 10, 40, 200) for x in (0.1, 1.0, dof / 2, float(dof), 1.5 * dof, 3.0 * dof + 20)]
+    got = spark.createDataFrame(rows, "x double, dof int").select("x", "dof", drift.chi_square_p(F.col("x"), F.col("dof")).alias("p")).collect()
+    for r in got:
+        h = r.x / 2
+        assert r.p == pytest.approx(sum(math.exp(-h + i * math.log(h) - math.lgamma(i + 1)) for i in range(r.dof // 2)), rel=1e-9, abs=1e-14)
 
 
 def test_ks_tail(spark):
@@ -135,4 +145,3 @@ def test_ks_tail(spark):
     df = spark.createDataFrame([(t / math.sqrt(n / 2), n, n) for t in (1.3581, 1.6276, 0.1)], "d double, n long, m long")
     got = [r[0] for r in df.select(drift.ks_p(F.col("d"), F.col("n"), F.col("m"))).collect()]
     assert got == [pytest.approx(0.05, abs=2e-4), pytest.approx(0.01, abs=1e-4), 1.0]
-    assert drift.ks_p_value(0.3, 40, 50) == pytest.approx(spark.range(1).select(drift.ks_p(F.lit(0.3), F.lit(40), F.lit(50))).first()[0])

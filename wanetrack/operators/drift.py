@@ -9,40 +9,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wanetrack.functions.exprs import finite, ladder
+from wanetrack.functions.quantiles import exact_quantiles
 from wanetrack.functions.ranges import running
-from wanetrack.operators.preprocess import unpivot
+from wanetrack.operators.preprocess import per_column, unpivot
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 DECILES = tuple(i / 10 for i in range(1, 10))
 
 
-def exact_quantiles(long: DataFrame, levels: dict[str, Sequence[float]]) -> DataFrame:
-    """(feature, <name> ...): interpolated quantiles of (feature, value), picked by rank from running counts of distinct values."""
-    counts = long.filter("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("k"))
-    r = running(counts, "value", {"upto": F.col("k")}, ["feature"], totals=True)
-    at = {q: F.lit(float(q)) * (F.col("total_upto") - 1) for qs in levels.values() for q in qs}
-    held = lambda rank: F.max(F.when((rank >= F.col("upto") - F.col("k")) & (rank < F.col("upto")), F.col("value")))
-    picks = r.groupBy("feature").agg(
-        F.max("total_upto").alias("_n"), *[f(x).alias(f"{e}{i}") for i, x in enumerate(at.values()) for e, f in (("lo", lambda x: held(F.floor(x))), ("hi", lambda x: held(F.ceil(x))))]
-    )
-    value = {}
-    for i, q in enumerate(at):
-        x = F.lit(float(q)) * (F.col("_n") - 1)
-        value[q] = F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (x - F.floor(x))
-    return picks.select("feature", *[F.array(*[value[q] for q in qs]).alias(name) for name, qs in levels.items()])
-
-
 def numeric_reference(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """REF1: a row a feature: count, missing rate, moments, quantiles, inner bin edges (distinct deciles), constancy.
 
     A feature without any finite value has null quantiles and counts as constant.
     """
-    long = unpivot(df, columns).withColumn("value", finite("value"))
-    g = long.groupBy("feature").agg(
-        F.count("value").alias("n"), F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"),
-    )
-    g = g.join(exact_quantiles(long, {"quantiles": QUANTILES, "deciles": DECILES}), "feature", "left")
+    levels = sorted({*QUANTILES, *DECILES})
+    pick = lambda wanted: F.array(*[F.col("_q")[levels.index(q)] for q in wanted])
+    held = exact_quantiles(df, columns, levels).select("feature", F.col("quantiles").alias("_q"))
+    g = per_column(
+        df, columns, n=lambda c: F.count(finite(c)), missing_rate=lambda c: F.avg(finite(c).isNull().cast("int")), mean=lambda c: F.avg(finite(c)),
+        std=lambda c: F.stddev_samp(finite(c)), low=lambda c: F.min(finite(c)), high=lambda c: F.max(finite(c)),
+    ).join(F.broadcast(held), "feature")  # a row a feature
+    some = F.col("n") > 0
+    g = g.withColumns({"quantiles": F.when(some, pick(QUANTILES)), "deciles": F.when(some, pick(DECILES))}).drop("_q")
     width = (F.col("high") - F.col("low")) / 10
     equal = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.col("low") + i * width)
     inner = F.array_sort(F.array_distinct("deciles"))
@@ -154,15 +142,6 @@ def ks_p(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     return F.when(t < 0.2, 1.0).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks_p_value(d: float, n: int, m: int, terms: int = 100) -> float:
-    """The asymptotic two-sided p-value of a two-sample statistic."""
-    en = math.sqrt(n * m / (n + m))
-    t = (en + 0.12 + 0.11 / en) * d
-    if t < 0.2:
-        return 1.0
-    return min(max(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, terms)), 0.0), 1.0)
-
-
 def chi_square(reference: DataFrame, current: DataFrame) -> DataFrame:
     """DRF5: statistic of the 2 x K table (Yates for K = 2), its degrees of freedom, and the rate of unseen categories."""
     both = reference.select("category", F.col("n").alias("a")).join(current.select("category", F.col("n").alias("b")), "category", "full_outer")
@@ -184,28 +163,96 @@ def chi_square(reference: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def chi_square_p_value(x: float, dof: int) -> float:
-    """Upper tail: the regularised incomplete gamma function by its series."""
-    if dof < 1 or x <= 0:
-        return 1.0
-    a, h = dof / 2, x / 2
-    term = total = 1 / a
-    for k in range(1, 2000):
-        term *= h / (a + k)
-        total += term
-        if term < total * 1e-15:
-            break
-    return min(max(1 - total * math.exp(-h + a * math.log(h) - math.lgamma(a)), 0.0), 1.0)
+def log_gamma_half(dof: Column) -> Column:
+    """ln gamma(dof / 2) of a positive integer, by its recurrence."""
+    odd = dof % 2 == 1
+    steps = F.when(dof > 2, F.sequence(F.lit(1), F.ceil(dof / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.when(odd, F.lit(0.5 * math.log(math.pi))).otherwise(F.lit(0.0))
+    return F.aggregate(steps, start, lambda acc, i: acc + F.log(i - F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))))
+
+
+def chi_square_p(x: Column, dof: Column, terms: int = 400) -> Column:
+    """DRF5: the upper tail of the chi-square distribution, the regularised incomplete gamma function at (dof / 2, x / 2).
+
+    By its series below the mean and by its continued fraction, from the far end, above it.
+    """
+    a, h = dof / 2.0, x / 2.0
+    scale = F.exp(-h + a * F.log(h) - log_gamma_half(dof))
+    first = F.struct((F.lit(1.0) / a).alias("term"), (F.lit(1.0) / a).alias("total"))
+
+    def grow(acc: Column, k: Column) -> Column:
+        term = acc["term"] * h / (a + k)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), first, grow, lambda acc: acc["total"])
+    ladder_up = F.sequence(F.lit(terms), F.lit(1), F.lit(-1))
+    fraction = F.aggregate(ladder_up, h + 2 * terms + 1 - a, lambda t, i: h + 2 * i - 1 - a - i * (i - a) / t)
+    tail = F.when(h < a + 1, 1 - series * scale).otherwise(scale / fraction)
+    return F.when(dof >= 1, F.when(x <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0))))
+
+
+def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, category, n) of all columns in one pass, nulls left out; small groups before any shuffle."""
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in columns])
+    return df.select(F.inline(rows)).filter("category IS NOT NULL").groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def categorical_references(df: DataFrame, columns: Sequence[str], most: int = 12) -> DataFrame:
+    """REF2: (feature, category, n, proportion) of the columns of at most `most` categories."""
+    own = Window.partitionBy("feature")
+    g = category_counts(df, columns).withColumn("proportion", F.col("n") / F.sum("n").over(own)).withColumn("_k", F.count(F.lit(1)).over(own))
+    return g.filter(F.col("_k") <= most).drop("_k")
+
+
+def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str], min_rows: int = 30) -> DataFrame:
+    """DRF7: (feature, metric, value, p_value) of categorical features: chi2 and unseen_rate, or why there are none.
+
+    reference: from categorical_references(); columns: those of the batch. All features are
+    counted in one pass and tested as 2 x K tables of one joined table (Yates for K = 2).
+    A feature that the batch lacks is a row `missing`; one with fewer than min_rows values,
+    or with a single category in the reference, `small_sample`, or `constant` if it has no
+    value at all. chi2 is null where both samples have the same single category.
+    """
+    have = [c for c in columns if c in current.columns]
+    now = category_counts(current, have) if have else reference.limit(0).select("feature", "category", "n")
+    both = reference.select("feature", "category", F.col("n").alias("a")).join(now.select("feature", "category", F.col("n").alias("b")), ["feature", "category"], "full_outer")
+    own = Window.partitionBy("feature")
+    known = F.max(F.col("a").isNotNull()).over(own)
+    both = both.withColumns({"known": known, "unseen": F.col("a").isNull()}).filter("known").withColumns({k: F.coalesce(k, F.lit(0)) for k in "ab"})
+    both = both.withColumns({"total_a": F.sum("a").over(own), "total_b": F.sum("b").over(own), "k": F.count(F.lit(1)).over(own)})
+    share = (F.col("a") + F.col("b")) / (F.col("total_a") + F.col("total_b"))
+
+    def part(n: str, total: str) -> Column:
+        e = F.col(total) * share
+        off = F.abs(F.col(n) - e)
+        off = F.when(F.col("k") == 2, F.greatest(off - 0.5, F.lit(0.0))).otherwise(off)
+        return F.when(F.col("k") > 1, F.try_divide(off * off, e))
+
+    g = both.groupBy("feature").agg(
+        F.sum(part("a", "total_a") + part("b", "total_b")).alias("chi2"), F.max("k").alias("k"), F.count_if(~F.col("unseen")).alias("known"), F.max("total_b").alias("sample"),
+        F.try_divide(F.sum(F.when(F.col("unseen"), F.col("b")).otherwise(0)), F.max("total_b")).alias("unseen_rate"),
+    )
+    gone = ~F.col("feature").isin(*have) if have else F.lit(True)
+    odd = ladder((gone, "missing"), ((F.col("known") < 2) & (F.col("sample") == 0), "constant"), (F.col("sample") == 0, "small_sample"), ((F.col("sample") < min_rows) | (F.col("known") < 2), "small_sample"))
+    g = g.withColumn("odd", odd)
+    none = F.lit(None).cast("double")
+    row = lambda k, v, p: F.struct(k.alias("metric"), v.cast("double").alias("value"), p.alias("p_value"))
+    tests = F.when(F.col("odd").isNotNull(), F.array(row(F.col("odd"), none, none))).otherwise(
+        F.array(row(F.lit("chi2"), F.col("chi2"), chi_square_p(F.col("chi2"), (F.col("k") - 1).cast("int"))), row(F.lit("unseen_rate"), F.col("unseen_rate"), none))
+    )
+    return g.select("feature", F.inline(tests))
 
 
 def adjust_p(tests: DataFrame, how: str = "bh", p: str = "p_value") -> DataFrame:
-    """DRF6: Benjamini-Hochberg or Bonferroni over the tests that have a p-value."""
+    """DRF6: Benjamini-Hochberg or Bonferroni over the tests that have a p-value; `none` leaves all unadjusted (null)."""
+    if how == "none":
+        return tests.withColumn("adjusted", F.lit(None).cast("double"))
     has = F.col(p).isNotNull()
     part = Window.partitionBy(has)
     n = F.count(p).over(part)
     if how == "bonferroni":
         return tests.withColumn("adjusted", F.when(has, F.least(F.col(p) * n, F.lit(1.0))))
-    order = part.orderBy(p, "feature")
+    order = part.orderBy(p, "feature")  # one row a feature and test
     tests = tests.withColumn("_q", F.when(has, F.col(p) * n / F.row_number().over(order)))
     least = F.min("_q").over(order.rowsBetween(0, Window.unboundedFollowing))
     return tests.withColumn("adjusted", F.when(has, F.least(least, F.lit(1.0)))).drop("_q")
@@ -216,9 +263,15 @@ DRIFT_LEVELS = {"psi": (0.10, 0.25), "js": (0.10, 0.25), "ks": (0.10, 0.20), "wa
 DRIFTED_PARTS, ALPHA, LEAST_ROWS = (0.10, 0.25), 0.05, 30
 
 
-def feature_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str], min_rows: int = LEAST_ROWS, how: str = "bh", alpha: float = ALPHA) -> DataFrame:
+def feature_drift(
+    reference: DataFrame, current: DataFrame, columns: Sequence[str], min_rows: int = LEAST_ROWS, how: str = "bh", alpha: float = ALPHA,
+    categories: DataFrame | None = None, labels: Sequence[str] = (),
+) -> DataFrame:
     """DRF7: a row a feature and metric: (feature, metric, value, p_value, adjusted, severity, reliable, drifted).
 
+    With `categories`, from categorical_references(), and the batch's columns `labels`,
+    categorical features are tested too, and p-values are adjusted over both kinds.
+
     reference: from numeric_reference(); columns: the batch's numeric columns. A feature
     that the batch lacks, one that the reference lacks, a constant reference and a small
     sample are rows of their own (metric missing, new, constant, small_sample), unscored.
@@ -247,16 +300,23 @@ def feature_drift(reference: DataFrame, current: DataFrame, columns: Sequence[st
     scored = bins.select("feature", rows(("psi", F.col("psi"), none), ("js", F.col("js"), none))).union(
         ts.select("feature", rows(("ks", F.col("ks"), ks_p(F.col("ks"), F.col("n"), F.col("m"))), ("wasserstein", F.col("wasserstein") / scale, none)))
     )
-    return drift_severity(adjust_p(scored.union(odd), how), alpha)
+    tests = scored.union(odd)
+    if categories is not None:
+        tests = tests.unionByName(categorical_drift(categories, current, labels, min_rows))
+    return drift_severity(adjust_p(tests, how), alpha)
 
 
 def drift_severity(tests: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """DRF7: tests (feature, metric, value, p_value, adjusted) with severity, reliability and whether they show drift."""
+    """DRF7: tests (feature, metric, value, p_value, adjusted) with severity, reliability and whether they show drift.
+
+    chi2 has no levels of its own: it warns where its p-value is at most alpha.
+    """
     level = lambda i: F.create_map(*[F.lit(x) for k, v in DRIFT_LEVELS.items() for x in (k, v[i])])[F.col("metric")]
     sig = F.coalesce(F.col("adjusted") <= alpha, F.lit(True))
     value = F.col("value")
     severity = ladder(
-        (value.isNull(), "unknown"), ((value >= level(1)) & sig, "critical"), ((value >= level(0)) & sig, "warning"), otherwise="ok",
+        ((F.col("metric") == "chi2") & value.isNull(), "ok"), (value.isNull(), "unknown"), ((F.col("metric") == "chi2") & (F.col("p_value") <= alpha) & sig, "warning"),
+        ((value >= level(1)) & sig, "critical"), ((value >= level(0)) & sig, "warning"), otherwise="ok",
     )
     return tests.withColumn("severity", severity).withColumn("reliable", value.isNotNull()).withColumn("drifted", F.col("severity").isin("warning", "critical"))
 
@@ -277,13 +337,97 @@ def fleet_drift(tests: DataFrame) -> DataFrame:
     return out.select("n", "n_drifted", "n_skipped", part.alias("fraction"), status.alias("status"))
 
 
+#: Fixed values of the surveyed prediction-drift policy: levels of summaries, least scored rows, (warning, critical) of each metric.
+SUMMARY_LEVELS, LEAST_SCORED, BINS = {"q5": 0.05, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q95": 0.95}, 20, 10
+SHIFT_LEVELS = {"mean_shift": (0.25, 0.50), "quantile_shift": (0.25, 0.50), "psi": (0.10, 0.25), "class_distance": (0.15, 0.30), "width_ratio": (1.25, 1.75)}
+
+
 def prediction_summary(df: DataFrame, outputs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """PDR1: a row an output: count, moments and quantiles."""
-    long = unpivot(df, outputs, by).withColumn("value", finite("value"))
-    return long.groupBy(*by, F.col("feature").alias("output")).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        *[F.percentile("value", F.lit(q)).alias(f"q{int(100 * q)}") for q in (0.05, 0.5, 0.95)],
-    )
+    """PDR1: a row an output: count, moments, ends and quantiles. Without groups the quantiles are selected in passes."""
+    moments = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "least": F.min, "most": F.max}
+    if by:
+        long = unpivot(df, outputs, by).withColumn("value", finite("value"))
+        return long.groupBy(*by, F.col("feature").alias("output")).agg(
+            *[f("value").alias(k) for k, f in moments.items()], *[F.percentile("value", F.lit(q)).alias(k) for k, q in SUMMARY_LEVELS.items()]
+        )
+    held = exact_quantiles(df, outputs, tuple(SUMMARY_LEVELS.values())).select("feature", *[F.col("quantiles")[i].alias(k) for i, k in enumerate(SUMMARY_LEVELS)])
+    out = per_column(df, outputs, **{k: (lambda c, f=f: f(finite(c))) for k, f in moments.items()}).join(F.broadcast(held), "feature")  # a row an output
+    return out.withColumnRenamed("feature", "output")
+
+
+def output_histograms(df: DataFrame, summary: DataFrame, outputs: Sequence[str], bins: int = BINS) -> DataFrame:
+    """PDR1: (output, bin, frequency) of equal widths from each output's least to its most; one bin where these are equal."""
+    span = summary.select("output", "least", "most")
+    long = unpivot(df, outputs).select(F.col("feature").alias("output"), finite("value").alias("v")).filter("v IS NOT NULL").join(F.broadcast(span), "output")  # a row an output
+    at = F.least(F.floor((F.col("v") - F.col("least")) * bins / (F.col("most") - F.col("least"))), F.lit(bins - 1))
+    flat = F.col("most") - F.col("least") <= 1e-8 + 1e-5 * F.abs("most")
+    g = long.groupBy("output", F.when(flat, 0).otherwise(at).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select("output", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("output"))).alias("frequency"))
+
+
+def output_psi(reference: DataFrame, current: DataFrame, r_bins: DataFrame, c_bins: DataFrame, bins: int = BINS) -> DataFrame:
+    """PDR3: (output, psi): the current histograms dealt into the reference's bins by the centres of theirs."""
+    ends = lambda d, k: d.select("output", F.col("least").alias(f"{k}0"), F.col("most").alias(f"{k}1"))
+    flat = lambda k: F.col(f"{k}1") - F.col(f"{k}0") <= 1e-8 + 1e-5 * F.abs(f"{k}1")
+    span = F.broadcast(ends(reference, "r").join(ends(current, "c"), "output"))  # a row an output
+    moved = c_bins.join(span, "output")
+    width = F.when(flat("c"), F.col("c1") - F.col("c0")).otherwise((F.col("c1") - F.col("c0")) / bins)
+    centre = F.col("c0") + (F.col("bin") + 0.5) * width
+    at = F.least(F.greatest(F.floor((centre - F.col("r0")) * bins / (F.col("r1") - F.col("r0"))), F.lit(0)), F.lit(bins - 1))
+    moved = moved.groupBy("output", F.when(flat("r"), 0).otherwise(at).cast("int").alias("bin")).agg(F.sum("frequency").alias("frequency"))
+    named = lambda d: d.withColumnRenamed("output", "feature")
+    return population_stability(aligned(named(r_bins), named(moved))).select(F.col("feature").alias("output"), "psi")
+
+
+def class_frequencies(df: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """PDR1: (output, class, frequency) of all class columns in one pass."""
+    g = category_counts(df, classes)
+    return g.select(F.col("feature").alias("output"), F.col("category").alias("class"), (F.col("n") / F.sum("n").over(Window.partitionBy("feature"))).alias("frequency"))
+
+
+def prediction_drift(
+    reference: DataFrame, current: DataFrame, outputs: Sequence[str], classes: Sequence[str] = (), width: str = "interval_width", min_rows: int = LEAST_SCORED
+) -> DataFrame:
+    """PDR2, PDR3, PDR4: the report: (output, metric, value, severity, drifted) for scored rows of two batches.
+
+    By numeric output the shift of the mean and of the quantiles 0.1, 0.5 and 0.9 in
+    standard deviations of the reference (its span where that is 0, else 1) and the
+    stability index over the reference's bins; the ratio of median widths; by class column
+    the total variation distance. Outputs that either batch lacks are left out. With fewer
+    than min_rows current rows there are no rows at all.
+    """
+    r, c = prediction_summary(reference, outputs), prediction_summary(current, outputs)
+    both = r.select("output", F.struct(*r.columns[1:]).alias("r")).join(c.select("output", F.struct(*c.columns[1:]).alias("c")), "output")
+    both = both.filter((F.col("r.n") > 0) & (F.col("c.n") > 0))
+    span = F.when(F.col("r.most") > F.col("r.least"), F.col("r.most") - F.col("r.least")).otherwise(1.0)
+    scale = F.when(F.col("r.std") > 0, F.col("r.std")).otherwise(span)
+    shift = lambda k: F.abs(F.col(f"c.{k}") - F.col(f"r.{k}")) / scale
+    row = lambda name, k, v: F.struct(name.alias("output"), F.lit(k).alias("metric"), v.alias("value"))
+    tests = [row(F.col("output"), "mean_shift", shift("mean"))]
+    tests += [row(F.concat("output", F.lit(f"[{k}]")), "quantile_shift", shift(k)) for k in ("q10", "q50", "q90")]
+    found = both.select(F.inline(F.array(*tests)))
+    psi = output_psi(r, c, output_histograms(reference, r, outputs), output_histograms(current, c, outputs))
+    found = found.unionByName(psi.select("output", F.lit("psi").alias("metric"), F.col("psi").alias("value")))
+    if width in outputs:
+        positive = (F.col("r.q50") > 0) & (F.col("c.q50") != 0)
+        found = found.unionByName(both.filter((F.col("output") == width) & positive).select("output", F.lit("width_ratio").alias("metric"), (F.col("c.q50") / F.col("r.q50")).alias("value")))
+    if classes:
+        a, b = class_frequencies(reference, classes), class_frequencies(current, classes)
+        pair = a.withColumnRenamed("frequency", "a").join(b.withColumnRenamed("frequency", "b"), ["output", "class"], "full_outer")
+        g = pair.groupBy("output").agg(F.count("a").alias("ka"), F.count("b").alias("kb"), (0.5 * F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))))).alias("value"))
+        found = found.unionByName(g.filter("ka > 0 AND kb > 0").select("output", F.lit("class_distance").alias("metric"), "value"))
+    enough = current.agg((F.count(F.lit(1)) >= min_rows).alias("enough"))
+    level = lambda i: F.create_map(*[F.lit(x) for k, v in SHIFT_LEVELS.items() for x in (k, v[i])])[F.col("metric")]
+    value = F.col("value")
+    severity = ladder((value.isNull() | F.isnan("value"), "unknown"), (value >= level(1), "critical"), (value >= level(0), "warning"), otherwise="ok")
+    found = found.join(F.broadcast(enough), F.col("enough"), "inner").drop("enough")  # one row
+    return found.withColumn("severity", severity).withColumn("drifted", F.col("severity").isin("warning", "critical"))
+
+
+def prediction_status(tests: DataFrame) -> DataFrame:
+    """PDR2: one row: the worst severity of a prediction_drift() report, unknown without tests, and how many outputs drifted."""
+    rank = F.create_map(*[F.lit(x) for kv in {"ok": 0, "unknown": 1, "warning": 2, "critical": 3}.items() for x in kv])[F.col("severity")]
+    return tests.agg(F.coalesce(F.max_by("severity", rank), F.lit("unknown")).alias("status"), F.count_if("drifted").alias("n_drifted"), F.count(F.lit(1)).alias("n_tests"))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 10) -> DataFrame:

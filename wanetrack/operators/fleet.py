@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wanetrack.functions.exprs import ladder
+from wanetrack.functions.quantiles import exact_quantiles
 from wanetrack.operators.health import health_band, risk_band
 from wanetrack.operators.quality import quality_class
 
@@ -233,15 +234,12 @@ def health_distribution(df: DataFrame) -> DataFrame:
 def risk_distribution(df: DataFrame) -> DataFrame:
     """FLT10."""
     ok = df.filter("status = 'success'")
-    return ok.agg(
+    q = exact_quantiles(ok, ["r"], (0.25, 0.5, 0.75, 0.9)).select(*[F.col("quantiles")[i].alias(f"q{k}") for i, k in enumerate((25, 50, 75, 90))])
+    counts = ok.agg(
         F.count("r").alias("n"), F.count_if(F.col("r").isNull()).alias("n_unknown"), F.avg("r").alias("mean"),
-        *[F.percentile("r", F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.9)],
         F.count_if(F.col("r") > 0.5).alias("above_50"), F.count_if(F.col("r") > 0.8).alias("above_80"),
     )
-
-
-def risk_bands(df: DataFrame) -> DataFrame:
-    return df.filter("status = 'success'").groupBy(risk_band("r").alias("risk_band")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(q), F.lit(True), "cross")  # one row each
 
 
 def maintenance_summary(df: DataFrame) -> DataFrame:
@@ -252,12 +250,10 @@ def maintenance_summary(df: DataFrame) -> DataFrame:
 def fleet_statistics(df: DataFrame, quantities: Sequence[str] = ("measured_soh", "predicted_rul", "r", WIDTH)) -> DataFrame:
     """FLT12: (quantity, n, missing, mean, median), over scored entities only."""
     ok = df.filter("status = 'success'")
-    wide = ok.agg(
-        *[f(c).alias(f"{k}_{c}") for c in quantities for k, f in (("n", F.count), ("mean", F.avg), ("median", lambda c: F.percentile(c, F.lit(0.5))))],
-        F.count(F.lit(1)).alias("all"),
-    )
-    rows = [F.struct(F.lit(c).alias("quantity"), F.col(f"n_{c}").alias("n"), (F.col("all") - F.col(f"n_{c}")).alias("missing"), F.col(f"mean_{c}").alias("mean"), F.col(f"median_{c}").alias("median")) for c in quantities]
-    return wide.select(F.inline(F.array(*rows)))
+    mid = exact_quantiles(ok, quantities, (0.5,)).select(F.col("feature").alias("quantity"), F.col("quantiles")[0].alias("median"))
+    wide = ok.agg(*[f(c).alias(f"{k}_{c}") for c in quantities for k, f in (("n", F.count), ("mean", F.avg))], F.count(F.lit(1)).alias("all"))
+    rows = [F.struct(F.lit(c).alias("quantity"), F.col(f"n_{c}").alias("n"), (F.col("all") - F.col(f"n_{c}")).alias("missing"), F.col(f"mean_{c}").alias("mean")) for c in quantities]
+    return wide.select(F.inline(F.array(*rows))).join(F.broadcast(mid), "quantity")  # a row a quantity
 
 
 def snapshot_summary(df: DataFrame, entity: str = ID) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wanetrack.functions.exprs import AFTER, finite, ladder, median
+from wanetrack.functions.exprs import AFTER, finite, median
+from wanetrack.functions.quantiles import exact_quantiles
+from wanetrack.operators.preprocess import per_column
 
 Y, P = "y_true", "y_pred"
 
@@ -32,9 +34,26 @@ def metric_columns(y: str = Y, p: str = P, floor: float = 1.0) -> list[Column]:
     ]
 
 
+METRICS = ("n", "mae", "rmse", "mse", "median_ae", "max_error", "mape", "smape", "r2", "bias", "error_std", "alpha_lambda", "within_10", "within_25")
+
+
 def regression_metrics(df: DataFrame, by: Sequence[str] = (), y: str = Y, p: str = P) -> DataFrame:
-    """MET1, MET2: the metric block over all rows or by group; pairs that aren't finite are left out."""
-    return paired(df, y, p).groupBy(*by).agg(*metric_columns(y, p))
+    """MET1, MET2: the metric block over all rows or by group; pairs that aren't finite are left out.
+
+    Without groups the median is selected in passes, so no task holds all distinct errors.
+    """
+    rows = paired(df, y, p)
+    if by:
+        return rows.groupBy(*by).agg(*metric_columns(y, p))
+    mid = _quantiles_of(rows, F.abs(F.col(p) - F.col(y)), {"median_ae": 0.5})
+    block = rows.agg(*[c for k, c in zip(METRICS, metric_columns(y, p), strict=True) if k != "median_ae"])
+    return block.join(F.broadcast(mid), F.lit(True), "cross").select(*METRICS)  # one row each
+
+
+def _quantiles_of(df: DataFrame, value: Column, names: dict[str, float]) -> DataFrame:
+    """One row: the value's quantiles by name."""
+    q = exact_quantiles(df.select(value.alias("v")), ["v"], tuple(names.values()))
+    return q.select(*[F.col("quantiles")[i].alias(k) for i, k in enumerate(names)])
 
 
 def prognostic_horizon(df: DataFrame, alpha: float = 0.2, entity: str = "battery_id", y: str = Y, p: str = P) -> DataFrame:
@@ -56,11 +75,13 @@ def residual_summary(df: DataFrame, y: str = Y, p: str = P) -> DataFrame:
     qs = (0.05, 0.25, 0.5, 0.75, 0.95)
     n = F.count("_r").cast("double")
     g1, g2 = F.skewness("_r"), F.kurtosis("_r")
-    return rows.agg(
-        *[F.percentile("_r", F.lit(q)).alias(f"q{int(q * 100):02d}") for q in qs], F.avg("_r").alias("mean"),
+    held = _quantiles_of(rows, F.col("_r"), {f"q{int(q * 100):02d}": q for q in qs})
+    moments = rows.agg(
+        F.avg("_r").alias("mean"),
         F.stddev_pop("_r").alias("std"), (g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
         ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis"), F.corr("_r", y).alias("corr_truth"),
     )
+    return F.broadcast(held).join(moments, F.lit(True), "cross")  # one row each
 
 
 def bootstrap_mae(df: DataFrame, replicates: int = 100, level: float = 0.9, seed: int = 7, y: str = Y, p: str = P) -> DataFrame:
@@ -112,21 +133,52 @@ def pooled_folds(df: DataFrame) -> DataFrame:
     )
 
 
-def error_bands(df: DataFrame, edges: Sequence[float] = (0, 10, 25, 50, 100), y: str = Y, p: str = P) -> DataFrame:
-    """MET11: rows and mean error by band of the absolute error, empty bands kept."""
-    a = F.abs(F.col(p) - F.col(y))
-    spark = df.sparkSession
-    bands = spark.createDataFrame([(i, float(e)) for i, e in enumerate(edges)], "band int, low double")
-    band = sum(((a >= e).cast("int") for e in edges[1:]), F.lit(0))
-    got = paired(df, y, p).withColumn("band", band).withColumn("_a", a).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("_a").alias("mean_error"))
-    return bands.join(got, "band", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+#: Fixed values of the surveyed error analysis: edges of the true life, and the quantile from which errors are the worst.
+LIFE_EDGES, WORST = (0.0, 10.0, 25.0, 50.0, 100.0), 0.9
 
 
-def worst_rows(df: DataFrame, q: float = 0.9, n: int = 15, y: str = Y, p: str = P, key: str = "prediction_id") -> DataFrame:
-    """MET11: the n largest errors at or above the q quantile."""
+def error_bands(df: DataFrame, edges: Sequence[float] = LIFE_EDGES, y: str = Y, p: str = P) -> DataFrame:
+    """MET11: (band, low, n, mae, bias, p90) by band of the true life.
+
+    Bands hold their lower edge and not the upper one, the last is open; rows below the
+    first edge belong to none, and bands without rows are left out.
+    """
+    r = F.col(p) - F.col(y)
+    within = [(F.col(y) >= lo) & (F.col(y) < edges[i + 1] if i + 1 < len(edges) else F.lit(True)) for i, lo in enumerate(edges)]
+    rows = paired(df, y, p).select(r.alias("r"), *[F.when(w, F.abs(r)).alias(f"a{i}") for i, w in enumerate(within)])
+    names = [f"a{i}" for i in range(len(edges))]
+    inside = lambda c: F.when(F.col(c).isNotNull(), F.col("r"))
+    stats = per_column(rows, names, n=F.count, mae=F.avg, bias=lambda c: F.avg(inside(c)))
+    p90 = exact_quantiles(rows, names, (0.9,)).select("feature", F.col("quantiles")[0].alias("p90"))
+    band = F.substring("feature", 2, 9).cast("int")
+    lows = F.lit(list(map(float, edges)))
+    return stats.join(F.broadcast(p90), "feature").filter("n > 0").select(band.alias("band"), lows[band].alias("low"), "n", "mae", "bias", "p90")
+
+
+def _worst(df: DataFrame, q: float, y: str, p: str) -> DataFrame:
+    """Rows with abs_error and `threshold`, its q quantile."""
     rows = paired(df, y, p).withColumn("abs_error", F.abs(F.col(p) - F.col(y)))
-    cut = rows.agg(F.percentile("abs_error", F.lit(q)).alias("cut"))
-    return rows.join(F.broadcast(cut), F.col("abs_error") >= F.col("cut")).orderBy(F.desc("abs_error"), key).limit(n)  # cut: one row
+    cut = _quantiles_of(rows, F.col("abs_error"), {"threshold": q})
+    return rows.join(F.broadcast(cut), F.lit(True), "cross")  # one row
+
+
+def error_analysis(df: DataFrame, q: float = WORST, y: str = Y, p: str = P) -> DataFrame:
+    """MET11: one row: the q quantile of the error, rows at or above it, and their mean true life beside all rows'."""
+    rows = _worst(df, q, y, p)
+    bad = F.col("abs_error") >= F.col("threshold")
+    return rows.agg(
+        F.max("threshold").alias("threshold"), F.count_if(bad).alias("n_worst"), F.avg(F.when(bad, F.col(y))).alias("worst_mean_true"), F.avg(y).alias("overall_mean_true")
+    )
+
+
+def worst_entities(df: DataFrame, q: float = WORST, entity: str = "battery_id", y: str = Y, p: str = P) -> DataFrame:
+    """MET11: (entity, n): how many of its rows are among the worst."""
+    return _worst(df, q, y, p).filter("abs_error >= threshold").groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
+
+
+def worst_rows(df: DataFrame, q: float = WORST, n: int = 15, y: str = Y, p: str = P, key: str = "prediction_id") -> DataFrame:
+    """MET11: the n largest errors at or above the q quantile."""
+    return _worst(df, q, y, p).filter("abs_error >= threshold").drop("threshold").orderBy(F.desc("abs_error"), key).limit(n)
 
 
 def latest_predictions(df: DataFrame, entity: str = "battery_id", order: str = "cycle_index", y: str = Y, p: str = P) -> DataFrame:
@@ -150,9 +202,3 @@ def champion(metrics: DataFrame, metric: str = "mae") -> DataFrame:
     """MET13: the best model by a finite metric, ties by name."""
     by = F.desc(metric) if DIRECTIONS[metric] else F.asc(metric)
     return metrics.filter(finite(metric).isNotNull()).orderBy(by, "model").limit(1)
-
-
-def life_bands(y: str = Y) -> Column:
-    """PRF2: bands of the true life; negative truths have none."""
-    x = F.col(y)
-    return ladder((x < 0, None), (x < 20, 0), (x < 50, 1), (x < 100, 2), (x >= 100, 3))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wanetrack.functions.arrays import cross_products
-from wanetrack.functions.exprs import finite, median
+from wanetrack.functions.exprs import finite
+from wanetrack.functions.quantiles import exact_quantiles
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -17,7 +18,7 @@ def unpivot(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     return df.select(*keys, F.inline(rows))
 
 
-def _per_column(df: DataFrame, columns: Sequence[str], **aggs) -> DataFrame:
+def per_column(df: DataFrame, columns: Sequence[str], **aggs) -> DataFrame:
     """(feature, aggregates): one wide partial aggregation, without a row a value."""
     wide = df.agg(*[f(c).alias(f"{n}|{c}") for c in columns for n, f in aggs.items()])
     rows = [F.struct(F.lit(c).alias("feature"), *[F.col(f"`{n}|{c}`").alias(n) for n in aggs]) for c in columns]
@@ -26,13 +27,15 @@ def _per_column(df: DataFrame, columns: Sequence[str], **aggs) -> DataFrame:
 
 def fallback_values(train: DataFrame, columns: Sequence[str], how: str = "median") -> DataFrame:
     """PRE1: (feature, fallback)."""
-    f = {"median": lambda c: median(finite(c)), "mean": lambda c: F.avg(finite(c)), "zero": lambda c: F.lit(0.0)}[how]
-    return _per_column(train, columns, fallback=f)
+    if how == "median":
+        return exact_quantiles(train, columns, (0.5,)).select("feature", F.col("quantiles")[0].alias("fallback"))
+    f = {"mean": lambda c: F.avg(finite(c)), "zero": lambda c: F.lit(0.0)}[how]
+    return per_column(train, columns, fallback=f)
 
 
 def variance_filter(train: DataFrame, columns: Sequence[str], threshold: float = 1e-10) -> DataFrame:
     """PRE2: (feature, variance, kept)."""
-    out = _per_column(train, columns, variance=lambda c: F.var_samp(finite(c)))
+    out = per_column(train, columns, variance=lambda c: F.var_samp(finite(c)))
     return out.withColumn("kept", F.coalesce(F.col("variance") > threshold, F.lit(False)))
 
 
@@ -59,7 +62,7 @@ def correlation_prune(train: DataFrame, columns: Sequence[str], limit: float = 0
 
 def top_by_f(train: DataFrame, columns: Sequence[str], label: str, k: int) -> DataFrame:
     """PRE4: (feature, f, rank) of the k largest univariate F statistics."""
-    wide = _per_column(train, columns, rho=lambda c: F.corr(c, label), n=lambda c: F.regr_count(c, label))
+    wide = per_column(train, columns, rho=lambda c: F.corr(c, label), n=lambda c: F.regr_count(c, label))
     r2 = F.col("rho") * F.col("rho")
     out = wide.select("feature", (r2 * (F.col("n") - 2) / (1 - r2)).alias("f"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("f"), "feature"))).filter(F.col("rank") <= k)
@@ -93,12 +96,14 @@ def tree_importance(train: DataFrame, columns: Sequence[str], label: str, trees:
 
 def scaler(train: DataFrame, columns: Sequence[str], how: str = "robust") -> DataFrame:
     """PRE5: (feature, center, scale); a scale of zero is one."""
-    q = lambda p: lambda c: F.percentile(finite(c), F.lit(p))
-    center, scale = {
-        "standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c)),
-        "robust": (q(0.5), lambda c: q(0.75)(c) - q(0.25)(c)), "none": (lambda c: F.lit(0.0), lambda c: F.lit(1.0)),
-    }[how]
-    out = _per_column(train, columns, center=center, scale=scale)
+    if how == "robust":
+        q = F.col("quantiles")
+        out = exact_quantiles(train, columns, (0.25, 0.5, 0.75)).select("feature", q[1].alias("center"), (q[2] - q[0]).alias("scale"))
+    else:
+        center, scale = {
+            "standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c)), "none": (lambda c: F.lit(0.0), lambda c: F.lit(1.0)),
+        }[how]
+        out = per_column(train, columns, center=center, scale=scale)
     return out.withColumn("scale", F.when(F.coalesce("scale", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("scale")))
 
 
@@ -124,4 +129,4 @@ def inverse(df: DataFrame, scale: DataFrame, columns: Sequence[str], keys: Seque
 
 def reference_ranges(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """PRE7: (feature, low, high)."""
-    return _per_column(train, columns, low=lambda c: F.min(finite(c)), high=lambda c: F.max(finite(c)))
+    return per_column(train, columns, low=lambda c: F.min(finite(c)), high=lambda c: F.max(finite(c)))

@@ -265,12 +265,27 @@ def _(s, d):
     return M.pooled_folds(two_models(s, d))
 
 
-@query("met11_error_bands", """
-select band, low, count(a) as n, avg(a) as mean_error from (values (0, 0.0::double), (1, 2.0::double), (2, 5.0::double), (3, 10.0::double), (4, 100.0::double)) t(band, low) left join (
-  select abs(y_pred - y_true) as a, cast(abs(y_pred - y_true) >= 2 as int) + cast(abs(y_pred - y_true) >= 5 as int) + cast(abs(y_pred - y_true) >= 10 as int) + cast(abs(y_pred - y_true) >= 100 as int) as band
-  from predictions where y_pred is not null) using (band) group by 1, 2""", "predictions", "low mean_error")
+_BAND = "case when y_true < 10 then 0 when y_true < 25 then 1 when y_true < 50 then 2 when y_true < 100 then 3 else 4 end"
+
+
+@query("met11_error_bands", f"""
+select band, [0.0, 10.0, 25.0, 50.0, 100.0][band + 1]::double as low, count(*) as n, avg(abs(r)) as mae, avg(r) as bias, quantile_cont(abs(r), 0.9) as p90
+from (select {_BAND} as band, y_pred - y_true as r from predictions where y_pred is not null and y_true >= 0) group by 1""", "predictions", "low mae bias p90")
+def _(s, d):
+    return M.error_bands(preds(s, d))
+
+
+_WORST = "select *, abs(y_pred - y_true) as e, (select quantile_cont(abs(y_pred - y_true), 0.9) from predictions) as cut from predictions where y_pred is not null"
+
+
+@query("met11_error_analysis", f"select max(cut) as threshold, count(*) filter (where e >= cut) as n_worst, avg(y_true) filter (where e >= cut) as worst_mean_true, avg(y_true) as overall_mean_true from ({_WORST})", "predictions", "threshold worst_mean_true overall_mean_true")
+def _(s, d):
+    return M.error_analysis(preds(s, d))
+
+
+@query("met11_worst_entities", f"select battery_id, count(*) as n from ({_WORST}) where e >= cut group by 1", "predictions")
 def _(s, d):
-    return M.error_bands(preds(s, d), (0, 2, 5, 10, 100))
+    return M.worst_entities(preds(s, d))
 
 
 @query("met11_worst_rows", """

@@ -381,9 +381,6 @@ def _(s, d):
     return D.population_stability(both(s, d)).select("feature", "js")
 
 
-_RAW, _NOW = "ra", "cu"
-
-
 def _quantiles(c):
     """The sample that stored quantiles stand for, as SQL over the reference rows."""
     lo, hi = D.QUANTILES[0], D.QUANTILES[-1]
@@ -438,13 +435,31 @@ def _(s, d):
 
 
 def drifting(s, d):
-    """A reference and a batch with a shifted, an unchanged, a constant, a lost, a new and a rare feature."""
+    """A reference and a batch with a shifted, an unchanged, a constant, a lost, a new and a rare feature of numbers, and of categories
+    one with an unseen category, one with two, one that has kept its shares, a single one, a lost and a rare one."""
     r, c = halves(s, d)
     r = r.withColumns({"flat": F.lit(1.0), "gone": F.col("value"), "rare": F.col("value")})
     c = c.withColumns({"flat": F.lit(1.0), "fresh": F.col("value"), "rare": F.when(F.col("event_id") % 500 == 0, F.col("value"))})
+    kind, early = F.col("event_type"), F.col("event_id") % 3 == 0
+    two = F.when(kind == "click", "yes").otherwise("no")
+    r = r.withColumns({"kind": F.when(kind != "signup", kind), "two": two, "same": F.when(early, "a").otherwise("b"), "only": F.lit("x"), "lost": kind, "seldom": kind})
+    c = c.withColumns({"kind": kind, "two": F.when(F.col("event_id") % 20 == 0, "yes").otherwise(two), "same": F.when(early, "a").otherwise("b"), "only": F.lit("x"), "seldom": F.when(F.col("event_id") % 500 == 0, kind)})
     ref = ["value", "value2", "flat", "gone", "rare"]
     known = D.with_frequencies(D.numeric_reference(r, ref), r, ref)
-    return D.feature_drift(known, c, ["value", "value2", "flat", "fresh", "rare"])
+    named = D.categorical_references(r, ["kind", "two", "same", "only", "lost", "seldom"])
+    return D.feature_drift(known, c, ["value", "value2", "flat", "fresh", "rare"], categories=named, labels=["kind", "two", "same", "only", "seldom"])
+
+
+_SERIES = "list_sum(list_transform(range(0, 400), lambda i: exp(-h + (a + i) * ln(h) - lgamma(a + i + 1))))"
+
+
+def _chi(ra, cu):
+    """chi2, degrees of freedom, tail and unseen rate of two samples of categories, as SQL."""
+    return f"""select chi2, dof, case when h <= 0 then 1.0 when h > a + 300 then 0.0 else least(greatest(1 - {_SERIES}, 0.0), 1.0) end as p_value, unseen_rate from (
+  select *, chi2 / 2 as h, dof / 2 as a from (select sum(power(greatest(abs(x - ex) - y, 0), 2) / ex + power(greatest(abs(z - ez) - y, 0), 2) / ez) as chi2, count(*) - 1 as dof, sum(case when unseen then z else 0 end) / max(sz) as unseen_rate from (
+    select *, sx * (x + z) / (sx + sz) as ex, sz * (x + z) / (sx + sz) as ez, case when count(*) over () = 2 then 0.5 else 0.0 end as y from (
+      select *, sum(x) over () as sx, sum(z) over () as sz from (select coalesce(p.n, 0) as x, coalesce(q.n, 0) as z, p.n is null as unseen from
+        (select {ra} as c, count(*) as n from ra where ({ra}) is not null group by 1) p full join (select {cu} as c, count(*) as n from cu where ({cu}) is not null group by 1) q using (c))))))"""
 
 
 def _bins(c):
@@ -459,13 +474,20 @@ _EN = "sqrt(n::double * m / (n + m))"
 _SCORED = " union all ".join(f"""
   select '{c}' as feature, 'psi' as metric, psi as value, null::double as p_value from ({_bins(c)}) union all select '{c}', 'js', js, null from ({_bins(c)}) union all
   select '{c}', 'ks', ks, {_P} from (select *, ({_EN} + 0.12 + 0.11 / {_EN}) * ks as t from ({_two(c)})) union all select '{c}', 'wasserstein', wasserstein / (select stddev_samp({c}) from ra), null from ({_two(c)})""" for c in ("value", "value2"))
-_ODD = " union all ".join(f"select '{c}', '{k}', null::double, null::double" for c, k in (("flat", "constant"), ("gone", "missing"), ("fresh", "new"), ("rare", "small_sample")))
+_TWO = "case when event_type = 'click' then 'yes' else 'no' end"
+_THIRD = "case when event_id % 3 = 0 then 'a' else 'b' end"
+_SCORED += "".join(f" union all select '{c}', 'chi2', chi2, p_value from ({_chi(*x)}) union all select '{c}', 'unseen_rate', unseen_rate, null from ({_chi(*x)})" for c, x in (
+    ("kind", ("case when event_type <> 'signup' then event_type end", "event_type")), ("two", (_TWO, f"case when event_id % 20 = 0 then 'yes' else {_TWO} end")), ("same", (_THIRD, _THIRD)),
+))
+_ODD = " union all ".join(f"select '{c}', '{k}', null::double, null::double" for c, k in (
+    ("flat", "constant"), ("gone", "missing"), ("fresh", "new"), ("rare", "small_sample"), ("only", "small_sample"), ("lost", "missing"), ("seldom", "small_sample"),
+))
 _LEVEL = lambda i: "case metric " + " ".join(f"when '{k}' then {v[i]}" for k, v in D.DRIFT_LEVELS.items()) + " end"
 VF = {
     **VD, "t0": f"{_SCORED} union all {_ODD}",
     "t1": """select *, case when p_value is not null then least(min(q) over (partition by p_value is null order by p_value, feature rows between current row and unbounded following), 1.0) end as adjusted from (
       select *, p_value * count(p_value) over (partition by p_value is null) / row_number() over (partition by p_value is null order by p_value, feature) as q from t0)""",
-    "fd": f"""select feature, metric, value, p_value, adjusted, value is not null as reliable, case when value is null then 'unknown' when value >= {_LEVEL(1)} and coalesce(adjusted <= 0.05, true) then 'critical'
+    "fd": f"""select feature, metric, value, p_value, adjusted, value is not null as reliable, case when value is null then 'unknown' when metric = 'chi2' and p_value <= 0.05 and coalesce(adjusted <= 0.05, true) then 'warning' when value >= {_LEVEL(1)} and coalesce(adjusted <= 0.05, true) then 'critical'
       when value >= {_LEVEL(0)} and coalesce(adjusted <= 0.05, true) then 'warning' else 'ok' end as severity from t1""",
     "fl": """select *, case when n = 0 then 'unknown' when fraction >= 0.25 or c > 0 then 'critical' when fraction >= 0.1 or n_drifted > 0 then 'warning' else 'ok' end as status from (
       select count(distinct feature) filter (where reliable) as n, count(distinct feature) filter (where severity in ('warning', 'critical')) as n_drifted, count(*) filter (where severity = 'critical') as c,
@@ -488,17 +510,21 @@ def _(s, d):
     return sampled(s, d).select("ks", D.ks_p(F.col("ks"), F.col("n"), F.col("m")).alias("p_value"))
 
 
-@query("drf5_p_value")
+@query("drf5_p_value", f"select chi2, dof, p_value from ({_chi('event_type', 'event_type')})", "", "chi2 p_value", **VD)
 def _(s, d):
-    r, c = halves(s, d)
     n = lambda x: D.categorical_reference(x, "event_type").select("category", "n")
-    row = D.chi_square(n(r), n(c)).first()  # one row
-    return s.createDataFrame([(row.chi2, int(row.dof), D.chi_square_p_value(row.chi2, int(row.dof)))], "chi2 double, dof int, p_value double")
+    r, c = halves(s, d)
+    return D.chi_square(n(r), n(c)).select("chi2", "dof", D.chi_square_p(F.col("chi2"), F.col("dof").cast("int")).alias("p_value"))
+
+
+@query("drf7_unadjusted", "select feature, metric, case when value is null then 'unknown' when metric = 'chi2' then case when p_value <= 0.05 then 'warning' else 'ok' end when value >= " + _LEVEL(1) + " then 'critical' when value >= " + _LEVEL(0) + " then 'warning' else 'ok' end as severity from t0", "", **VF)
+def _(s, d):
+    return D.drift_severity(D.adjust_p(drifting(s, d).select("feature", "metric", "value", "p_value"), "none")).select("feature", "metric", "severity")
 
 
 @query("pdr1_prediction_summary", " union all ".join(f"select '{c}' as output, count({c}) as n, avg({c}) as mean, stddev_samp({c}) as std, quantile_cont({c}, 0.05) as q5, quantile_cont({c}, 0.5) as q50, quantile_cont({c}, 0.95) as q95 from records" for c in ("predicted_rul", "failure_risk")), "records", "mean std q5 q50 q95")
 def _(s, d):
-    return D.prediction_summary(fixture(s, d, "records"), ["predicted_rul", "failure_risk"])
+    return D.prediction_summary(fixture(s, d, "records"), ["predicted_rul", "failure_risk"]).select("output", "n", "mean", "std", "q5", "q50", "q95")
 
 
 @query("pdr2_prediction_shift", """
@@ -510,6 +536,53 @@ def _(s, d):
     return D.prediction_shift(D.prediction_summary(r, ["value"]), D.prediction_summary(c, ["value"]))
 
 
+def _drift_sql(outputs, classes, width=None):
+    """The report of output by output, as SQL over ra and cu; outputs: (name, expression in ra, expression in cu)."""
+    rows = []
+    for o, x, y in outputs:
+        stat = lambda e, v: f"(select avg({e}) as m, stddev_samp({e}) as s, min({e}) as l, max({e}) as h, quantile_cont({e}, 0.1) as q10, quantile_cont({e}, 0.5) as q50, quantile_cont({e}, 0.9) as q90 from {v})"
+        both = f"{stat(x, 'ra')} a, {stat(y, 'cu')} b"
+        rows += [f"select '{o}' as output, 'mean_shift' as metric, abs(b.m - a.m) / a.s as value from {both}"] + [f"select '{o}[{q}]', 'quantile_shift', abs(b.{q} - a.{q}) / a.s from {both}" for q in ("q10", "q50", "q90")]
+        own = lambda e, v: f"select least(floor(({e} - l) * 10 / (h - l)), 9) as bin, count(*) / sum(count(*)) over () as f, any_value(l) as l, any_value(h) as h from {v}, (select min({e}) as l, max({e}) as h from {v}) where {e} is not null group by 1"
+        moved = f"select least(greatest(floor((c.l + (c.bin + 0.5) * (c.h - c.l) / 10 - r.l) * 10 / (r.h - r.l)), 0), 9) as bin, sum(f) as f from ({own(y, 'cu')}) c, (select min({x}) as l, max({x}) as h from ra) r group by 1"
+        rows.append(f"""select '{o}', 'psi', sum((c - r) * ln(c / r)) from (select r / sum(r) over () as r, c / sum(c) over () as c from (
+          select greatest(coalesce(p.f, 0), 1e-6) as r, greatest(coalesce(q.f, 0), 1e-6) as c from ({own(x, 'ra')}) p full join ({moved}) q using (bin)))""")
+        if o == width:
+            rows.append(f"select '{o}', 'width_ratio', b.q50 / a.q50 from {both}")
+    share = lambda e, v: f"(select {e} as c, count(*) / sum(count(*)) over () as f from {v} where ({e}) is not null group by 1)"
+    rows += [f"select '{o}', 'class_distance', 0.5 * sum(abs(coalesce(p.f, 0) - coalesce(q.f, 0))) from {share(x, 'ra')} p full join {share(y, 'cu')} q using (c)" for o, x, y in classes]
+    level = lambda i: "case metric " + " ".join(f"when '{k}' then {v[i]}" for k, v in D.SHIFT_LEVELS.items()) + " end"
+    return f"select *, case when value >= {level(1)} then 'critical' when value >= {level(0)} then 'warning' else 'ok' end as severity from ({' union all '.join(rows)})"
+
+
+_REPORT = _drift_sql([("value", "value", "value"), ("value2", "value2", "value2"), ("interval_width", "value2", "value2 * 1.5")],
+                     [("event_type", "event_type", "event_type"), ("band", "event_type", "case when event_id % 5 < 2 then 'click' else event_type end")], "interval_width")
+_STATUS = "select case when count(*) filter (where severity = 'critical') > 0 then 'critical' when count(*) filter (where severity = 'warning') > 0 then 'warning' when count(*) > 0 then 'ok' else 'unknown' end as status, count(*) filter (where severity in ('warning', 'critical')) as n_drifted, count(*) as n_tests"
+
+
+def predicted(s, d):
+    """Two batches of outputs: one shifted, one as before, wider intervals, kept class shares, and moved ones."""
+    r, c = halves(s, d)
+    r = r.withColumns({"interval_width": F.col("value2"), "band": F.col("event_type")})
+    c = c.withColumns({"interval_width": F.col("value2") * 1.5, "band": F.when(F.col("event_id") % 5 < 2, "click").otherwise(F.col("event_type"))})
+    return r, c
+
+
+def outputs_drift(s, d, few=False):
+    r, c = predicted(s, d)
+    return D.prediction_drift(r, c.orderBy("event_id").limit(19) if few else c, ["value", "value2", "interval_width"], ["event_type", "band"])
+
+
+@query("pdr2_report", f"select *, severity in ('warning', 'critical') as drifted from ({_REPORT})", "", "value", **VD)
+def _(s, d):
+    return outputs_drift(s, d)
+
+
+@query("pdr2_status", f"{_STATUS} from ({_REPORT}) union all {_STATUS} from ({_REPORT}) where false", "", **VD)
+def _(s, d):
+    return D.prediction_status(outputs_drift(s, d)).union(D.prediction_status(outputs_drift(s, d, few=True)))
+
+
 @query("pdr3_rebinned_psi", """
 select sum((c - r) * ln(c / r)) as psi from (select r / sum(r) over () as r, c / sum(c) over () as c from (select greatest(coalesce(x.f, 0), 1e-6) as r, greatest(coalesce(y.f, 0), 1e-6) as c from
   (select b, sum(k) / sum(sum(k)) over () as f from (select least(greatest(floor(value * 10 / 250.0), 0), 9) as b, 1 as k from ra where value is not null) group by 1) x full join
@@ -601,24 +674,22 @@ _ALERT = "'alert-' || substr(sha256(concat_ws('|', alert_type, 'fleet', 'batch',
 _TOLD = """printf('%d good, %d acceptable, %d poor, %d insufficient', n_good, n_acceptable, n_poor, n_insufficient)"""
 VA = {
     **V, **VF, "fq": _FQ, "pr": _report("off", *_REPORTS["off"]),
-    "pd": "select *, case when distance >= 0.3 then 'critical' when distance >= 0.0 then 'warning' else 'ok' end as status from (select 0.5 * sum(abs(coalesce(x.f, 0) - coalesce(y.f, 0))) as distance from (select event_type, count(*) / sum(count(*)) over () as f from ra group by 1) x full join (select event_type, count(*) / sum(count(*)) over () as f from cu group by 1) y using (event_type))",
+    "pd": f"{_STATUS} from ({_REPORT})",
     "ct": "select count(*) as n, count(*) filter (where status = 'failed') as failed, count(*) filter (where priority = 'P0') as critical from p",
     "a": f"""select alert_type, severity, evidence, observed, threshold, action, {_ALERT} as alert_id from (
   select 'data_quality_' || status as alert_type, status as severity, {_TOLD} as evidence, poor_fraction as observed, case status when 'critical' then 0.25 else 0.1 end::double as threshold, '{N._ACTS['data_quality']}' as action, 'quality' as k from fq where status in ('warning', 'critical') union all
   select 'scoring_failures', case when failed > n / 2 then 'critical' else 'warning' end, printf('%d of %d entities failed', failed, n), failed, null, '{N._ACTS['scoring_failures']}', 'failures' from ct where failed > 0 union all
   select 'critical_entities', 'warning', printf('%d entities are P0', critical), critical, 5.0, '{N._ACTS['critical_entities']}', 'critical_count' from ct where critical >= 5 union all
   select 'feature_drift_' || status, status, printf('%d of %d features drifted', n_drifted, n), fraction, case status when 'critical' then 0.25 else 0.1 end, '{N._ACTS['feature_drift']}', 'feature_drift' from fl where status in ('warning', 'critical') union all
-  select 'prediction_drift', status, '1 outputs drifted', 1, null, '{N._ACTS['prediction_drift']}', 'prediction_drift' from pd where status in ('warning', 'critical') union all
+  select 'prediction_drift', status, printf('%d outputs drifted', n_drifted), n_drifted, null, '{N._ACTS['prediction_drift']}', 'prediction_drift' from pd where status in ('warning', 'critical') union all
   select 'performance_' || status, case status when 'degraded' then 'critical' else 'warning' end, breaches, null, null, '{N._ACTS['performance']}', 'performance' from pr where status in ('degraded', 'warning') union all
   select 'model_unavailable', 'critical', 'no model', null, null, '{N._ACTS['model_unavailable']}', 'readiness' from ct where failed > 0)""",
 }
 
 
 def alerts(s, d, muted=()):
-    r, c = halves(s, d)
     f = fleet(s, d)
-    x = F.col("distance")
-    shift = D.class_distance(r, c, "event_type").select(F.when(x >= 0.3, "critical").when(x >= 0.0, "warning").otherwise("ok").alias("status"), F.lit(1).alias("n_drifted"))
+    shift = D.prediction_status(outputs_drift(s, d))
     ready = f.agg((F.count_if(F.col("status") == "failed") == 0).alias("ready")).withColumn("errors", F.lit("no model"))
     return N.fleet_alerts("fleet", "batch", fleet_quality(s, d), f, fleet_drift(s, d), shift, report(s, d, "off", "1.1.0"), ready, muted=muted)
 
