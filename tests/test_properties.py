@@ -48,6 +48,27 @@ def test_bootstrap_covers_the_error(spark):
     assert tuple(metrics.bootstrap_mae(df, 200).first()) == tuple(got)
 
 
+def test_bootstrap_weights(spark):
+    """Poisson(1) numbers that depend on the row alone; no row is written once a replicate."""
+    w = metrics.poisson_weights(np.arange(20_000, dtype=np.int64) * 977 - 5_000_000, 50)
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+    assert abs(np.corrcoef(w[:, :8].T)[np.triu_indices(8, 1)]).max() < 0.04 and abs(np.corrcoef(w[:-1, 0], w[1:, 0])[0, 1]) < 0.04
+    df = spark.createDataFrame([(0.0, float(i)) for i in range(300)], "y_true double, y_pred double")
+    got = tuple(metrics.bootstrap_mae(df.repartition(7)).first())
+    assert got == pytest.approx(tuple(metrics.bootstrap_mae(df).first()), rel=1e-12)
+    assert tuple(metrics.bootstrap_mae(df, seed=8).first()) != got
+    assert tuple(metrics.bootstrap_mae(df.limit(0)).first()) == (None, None, None)
+
+
+@pytest.mark.parametrize(("rows", "said"), [
+    ([("a", "train"), ("a", "test"), ("b", "test")], "a is in the splits test, train"), ([("a", "train"), ("b", "val")], "the split test is empty"),
+    ([("a", "test")], "the split train is empty"), ([("a", "train"), ("b", "test"), ("c", "other")], "unknown splits: other"), ([], "the split train is empty"),
+])
+def test_bad_splits_are_refused(spark, rows, said):
+    with pytest.raises(ValueError, match=said):
+        splits.checked_split(spark.createDataFrame(rows, "battery_id string, split string"))
+
+
 def test_calibration(spark):
     """Scores that are squared probabilities: both maps bring the error down, isotonic ones keep the order."""
     rng = np.random.default_rng(4)

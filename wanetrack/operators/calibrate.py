@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wanetrack.functions.exprs import finite
 from wanetrack.functions.ranges import running
 
 PROB, LABEL = "probability", "label"
@@ -56,6 +57,25 @@ def ranking_quality(df: DataFrame, cut: float = 0.5, p: str = PROB, y: str = LAB
     ).withColumn("f1", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
+def against_order(df: DataFrame, order: str = "cycle_index", p: str = PROB, y: str = LABEL) -> DataFrame:
+    """CAL4: one row: rows, positives, and both areas of the score beside those of the order key alone, on the same rows.
+
+    Positives that are the last rows of each entity are ranked well by counting cycles, so
+    an area says something only next to this one. With one class alone all areas are null
+    and `beats_order` is too. Rows without a finite score or a label are left out.
+    """
+    rows = df.filter(finite(p).isNotNull() & F.col(y).isNotNull()).select(F.col(p).cast("double").alias(p), F.col(order).cast("double").alias("_o"), F.col(y).cast("int").alias(y))
+    sides = {"": p, "_order": "_o"}
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_positive"))
+    both = (F.col("n_positive") > 0) & (F.col("n_positive") < F.col("n"))
+    for k, c in sides.items():
+        areas = ranking_quality(rows, p=c, y=y).select(F.col("roc_auc").alias(f"roc_auc{k}"), F.col("average_precision").alias(f"average_precision{k}"))
+        n = n.join(F.broadcast(areas), F.lit(True), "cross")  # one row each
+    shown = [F.when(both, F.col(f"{m}{k}")).alias(f"{m}{k}") for k in sides for m in ("roc_auc", "average_precision")]
+    beats = F.when(both, F.col("average_precision") > F.col("average_precision_order")).alias("beats_order")
+    return n.select("n", F.coalesce("n_positive", F.lit(0)).alias("n_positive"), *shown, beats)
+
+
 def threshold_search(df: DataFrame, how: str = "f1", min_recall: float = 0.8, p: str = PROB, y: str = LABEL) -> DataFrame:
     """CAL5: the least threshold among the distinct scores, 0 and 1, with the best value."""
     ends = df.select(F.lit(0.0).alias(p), F.lit(0).cast(dict(df.dtypes)[y]).alias(y), F.lit(0.0).alias("_w")).limit(1)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wanetrack.functions.arrays import added_up, partials
 from wanetrack.functions.exprs import AFTER, finite, median
 from wanetrack.functions.quantiles import exact_quantiles
 from wanetrack.operators.preprocess import per_column
@@ -84,18 +87,38 @@ def residual_summary(df: DataFrame, y: str = Y, p: str = P) -> DataFrame:
     return F.broadcast(held).join(moments, F.lit(True), "cross")  # one row each
 
 
+def poisson_weights(seeds: np.ndarray, replicates: int) -> np.ndarray:
+    """How often each row is drawn in each replicate: Poisson(1) numbers from a hash of the row's seed and the replicate's number."""
+    with np.errstate(over="ignore"):
+        z = seeds.astype(np.uint64)[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    steps = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 12)]))
+    return np.searchsorted(steps, (z >> np.uint64(11)).astype(float) * 2.0**-53)
+
+
 def bootstrap_mae(df: DataFrame, replicates: int = 100, level: float = 0.9, seed: int = 7, y: str = Y, p: str = P) -> DataFrame:
-    """MET6: percentile interval of the mean absolute error; Poisson(1) weights stand for drawing with replacement."""
-    u = F.rand(seed)
-    cdf, total, steps = [], 0.0, 1.0
-    for k in range(6):
-        total += 0.36787944117144233 / steps
-        steps *= k + 1
-        cdf.append(total)
-    weight = sum(((F.col("_u") > c).cast("int") for c in cdf), F.lit(0))
-    rows = paired(df, y, p).select(F.abs(F.col(p) - F.col(y)).alias("a")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    rows = rows.withColumn("_u", u).withColumn("w", weight)
-    reps = rows.groupBy("b").agg(F.try_divide(F.sum(F.col("a") * F.col("w")), F.sum("w")).alias("mae"))
+    """MET6: percentile interval of the mean absolute error; Poisson(1) weights stand for drawing with replacement.
+
+    A row's weights in all replicates come from a hash of the row, so they do not depend on
+    how rows are dealt; each task adds up two numbers a replicate, and no row is written
+    more than once. Rows that are equal in every column are drawn together.
+    """
+    rows = paired(df, y, p).select(F.abs(F.col(p) - F.col(y)).cast("double").alias("a"), F.xxhash64(F.lit(seed), *df.columns).alias("h"))
+
+    def run(batches):
+        total = np.zeros((2, replicates))
+        for batch in batches:
+            a, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for i in range(0, len(a), 4096):
+                w = poisson_weights(h[i : i + 4096], replicates)
+                total += [a[i : i + 4096] @ w, w.sum(axis=0)]
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64()))], names=["k", "sums"])
+
+    summed = added_up(partials(rows, run, "k int, sums array<double>"), "k")  # one row
+    reps = summed.select(F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"), "sums")
+    reps = reps.select(F.try_divide(F.col("sums")[F.col("b")], F.col("sums")[F.col("b") + replicates]).alias("mae"))
     tail = (1 - level) / 2
     return reps.agg(F.percentile("mae", F.lit(tail)).alias("low"), F.percentile("mae", F.lit(1 - tail)).alias("high"), F.avg("mae").alias("mean"))
 

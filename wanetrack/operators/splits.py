@@ -98,6 +98,28 @@ def split_sizes(df: DataFrame, entity: str = ID) -> DataFrame:
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(entity).alias("n_entities"))
 
 
+def checked_split(df: DataFrame, entity: str = ID, splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """SPL7: split_sizes(), refused if a split leaks or is empty.
+
+    An entity that lies in several splits, a row with another split's name, and an empty
+    train or test split raise an error; the validation split may be empty. One job over the
+    rows counts per entity before anything is compared.
+    """
+    per = df.groupBy(entity, "split").agg(F.count(F.lit(1)).alias("n"))
+    own = per.groupBy(entity).agg(F.count_distinct("split").alias("k"), F.array_sort(F.collect_set("split")).alias("in"))
+    shared = own.filter("k > 1").orderBy(entity).limit(1).collect()
+    if shared:
+        raise ValueError(f"{entity} {shared[0][entity]} is in the splits {', '.join(shared[0]['in'])}: this would leak")
+    sizes = {r["split"]: (r["n_rows"], r["n_entities"]) for r in per.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_entities")).limit(len(splits) + 1).collect()}
+    other = sorted(str(k) for k in sizes if k not in splits)
+    if other:
+        raise ValueError(f"unknown splits: {', '.join(other)}")
+    for name in ("train", "test"):
+        if name not in sizes:
+            raise ValueError(f"the split {name} is empty")
+    return df.sparkSession.createDataFrame([(k, *v) for k, v in sizes.items()], "split string, n_rows long, n_entities long")  # three rows at most
+
+
 def learning_subsets(df: DataFrame, counts: Sequence[int] = (5, 10), part: float = 0.5, entity: str = ID, order: str = ORDER) -> DataFrame:
     """SPL8: (n, rows): the first n entities and the earliest part of each."""
     first = df.select(entity).distinct().orderBy(entity).limit(max(counts))  # the subsets' own limit

@@ -93,6 +93,14 @@ def _(s, d):
     return P.scaler(cycles(s, d), COLS, "minmax")
 
 
+@query("pre5_inverse", "select battery_id, cycle_index, " + ", ".join(f"coalesce({c}, (select quantile_cont({c}, 0.5) from cycles)) as {c}" for c in COLS) + " from cycles", "cycles", " ".join(COLS))
+def _(s, d):
+    c = cycles(s, d)
+    scale = P.scaler(c, COLS)
+    scaled = P.transform(c, P.fallback_values(c, COLS), scale, COLS, ["battery_id", "cycle_index"])
+    return P.inverse(scaled, scale, COLS, ["battery_id", "cycle_index"])
+
+
 @query("pre6_transform", "select battery_id, cycle_index, " + ", ".join(
     f"(coalesce({c}, (select quantile_cont({c}, 0.5) from cycles)) - (select quantile_cont({c}, 0.5) from cycles)) / (select quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) from cycles) as {c}" for c in COLS
 ) + " from cycles", "cycles", " ".join(COLS))
@@ -332,6 +340,19 @@ _STEPS = """select *, sum(pos) over (order by t desc) as tp, sum(neg) over (orde
   from (select probability as t, sum(label) as pos, sum(1 - label) as neg from predictions group by 1)"""
 
 
+def _areas(score, name):
+    steps = f"select *, sum(pos) over (order by t desc) as tp, sum(neg) over (order by t desc) as fp, sum(pos) over () as p, sum(neg) over () as n from (select {score} as t, sum(label) as pos, sum(1 - label) as neg from predictions group by 1)"
+    return f"(select sum(neg * (tp - pos / 2)) / (max(p) * max(n)) as roc_auc{name}, sum(pos * tp / (tp + fp)) / max(p) as average_precision{name} from ({steps}))"
+
+
+@query("cal4_against_order", f"""
+select *, average_precision > average_precision_order as beats_order from (select count(*) as n, cast(sum(label) as bigint) as n_positive from predictions), {_areas('probability', '')}, {_areas('cycle_index', '_order')}
+union all select count(*), 0, null, null, null, null, null from predictions where label = 0""", "predictions", "roc_auc average_precision roc_auc_order average_precision_order")
+def _(s, d):
+    p = preds(s, d)
+    return K.against_order(p).union(K.against_order(p.filter("label = 0")))
+
+
 @query("cal4_ranking_quality", f"""
 select roc_auc, average_precision, tp, fp, fn, tn, tp / nullif(tp + fp, 0) as precision, tp / nullif(tp + fn, 0) as recall, 2 * tp / nullif(2 * tp + fp + fn, 0) as f1 from (
   select sum(neg * (tp - pos / 2)) / (max(p) * max(n)) as roc_auc, sum(pos * tp / (tp + fp)) / max(p) as average_precision from ({_STEPS})), (
@@ -524,6 +545,12 @@ def _(s, d):
     return X.nested_selection(r, S.grouped_folds(r, 3), 3, ("ridge", "linear"), COLS, "rul_cycles")
 
 
+@query("mdl5_selection_frequency")
+def _(s, d):
+    r = labelled(s, d).select("battery_id", "cycle_index", "rul_cycles", *COLS)
+    return X.selection_frequency(X.nested_selection(r, S.grouped_folds(r, 3), 3, ("ridge", "linear"), COLS, "rul_cycles"))
+
+
 @query("mdl3_risk_classifier")
 def _(s, d):
     """Ranking quality, on entities that it has not seen, of a balanced classifier of the end of life within 30 cycles."""

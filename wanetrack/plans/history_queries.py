@@ -537,7 +537,7 @@ select split, count(*) as n_rows, count(distinct battery_id) as n_entities from
   from (select battery_id, rn, (rn - 1) % 4 = 0 as t from (select battery_id, row_number() over (order by count(*) desc, battery_id) as rn from cycles group by 1))) h using (battery_id)) group by 1""", "cycles")
 def _(s, d):
     c = cycles(s, d)
-    return S.split_sizes(c.join(S.entity_holdout(c), "battery_id"))
+    return S.checked_split(c.join(S.entity_holdout(c), "battery_id"))
 
 
 @query("spl8_learning_subsets", """
