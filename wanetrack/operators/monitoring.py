@@ -12,6 +12,7 @@ from wanetrack.functions.exprs import ladder
 from wanetrack.operators.calibrate import ranking_quality
 from wanetrack.operators.drift import DRIFTED_PARTS
 from wanetrack.operators.quality import FLEET_PARTS
+from wanetrack.sources.stored import first_of_key, same_key
 from wanetrack.sources.tables import written
 
 KEYS = ["battery_id", "cycle_index"]
@@ -229,16 +230,17 @@ def listing(df: DataFrame, where: Column, order: Sequence[Column], limit: int) -
     return df.filter(where).orderBy(*order).limit(limit)
 
 
-def insert_or_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """HIS3: rows of a key already there stay as they are."""
-    return old.unionByName(new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti"))
+def insert_or_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], tie: Sequence[Column] = ()) -> DataFrame:
+    """HIS3: rows of a key already there stay as they are; among new ones the first by `tie`, then by value. Null keys equal each other."""
+    rows = first_of_key(new, keys, tie)
+    held = old.select(*keys)
+    return old.unionByName(rows.join(held, same_key(rows, held, keys), "left_anti"))
 
 
 def insert_or_replace(old: DataFrame, new: DataFrame, keys: Sequence[str], tie: Sequence[Column]) -> DataFrame:
-    """HIS4: the new row of a key wins; among new ones the first by `tie`."""
+    """HIS4: the new row of a key wins; among new ones the first by `tie`, then by value."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_new"), *tie)
-    return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_new")
+    return first_of_key(both, keys, [F.desc("_new"), *tie]).drop("_new")
 
 
 def acknowledge(df: DataFrame, where: Column) -> DataFrame:

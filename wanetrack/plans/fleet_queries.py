@@ -12,6 +12,8 @@ from wanetrack.operators import monitoring as N
 from wanetrack.operators import quality as Q
 from wanetrack.plans.book import query
 from wanetrack.plans.fixtures import fixture, table
+from wanetrack.sources.stored import StoredTable
+from wanetrack.sources.tables import shared_folder
 
 SIG = ["capacity_ah", "internal_resistance_ohm", "temperature_max_c"]
 
@@ -769,6 +771,23 @@ def _(s, d):
     return N.prune(snaps(s, d), "day", F.lit("2024-01-16"))
 
 
+_KEPT = f"""select fleet_id, day, case when day >= '2024-01-20' then -n else n end as n, day >= '2024-01-20' and fleet_id = 'click' as acknowledged from ({_SNAP}) where day >= '2024-01-16'"""
+
+
+@query("his3_stored_table", f"{_KEPT} union all select 'new', '2024-03-01', 1, false")
+def _(s, d):
+    """Snapshots are stored by day, re-inserted, replaced, acknowledged and pruned in place, then read back."""
+    x = snaps(s, d).select("fleet_id", "day", "n").withColumn("acknowledged", F.lit(False))
+    t = StoredTable(s, shared_folder(s, "snapshots"), "fleet_id string, day string, n long, acknowledged boolean", ["fleet_id", "day"], "day")
+    t.append_new(x)
+    late = s.createDataFrame([("new", "2024-03-01", 1, False)], x.schema)
+    t.append_new(x.withColumn("n", F.lit(0).cast("long")).unionByName(late))
+    t.replace(x.filter("day >= '2024-01-20'").withColumn("n", -F.col("n")))
+    t.update((F.col("fleet_id") == "click") & F.col("day").between("2024-01-20", "2024-02-28"), {"acknowledged": F.lit(True)})
+    t.prune("2024-01-16")
+    return t.read()
+
+
 @query("his7_prediction_records", "select concat_ws(':', 'snap', battery_id, latest_cycle) as prediction_id, battery_id, latest_cycle as cycle_index, predicted_rul, rul_lower_bound, rul_upper_bound from records where status = 'success' and predicted_rul is not null", "records", "predicted_rul rul_lower_bound rul_upper_bound")
 def _(s, d):
     return N.prediction_records(fixture(s, d, "records"), "snap")
