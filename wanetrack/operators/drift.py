@@ -12,6 +12,7 @@ from wanetrack.functions.exprs import finite, ladder
 from wanetrack.functions.quantiles import exact_quantiles
 from wanetrack.functions.ranges import running
 from wanetrack.operators.preprocess import per_column, unpivot
+from wanetrack.sources.tables import written
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 DECILES = tuple(i / 10 for i in range(1, 10))
@@ -36,7 +37,8 @@ def numeric_reference(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     inner = F.array_sort(F.array_distinct("deciles"))
     edges = F.when(F.coalesce(F.size(inner), F.lit(0)) >= 2, inner).otherwise(equal)
     constant = F.coalesce(F.col("high") - F.col("low") <= 1e-12, F.lit(True))
-    return g.withColumn("edges", F.when(constant, F.array().cast("array<double>")).otherwise(edges)).withColumn("constant", constant).drop("deciles")
+    out = g.withColumn("edges", F.when(constant, F.array().cast("array<double>")).otherwise(edges)).withColumn("constant", constant).drop("deciles")
+    return written(out, "reference")  # a row a feature, read again and again
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -138,7 +140,7 @@ def ks_p(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     n, m = n.cast("double"), m.cast("double")
     en = F.sqrt(n * m / (n + m))
     t = (en + 0.12 + 0.11 / en) * d
-    tail = sum((F.exp(-2.0 * k * k * t * t) * (2.0 if k % 2 else -2.0) for k in range(1, terms)), F.lit(0.0))
+    tail = F.aggregate(F.sequence(F.lit(1), F.lit(terms - 1)), F.lit(0.0), lambda acc, k: acc + F.exp(-2.0 * k * k * t * t) * F.when(k % 2 == 1, 2.0).otherwise(-2.0))
     return F.when(t < 0.2, 1.0).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
 
 
