@@ -465,5 +465,5 @@ def class_distance(reference: DataFrame, current: DataFrame, c: str) -> DataFram
 
 def width_ratio(reference: DataFrame, current: DataFrame, c: str = "interval_width") -> DataFrame:
     """PDR4: the ratio of median interval widths."""
-    m = lambda d, n: d.agg(F.percentile(c, F.lit(0.5)).alias(n))
+    m = lambda d, n: exact_quantiles(d, [c], (0.5,)).select(F.col("quantiles")[0].alias(n))
     return m(reference, "a").join(m(current, "b"), F.lit(True), "cross").select(F.try_divide("b", "a").alias("ratio"))  # one row each

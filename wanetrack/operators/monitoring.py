@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wanetrack.functions.exprs import ladder
+from wanetrack.functions.quantiles import exact_quantiles
 from wanetrack.operators.calibrate import ranking_quality
 from wanetrack.operators.drift import DRIFTED_PARTS
 from wanetrack.operators.quality import FLEET_PARTS
@@ -124,7 +125,9 @@ def issued_coverage(matched: DataFrame) -> DataFrame:
 def label_delay(matched: DataFrame) -> DataFrame:
     """PRF4."""
     d = F.col("observed_at_cycle") - F.col("cycle_index")
-    return matched.agg(F.percentile(d, F.lit(0.5)).alias("median"), F.avg(d).alias("mean"), F.min(d).alias("least"), F.max(d).alias("most"))
+    mid = exact_quantiles(matched.select(d.alias("d")), ["d"], (0.5,)).select(F.col("quantiles")[0].alias("median"))
+    rest = matched.agg(F.avg(d).alias("mean"), F.min(d).alias("least"), F.max(d).alias("most"))
+    return F.broadcast(mid).join(rest, F.lit(True), "cross")  # one row each
 
 
 def alert_id(*parts: Column) -> Column:
