@@ -235,7 +235,7 @@ def categorical_drift(reference: DataFrame, current: DataFrame, columns: Sequenc
         F.try_divide(F.sum(F.when(F.col("unseen"), F.col("b")).otherwise(0)), F.max("total_b")).alias("unseen_rate"),
     )
     gone = ~F.col("feature").isin(*have) if have else F.lit(True)
-    odd = ladder((gone, "missing"), ((F.col("known") < 2) & (F.col("sample") == 0), "constant"), (F.col("sample") == 0, "small_sample"), ((F.col("sample") < min_rows) | (F.col("known") < 2), "small_sample"))
+    odd = ladder((gone, "missing"), (F.col("sample") == 0, "constant"), ((F.col("sample") < min_rows) | (F.col("known") < 2), "small_sample"))
     g = g.withColumn("odd", odd)
     none = F.lit(None).cast("double")
     row = lambda k, v, p: F.struct(k.alias("metric"), v.cast("double").alias("value"), p.alias("p_value"))
