@@ -482,8 +482,9 @@ _SCORED += "".join(f" union all select '{c}', 'chi2', chi2, p_value from ({_chi(
     ("kind", ("case when event_type <> 'signup' then event_type end", "event_type")), ("two", (_TWO, f"case when event_id % 20 = 0 then 'yes' else {_TWO} end")), ("same", (_THIRD, _THIRD)),
 ))
 _ODD = " union all ".join(f"select '{c}', '{k}', null::double, null::double" for c, k in (
-    ("flat", "constant"), ("gone", "missing"), ("fresh", "new"), ("rare", "small_sample"), ("only", "small_sample"), ("lost", "missing"), ("seldom", "small_sample"),
+    ("flat", "constant"), ("gone", "missing"), ("fresh", "new"), ("rare", "small_sample"), ("only", "small_sample"), ("lost", "missing"),
 ))
+_ODD += " union all select 'seldom', case when count(*) = 0 then 'constant' else 'small_sample' end, null, null from cu where event_id % 500 = 0 and event_type is not null"
 _LEVEL = lambda i: "case metric " + " ".join(f"when '{k}' then {v[i]}" for k, v in D.DRIFT_LEVELS.items()) + " end"
 VF = {
     **VD, "t0": f"{_SCORED} union all {_ODD}",
