@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from wanetrack.operators import calibrate, drift, metrics, models, monitoring, preprocess, splits
+from wanetrack.operators import calibrate, drift, isotonic, metrics, models, monitoring, preprocess, splits
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +74,7 @@ def test_calibration(spark):
     rng = np.random.default_rng(4)
     p = rng.random(3000)
     df = spark.createDataFrame([(float(q), float(q * q), int(rng.random() < q)) for q in p], "truth double, probability double, label int")
-    iso = calibrate.apply_isotonic(calibrate.fit_isotonic(df), df).toPandas().sort_values("probability")
+    iso = isotonic.apply_isotonic(isotonic.fit_isotonic(df, "probability", "label"), df, "probability").toPandas().sort_values("probability")
     assert (np.diff(iso.calibrated) >= -1e-12).all() and iso.calibrated.between(0, 1).all()
     assert abs(iso.calibrated - iso.truth).mean() < 0.05 < abs(iso.probability - iso.truth).mean()
     platt = calibrate.fit_platt(df)

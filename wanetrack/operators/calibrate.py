@@ -96,19 +96,6 @@ def threshold_search(df: DataFrame, how: str = "f1", min_recall: float = 0.8, p:
     return g.orderBy(F.desc("value"), "threshold").limit(1).select("threshold", "value")
 
 
-def fit_isotonic(df: DataFrame, p: str = PROB, y: str = LABEL):
-    """CAL6: monotone calibration fitted on out-of-fold rows; pass to apply_isotonic."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    rows = df.select(F.col(p).cast("double").alias("features"), F.col(y).cast("double").alias("label"))
-    return IsotonicRegression(featuresCol="features", labelCol="label").fit(rows)
-
-
-def apply_isotonic(model, df: DataFrame, p: str = PROB) -> DataFrame:
-    out = model.transform(df.withColumn("features", F.col(p).cast("double"))).drop("features")
-    return out.withColumn("calibrated", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))).drop("prediction")
-
-
 def fit_platt(df: DataFrame, p: str = PROB, y: str = LABEL):
     """CAL6: logistic calibration of the log odds."""
     from pyspark.ml.classification import LogisticRegression

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wanetrack.operators import calibrate as K
 from wanetrack.operators import conformal as U
 from wanetrack.operators import health as H
+from wanetrack.operators import isotonic as I
 from wanetrack.operators import metrics as M
 from wanetrack.operators import models as X
 from wanetrack.operators import monitoring as N
@@ -372,10 +373,20 @@ def _(s, d):
     return K.threshold_search(preds(s, d))
 
 
-@query("cal6_isotonic")
+# value of a point: over all starts at or before it the largest, over all ends at or after it the smallest mean
+@query("cal6_isotonic", """
+with pts as (select probability as x, sum(label) as s, count(*) as n, row_number() over (order by probability) as i from predictions where cycle_index % 2 = 0 group by 1),
+cum as (select *, sum(s) over (order by i) as cs, sum(n) over (order by i) as cn from pts),
+spans as (select a.i as a, b.i as b, (b.cs - a.cs + a.s) / cast(b.cn - a.cn + a.n as double) as m from cum a join cum b on b.i >= a.i),
+ends as (select a, b as i, min(m) over (partition by a order by b desc) as least from spans),
+fitted as (select i, max(least) as v from ends group by 1),
+model as (select x, v, lead(x) over (order by x) as x2, lead(v) over (order by x) as v2 from pts join fitted using (i))
+select prediction_id, case when m.x is null then (select v from model order by x limit 1) when x2 is null or probability = m.x then v
+    else v + (v2 - v) * (probability - m.x) / (x2 - m.x) end as calibrated
+from predictions asof left join model m on probability >= m.x""", "predictions", "calibrated")
 def _(s, d):
     p = preds(s, d)
-    return K.apply_isotonic(K.fit_isotonic(p.filter("cycle_index % 2 = 0")), p).select("prediction_id", "calibrated")
+    return I.apply_isotonic(I.fit_isotonic(p.filter("cycle_index % 2 = 0"), K.PROB, K.LABEL), p, K.PROB).select("prediction_id", "calibrated")
 
 
 @query("cal6_platt")
