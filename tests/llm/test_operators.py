@@ -392,10 +392,8 @@ def test_counts_beyond_32_bits_and_missing_files(spark):
     model = kneserney.count_model(docs, Scratch(spark, "t"))
     big = 5_000_000_000
     for name in ("word_n", "context_n", "more_n"):
-        for f in glob.glob(f"{model.folder}/{name}-*.npy"):
-            x = np.load(f)
-            assert x.dtype == np.uint64
-            np.save(f, x * np.uint64(big))
+        for f in glob.glob(f"{model.folder}/{name}-*.bin"):
+            (np.fromfile(f, np.uint64) * np.uint64(big)).tofile(f)
     model = dataclasses.replace(model, tokens=model.tokens * big, hot={k: tuple(big * x for x in v) for k, v in model.hot.items()})
     reader = kneserney.Reader(model)
     (c,) = B.chunks(pa.array(["a b zz"]))
@@ -404,12 +402,25 @@ def test_counts_beyond_32_bits_and_missing_files(spark):
     assert (n, known) == (4, 3)
     assert base == pytest.approx(sum(np.log10(float(k + 1)) for k in counts) - 4 * np.log10(float(48 * big + 5)))
     assert np.isfinite(score)
-    os.remove(glob.glob(f"{model.folder}/word-*.npy")[0])
+    os.remove(glob.glob(f"{model.folder}/word-*.bin")[0])
     with pytest.raises(FileNotFoundError):
         for i in range(model.shards):
             kneserney.Reader(model)._array("word", i)
 
 
+def test_groups_of_shards_hold_what_single_shards_do(spark, docs, monkeypatch):
+    """Many shards in few groups, pools of few tokens: equal totals and scores, files and driver rows by group."""
+    plain = kneserney.count_model(docs, Scratch(spark, "t"))
+    monkeypatch.setattr(kneserney, "POOL_TOKENS", 500)
+    grouped = kneserney.count_model(docs, Scratch(spark, "t"), shard_bytes=200, most_groups=3)
+    assert plain.per_group == 1 and grouped.shards > 100 and grouped.per_group > 30
+    assert len(grouped.written) <= 6 and len(glob.glob(f"{grouped.folder}/*")) <= 3 * 9
+    for name in ("tokens", "vocabulary", "bigram_types", "discounts", "word_discounts", "word_backoff"):
+        assert getattr(plain, name) == getattr(grouped, name), name
+    score = lambda m: sorted(map(tuple, kneserney.score_texts(docs, m).collect()), key=str)
+    assert score(plain) == score(grouped)
+
+
 # --- audio ---------------------------------------------------------------------------
 
 
