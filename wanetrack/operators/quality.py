@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,18 +68,20 @@ def quality_scores(
     g = g.join(F.broadcast(wide), F.lit(True), "cross")  # one row
     out = [(F.col(f"_lo_{c}") < F.col(f"_low_{c}")) | (F.col(f"_hi_{c}") > F.col(f"_high_{c}")) for c in columns]
     g = g.withColumn("n_ood", sum((F.coalesce(x, F.lit(False)).cast("int") for x in out), F.lit(0)))
-    p, zero = PENALTIES, 0.0
+    # Decimals: a sum of penalties may lie on the least score of a class, which the last bit of a double must not decide.
+    exact = lambda x: F.lit(Decimal(str(x))).cast("decimal(18, 6)")
+    p, zero, most = {k: exact(x) for k, x in PENALTIES.items()}, exact(0), exact(1)
     penalties = {
-        "history": F.when(F.col("n") < min_rows, 1.0).when(F.col("n") < good_rows, p["short"]).otherwise(zero),
+        "history": F.when(F.col("n") < min_rows, most).when(F.col("n") < good_rows, p["short"]).otherwise(zero),
         "duplicates": F.when(F.col("orders") < F.col("n"), p["duplicates"]).otherwise(zero),
         "ordering": F.when(F.col("turned") > 0, p["ordering"]).otherwise(zero),
         "gaps": F.when(F.col("gap") > max_gap, p["gaps"]).otherwise(zero),
-        "missing": F.when(F.col("missing") > MISSING_MOST, 1.0).when(F.col("missing") > MISSING_GOOD, p["missing"]).otherwise(zero),
+        "missing": F.when(F.col("missing") > MISSING_MOST, most).when(F.col("missing") > MISSING_GOOD, p["missing"]).otherwise(zero),
         "implausible": F.when(F.col("implausible") > 0, p["implausible"]).otherwise(zero),
-        "ood": F.least(p["ood"] * F.col("n_ood"), F.lit(p["ood_most"])),
+        "ood": F.least((p["ood"] * F.col("n_ood")).cast("decimal(18, 6)"), p["ood_most"]),
     }
     g = g.withColumns({f"p_{k}": v for k, v in penalties.items()})
-    g = g.withColumn("score", F.greatest(1 - sum((F.col(f"p_{k}") for k in penalties), F.lit(0.0)), F.lit(0.0)))
+    g = g.withColumn("score", F.greatest((1 - sum((F.col(f"p_{k}") for k in penalties), zero)).cast("double"), F.lit(0.0)))
     insufficient = (F.col("n") < min_rows) | (F.col("missing") > MISSING_MOST)
     # A short history is a warning, not a failed check.
     failed = F.concat_ws(",", *[F.when(F.col("n") < min_rows if k == "history" else F.col(f"p_{k}") > 0, F.lit(k)) for k in penalties])
