@@ -440,12 +440,15 @@ def drifting(s, d):
     """A reference and a batch with a shifted, an unchanged, a constant, a lost, a new and a rare feature of numbers, and of categories
     one with an unseen category, one with two, one that has kept its shares, a single one, a lost and a rare one."""
     r, c = halves(s, d)
+    spaced = F.col("event_id") % 500 == 0
+    few = c.filter(spaced & F.col("event_type").isNotNull()).select("event_id", F.lit(True).alias("few")).orderBy("event_id").limit(20)  # rare in tables of any size
+    c = c.join(F.broadcast(few), "event_id", "left")
     r = r.withColumns({"flat": F.lit(1.0), "gone": F.col("value"), "rare": F.col("value")})
-    c = c.withColumns({"flat": F.lit(1.0), "fresh": F.col("value"), "rare": F.when(F.col("event_id") % 500 == 0, F.col("value"))})
+    c = c.withColumns({"flat": F.lit(1.0), "fresh": F.col("value"), "rare": F.when(F.col("few"), F.col("value"))})
     kind, early = F.col("event_type"), F.col("event_id") % 3 == 0
     two = F.when(kind == "click", "yes").otherwise("no")
     r = r.withColumns({"kind": F.when(kind != "signup", kind), "two": two, "same": F.when(early, "a").otherwise("b"), "only": F.lit("x"), "lost": kind, "seldom": kind})
-    c = c.withColumns({"kind": kind, "two": F.when(F.col("event_id") % 20 == 0, "yes").otherwise(two), "same": F.when(early, "a").otherwise("b"), "only": F.lit("x"), "seldom": F.when(F.col("event_id") % 500 == 0, kind)})
+    c = c.withColumns({"kind": kind, "two": F.when(F.col("event_id") % 20 == 0, "yes").otherwise(two), "same": F.when(early, "a").otherwise("b"), "only": F.lit("x"), "seldom": F.when(F.col("few"), kind)})
     ref = ["value", "value2", "flat", "gone", "rare"]
     known = D.with_frequencies(D.numeric_reference(r, ref), r, ref)
     named = D.categorical_references(r, ["kind", "two", "same", "only", "lost", "seldom"])
