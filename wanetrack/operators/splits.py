@@ -93,6 +93,18 @@ def leave_one_out(df: DataFrame, entity: str = ID, most: int = 100_000) -> DataF
     return df.join(F.broadcast(held), F.lit(True), "cross").withColumn("role", F.when(F.col(entity) == F.col("held"), "test").otherwise("train"))
 
 
+def leave_one_out_sizes(df: DataFrame, entity: str = ID) -> DataFrame:
+    """SPL6: (held, role, n), the rows of each role of leave_one_out(), from one count an entity; no row is put out twice.
+
+    A null entity is held out once as well, and equals no row, so all rows train then.
+    """
+    own = df.groupBy(F.col(entity).alias("held")).agg(F.count(F.lit(1)).alias("n"))
+    total = own.agg(F.sum("n").alias("total"))
+    test = F.when(F.col("held").isNotNull(), F.col("n")).otherwise(0)
+    roles = F.array(F.struct(F.lit("test").alias("role"), test.alias("n")), F.struct(F.lit("train").alias("role"), (F.col("total") - test).alias("n")))
+    return own.join(F.broadcast(total), F.lit(True), "cross").select("held", F.inline(roles)).filter("n > 0")  # total: one row
+
+
 def split_sizes(df: DataFrame, entity: str = ID) -> DataFrame:
     """SPL7: rows and entities a split; entities in several splits are a leak."""
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(entity).alias("n_entities"))
