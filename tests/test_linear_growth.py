@@ -1,8 +1,11 @@
 """Steps whose work must grow with their rows, not with the square of them."""
 
+import time
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from wanetrack.operators import splits
+from wanetrack.operators import drift, splits
 
 
 def test_sizes_of_leave_one_out_need_no_rows_times_entities(spark):
@@ -14,3 +17,16 @@ def test_sizes_of_leave_one_out_need_no_rows_times_entities(spark):
     many = spark.range(200_000).select(F.col("id").cast("string").alias("battery_id"))
     got = splits.leave_one_out_sizes(many).groupBy("role").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("a"), F.max("n").alias("b")).collect()
     assert {tuple(r) for r in got} == {("test", 200_000, 1, 1), ("train", 200_000, 199_999, 199_999)}
+
+
+def test_adjusted_p_of_many_tests(spark):
+    """Of ten times as many tests; a frame to the last row took minutes for these."""
+    tests = spark.range(100_000).select(F.format_string("%06d", "id").alias("feature"), F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(5_000)) / 5_000.0).alias("p_value"))
+    began = time.time()
+    got = {r.feature: r.adjusted for r in drift.adjust_p(tests).collect()}
+    assert time.time() - began < 40
+    rows = sorted((r.p_value, r.feature) for r in tests.collect() if r.p_value is not None)
+    q = np.array([p * len(rows) / (i + 1) for i, (p, _) in enumerate(rows)])
+    want = np.minimum(np.minimum.accumulate(q[::-1])[::-1], 1.0)
+    assert len(got) == 100_000 and sum(v is None for v in got.values()) == 100_000 - len(rows)
+    assert all(got[f] == w for (_, f), w in zip(rows, want, strict=True))

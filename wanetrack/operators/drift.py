@@ -256,7 +256,8 @@ def adjust_p(tests: DataFrame, how: str = "bh", p: str = "p_value") -> DataFrame
         return tests.withColumn("adjusted", F.when(has, F.least(F.col(p) * n, F.lit(1.0))))
     order = part.orderBy(p, "feature")  # one row a feature and test
     tests = tests.withColumn("_q", F.when(has, F.col(p) * n / F.row_number().over(order)))
-    least = F.min("_q").over(order.rowsBetween(0, Window.unboundedFollowing))
+    # From the largest p down, so that the frame grows row by row; one that ends at the last row is taken anew for each.
+    least = F.min("_q").over(part.orderBy(F.desc(p), F.desc("feature")).rowsBetween(Window.unboundedPreceding, 0))
     return tests.withColumn("adjusted", F.when(has, F.least(least, F.lit(1.0)))).drop("_q")
 
 
