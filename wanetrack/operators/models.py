@@ -14,6 +14,7 @@ from wanetrack.functions.arrays import added_up, column_means, doubles, matrix,
 from wanetrack.functions.exprs import finite, history, ladder, median, trailing
 from wanetrack.functions.ranges import running
 from wanetrack.operators.metrics import regression_metrics
+from wanetrack.sources.tables import written
 
 
 def cohort_median(train: DataFrame, life: str = "rul_raw_cycles", entity: str = "battery_id") -> DataFrame:
@@ -98,11 +99,15 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.count(F.lit(1)).over(Window.partitionBy()) / (2.0 * F.count(F.lit(1)).over(n)))
 
 
-def out_of_fold(df: DataFrame, folds: DataFrame, k: int, family: str, columns: Sequence[str], label: str, entity: str = "battery_id") -> DataFrame:
-    """MDL4: predictions of every row by a model that has not seen its entity. One fit a fold; k is small."""
-    rows = df.join(folds, entity).filter(F.col(label).isNotNull())
+def fold_rows(df: DataFrame, folds: DataFrame, columns: Sequence[str], label: str, entity: str = "battery_id", order: str = "cycle_index") -> DataFrame:
+    """The labelled rows with their fold, only what fits need, written once: a fit passes over its rows several times, and whatever made them would run each time."""
+    return written(df.join(folds, entity).filter(F.col(label).isNotNull()).select(*dict.fromkeys([entity, order, "fold", label, *columns])), "folds")
+
+
+def _fold_predictions(rows: DataFrame, held: Sequence[int], family: str, columns: Sequence[str], label: str, entity: str) -> DataFrame:
+    """The rows of each held fold, predicted by a model of the other folds' rows."""
     out = None
-    for f in range(k):
+    for f in held:
         model = pipeline(family, columns, label).fit(rows.filter(F.col("fold") != f))
         part = model.transform(rows.filter(F.col("fold") == f)).select(
             entity, "cycle_index", "fold", F.col(label).cast("double").alias("y_true"), "y_pred", F.lit(family).alias("model")
@@ -111,6 +116,13 @@ def out_of_fold(df: DataFrame, folds: DataFrame, k: int, family: str, columns: S
     return out
 
 
+def out_of_fold(df: DataFrame, folds: DataFrame, k: int, family: str | Sequence[str], columns: Sequence[str], label: str, entity: str = "battery_id") -> DataFrame:
+    """MDL4: predictions of every row by a model that has not seen its entity, by one family or several. One fit a fold and family; k is small."""
+    rows = fold_rows(df, folds, columns, label, entity)
+    families = [family] if isinstance(family, str) else family
+    return reduce(DataFrame.unionByName, [_fold_predictions(rows, range(k), x, columns, label, entity) for x in families])
+
+
 def _moments(df: DataFrame, columns: Sequence[str], label: str, entity: str) -> tuple[DataFrame, np.ndarray]:
     """(entity, sums) and a shift: count, sums and cross products of (columns, label), less the shift, over each entity's complete rows.
 
@@ -208,15 +220,13 @@ def nested_selection(
     The inner choice never sees the outer fold. k and the number of families are small;
     each fit is a Spark job over all rows.
     """
-    chosen = []
+    chosen, rows = [], fold_rows(df, folds, columns, label, entity)
     for f in range(k):
-        inner = folds.filter(F.col("fold") != f).withColumn("fold", F.when(F.col("fold") > f, F.col("fold") - 1).otherwise(F.col("fold")))
-        tried = [out_of_fold(df, inner, k - 1, x, columns, label, entity) for x in families]
+        inner = rows.filter(F.col("fold") != f)
+        tried = [_fold_predictions(inner, [i for i in range(k) if i != f], x, columns, label, entity) for x in families]
         best = select_family(reduce(DataFrame.unionByName, tried), metric).filter("rank = 1").first()  # one row
-        rows = df.join(folds, entity).filter(F.col(label).isNotNull())
-        model = pipeline(best["model"], columns, label).fit(rows.filter(F.col("fold") != f))
-        out = model.transform(rows.filter(F.col("fold") == f)).select(F.col(label).cast("double").alias("y_true"), "y_pred")
-        m = regression_metrics(out).select(
+        out = _fold_predictions(rows, [f], best["model"], columns, label, entity)
+        m = regression_metrics(out, ["fold"]).select(
             F.lit(f).alias("fold"), F.lit(best["model"]).alias("model"), F.lit(best[metric]).alias(f"inner_{metric}"), F.col(metric).alias(f"outer_{metric}"), "n"
         )
         chosen.append(m)
@@ -241,7 +251,7 @@ def search(df: DataFrame, columns: Sequence[str], label: str, reg: Sequence[floa
         estimator=lr, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, list(reg)).build(), numFolds=k, foldCol="fold", parallelism=2,
         evaluator=RegressionEvaluator(labelCol=label, predictionCol="y_pred", metricName="mae"),
     )
-    rows = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(df.filter(F.col(label).isNotNull()))
+    rows = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(written(df.filter(F.col(label).isNotNull()).select("fold", label, *columns), "search"))
     fitted = cv.fit(rows)
     return [(r, m) for r, m in zip(reg, fitted.avgMetrics, strict=True)]
 

@@ -16,6 +16,7 @@ from wanetrack.operators import preprocess as P
 from wanetrack.operators import splits as S
 from wanetrack.plans.book import query
 from wanetrack.plans.fixtures import fixture, table
+from wanetrack.sources.tables import written
 
 COLS = ["capacity_ah", "internal_resistance_ohm", "temperature_max_c", "voltage_min_v"]
 
@@ -507,9 +508,14 @@ def labelled(s, d):
     return H.attach_rul(c, H.end_of_life(c))
 
 
+def training(s, d):
+    """The labelled rows with the columns that fits need, written once; folds are dealt and models fitted from these."""
+    return written(labelled(s, d).select("battery_id", "cycle_index", "rul_cycles", *COLS), "labelled")
+
+
 @query("mdl4_out_of_fold")
 def _(s, d):
-    r = labelled(s, d)
+    r = training(s, d)
     return X.out_of_fold(r, S.grouped_folds(r, 3), 3, "ridge", COLS, "rul_cycles")
 
 
@@ -532,33 +538,32 @@ def _(s, d):
 
 @query("mdl3_families")
 def _(s, d):
-    r = labelled(s, d).select("battery_id", "cycle_index", "rul_cycles", *COLS)
+    r = training(s, d)
     train, test = r.filter("cast(battery_id as int) % 4 <> 0"), r.filter("cast(battery_id as int) % 4 = 0")
     out = None
     for f in X.REGRESSORS:
         p = X.pipeline(f, COLS, "rul_cycles").fit(train).transform(test)
-        m = M.regression_metrics(p.withColumn("y_true", F.col("rul_cycles").cast("double"))).select(F.lit(f).alias("model"), "n", "mae")
+        m = M.regression_metrics(p.select(F.lit(f).alias("model"), "y_pred", F.col("rul_cycles").cast("double").alias("y_true")), ["model"]).select("model", "n", "mae")
         out = m if out is None else out.union(m)
     return out
 
 
 @query("mdl5_select_family")
 def _(s, d):
-    r = labelled(s, d)
+    r = training(s, d)
     folds = S.grouped_folds(r, 2)
-    both = X.out_of_fold(r, folds, 2, "ridge", COLS, "rul_cycles").unionByName(X.out_of_fold(r, folds, 2, "linear", COLS, "rul_cycles"))
-    return X.select_family(both)
+    return X.select_family(X.out_of_fold(r, folds, 2, ("ridge", "linear"), COLS, "rul_cycles"))
 
 
 @query("mdl5_nested_selection")
 def _(s, d):
-    r = labelled(s, d).select("battery_id", "cycle_index", "rul_cycles", *COLS)
+    r = training(s, d)
     return X.nested_selection(r, S.grouped_folds(r, 3), 3, ("ridge", "linear"), COLS, "rul_cycles")
 
 
 @query("mdl5_selection_frequency")
 def _(s, d):
-    r = labelled(s, d).select("battery_id", "cycle_index", "rul_cycles", *COLS)
+    r = training(s, d)
     return X.selection_frequency(X.nested_selection(r, S.grouped_folds(r, 3), 3, ("ridge", "linear"), COLS, "rul_cycles"))
 
 
@@ -573,7 +578,7 @@ def _(s, d):
 
 @query("mdl6_search")
 def _(s, d):
-    r = labelled(s, d)
+    r = training(s, d)
     r = r.join(S.grouped_folds(r, 3), "battery_id").withColumn("fold", F.col("fold").cast("int"))
     return s.createDataFrame([(float(a), float(b)) for a, b in X.search(r, ["capacity_ah", "temperature_max_c"], "rul_cycles")], "reg double, mae double")
 
@@ -588,13 +593,13 @@ def _(s, d):
 
 @query("xpl1_permutation_importance")
 def _(s, d):
-    r = labelled(s, d).select("battery_id", "cycle_index", "rul_cycles", *COLS)
+    r = training(s, d)
     return X.permutation_importance(r, X.pipeline("ridge", COLS, "rul_cycles").fit(r), COLS, "rul_cycles")
 
 
 @query("xpl2_ablation")
 def _(s, d):
-    r = labelled(s, d).select("battery_id", "cycle_index", "rul_cycles", *COLS)
+    r = training(s, d)
     return X.ablation(r, X.pipeline("ridge", COLS, "rul_cycles").fit(r), COLS, ["battery_id", "cycle_index"])
 
 
