@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from wanetrack.operators import models as X
 from wanetrack.plans import evaluation_queries as E
 from wanetrack.plans.catalog import book
 
@@ -25,3 +26,19 @@ def test_analogues_of_every_row(spark):
 def test_importance_of_every_feature(spark):
     got = book.QUERIES["xpl1_permutation_importance"](spark, DATA).collect()
     assert sorted(r.feature for r in got) == sorted(E.COLS)
+
+
+def test_analogues_across_blocks_of_places(spark):
+    """More reference rows than a block of places, ties among them, and no row put out k times."""
+    rng = np.random.default_rng(5)
+    soh, rul = rng.integers(0, 3000, 9000) / 3000, rng.integers(0, 90, 9000).astype(float)
+    ref = spark.createDataFrame(list(zip(soh.tolist(), rul.tolist(), strict=True)), "soh double, rul double")
+    ask = [(i, x) for i, x in enumerate([*np.linspace(-0.1, 1.1, 500).tolist(), 0.0, 1.0])]
+    out = X.nearest_analogues(spark.createDataFrame(ask, "k long, soh double"), ref, keys=["k"])
+    assert "Generate explode(sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
+    near = np.array(sorted(zip(soh, rul, strict=True)))
+    got = {r.k: r for r in out.collect()}
+    assert len(got) == len(ask)
+    for k, x in ask:
+        lo = max(min(int((near[:, 0] < x).sum()) - 12, 9000 - 25), 0)
+        assert (got[k].y_pred, got[k].n_analogues) == (np.median(near[lo : lo + 25, 1]), 25)

@@ -39,8 +39,9 @@ def fade_extrapolation(
 def nearest_analogues(df: DataFrame, reference: DataFrame, k: int = 25, soh: str = "soh", rul: str = "rul", keys: Sequence[str] = ()) -> DataFrame:
     """JON7: the median remaining life of the k reference rows around the place of a row's health.
 
-    One pass over ranges of health gives each row its place among the reference rows; the
-    k places around it, clipped at the ends, are looked up by equality.
+    One pass over ranges of health gives each row its place among the reference rows. The
+    median from each place on is taken once, over blocks of places that reach k - 1 places
+    into the next, and a row looks up the one where its k places, clipped at the ends, begin.
     """
     ref = reference.filter(finite(soh).isNotNull()).select(F.col(soh).alias("soh"), F.col(rul).alias("rul"))
     ranked = running(ref, "soh", {"pos": F.lit(1)}, ties=["rul"]).withColumn("pos", F.col("pos") - 1)
@@ -50,8 +51,13 @@ def nearest_analogues(df: DataFrame, reference: DataFrame, k: int = 25, soh: str
     )
     placed = running(both, soh, {"at": F.col("_kind")}, ties=["_kind"]).filter("_kind = 0").join(F.broadcast(n), F.lit(True), "cross")  # n: one row
     low = F.greatest(F.least(F.col("at") - k // 2, F.col("n") - k), F.lit(0))
-    wanted = placed.select(*keys, F.explode(F.sequence(low, F.least(low + k, F.col("n")) - 1)).alias("pos"))
-    return wanted.join(ranked, "pos").groupBy(*keys).agg(median("rul").alias("y_pred"), F.count(F.lit(1)).alias("n_analogues"))
+    size = max(4096, k)
+    block = F.floor(F.col("pos") / size)
+    begins = F.when((F.col("pos") % size < k - 1) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    ahead = Window.partitionBy("_block").orderBy("pos").rowsBetween(0, k - 1)
+    starts = ranked.withColumn("_block", F.explode(begins)).select("_block", "pos", median("rul").over(ahead).alias("y_pred"), F.count(F.lit(1)).over(ahead).alias("n_analogues"))
+    starts = starts.filter(F.col("_block") == block).drop("_block")
+    return placed.select(*keys, low.alias("pos")).join(starts, "pos").drop("pos")
 
 
 REGRESSORS = ("linear", "ridge", "elastic_net", "random_forest", "boosted_trees")
