@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,9 +58,48 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
         writer.parquet(path)
 
 
+def write_entity_files(df: DataFrame, folder: str, entity: str = "battery_id") -> None:
+    """SRC3's files: one CSV file an entity, named after it, in a new folder that all executors share.
+
+    A file is moved to its name when it is whole, so a task that runs again replaces what it wrote. Spark's own writer by partition
+    makes a folder an entity, and pays for it again in the commit and in each listing.
+    """
+    where = "/" + folder[len("file:"):].lstrip("/") if folder.startswith("file:") else folder
+    header = ",".join(df.columns)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(where)
+        fs.create_dir(root)
+        rows = itertools.chain.from_iterable(zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches)
+        n = 0
+        for name, group in itertools.groupby(rows, key=lambda r: r[0]):
+            if not name:
+                raise ValueError(f"rows without a {entity} have no file to lie in")
+            # Spark's readers skip names that begin with a dot or an underscore
+            stem = re.sub("^[._]", lambda m: f"%{ord(m[0]):02X}", quote(name, safe=" "))
+            part = f"{root}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(part) as out:
+                out.write(f"{header}\n".encode())
+                for some in itertools.batched(group, 4096):
+                    out.write("".join(f"{line}\n" for _, line in some).encode())
+            fs.move(part, f"{root}/{stem}.csv")
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    lines = df.select(F.col(entity).cast("string").alias("name"), F.to_csv(F.struct(*df.columns)).alias("line"))
+    lines.repartition("name").sortWithinPartitions("name").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def read_entity_files(spark: SparkSession, pattern: str, schema: str, entity: str = "battery_id") -> tuple[DataFrame, DataFrame]:
-    """SRC3: one CSV file an entity, named after it. Returns the good files' rows, and the files that hold several ids."""
+    """SRC3: one CSV file an entity, named after it. Returns the good files' rows, and the files that hold several ids.
+
+    Each file is opened once: its rows are written to the shared folder, where both results are read from. A folder is listed
+    at once, a pattern by looking up each file that it matches.
+    """
     rows = spark.read.schema(schema).csv(pattern, header=True).withColumn("file", F.col("_metadata.file_path"))
+    # a task holds the buffers of all files that it opened until it ends: Spark gives it 32 small files, 8 times that here
+    few = max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // 8))
+    rows = written(rows.coalesce(few), "entity-rows")
     per = rows.groupBy("file").agg(F.count_distinct(entity).alias("n_ids"))
     bad = per.filter("n_ids > 1")
     good = rows.join(bad, "file", "left_anti")
