@@ -71,3 +71,21 @@ def test_rows_left_out_and_one_class(spark):
         asked = spark.createDataFrame([(-0.5,), (0.25,), (2.0,), (None,)], "p double")
         assert sorted((r.calibrated for r in isotonic.apply_isotonic(none, asked, "p").collect()), key=str) == [0.0, 0.25, 1.0, None]
     assert isotonic.apply_isotonic(blocks, df.limit(0), "p").count() == 0
+
+
+def test_ranges_without_blocks(spark):
+    """Many ranges, most of them without a block: the nearest ones lie several ranges away, or on one side only."""
+    rng = np.random.default_rng(3)
+    blocks = [(0.2, 0.21, 0.1), (0.22, 0.22, 0.3), (0.8, 0.8, 0.9)]
+    xs = [*rng.random(600).tolist(), *[e for a, b, _ in blocks for e in (a, b)], *[0.5] * 300]
+    keys = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        asked = spark.createDataFrame(list(enumerate(xs)), "i int, p double")
+        got = {r.i: r.calibrated for r in isotonic.apply_isotonic(spark.createDataFrame(blocks, "lo double, hi double, calibrated double"), asked, "p").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    np.testing.assert_allclose([got[i] for i in range(len(xs))], [value(blocks, x) for x in xs], atol=1e-12)

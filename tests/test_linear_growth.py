@@ -5,7 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from wanetrack.operators import drift, splits
+from wanetrack.operators import drift, isotonic, splits
 
 
 def test_sizes_of_leave_one_out_need_no_rows_times_entities(spark):
@@ -30,3 +30,15 @@ def test_adjusted_p_of_many_tests(spark):
     want = np.minimum(np.minimum.accumulate(q[::-1])[::-1], 1.0)
     assert len(got) == 100_000 and sum(v is None for v in got.values()) == 100_000 - len(rows)
     assert all(got[f] == w for (_, f), w in zip(rows, want, strict=True))
+
+
+def test_isotonic_values_of_many_rows_in_one_range(spark):
+    """All rows lie in few ranges; a frame to a range's last row took minutes for these."""
+    rows = spark.range(100_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(70_000)) / 70_000.0).alias("p"))
+    blocks = spark.createDataFrame([(0.1, 0.2, 0.05), (0.4, 0.4, 0.5), (0.8, 0.9, 0.75)], "lo double, hi double, calibrated double")
+    began = time.time()
+    got = isotonic.apply_isotonic(blocks, rows, "p").toPandas()
+    assert time.time() - began < 40
+    want = np.interp(got["p"], [0.1, 0.2, 0.4, 0.8, 0.9], [0.05, 0.05, 0.5, 0.75, 0.75])
+    assert sorted(got["id"]) == list(range(100_000))
+    np.testing.assert_allclose(got["calibrated"], want, atol=1e-12)

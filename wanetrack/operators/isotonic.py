@@ -132,15 +132,15 @@ def apply_isotonic(blocks: DataFrame, df: DataFrame, p: str) -> DataFrame:
     )
     laid = in_ranges(both, F.col("_x"), F.col("_block").isNull())
     per = laid.groupBy("_range").agg(F.max("_block").alias("_top"), F.min("_block").alias("_low"))
-    order = Window.orderBy("_range")
+    # lead steps on with the row; the first in a frame that reaches to the end is sought anew for each row
     around = per.select(
-        F.col("_range").alias("_r"), F.last("_top", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_low", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.col("_range").alias("_r"), F.last("_top", True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.expr("lead(_low) ignore nulls over (order by _range)").alias("_after"),
     )  # one row a range
     inside = Window.partitionBy("_range").orderBy("_x", F.col("_block").isNull(), "_tie")
     near = laid.join(F.broadcast(around), F.col("_range") == F.col("_r")).select(
         "_row", "_x", "_block", F.coalesce(F.last("_block", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_before").alias("_b"),
-        F.coalesce(F.first("_block", True).over(inside.rowsBetween(1, Window.unboundedFollowing)), "_after").alias("_a"),
+        F.coalesce(F.expr("lead(_block) ignore nulls over (partition by _range order by _x, _block is null, _tie)"), "_after").alias("_a"),
     )
     return near.filter("_block is null").select("_row.*", F.when(F.col("_x").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), _value()))).alias("calibrated"))
 

@@ -387,7 +387,8 @@ select prediction_id, case when m.x is null then (select v from model order by x
 from predictions asof left join model m on probability >= m.x""", "predictions", "calibrated")
 def _(s, d):
     p = preds(s, d)
-    return I.apply_isotonic(I.fit_isotonic(p.filter("cycle_index % 2 = 0"), K.PROB, K.LABEL), p, K.PROB).select("prediction_id", "calibrated")
+    asked = p.select("prediction_id", K.PROB)  # apply writes its rows, all of each
+    return I.apply_isotonic(I.fit_isotonic(p.filter("cycle_index % 2 = 0"), K.PROB, K.LABEL), asked, K.PROB).select("prediction_id", "calibrated")
 
 
 @query("cal6_platt")
