@@ -89,3 +89,26 @@ def test_ranges_without_blocks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     np.testing.assert_allclose([got[i] for i in range(len(xs))], [value(blocks, x) for x in xs], atol=1e-12)
+
+
+@pytest.mark.parametrize("make", [falling, tied, noisy, low_end])
+def test_more_ranges_than_asked_for(spark, monkeypatch, make):
+    """Blocks of ranges that are no neighbours were pooled, round after round without an end."""
+    rounds, frame = [], type(spark.range(0))
+    deal, write = frame.repartitionByRange, isotonic.written
+
+    def counted(df, label):
+        rounds.append(label)
+        assert len(rounds) < 12
+        return write(df, label)
+
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *cols: deal(self, max(n, 7), *cols))
+    monkeypatch.setattr(isotonic, "written", counted)
+    points = make(np.random.default_rng(5), 90)
+    df = spark.createDataFrame(points, "p double, y double")
+    for task_blocks in (1 << 20, 40):
+        rounds.clear()
+        rows = [tuple(r) for r in isotonic.fit_isotonic(df, "p", "y", task_blocks=task_blocks).orderBy("lo").collect()]
+        want = plain(points)
+        assert len(rows) == len(want)
+        np.testing.assert_allclose(rows, want, atol=1e-12)

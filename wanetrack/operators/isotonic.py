@@ -85,8 +85,9 @@ def fit_isotonic(df: DataFrame, p: str, y: str, task_blocks: int = TASK_BLOCKS)
     stays pooled in the whole. The blocks that are left, few as a rule, are cut anew and
     pooled again until no two neighbours in different ranges violate the order; every
     second round cuts the ranges before at their middles, so each border is inside a
-    range soon. The running sums at the ranges' ends show far apart blocks that are one,
-    so a low end does not travel from range to range.
+    range soon, and what then fits into one task is pooled by one. The running sums at the
+    ranges' ends show far apart blocks that are one, so a low end does not travel from
+    range to range.
 
     Rows without a finite score and label are left out. With no rows, or labels of one
     class alone (all 0 or all 1), there are no blocks.
@@ -101,18 +102,19 @@ def fit_isotonic(df: DataFrame, p: str, y: str, task_blocks: int = TASK_BLOCKS)
     halved = True
     while n:
         halved = not halved
-        if halved:
-            parts += 1
-            cut = blocks.repartitionById(parts, F.col("part") + F.col("upper").cast("int"))
+        if parts and n <= task_blocks:
+            cut = blocks.repartition(1)
+        elif halved:
+            cut = blocks.repartitionById(parts + 1, F.col("part") + F.col("upper").cast("int"))
         else:
-            parts = -(-n // task_blocks)
-            cut = blocks.repartitionByRange(parts, "lo")
+            cut = blocks.repartitionByRange(-(-n // task_blocks), "lo")
         cut = cut.select("lo", "hi", "s", "n", "open").sortWithinPartitions("lo")
         done = written(cut.mapInArrow(_pool, _BLOCKS), "blocks")
         if (blocks := _opened(done)) is None:
             blocks = done
             break
-        n = done.count()
+        n, last = done.agg(F.count(F.lit(1)), F.max("part")).first()
+        parts = last + 1  # as they were dealt, which may be more than were asked for
     return blocks.select("lo", "hi", (F.col("s") / F.col("n")).alias("calibrated"))
 
 
